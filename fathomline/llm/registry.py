@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import packing, simhash, toxicity, wavelet
+from fathomline.llm import language, packing, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language": language.op3_language,
+    "language_of_pages": language.language_of_pages,
     "op7_token_output": wavelet.op7_token_output,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
