@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import language, lexicon, packing, simhash, sitetree, toxicity, wavelet
+from fathomline.llm import forest, language, lexicon, packing, simhash, sitetree, toxicity, vafile, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op1_main_text": sitetree.op1_main_text,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language": language.op3_language,
     "language_of_pages": language.language_of_pages,
+    "op5_near_duplicates": forest.op5_near_duplicates,
     "op6_word_bpe": lexicon.op6_word_bpe,
     "op7_token_output": wavelet.op7_token_output,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_top_k": vafile.op10_top_k,
 }
 ORACLE_SQL: dict[str, str] = {}
