@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from fathomline.llm.common import linked_components, materialize, table
 
 TREES, LEAF, FIT_ROWS, SPILL, BLOCK = 6, 256, 20_000, 0.75, 2048
+#: Projections tried for a split, and the largest share of vectors (counted on both sides) with which a split pays.
+TRIES, MAX_SPILL = 4, 1.4
 
 
 class Tree:
@@ -36,22 +38,27 @@ class Tree:
         self.root = self._grow(sample, leaf, rng, 0)
 
     def _grow(self, rows: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
-        direction = rng.standard_normal(rows.shape[1])
-        direction /= np.linalg.norm(direction)
-        p = rows @ direction
-        cut = float(np.median(p)) if len(p) else 0.0
-        if len(rows) <= leaf or depth > 40 or p.max() - p.min() <= 2 * self.margin:
-            return self._leaf()
+        best = None
+        for _ in range(TRIES if len(rows) > leaf and depth < 40 else 0):
+            direction = rng.standard_normal(rows.shape[1])
+            direction /= np.linalg.norm(direction)
+            p = rows @ direction
+            cut = float(np.median(p))
+            left, right = p < cut + self.margin, p >= cut - self.margin
+            spilled = (int(left.sum()) + int(right.sum())) / len(rows)
+            if best is None or spilled < best[0]:
+                best = spilled, direction, cut, left, right
+            if spilled < 1.25:
+                break
+        if best is None or best[0] > MAX_SPILL:  # small enough, or a dense group that no projection splits
+            self.leaves += 1
+            return -self.leaves
+        _, direction, cut, left, right = best
         me = len(self.split)
         self.direction.append(direction), self.split.append(cut), self.sides.append([0, 0])
-        for side, inside in enumerate((p < cut + self.margin, p >= cut - self.margin)):
-            self.sides[me][side] = self._leaf() if inside.all() else self._grow(rows[inside], leaf, rng, depth + 1)
+        self.sides[me] = [self._grow(rows[left], leaf, rng, depth + 1), self._grow(rows[right], leaf, rng, depth + 1)]
         return me
 
-    def _leaf(self) -> int:
-        self.leaves += 1
-        return -self.leaves
-
     def route(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and leaf for every leaf that a row reaches."""
         out, todo = [], [(self.root, np.arange(len(rows)))]
