@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import forest, language, lexicon, packing, simhash, sitetree, toxicity, vafile, wavelet
+from fathomline.llm import forest, language, lexicon, licenses, packing, simhash, sitetree, toxicity, vafile, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op1_main_text": sitetree.op1_main_text,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language": language.op3_language,
     "language_of_pages": language.language_of_pages,
+    "op4_licenses": licenses.op4_licenses,
     "op5_near_duplicates": forest.op5_near_duplicates,
     "op6_word_bpe": lexicon.op6_word_bpe,
     "op7_token_output": wavelet.op7_token_output,
