@@ -33,6 +33,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows to drop are sent to every executor up to this number (16 bytes each); beyond it the rows are shuffled.
+MAX_SENT_KEYS = 4_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``. The keys are written first, so that their number is known before the rows move."""
+    gone = materialize(gone.select(key).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= MAX_SENT_KEYS else gone, key, "left_anti")
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import linked_components, materialize, table, text_or_empty
+from fathomline.llm.common import linked_components, materialize, table, text_or_empty, without
 
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
@@ -95,15 +95,20 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
+def _row_key():
+    return F.xxhash64("doc_id", "text")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row."""
+    """``doc_id, key, fp`` of every row; ``key`` stands for the row's id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), text_or_empty(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -133,12 +138,12 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``."""
+    """``doc_id, key, fp, component_id`` of every row of ``docs``."""
     fps = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
     comps = linked_components(fingerprint_links(nodes.where("id is not null")))
     classes = nodes.join(comps, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
@@ -146,17 +151,20 @@ def keep_one_per_class(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept ``doc_id`` one stays; rows without a ``doc_id`` all stay. All columns are kept.
     """
-    classes = simhash_classes(docs.select("doc_id", "text"))
-    kept = materialize(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows__")), "kept")
-    once = docs.join(kept.where("n_rows__ = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated, unnamed = kept.where("n_rows__ > 1").select("doc_id"), docs.where("doc_id is null")
-    parts = [once, unnamed]
-    if repeated.limit(1).count():
-        parts.append(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(docs.columns)
+    classes = materialize(simhash_classes(docs.select("doc_id", "text")).where("doc_id is not null"), "classes")
+    again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = materialize(again, "repeated_ids")
+    gone = classes.where("doc_id <> component_id").select(F.col("key").alias("key__"))
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        others = classes.where("doc_id = component_id").join(again, "doc_id").where(F.col("key") != F.col("first"))
+        gone = gone.union(others.select(F.col("key").alias("key__")))
+    left = without(docs.withColumn("key__", _row_key()), gone, "key__")
+    if repeated:
+        firsts = again.select(F.col("first").alias("key__"))
+        once, more = left.join(firsts, "key__", "left_anti"), left.join(firsts, "key__", "left_semi")
+        left = once.unionByName(more.dropDuplicates(["key__"]))
+    return left.select(docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
