@@ -1,6 +1,6 @@
 """Operator 6, BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The words of the corpus are counted over all rows; the ``lexicon_words`` most frequent (a fixed bound) are encoded
+The words of the corpus are counted over all rows; the most frequent, at most ``lexicon_words`` (a fixed bound), are encoded
 once and compiled into a minimal acyclic automaton. States with equal futures are shared, each transition carries
 the number of lexicon words that sort before it, and the sum along a path is the word's index into the id sequences.
 The automaton is written to one file of flat arrays, sent to the executors by Spark's file distribution and
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.byte_tokens import default_tokenizer
-from fathomline.llm.common import table, text_or_empty
+from fathomline.llm.common import materialize, table, text_or_empty
 from fathomline.llm.merges import MergeTable
 
-LEXICON_WORDS = 100_000
+LEXICON_WORDS = 50_000
 MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH = 500_000, 48, 400_000
 #: Control characters that only Python counts as white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -220,8 +220,15 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, tokenizer_path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words and hand the file to Spark; returns the name by which executors find it."""
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()
-    words = sorted(r.word.encode() for r in top if r.word)
+    counts = materialize(word_counts(docs, path), "word_counts")
+    level = F.floor(F.log2("n") * 16)
+    taken, least = 0, None
+    for at, n in counts.where("word <> ''").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
+        taken += n
+        if taken > lexicon_words:
+            break
+        least = at
+    words = [] if least is None else sorted(r.word.encode() for r in counts.where("word <> ''").where(level >= least).select("word").collect())
     merges = word_tokenizer(path).table
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     local = os.path.join(tempfile.mkdtemp(prefix="fathomline-"), name)
@@ -239,20 +246,19 @@ class Encoder:
     """Whole texts to ids: chunks that this worker remembers, then the lexicon, then exact merging."""
 
     def __init__(self, tokenizer: WordTokenizer, lexicon: Lexicon):
-        self.tokenizer, self.lexicon, self.memo = tokenizer, lexicon, {}
+        self.tokenizer, self.lexicon, self.memo, self.flat = tokenizer, lexicon, {}, lexicon.ids.tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
         words = [self.tokenizer.words(c) for c in chunks]
         distinct = list(set().union(*words)) if words else []
         raw = [w.encode("utf-8", "surrogatepass") for w in distinct]
-        index, known = self.lexicon.index(raw), {}
+        index = self.lexicon.index(raw)
         unseen = np.flatnonzero(index < 0).tolist()
-        for i in np.flatnonzero(index >= 0).tolist():
-            known[distinct[i]] = self.lexicon.sequence(index[i]).tobytes()
-        table = self.tokenizer.table
-        for i, ids in zip(unseen, table.encode([raw[i] for i in unseen]), strict=True):
-            known[distinct[i]] = np.frombuffer(ids, dtype=table.dtype).astype("<u4").tobytes()
-        self.memo.update((c, b"".join([known[w] for w in ws])) for c, ws in zip(chunks, words, strict=True))
+        at = np.flatnonzero(index >= 0)
+        starts, ends = (self.lexicon.starts[index[at] + k].astype(np.int64) * 4 for k in (0, 1))
+        known = {distinct[i]: self.flat[a:b] for i, a, b in zip(at.tolist(), starts.tolist(), ends.tolist(), strict=True)}
+        known.update(zip([distinct[i] for i in unseen], self.tokenizer.table.encode([raw[i] for i in unseen]), strict=True))
+        self.memo.update((c, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for c, ws in zip(chunks, words, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_CHUNKS:
@@ -281,7 +287,7 @@ def encode(docs: DataFrame, lexicon: str, tokenizer_path: str | None = None) ->
                 part = batch.slice(at, 1000)
                 ids = encoder.encode(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = np.concatenate([*ids, np.zeros(0, dtype="<u4")]).astype(np.int32)
+                flat = np.concatenate([*ids, np.zeros(0, dtype="<u4")]).view(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -292,11 +298,14 @@ def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(path).tokens
+        known = word_tokenizer(path).tokens
+        tokens = np.array([known.get(i) for i in range(max(known) + 1)], dtype=object)
         for batch in batches:
             for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                texts = [" ".join([tokens[i] for i in ids if i in tokens]) for ids in part.column(1).to_pylist()]
+                part, texts = batch.slice(at, 1000), []
+                for ids in part.column(1):
+                    own = ids.values.to_numpy() if ids.is_valid else np.zeros(0, dtype=np.int32)
+                    texts.append(" ".join([t for t in tokens[own[(own >= 0) & (own < len(tokens))]] if t is not None]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -17,7 +17,7 @@ def byte_chars() -> list[str]:
 class MergeTable:
     """Merges the pair of lowest rank, leftmost first, until none is left; ``suffix`` marks a word's last symbol."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "", dtype: str = "<u4"):
         chars = byte_chars()
         self.inner = np.array([vocab[c] for c in chars], dtype=np.int32)
         self.last = np.array([vocab[c + suffix] for c in chars], dtype=np.int32)
@@ -30,7 +30,7 @@ class MergeTable:
         first = np.ones(len(order), dtype=bool)
         first[1:] = keys[order][1:] != keys[order][:-1]
         self.ranks, self.keys, self.made = order[first].astype(np.int32), keys[order][first], made
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.dtype = np.dtype(dtype)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
