@@ -34,34 +34,34 @@ Pattern = tuple[tuple[int, ...], int]
 def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
     """Fix bins that some optimal packing contains; returns them and the lengths that are left.
 
-    For the longest item j and the largest item k that fits beside it, {j} or {j, k} dominates every other bin with
+    For an item j and the largest item k that fits beside it, {j} or {j, k} dominates every other bin with
     j if nothing fits beside j, if k fills the bin exactly, or if no two items fit beside j together.
     """
-    left = {n: c for n, c in counts.items() if c > 0}
+    left = Counter({n: c for n, c in counts.items() if c > 0})
     fixed: list[Pattern] = []
-    kept: dict[int, int] = {}
-    order = sorted(left, reverse=True)
-    alive = list(reversed(order))  # ascending
-    for j in order:
-        while left.get(j):
-            room = capacity - j
-            others = [n for n in alive if left.get(n, 0) - (n == j) > 0 and n <= room]
-            if not others:
-                fixed.append(((j,), left.pop(j)))
-                break
-            k = others[-1]
-            two = others[0] * 2 if left[others[0]] - (others[0] == j) > 1 else others[0] + (others[1] if len(others) > 1 else capacity)
-            if k != room and two <= room:
-                kept[j] = left.pop(j)  # not dominated: left for best-fit
-                break
-            n = left[j] // 2 if k == j else min(left[j], left[k])
-            fixed.append(((j, k), n))
-            for x in (j, k):
-                left[x] -= n
-                if not left[x]:
-                    del left[x]
-        alive = [n for n in alive if left.get(n)]
-    return fixed, kept
+
+    def take(bin_: tuple[int, ...], n: int) -> None:
+        fixed.append((bin_, n))
+        for x in bin_:
+            left[x] -= n
+            if not left[x]:
+                del left[x]
+
+    before = -1
+    while len(fixed) > before:  # fixed bins can make further items reducible
+        before = len(fixed)
+        for j in sorted(left, reverse=True):
+            while j in left:
+                others = sorted(n for n in left if n <= capacity - j and left[n] > (n == j))
+                if not others:
+                    take((j,), left[j])
+                    continue
+                k, smallest = others[-1], others[0]
+                second = smallest if left[smallest] - (smallest == j) > 1 else others[1] if len(others) > 1 else capacity
+                if j + k != capacity and j + smallest + second <= capacity:
+                    break  # not dominated: left for best-fit
+                take((j, k), left[j] // 2 if k == j else min(left[j], left[k]))
+    return fixed, dict(left)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
