@@ -1,7 +1,7 @@
 """Operator 2, toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is a logistic score of its words (each word adds the
-weights of itself and of its first four, five and six letters); the document's is the noisy-or of its sentences'. The
+A document is a bag of sentences. A sentence's probability is a logistic score of its words (each different word adds
+the weights of itself and of its first four, five and six letters); the document's is the noisy-or of its sentences'. The
 weights are trained from document labels alone, so a positive document only says that some sentence is toxic, and
 the trained sentence scores then locate the offending sentences.
 
@@ -56,7 +56,7 @@ class NoisyOr:
         word_of, sent_of, doc_of = [], [], []  # word and sentence of each occurrence; document of each sentence
         for d, text in enumerate(texts):
             for s in _SENTENCE.findall(text.lower()):
-                words = _WORD.findall(s)
+                words = dict.fromkeys(_WORD.findall(s))  # a repeated word is no more evidence
                 if words:
                     word_of += [vocab.setdefault(w, len(vocab)) for w in words]
                     sent_of += [len(doc_of)] * len(words)
@@ -111,7 +111,7 @@ class Scorer:
         memo, word, spans, z = self.memo, self._word, [], []
         for m in _SENTENCE.finditer(lower):
             spans.append(m.span())
-            z.append(sum([memo[c] if c in memo else word(c) for c in m.group().split()], self.model.bias))
+            z.append(sum([memo[c] if c in memo else word(c) for c in dict.fromkeys(m.group().split())], self.model.bias))
         if not spans:
             return 0.0, 0, []
         p = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
