@@ -33,6 +33,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 #: Keys of rows to drop are sent to every executor up to this number (16 bytes each); beyond it the rows are shuffled.
 MAX_SENT_KEYS = 4_000_000
 

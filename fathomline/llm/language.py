@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import materialize, table, text_or_empty, without
+from fathomline.llm.common import free_name, materialize, table, text_or_empty, without
 
 FIT_ROWS, MAX_LANGUAGES, BUCKETS = 4_000, 64, 1 << 14
 #: Trigrams of one text count as this many independent ones at most; pseudo-counts of the host, suffix and declaration levels.
@@ -173,9 +173,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns."""
-    rejected = identify(document_evidence(docs)).where("rejected").select(F.col("key").alias("key__"))
-    keyed = docs.withColumn("key__", F.xxhash64("doc_id", "text", "lang", "source"))
-    return without(keyed, rejected, "key__").select(docs.columns)
+    key = free_name(docs, "key")
+    rejected = identify(document_evidence(docs)).where("rejected").select(F.col("key").alias(key))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "lang", "source"))
+    return without(keyed, rejected, key).select(docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import linked_components, materialize, table, text_or_empty, without
+from fathomline.llm.common import free_name, linked_components, materialize, table, text_or_empty, without
 
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
@@ -151,19 +151,20 @@ def keep_one_per_class(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept ``doc_id`` one stays; rows without a ``doc_id`` all stay. All columns are kept.
     """
+    key = free_name(docs, "key")
     classes = materialize(simhash_classes(docs.select("doc_id", "text")).where("doc_id is not null"), "classes")
     again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = materialize(again, "repeated_ids")
-    gone = classes.where("doc_id <> component_id").select(F.col("key").alias("key__"))
+    gone = classes.where("doc_id <> component_id").select(F.col("key").alias(key))
     repeated = again.limit(1).count() > 0
     if repeated:
         others = classes.where("doc_id = component_id").join(again, "doc_id").where(F.col("key") != F.col("first"))
-        gone = gone.union(others.select(F.col("key").alias("key__")))
-    left = without(docs.withColumn("key__", _row_key()), gone, "key__")
+        gone = gone.union(others.select(F.col("key").alias(key)))
+    left = without(docs.withColumn(key, _row_key()), gone, key)
     if repeated:
-        firsts = again.select(F.col("first").alias("key__"))
-        once, more = left.join(firsts, "key__", "left_anti"), left.join(firsts, "key__", "left_semi")
-        left = once.unionByName(more.dropDuplicates(["key__"]))
+        firsts = again.select(F.col("first").alias(key))
+        once, more = left.join(firsts, key, "left_anti"), left.join(firsts, key, "left_semi")
+        left = once.unionByName(more.dropDuplicates([key]))
     return left.select(docs.columns)
 
 
