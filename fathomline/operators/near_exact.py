@@ -181,11 +181,11 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config) -> tuple[DataFrame
         n_recipes = {r[0]: r[1] + 1 for r in recipes.groupBy("trace").agg(F.max("recipe_id")).collect()}
     after = {r.trace: r for r in packed.groupBy("trace").agg(F.max("container_id").alias("c"), F.max("ord").alias("o")).collect()}
     seen = {r[0]: r[1] for r in windowed.groupBy("trace").count().collect()}
-    members = state.members
-    for p in parts:
-        members = members.unionByName(p)
-    state = State(
-        stored(members, "members"), stored(state.hooks.unionByName(hooks), "hooks"),
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    state = State(  # only what the epoch made is written
+        state.members.unionByName(stored(made, "members")), state.hooks.unionByName(stored(hooks, "hooks")),
         state.next_container | {t: r.c + 1 for t, r in after.items()}, state.next_recipe | n_recipes,
         state.next_ord | {t: r.o + 1 for t, r in after.items()}, {t: state.next_ingest.get(t, 0) + seen.get(t, 0) for t in {*state.next_ingest, *seen}},
     )
