@@ -17,7 +17,6 @@ import json
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -231,7 +230,8 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str | None = None, lexicon_wo
     words = [] if least is None else sorted(r.word.encode() for r in counts.where("word <> ''").where(level >= least).select("word").collect())
     merges = word_tokenizer(path).table
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="fathomline-"), name)
+    local = os.path.join(SparkFiles.getRootDirectory(), "build", name)  # the driver's folder for files that Spark hands out
+    os.makedirs(os.path.dirname(local), exist_ok=True)
     Lexicon.build(words, merges.encode(words), merges.dtype).save(local)
     docs.sparkSession.sparkContext.addFile(local)
     return name
