@@ -135,7 +135,8 @@ def select_hybrid(role_pairs: DataFrame, io_cap: int, ratio: float = 2.3, overla
     left out if more than ``floor(overlap * its hit cnr_hooks)`` of these are hooks of the chosen recipes.
     """
     recipe_pairs = role_pairs.where("role = 'recipe_hook'").withColumn("kind", F.lit("recipe"))
-    recipes = select_sparse(recipe_pairs, 1 << 30 if io_cap < 0 else max(hybrid_recipe_limit(io_cap, ratio), 1)).where(F.col("load_rank") <= hybrid_recipe_limit(io_cap, ratio))
+    limit = hybrid_recipe_limit(io_cap, ratio)
+    recipes = select_sparse(recipe_pairs, limit).where(F.col("load_rank") <= limit)  # none for a limit of 0
     chosen_hooks = recipe_pairs.join(recipes.select("trace", "seq", "subset_id"), ["trace", "seq", "subset_id"], "left_semi").select("trace", "seq", "chunk_id").distinct().withColumn("covered", F.lit(1))
     cnr_hooks = role_pairs.where("role = 'cnr_hook'").select("trace", "seq", "chunk_id", "subset_id").distinct()
     excluded = (

@@ -37,7 +37,7 @@ hits AS (SELECT trace, seq, chunk_id, count(*) AS cnt, min(win_pos) AS first_pos
 cand AS (SELECT trace, seq, kind, subset_id, sum(cnt)::BIGINT AS score, count(DISTINCT chunk_id) AS n_hooks, min({'first_pos': first_pos, 'ord': ord}) AS first FROM hits JOIN old_hooks USING (trace, chunk_id) GROUP BY ALL),
 sorted AS (SELECT trace, seq, kind, subset_id, (row_number() OVER (PARTITION BY trace, seq ORDER BY score DESC, subset_id))::INT AS load_rank FROM cand)"""
 _FP = "('0x' || replace(chunk_id, ':', ''))::BIGINT"
-_ROLES = _HOOKS.replace("hooks AS (SELECT", "container_hooks AS (SELECT", 1).split(",\nold_hooks")[0].rsplit(",\ncontainer_hooks", 1)[0] + f""",
+_ROLES = _LOCATED + f""",
 segmented AS (SELECT l.*, p.ord, l.win_pos // 64 AS seg FROM located l LEFT JOIN packed p USING (trace, version, pos)),
 seg_base AS (SELECT trace, seq, coalesce(sum(n) OVER (PARTITION BY trace ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM (SELECT trace, seq, max(seg) + 1 AS n FROM segmented GROUP BY ALL)),
 rows_ AS (SELECT s.trace, s.version, s.seq, s.chunk_id, s.is_dup, s.location, base + seg AS recipe_id, {_FP.replace('chunk_id', 's.chunk_id')} AS fp, (s.ord + 1) % 9 = 0 AS feature FROM segmented s JOIN seg_base USING (trace, seq)),
@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
     "index_breadth": _snap(_LOCATED, """, old AS (SELECT * FROM recipes WHERE version < 4), rh AS (SELECT trace, chunk_id, recipe_id, min(gpos) AS ord FROM old WHERE (gpos + 1) % 9 = 0 GROUP BY ALL),
         h AS (SELECT trace, seq, chunk_id, count(*) AS cnt FROM windowed WHERE version = 4 GROUP BY ALL), c AS (SELECT trace, seq, recipe_id, sum(cnt) AS score FROM h JOIN rh USING (trace, chunk_id) GROUP BY ALL),
         s AS (SELECT trace, seq, recipe_id FROM (SELECT *, row_number() OVER (PARTITION BY trace, seq ORDER BY score DESC, recipe_id) AS r FROM c) WHERE r <= 4)
-        SELECT trace, seq, count(DISTINCT location) AS breadth FROM s JOIN old USING (trace, recipe_id) GROUP BY trace, s.seq""".replace("SELECT trace, seq, count(DISTINCT location) AS breadth FROM s JOIN old USING (trace, recipe_id) GROUP BY trace, s.seq", "SELECT s.trace, s.seq, count(DISTINCT location) AS breadth FROM s JOIN old o ON o.trace = s.trace AND o.recipe_id = s.recipe_id GROUP BY ALL")),
+        SELECT s.trace, s.seq, count(DISTINCT location) AS breadth FROM s JOIN old o ON o.trace = s.trace AND o.recipe_id = s.recipe_id GROUP BY ALL"""),
     "recipe_fragmentation": _snap(_LOCATED, "SELECT trace, recipe_id, count(*) AS chunks, count(DISTINCT location) AS containers FROM recipes GROUP BY ALL"),
     "coverage_curve": _snap(_LOCATED, """, target AS (SELECT DISTINCT trace, chunk_id FROM windowed WHERE version = 4 AND win = 0),
         subsets AS (SELECT trace, 'recipe' AS kind, recipe_id AS subset_id, chunk_id, version FROM recipes UNION ALL SELECT trace, 'container', container_id, chunk_id, version FROM packed),
