@@ -3,16 +3,17 @@
 The pages of a host are merged into one tree whose nodes are the element paths of their DOMs. For each node two
 entropies are summed up over all pages of the host: how much the sequence of its children varies (presentation) and
 how rarely its text blocks repeat (content). Their composite is the node's importance: a branch that looks and reads
-the same on every page has a low one. It is then weighted by what the markup says about the branch: ``nav``,
-``footer``, ``aside``, forms, adverts, notices, comments and the like weigh next to nothing, the inside of
-``article`` or ``main`` keeps at least ``ARTICLE_FLOOR``, and where a page has such an element the rest of it weighs
-little. Branches whose weighted importance is below ``THRESHOLD`` are taken out of each page; the text blocks that
-are left are joined in page order.
-
-Only ids of low-importance nodes (a part of the merged tree, not of the pages) travel back to the pages, spread over salts because one host may hold a third of
-all pages. Nulls: a null html gives an empty text, a null or unparsable address belongs to the host ''. If entropy
-alone would take out all of a page (copies without an ``article``), what the markup allows stays. Repeated rows are
-each extracted. Other columns are ignored.
+the same on every page has a low one. On each page it is multiplied by what the markup says about the branch: ``nav``,
+``footer``, ``aside``, forms, adverts, notices, comments and the like weigh ``NOISE_WEIGHT``, the inside of ``article``
+or ``main`` weighs ``ARTICLE_WEIGHT``, the rest of a page with such an element ``OUTSIDE_WEIGHT``, and everything else 1.
+Branches whose weighted importance is below ``THRESHOLD`` are taken out of each page, inside articles as well; the text
+blocks that are left are joined in page order.
+
+Only ids and importance of nodes that some weight can take out (a part of the merged tree, not of the pages) travel back
+to the pages, spread over salts because one host may hold a third of all pages. Nulls: a null html gives an empty text, a
+null or unparsable address belongs to the host ''. If entropy would take out all of a page, or most of its articles
+(copies on one host), what the markup allows stays. Nodes on fewer than ``MIN_PAGES`` pages have importance 1. Repeated
+rows are each extracted. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import materialize, table, text_or_empty
 
-THRESHOLD, ARTICLE_FLOOR, DAMPING, MIN_PAGES, SALTS = 0.2, 0.5, 0.9, 4, 16
+THRESHOLD, DAMPING, MIN_PAGES, SALTS = 0.2, 0.9, 4, 16
+#: Weights of a node's importance by its role on a page.
+NOISE_WEIGHT, OUTSIDE_WEIGHT, ARTICLE_WEIGHT = 0.1, 0.25, 2.0
 
 # Element kinds of HTML and the words by which class and id attributes name parts of a page.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -141,20 +144,37 @@ class Page:
         self.article.append(not noise and (inside or tag in ("article", "main")))
         return len(self.parent) - 1
 
-    def kept(self, low: set[int], host: str) -> list[str]:
-        """Text blocks that are left without branches of low weighted importance."""
+    def _marked(self) -> list[bool]:
         # a wrapper with a telling class name that holds most of the articles' text (of all, without any) is no notice or sidebar
         held = self.article_size if self.article_size[0] else self.size
         noise = [n and not (t not in _NOISE_TAGS and t != "header" and s * 2 > held[0]) for n, t, s in zip(self.noise, self.tag, held, strict=True)]
-        ids = [_hash(host, k) for k in self.key] if low else []
-        has_article = any(a and s for a, s in zip(self.article, self.size, strict=True))
         marked: list[bool] = []
-        listed: list[bool] = []
         for i, p in enumerate(self.parent):
             marked.append(noise[i] or (p >= 0 and marked[p]))
-            listed.append(bool(low) and not self.article[i] and (ids[i] in low or (p >= 0 and listed[p])))
-        found = [(n, t) for n, t, links in self.blocks if not marked[n] and (self.article[n] if has_article else links * 5 <= len(t) * 3)]
-        return [t for n, t in found if not listed[n]] or [t for _, t in found]
+        return marked
+
+    def kept(self, importance: dict[int, float], host: str) -> list[str]:
+        """Text blocks that are left without branches of low weighted importance; nodes not in ``importance`` have 1."""
+        marked = self._marked()
+        article: list[bool] = []
+        for i, p in enumerate(self.parent):
+            article.append(not marked[i] and (self.tag[i] in ("article", "main") or p >= 0 and article[p]))
+        unmarked = [(n, t, links) for n, t, links in self.blocks if not marked[n]]
+        in_article = sum(len(t) for n, t, _ in unmarked if article[n])
+        has_article = in_article > 0
+        holds = [False] * len(self.parent)  # what is around the articles is not judged
+        for i in range(len(self.parent) - 1, 0, -1):
+            if has_article and (article[i] or holds[i]):
+                holds[self.parent[i]] = True
+        out: list[bool] = []
+        for i, p in enumerate(self.parent):
+            weight = NOISE_WEIGHT if marked[i] else 1.0 if not has_article else ARTICLE_WEIGHT if article[i] else OUTSIDE_WEIGHT
+            low = bool(importance) and not (holds[i] and not article[i]) and importance.get(_hash(host, self.key[i]), 1.0) * weight < THRESHOLD
+            out.append(low or p >= 0 and out[p])
+        found = [(n, t) for n, t, links in unmarked if has_article and article[n] or links * 5 <= len(t) * 3] or [(n, t) for n, t, _ in unmarked]
+        if has_article and sum(len(t) for n, t in found if article[n] and not out[n]) * 2 <= in_article:
+            return [t for n, t in found if article[n]]
+        return [t for n, t in found if not out[n]] or [t for _, t in found]
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +242,15 @@ def with_host(pages: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``."""
     hosted = with_host(pages.select("page_id", "url", "html"))
-    low = importance(hosted).where(F.col("importance") < THRESHOLD)
-    by_host = materialize(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low_nodes")
+    low = importance(hosted).where(F.col("importance") < THRESHOLD / OUTSIDE_WEIGHT)  # the least weight of what is not noise
+    by_host = materialize(low.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("low")), "low_nodes")
     salted = by_host.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, host, nodes in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                texts.append("\n\n".join(Page(source.as_py() or "").kept(set(nodes or ()), host)))
+            for source, host, nodes in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("low"), strict=True):
+                texts.append("\n\n".join(Page(source.as_py() or "").kept({n["node"]: n["importance"] for n in nodes.as_py() or ()}, host)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")

@@ -368,3 +368,16 @@ def test_page_roles():
     assert kept('<div><h1>Hi</h1>text<br>more 1 < 2</div><ul><li><a href=x>l1</a><li><a>l2</a></ul><div class="sidebar">s</div>') == ["Hi", "text more 1 < 2"]
     assert kept("") == [] and kept("plain &lt;text&gt;") == ["plain <text>"]
     assert len("".join(kept("<p>" + "<div>" * 3000 + "deep" + "x " * 100_000))) > 100_000
+
+
+def test_entropy_decides_inside_articles(spark):
+    page = "<body><article><h1>Story {0}</h1><div class='x1'>Follow us for more of this</div><p>What happened on day {0}, and why {1} came of it in the end</p></article><div class='x2'>Made since 1999</div></body>"
+    pages = spark.createDataFrame([(i, f"https://news.example/{i}", page.format(i, i * 7)) for i in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract_main_text(pages).collect()}
+    assert got[3] == "Story 3\n\nWhat happened on day 3, and why 21 came of it in the end"
+
+
+def test_copied_articles_stay(spark):
+    page = "<body><article><h1>Story {0}</h1><p>The same long text of a copied article on every page of this host</p></article></body>"
+    pages = spark.createDataFrame([(i, f"https://copies.example/{i}", page.format(i)) for i in range(30)], "page_id long, url string, html string")
+    assert {len(r.text.split("\n\n")) for r in sitetree.extract_main_text(pages).collect()} == {2}
