@@ -7,7 +7,8 @@ the same on every page has a low one. On each page it is multiplied by what the
 ``footer``, ``aside``, forms, adverts, notices, comments and the like weigh ``NOISE_WEIGHT``, the inside of ``article``
 or ``main`` weighs ``ARTICLE_WEIGHT``, the rest of a page with such an element ``OUTSIDE_WEIGHT``, and everything else 1.
 Branches whose weighted importance is below ``THRESHOLD`` are taken out of each page, inside articles as well; the text
-blocks that are left are joined in page order.
+blocks that are left are joined in page order. Articles count only if they hold most of the page's unmarked text, so
+teaser cards do not. A wrapper with a telling name, or a form, that holds most of the text is no noise.
 
 Only ids and importance of nodes that some weight can take out (a part of the merged tree, not of the pages) travel back
 to the pages, spread over salts because one host may hold a third of all pages. Nulls: a null html gives an empty text, a
@@ -52,6 +53,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_FORM_TAGS = frozenset("form fieldset".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _LONG_NUMBER = re.compile(r"\d{3,}")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -136,7 +139,9 @@ class Page:
             words = {w.lower() for v in named.values() for w in _WORDS.findall(v)}
             if named:
                 key += "." + ".".join(sorted({w.lower() for v in named.values() for w in _LONG_NUMBER.sub("", v).split()}))
-            if inside:
+            if inside or tag in _HEADINGS:  # ids and labels of sections are slugs of their titles: only a whole one names a role, and none on a heading
+                whole = {v.strip().lower() for n, v in named.items() if n in ("id", "aria-label") and tag not in _HEADINGS}
+                words = {w.lower() for n, v in named.items() if n in ("class", "role") for w in _WORDS.findall(v)} | whole
                 words.discard("header")
             noise = noise or bool(words & _NOISE_WORDS and tag not in ("html", "body", "main")) or bool(_HIDDEN.search(attrs))
         noise = noise or tag == "header" and not inside
@@ -145,12 +150,21 @@ class Page:
         return len(self.parent) - 1
 
     def _marked(self) -> list[bool]:
-        # a wrapper with a telling class name that holds most of the articles' text (of all, without any) is no notice or sidebar
+        """Whether a node is in a noise branch. A telling wrapper that holds most of the articles' text (of all, without any), or a form that holds most of the text, is none if it holds more than what is unmarked without it."""
         held = self.article_size if self.article_size[0] else self.size
-        noise = [n and not (t not in _NOISE_TAGS and t != "header" and s * 2 > held[0]) for n, t, s in zip(self.noise, self.tag, held, strict=True)]
-        marked: list[bool] = []
-        for i, p in enumerate(self.parent):
-            marked.append(noise[i] or (p >= 0 and marked[p]))
+        clean = [0] * len(self.parent)  # text below a node without further noise
+        for node, text, _ in self.blocks:
+            while node >= 0:
+                clean[node] += len(text)
+                node = -1 if self.noise[node] else self.parent[node]
+        unmarked, marked = clean[0], []
+        for i, (p, noise, tag) in enumerate(zip(self.parent, self.noise, self.tag, strict=True)):
+            above = p >= 0 and marked[p]
+            if noise and not above:
+                form = tag in _FORM_TAGS and self.size[i] * 2 > self.size[0]
+                if (form or (tag in _FORM_TAGS or tag not in _NOISE_TAGS and tag != "header") and held[i] * 2 > held[0]) and self.size[i] > unmarked:
+                    noise, unmarked = False, unmarked + clean[i]
+            marked.append(noise or above)
         return marked
 
     def kept(self, importance: dict[int, float], host: str) -> list[str]:
@@ -161,7 +175,7 @@ class Page:
             article.append(not marked[i] and (self.tag[i] in ("article", "main") or p >= 0 and article[p]))
         unmarked = [(n, t, links) for n, t, links in self.blocks if not marked[n]]
         in_article = sum(len(t) for n, t, _ in unmarked if article[n])
-        has_article = in_article > 0
+        has_article = in_article * 2 > sum(len(t) for _, t, _ in unmarked)
         holds = [False] * len(self.parent)  # what is around the articles is not judged
         for i in range(len(self.parent) - 1, 0, -1):
             if has_article and (article[i] or holds[i]):

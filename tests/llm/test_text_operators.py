@@ -381,3 +381,13 @@ def test_copied_articles_stay(spark):
     page = "<body><article><h1>Story {0}</h1><p>The same long text of a copied article on every page of this host</p></article></body>"
     pages = spark.createDataFrame([(i, f"https://copies.example/{i}", page.format(i)) for i in range(30)], "page_id long, url string, html string")
     assert {len(r.text.split("\n\n")) for r in sitetree.extract_main_text(pages).collect()} == {2}
+
+
+def test_main_text_is_not_lost_to_teasers_forms_and_slugs():
+    kept = lambda s: sitetree.Page(s).kept(set(), "")
+    assert kept("<div><p>the main text</p></div><div class=related><article>teaser</article></div>") == ["the main text"]
+    assert kept("<div><p>the main text</p></div><aside><article>teaser</article></aside>") == ["the main text"]
+    assert kept("<form id=aspnetForm><nav>menu</nav><div><p>all of the page</p></div></form>") == ["all of the page"]
+    assert kept("<article><h1>T</h1><form><p>the whole text of the page</p></form></article>") == ["T", "the whole text of the page"]
+    assert kept("<article><h2 id='related-work'>Related work</h2><section id='notice-of-change'><p>text</p></section><div id=comments>no</div></article>") == ["Related work", "text"]
+    assert kept("<div>title</div><div class='sidebar-layout'><article>short but the main one</article><div class=comments>long comments, long comments, long comments</div></div>") == ["title", "short but the main one"]
