@@ -49,8 +49,18 @@ def pointer_counts(hooks: DataFrame, bound: int) -> DataFrame:
     return per.withColumn("live_pointers", F.sum("pointers").over(Window.partitionBy("trace").orderBy("version").rangeBetween(-bound, 0)))
 
 
-def index_stats(hooks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``trace, fingerprints, pointers, sample_ratio``; the ratio is null for an empty index."""
-    sizes = hooks.groupBy("trace").agg(F.countDistinct("chunk_id").alias("fingerprints"), F.count("*").alias("pointers"))
+def index_stats(hooks: DataFrame, chunks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``trace, fingerprints, pointers, sample_ratio, recipe_ratio, container_ratio``.
+
+    ``recipe_ratio``: all chunks for each recipe hook; ``container_ratio``: stored chunks for each container hook; 0.0 without
+    such hooks. ``stored``: a row for each stored chunk, by default what exact deduplication stores. ``sample_ratio`` is null
+    for an empty index.
+    """
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    sizes = hooks.groupBy("trace").agg(F.countDistinct("chunk_id").alias("fingerprints"), F.count("*").alias("pointers"), of("recipe").alias("recipe_hooks"), of("container").alias("container_hooks"))
     totals = chunks.groupBy("trace").agg(F.count("*").alias("total"))
-    return totals.join(sizes, "trace", "left").select("trace", F.coalesce("fingerprints", F.lit(0)).alias("fingerprints"), F.coalesce("pointers", F.lit(0)).alias("pointers"), F.floor(F.try_divide("total", "fingerprints")).alias("sample_ratio"))
+    kept = (chunks.select("trace", "chunk_id").distinct() if stored is None else stored).groupBy("trace").agg(F.count("*").alias("stored"))
+    ratio = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
+    return totals.join(sizes, "trace", "left").join(kept, "trace", "left").select(
+        "trace", F.coalesce("fingerprints", F.lit(0)).alias("fingerprints"), F.coalesce("pointers", F.lit(0)).alias("pointers"), F.floor(F.try_divide("total", "fingerprints")).alias("sample_ratio"),
+        ratio("total", "recipe_hooks").alias("recipe_ratio"), ratio("stored", "container_hooks").alias("container_ratio"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from fathomline.functions import ids as I
 from fathomline.operators import bloom as B
 from fathomline.operators import exact as E
+from fathomline.operators import index as H
 from fathomline.operators import metrics as M
 from fathomline.operators import near_exact as N
 from fathomline.operators import ordinals as O
 from fathomline.operators import select as C
+from fathomline.plans import queries as Q
 from fathomline.sources import traces as T
 from fathomline.streaming import ingest as G
 
@@ -245,3 +247,19 @@ def test_empty_trace(spark, tiny):
     none = tiny.where("false")
     assert E.exact_dedup(O.assign_windows(none, 4)).count() == 0
     assert B.hash_partition(none, 4).count() == 0
+
+
+def test_index_ratios(spark, tiny):
+    hooks = spark.createDataFrame([("t", "a", "container", 0), ("t", "b", "container", 0), ("t", "a", "recipe", 0), ("t", "c", "recipe", 1), ("t", "d", "recipe", 1)], "trace string, chunk_id string, kind string, subset_id long")
+    assert [tuple(r) for r in H.index_stats(hooks, tiny).collect()] == [("t", 4, 5, 4, 16 / 3, 9 / 2)]
+    assert H.index_stats(hooks, tiny, tiny.where("version = 0")).first().container_ratio == 8 / 2
+    assert [tuple(r) for r in H.index_stats(hooks.where("false"), tiny).collect()] == [("t", 0, 0, None, 0.0, 0.0)]
+
+
+def test_all_versions_are_compared_and_ingested(spark, sf):
+    compared = Q.strategy_compare(spark, sf).collect()
+    assert sorted((r.strategy, r.version) for r in compared) == [(s, v) for s in ("fifo", "level", "sort", "sparse") for v in range(5)]
+    whole = M.version_report(N.near_exact_dedup(T.snapshot_trace(spark, sf), Q.CFG)[0])
+    cols = ["trace", "version", "total", "stored", "windows"]
+    ingested = [tuple(r) for r in Q.incremental_ingest(spark, sf).orderBy("version").collect()]
+    assert ingested == [tuple(r) for r in whole.select(cols).orderBy("version").collect()] and len(ingested) == 5
