@@ -16,6 +16,7 @@ gives no rows. Without any declared language nothing can be identified and every
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,18 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
         yield ((key * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
+@cache
+def _alphabetic() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def count_letters(text: str) -> int:
+    """Letters of the whole text."""
+    step = 1 << 20
+    return sum(int(_alphabetic()[np.frombuffer(text[at : at + step].encode("utf-32-le", "surrogatepass"), dtype="<u4")].sum()) for at in range(0, len(text), step))
+
+
 def fit_text_models(evidence: DataFrame, languages: list[str], fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Log-likelihood table, bucket by language."""
     known = evidence.where(F.col("declared").isin(languages))
@@ -106,7 +119,7 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
                     sums[i] += logs[grams].sum(0, dtype=np.float64)
                     seen += len(grams)
                 sums[i] *= min(seen, EVIDENCE) / max(seen, 1)
-                letters.append(sum(map(str.isalpha, t)) if seen < 100 else seen)
+                letters.append(count_letters(t))
             rest = [batch.column(c) for c in ("id", "key", "declared", "suffix", "host")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(letters, pa.int64()), _floats(sums), _floats(_posterior(sums))], names=["id", "key", "declared", "suffix", "host", "n_letters", "logs", "post"])
 

@@ -300,6 +300,20 @@ def test_language_evidence(spark, docs):
     assert language.identify(language.document_evidence(more.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["12 345, 6.7 " * 100, "\u3000\u2026\u20ac " * 100, "1" * 2_000_000])
+def test_long_texts_without_letters_are_rejected(spark, docs, text):
+    rows = [(9001, text, "de", "src1"), (9002, text + "ab\u00e9", "de", "src1")]
+    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.id: r for r in language.identify(language.document_evidence(more)).where("id > 9000").collect()}
+    assert got[9001].rejected and got[9001].language is None and got[9001].n_letters == 0
+    assert got[9002].n_letters == 3 and got[9002].language is not None
+
+
+def test_letters_are_counted_in_whole_texts(spark, sf, texts):
+    got = language.op3_language(spark, sf).collect()
+    assert all(r.n_letters == sum(map(str.isalpha, texts[r.doc_id] or "")) for r in got)
+
+
 def test_host_prior_decides_without_other_evidence(spark, docs):
     de = docs.where("lang = 'de'").limit(20).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit("").alias("suffix"), F.lit("de.host").alias("host"))
     en = docs.where("lang = 'en'").limit(20).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit("").alias("suffix"), F.lit("en.host").alias("host"))
