@@ -5,8 +5,9 @@ each language), the language that its markup declares, the suffix of its address
 that is smoothed towards their suffix's, and suffixes one that is smoothed towards the whole corpus's; both come from
 grouped sums of text posteriors over all records. How far a declaration can be trusted comes from the same sums.
 
-The trigram models are fitted on about ``fit_rows`` records with a declared language (chosen by hash); everything
-else covers all records and whole texts.
+The trigram models are fitted on about ``fit_rows`` records of each declared language (chosen by hash, all where it has
+fewer); everything else covers all records and whole texts. The ``ALWAYS`` most declared languages are taken, and every
+other one that at least ``MIN_DECLARED`` records declare; rarer ones count as an unknown declaration.
 
 A record is rejected if its text has no letter or no language reaches ``min_confidence``. Nulls: a null text has no
 letters; a null declaration, suffix or host is no evidence of its kind. Repeated rows are judged each. An empty table
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import free_name, materialize, table, text_or_empty, without
 
-FIT_ROWS, MAX_LANGUAGES, BUCKETS = 4_000, 64, 1 << 14
+FIT_ROWS, ALWAYS, MIN_DECLARED, BUCKETS = 4_000, 64, 20, 1 << 14
 #: Trigrams of one text count as this many independent ones at most; pseudo-counts of the host, suffix and declaration levels.
 EVIDENCE, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 60, 20.0, 50.0, 1.0
 SALTS = 16
@@ -64,11 +65,12 @@ def count_letters(text: str) -> int:
     return sum(int(_alphabetic()[np.frombuffer(text[at : at + step].encode("utf-32-le", "surrogatepass"), dtype="<u4")].sum()) for at in range(0, len(text), step))
 
 
-def fit_text_models(evidence: DataFrame, languages: list[str], fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Log-likelihood table, bucket by language."""
-    known = evidence.where(F.col("declared").isin(languages))
-    share = min(1.0, fit_rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def fit_text_models(evidence: DataFrame, declared: dict[str, int], fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Log-likelihood table, bucket by language; ``declared``: the languages in order, with their numbers of records."""
+    languages = list(declared)
+    limits = [(name, int(min(1.0, fit_rows / n) * (1 << 30)) + 1) for name, n in declared.items()]
+    known = evidence.join(F.broadcast(evidence.sparkSession.createDataFrame(limits, "declared string, hash_limit long")), "declared")
+    chosen = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("hash_limit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), dtype=np.int64)
@@ -82,8 +84,8 @@ def fit_text_models(evidence: DataFrame, languages: list[str], fit_rows: int = F
 
     counts = chosen.select(text_or_empty(F.col("text")).alias("text"), "declared").mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
     model = np.full((BUCKETS, len(languages)), 0.05)
-    for k, b, n in counts.collect():  # at most BUCKETS rows for each language
-        model[b, k] += n
+    k, b, n = (c.to_numpy() for c in counts.toArrow().columns)  # at most BUCKETS rows for each language
+    model[b, k] += n
     return np.log(model / model.sum(0)).astype(np.float32)
 
 
@@ -103,11 +105,13 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
     if "key" not in evidence.columns:
         evidence = evidence.withColumn("key", F.lit(0).cast("long"))
     evidence = evidence.withColumn("declared", F.lower(F.regexp_extract(F.trim(F.coalesce("declared", F.lit(""))), "^[A-Za-z]{2,3}", 0)))
-    tops = evidence.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
-    languages = sorted(r.declared for r in tops.collect())
+    counts = evidence.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).collect()  # codes of two or three letters
+    tops = sorted(((r.n, r.declared) for r in counts), key=lambda r: (-r[0], r[1]))
+    taken = {name: n for i, (n, name) in enumerate(tops) if i < ALWAYS or n >= MIN_DECLARED}
+    languages = sorted(taken)
     if not languages:
         return evidence.select("id", "key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
-    model = spark.sparkContext.broadcast(fit_text_models(evidence, languages, fit_rows))  # BUCKETS x languages
+    model = spark.sparkContext.broadcast(fit_text_models(evidence, {name: taken[name] for name in languages}, fit_rows))  # BUCKETS x languages
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
@@ -136,11 +140,11 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
     total /= total.sum()
 
     def smoothed(prefix: str, below: list, weight: float) -> list:
-        n = sum(F.col(f"{prefix}{i}") for i in k)
-        return [(F.col(f"{prefix}{i}") + weight * below[i]) / (n + weight) for i in k]
+        return [(F.col(f"{prefix}{i}") + weight * below[i]) / (F.col("n") + weight) for i in k]
 
-    by_suffix = suffixes.select("suffix", *[p.alias(f"q{i}") for i, p in enumerate(smoothed("s", [F.lit(float(v)) for v in total], SUFFIX_WEIGHT))])
-    prior = hosts.join(by_suffix, "suffix").select("suffix", "host", F.array(*smoothed("s", [F.col(f"q{i}") for i in k], HOST_WEIGHT)).alias("prior"))
+    number = F.aggregate(F.array(*[F.col(f"s{i}") for i in k]), F.lit(0.0), lambda a, b: a + b).alias("n")
+    by_suffix = suffixes.select("*", number).select("suffix", *[p.alias(f"q{i}") for i, p in enumerate(smoothed("s", [F.lit(float(v)) for v in total], SUFFIX_WEIGHT))])
+    prior = hosts.select("*", number).join(by_suffix, "suffix").select("suffix", "host", F.array(*smoothed("s", [F.col(f"q{i}") for i in k], HOST_WEIGHT)).alias("prior"))
     salted = prior.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))  # a host may hold a third of all records
 
     declared = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise("?")

@@ -314,6 +314,29 @@ def test_letters_are_counted_in_whole_texts(spark, sf, texts):
     assert all(r.n_letters == sum(map(str.isalpha, texts[r.doc_id] or "")) for r in got)
 
 
+def made_up(language, n):
+    """A text of words that only one language has."""
+    rng = np.random.default_rng([language, n])
+    return " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 4)) for rng in [np.random.default_rng([language, w]) for w in rng.integers(0, 40, 60)])
+
+
+def test_rare_languages_are_fitted(spark):
+    rows = [(k * 10_000 + i, made_up(k, i), name, "", "") for k, (name, n) in enumerate({"aa": 400, "bb": 400, "cc": 3, "dd": 3}.items()) for i in range(n)]
+    rows += [(-2, made_up(2, 99), None, "", ""), (-3, made_up(3, 99), None, "", "")]
+    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    got = {r.id: (r.language, r.rejected) for r in language.identify(evidence, fit_rows=20).where("id < 0").collect()}
+    assert got == {-2: ("cc", False), -3: ("dd", False)}
+
+
+def test_more_than_64_languages(spark):
+    names = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"]
+    rows = [(k * 100 + i, made_up(k, i), name, "", "") for k, name in enumerate(names) for i in range(25)]
+    rows += [(-1 - k, made_up(k, 99), None, "", "") for k in range(len(names))]
+    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    got = {r.id: (r.language, r.rejected) for r in language.identify(evidence).where("id < 0").collect()}
+    assert got == {-1 - k: (name, False) for k, name in enumerate(names)}
+
+
 def test_host_prior_decides_without_other_evidence(spark, docs):
     de = docs.where("lang = 'de'").limit(20).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit("").alias("suffix"), F.lit("de.host").alias("host"))
     en = docs.where("lang = 'en'").limit(20).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit("").alias("suffix"), F.lit("en.host").alias("host"))
