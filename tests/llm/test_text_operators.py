@@ -363,6 +363,31 @@ def test_licenses(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.where("false")).count() == 0
 
 
+def test_wrapped_notices_spdx_and_whole_texts(spark):
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY
+ */
+int main() {{}}"""
+    bsd = """Copyright (c) 2020, The Authors
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.
+
+"""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    rows = [(1, "a/a.c", gpl.format(3)), (2, "b/b.c", gpl.format(2)), (3, "c/c.c", "// SPDX-License-Identifier: MIT\ncode"), (4, "d/d.c", "# SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (5, "e/e.c", "# SPDX-License-Identifier: Zlib\ncode"), (6, "f/f.txt", bsd + third), (7, "g/g.txt", bsd)]
+    got = {r.file_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-2.0", 3: "MIT", 4: "GPL-3.0", 5: None, 6: "BSD-3-Clause", 7: "BSD-2-Clause"}
+
+
 def test_licenses_of_documents(spark, sf, docs):
     got = licenses.op4_licenses(spark, sf).join(docs.select("doc_id", "text"), "doc_id").collect()
     said = {"MIT": "Released under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "GPL-3.0": "General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0"}
