@@ -7,18 +7,23 @@ The automaton is written to one file of flat arrays, sent to the executors by Sp
 memory-mapped there. Words that it does not hold are merged exactly by rank. Ids equal those of the tokenizers
 library without added special tokens; decoding joins the tokens by one space, as the library does without a decoder.
 
+Texts of any length are encoded in blocks of about ``BLOCK_CHARS`` characters, cut after white space, and a worker
+remembers the ids of at most two generations of ``MEMO_CHUNKS`` chunks, so its memory does not grow with the data. Among
+equally frequent words at the edge of the bound the hash decides which are taken; that changes speed, never ids.
+
 Nulls: a null or empty text has no ids and decodes to an empty text. Repeated rows are kept. Other columns are ignored.
+An empty table gives an empty lexicon and no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
 import struct
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +38,8 @@ from fathomline.llm.common import materialize, table, text_or_empty
 from fathomline.llm.merges import MergeTable
 
 LEXICON_WORDS = 50_000
-MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH = 500_000, 48, 400_000
+MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH, BLOCK_CHARS = 60_000, 48, 150_000, 1 << 19
+_CUT = re.compile("[ \n\t]")
 #: Control characters that only Python counts as white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The characters of Unicode's White_Space property, for use inside a class.
@@ -60,11 +66,22 @@ class WordTokenizer:
         self.find_words = regex.compile(pattern).findall
         self.find_ascii = re.compile(pattern.replace(r"[\p{L}]", "[a-zA-Z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-zA-Z0-9")).findall
         self.white = regex.compile(f"[{_WHITE}]+")
+        self.divisible = not any(c.isspace() for content in self.specials for c in content)
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
 
     def words(self, chunk: str) -> list[str]:
         return (self.find_ascii if chunk.isascii() else self.find_words)(chunk)
 
+    def blocks(self, text: str) -> Iterator[str]:
+        """The text in blocks that are encoded alone: cut after a space, line break or tab, which no merge crosses."""
+        at = 0
+        while self.divisible and len(text) - at > BLOCK_CHARS:
+            end = at + BLOCK_CHARS
+            cut = max(text.rfind(c, at, end) for c in " \n\t") + 1 or next((m.end() for m in _CUT.finditer(text, end)), len(text))
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
     def pieces(self, text: str) -> list[tuple[str | None, list[str]]]:
         """Chunks between white space, in runs: each run ends with a special token or, the last, with None."""
         out, at = [], 0
@@ -142,11 +159,9 @@ class Lexicon:
         starts = np.concatenate([[0], np.cumsum([len(s) // dtype.itemsize for s in sequences])]).astype("<u4")
         return cls(keys, target, skip, accept, starts, np.frombuffer(b"".join(sequences), dtype=dtype).astype("<u4"))
 
-    def save(self, path: str) -> None:
-        with open(path, "wb") as f:
-            f.write(self._HEAD.pack(b"LEX1", len(self.keys), len(self.accept), len(self.ids)) + struct.pack("<Q", len(self.starts)))
-            for a in (self.keys, self.target, self.skip, self.starts, self.ids, self.accept):
-                f.write(a.tobytes())
+    def to_bytes(self) -> bytes:
+        head = self._HEAD.pack(b"LEX1", len(self.keys), len(self.accept), len(self.ids)) + struct.pack("<Q", len(self.starts))
+        return head + b"".join(a.tobytes() for a in (self.keys, self.target, self.skip, self.starts, self.ids, self.accept))
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -207,10 +222,11 @@ def word_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for _, chunks in tokenizer.pieces(text.as_py()):
-                    seen.update(chunks)
-                if len(seen) > COUNT_FLUSH:
-                    yield flush()
+                for block in tokenizer.blocks(text.as_py()):
+                    for _, chunks in tokenizer.pieces(block):
+                        seen.update(chunks)
+                    if len(seen) > COUNT_FLUSH:
+                        yield flush()
         yield flush()
 
     return docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -220,20 +236,28 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str | None = None, lexicon_wo
     """Compile the most frequent words and hand the file to Spark; returns the name by which executors find it."""
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
     counts = materialize(word_counts(docs, path), "word_counts")
-    level = F.floor(F.log2("n") * 16)
-    taken, least = 0, None
+    level, slot = F.floor(F.log2("n") * 16), F.pmod(F.xxhash64("word"), F.lit(1 << 30))
+    room, chosen = lexicon_words, F.lit(False)
     for at, n in counts.where("word <> ''").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
-        taken += n
-        if taken > lexicon_words:
+        if n > room:  # of the last level, the share that fits
+            chosen = chosen | (level > at) | ((level == at) & (slot < int(room / n * (1 << 30))))
             break
-        least = at
-    words = [] if least is None else sorted(r.word.encode() for r in counts.where("word <> ''").where(level >= least).select("word").collect())
+        room, chosen = room - n, level >= at
+    words = sorted({r.word.encode() for r in counts.where("word <> ''").where(chosen).select("word").collect()})
     merges = word_tokenizer(path).table
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    return _send(Lexicon.build(words, merges.encode(words), merges.dtype), docs.sparkSession)
+
+
+def _send(lexicon: Lexicon, spark: SparkSession) -> str:
+    """Hand the lexicon's file to Spark's file distribution; equal lexicons are one file."""
+    content = lexicon.to_bytes()
+    name = f"lexicon-{hashlib.sha256(content).hexdigest()[:32]}.bin"
     local = os.path.join(SparkFiles.getRootDirectory(), "build", name)  # the driver's folder for files that Spark hands out
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    Lexicon.build(words, merges.encode(words), merges.dtype).save(local)
-    docs.sparkSession.sparkContext.addFile(local)
+    if not os.path.exists(local):
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as f:
+            f.write(content)
+        spark.sparkContext.addFile(local)
     return name
 
 
@@ -246,7 +270,7 @@ class Encoder:
     """Whole texts to ids: chunks that this worker remembers, then the lexicon, then exact merging."""
 
     def __init__(self, tokenizer: WordTokenizer, lexicon: Lexicon):
-        self.tokenizer, self.lexicon, self.memo, self.flat = tokenizer, lexicon, {}, lexicon.ids.tobytes()
+        self.tokenizer, self.lexicon, self.memo, self.older = tokenizer, lexicon, {}, {}
 
     def _learn(self, chunks: list[str]) -> None:
         words = [self.tokenizer.words(c) for c in chunks]
@@ -255,64 +279,91 @@ class Encoder:
         index = self.lexicon.index(raw)
         unseen = np.flatnonzero(index < 0).tolist()
         at = np.flatnonzero(index >= 0)
-        starts, ends = (self.lexicon.starts[index[at] + k].astype(np.int64) * 4 for k in (0, 1))
-        known = {distinct[i]: self.flat[a:b] for i, a, b in zip(at.tolist(), starts.tolist(), ends.tolist(), strict=True)}
+        starts, ends = (self.lexicon.starts[index[at] + k].tolist() for k in (0, 1))
+        known = {distinct[i]: self.lexicon.ids[a:b].tobytes() for i, a, b in zip(at.tolist(), starts, ends, strict=True)}
         known.update(zip([distinct[i] for i in unseen], self.tokenizer.table.encode([raw[i] for i in unseen]), strict=True))
         self.memo.update((c, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for c, ws in zip(chunks, words, strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        memo, parts = self.memo, [self.tokenizer.pieces(t) for t in texts]
-        new = list(set().union(*(chunks for p in parts for _, chunks in p)).difference(memo))
-        self._learn(new)
-        out = []
-        for p in parts:
-            runs = [b"".join(map(memo.__getitem__, chunks)) + (b"" if special is None else struct.pack("<I", self.tokenizer.specials[special])) for special, chunks in p]
-            out.append(np.frombuffer(b"".join(runs), dtype="<u4"))
-        for k in new:
-            if len(k) > MEMO_CHARS:
-                del memo[k]
+    def _encode(self, blocks: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO_CHUNKS:  # chunks in use move from the older generation to the new one
+            self.memo, self.older = {}, self.memo
+        memo, older, parts = self.memo, self.older, [self.tokenizer.pieces(b) for b in blocks]
+        new = set().union(*(chunks for p in parts for _, chunks in p)).difference(memo)
+        memo.update([(c, older[c]) for c in new if c in older])
+        self._learn([c for c in new if c not in older])
+        out = [b"".join([b"".join(map(memo.__getitem__, chunks)) + (b"" if special is None else struct.pack("<I", self.tokenizer.specials[special])) for special, chunks in p]) for p in parts]
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                memo.pop(c, None)
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out, owners, held, size = [[] for _ in texts], [], [], 0
+        for i, text in enumerate(texts):
+            for block in self.tokenizer.blocks(text):
+                owners.append(i), held.append(block)
+                size += len(block)
+                if size >= BLOCK_CHARS:
+                    for k, ids in zip(owners, self._encode(held), strict=True):
+                        out[k].append(ids)
+                    owners, held, size = [], [], 0
+        for k, ids in zip(owners, self._encode(held), strict=True):
+            out[k].append(ids)
+        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in out]
+
+
+class Decoder:
+    """Ids to text; an id outside the vocabulary gives no token."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.tokens = np.array([tokenizer.tokens.get(i) for i in range(max(tokenizer.tokens) + 1)], dtype=object)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join([t for t in self.tokens[ids[(ids >= 0) & (ids < len(self.tokens))]] if t is not None])
+
+
+_ENCODED = "doc_id long, ids array<int>"
+
 
-def encode(docs: DataFrame, lexicon: str, tokenizer_path: str | None = None) -> DataFrame:
-    """``doc_id, ids`` of every row."""
+def encode(docs: DataFrame, lexicon: str, tokenizer_path: str | None = None, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` of every row; with ``decoded`` also the ``text`` that these ids decode to, by the same worker."""
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(word_tokenizer(path), _open_lexicon(lexicon))
+        tokenizer = word_tokenizer(path)
+        encoder, decoder = Encoder(tokenizer, _open_lexicon(lexicon)), Decoder(tokenizer) if decoded else None
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 ids = encoder.encode(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, dtype="<u4")]).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decoder:
+                    cols.append(pa.array([decoder.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "text"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, f"{_ENCODED}, text string" if decoded else _ENCODED)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """``doc_id, ids`` with the decoded ``text``; an id outside the vocabulary gives no token."""
+    """``doc_id, ids`` with the decoded ``text``."""
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_tokenizer(path).tokens
-        tokens = np.array([known.get(i) for i in range(max(known) + 1)], dtype=object)
+        decoder = Decoder(word_tokenizer(path))
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part, texts = batch.slice(at, 1000), []
-                for ids in part.column(1):
-                    own = ids.values.to_numpy() if ids.is_valid else np.zeros(0, dtype=np.int32)
-                    texts.append(" ".join([t for t in tokens[own[(own >= 0) & (own < len(tokens))]] if t is not None]))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = [decoder.decode(ids.values.to_numpy() if ids.is_valid else np.zeros(0, dtype=np.int32)) for ids in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.mapInArrow(run, f"{_ENCODED}, text string")
 
 
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    both = decode(encode(docs, build_lexicon(docs)))
+    both = encode(docs, build_lexicon(docs), decoded=True)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("text")).alias("decoded_sha256"))

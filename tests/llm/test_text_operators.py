@@ -239,10 +239,32 @@ def test_word_bpe_edges(spark, odd):
     assert lexicon.encode(empty, lexicon.build_lexicon(empty)).count() == 0
 
 
+def test_word_bpe_blocks_and_generations(monkeypatch):
+    monkeypatch.setattr(lexicon, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(lexicon, "MEMO_CHUNKS", 5)
+    path = default_tokenizer("word_bpe_49k.json")
+    library, tokenizer = Tokenizer.from_file(path), lexicon.WordTokenizer(path)
+    encoder = lexicon.Encoder(tokenizer, lexicon.Lexicon.build([], [], np.dtype("<u4")))
+    rng = np.random.default_rng(6)
+    letters = list("abc dé \u0301\u0308'sT ll ΣΑΣ re.,!?12½ß漢 \n\t<|endoftext|>_-\x1c\x85\xa0")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(300)] + ["", "x" * 500, " " * 300, "<|endoftext|> " * 30]
+    for at in range(0, len(texts), 7):
+        for text, ids in zip(texts[at : at + 7], encoder.encode(texts[at : at + 7]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.memo) + len(encoder.older) < 2000
+
+
+def test_lexicon_keeps_its_bound(spark):
+    docs = spark.createDataFrame([(i, "same w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))) for i in range(400)], "doc_id long, text string")
+    name = lexicon.build_lexicon(docs, lexicon_words=100)
+    n = len(lexicon._open_lexicon(name).starts) - 1
+    assert 60 <= n <= 140 and lexicon.build_lexicon(docs, lexicon_words=100) == name
+
+
 def test_automaton_is_minimal_and_exact(tmp_path):
     words = sorted(b"tap taps top tops stop stops".split())
     ids = [np.array([i, i + 10], "<u4").tobytes() for i in range(len(words))]
-    lexicon.Lexicon.build(words, ids, np.dtype("<u4")).save(str(tmp_path / "lex"))
+    (tmp_path / "lex").write_bytes(lexicon.Lexicon.build(words, ids, np.dtype("<u4")).to_bytes())
     lex = lexicon.Lexicon.open(str(tmp_path / "lex"))
     assert lex.index(words).tolist() == list(range(len(words)))
     assert lex.index([b"", b"ta", b"tapss", b"x"]).tolist() == [-1] * 4
