@@ -38,7 +38,7 @@ from fathomline.llm.common import materialize, table, text_or_empty
 from fathomline.llm.merges import MergeTable
 
 LEXICON_WORDS = 50_000
-MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH, BLOCK_CHARS = 60_000, 48, 150_000, 1 << 19
+MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH, BLOCK_CHARS = 200_000, 48, 150_000, 1 << 19
 _CUT = re.compile("[ \n\t]")
 #: Control characters that only Python counts as white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
