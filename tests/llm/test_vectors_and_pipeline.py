@@ -95,21 +95,49 @@ def test_top_k(spark, sf):
     assert answers(vafile.op10_top_k(spark, sf)) == brute_top(ids, np.floor(256 * x).astype(np.int64))
 
 
-def test_top_k_ties_blocks_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(vafile, "QUERIES_PER_ROUND", 3)
+def test_top_k_ties_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "QUERY_ROWS", 3)
     rng = np.random.default_rng(4)
     x = rng.integers(-3, 4, (400, 6)) / 2.0
     x[100:200] = x[50]  # a third are copies
     ints = vafile.scaled(spark.createDataFrame(rows_of(x), "vec_id long, embedding array<double>, label int"))
-    got = answers(vafile.top_k(ints, ints.where("vec_id % 50 = 0")))
+    got = answers(vafile.top_k(ints, ints.where("vec_id % 50 = 0"), block_rows=7))
     assert got == brute_top(np.arange(400), np.floor(256 * x).astype(np.int64))
-    blocks = vafile.build_blocks(ints, -384, 384, block_rows=7)
-    assert sum(len(r.ids) // 8 for r in blocks.collect()) == 400
+    blocks = vafile.build_blocks(ints.withColumn("n", F.lit(1)), block_rows=7)
+    assert sum(len(r.ids) // 16 for r in blocks.collect()) == 400
+
+
+def test_top_k_of_integers_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 5)) * 10.0 ** rng.integers(-2, 8, (300, 1))
+    x[7], x[50] = [2e6, 1.0, 0, 0, 0], [3e30, -1e30, 0, 1, 0]
+    rows = [[int(np.floor(256 * v)) for v in r] for r in x.tolist()]
+    want = {}
+    for q in range(0, 300, 50):
+        score = {j: sum(a * b for a, b in zip(rows[j], rows[q])) for j in range(300) if j != q}
+        want[q] = [(j, max(-(1 << 63), min((1 << 63) - 1, score[j]))) for j in sorted(score, key=lambda j: (-score[j], j))[:5]]
+    ints = vafile.scaled(spark.createDataFrame(rows_of(x), "vec_id long, embedding array<double>, label int"))
+    assert answers(vafile.top_k(ints, ints.where("vec_id % 50 = 0"), block_rows=40)) == want
+    assert any(abs(s) > 1 << 53 for r in want.values() for _, s in r)
+    two = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [2000000.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert answers(vafile.top_k(vafile.scaled(two), vafile.scaled(two).where("vec_id = 0"))) == {0: [(1, 256 * 512_000_000 + 512 * 256)]}
+
+
+def test_bounds_hold_and_exclude():
+    rng = np.random.default_rng(9)
+    ints = np.floor(rng.standard_normal((500, 16)) * 3000)
+    queries = np.floor(rng.standard_normal((20, 16)) * 3000)
+    low, high = ints.min(0), ints.max(0)
+    width = np.floor((high - low) / vafile.CELLS) + 1
+    down, up = vafile.bounds(np.floor((ints - low) / width).astype(np.uint8), low, width, queries)
+    score = ints @ queries.T
+    assert (down <= score).all() and (score <= up).all()
+    assert np.mean(up >= np.sort(down, axis=0)[-5]) < 0.1  # few vectors are left to read
 
 
 def test_top_k_edges(spark):
     rows = [(0, [0.5, -0.25], 1), (1, None, 1), (2, [1.0, None], 1), (3, [float("nan"), 1.0], 1), (4, [float("inf"), 1.0], 1), (5, [0.25, 0.25], 1), (5, [0.25, 0.25], 1), (None, [1.0, 1.0], 1), (50, [1.0, 2.0, 3.0], 1), (100, [], 1), (0, [0.5, -0.25], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("ints", "score", "rank")})
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("ints", "score", "rank", "n", "qid")})
     ints = vafile.scaled(df)
     assert answers(vafile.top_k(ints, ints.where("vec_id % 50 = 0"))) == {0: [(5, 4096), (5, 4096)]}
     none = ints.where("false")
