@@ -444,7 +444,7 @@ def test_repeated_unmarked_branches_go(spark):
 
 
 def test_page_roles():
-    kept = lambda s: sitetree.Page(s).kept(set(), "")
+    kept = lambda s: sitetree.Page(s).kept({})
     page = """<html><head><title>t</title></head><body class="with-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">Cookies</div><div class=content>
     <article><header><h1>T &amp; t</h1></header><p>One<p>Two <b>x</b>&nbsp;y<ul><li>a<li>b</ul><script>if (a<b) "</article>"</script><table><tr><td>c<td>d</table>
     <div class="reader-comments"><article><p>bad</p></article></div><form>f</form></article></div><aside>s</aside><!-- <p>no</p> --><footer>z</footer>"""
@@ -461,6 +461,53 @@ def test_entropy_decides_inside_articles(spark):
     assert got[3] == "Story 3\n\nWhat happened on day 3, and why 21 came of it in the end"
 
 
+def test_importance_decides_by_degree(spark):
+    """The same markup gives different texts on hosts where a branch repeats, rotates, or is new on each page; articles included."""
+    page = "<body><article><h1>Story {0}</h1><p class='notice'>{1}</p><p>What happened on day {0}, and why {2} came of it in the end</p></article><div class='x2'>{3}</div></body>"
+    said = {"same": lambda i: "Read our terms before you go on", "new": lambda i: f"Our own view of day {i} is number {i * 13}"}
+    rows = [(h * 1000 + i, f"https://{name}{outer}.example/{i}", page.format(i, said[name](i), i * 7, said[outer](i)))
+            for h, (name, outer) in enumerate([("same", "same"), ("new", "same"), ("same", "new"), ("new", "new")]) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in sitetree.extract_main_text(pages).collect()}
+    assert [len(got[h * 1000 + 5]) for h in range(4)] == [2, 3, 3, 4]
+    assert got[1005][1] == said["new"](5) and got[2005][2] == said["new"](5)
+
+
+def test_inline_adverts_go():
+    kept = lambda s: sitetree.Page(s).kept({})
+    assert kept("<article><p>One <span class='ad'>Buy <b>now</b></span> two</p><p>three</p></article>") == ["One two", "three"]
+    assert kept("<article><p>One</p><span class='sponsored'><div>Buy</div> now</span><p>two</p></article>") == ["One", "two"]
+    assert kept("<article><p>One <span class='added'>kept</span> <ins class='adsense'>x") == ["One kept"]
+    assert kept("<article><p class='comment'>Our view: yes</p><p>text</p><div class='comments'><p>no</p></div></article>") == ["Our view: yes", "text"]
+
+
+def test_small_hosts_are_judged_smoothly(spark):
+    page = "<html><body><div class='x1'>Call us now for the best offers</div><div class='x2'><p>What happened on day {0} &amp; why {1}</p></div></body></html>"
+    got = {}
+    for n in (1, 2, 3, 5, 9, 30):
+        pages = spark.createDataFrame([(i, f"https://n{n}.example/{i}", page.format(i, i * 7)) for i in range(n)], "page_id long, url string, html string")
+        low = {r.importance for r in sitetree.importance(sitetree.with_host(pages)).collect()}
+        got[n] = min(low)
+    assert got[1] == 1 and all(a > b for a, b in zip(got.values(), list(got.values())[1:])) and got[30] < 0.1
+
+
+def test_deep_pages_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert sitetree.Page("<div>" * n + "deep" + "</x></p>" * n).kept({}) == ["deep"]
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+    rows = [(i, f"https://deep.example/{i}", "<div>" * 70 + f"text {i}" + "</div>" * 70 + "<div class=x><div class=y>same</div></div>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in sitetree.extract_main_text(pages).collect()} == {f"text {i}" for i in range(30)}
+    sums = {r.node: r.importance for r in sitetree.importance(sitetree.with_host(pages)).collect()}
+    page = sitetree.Page(rows[3][2], "deep.example")
+    assert len(page.ids) == 73 and all(sums[i] > 0.5 for i in page.ids[1:71]) and sums[page.ids[72]] < 0.1
+
+
 def test_copied_articles_stay(spark):
     page = "<body><article><h1>Story {0}</h1><p>The same long text of a copied article on every page of this host</p></article></body>"
     pages = spark.createDataFrame([(i, f"https://copies.example/{i}", page.format(i)) for i in range(30)], "page_id long, url string, html string")
@@ -468,7 +515,7 @@ def test_copied_articles_stay(spark):
 
 
 def test_main_text_is_not_lost_to_teasers_forms_and_slugs():
-    kept = lambda s: sitetree.Page(s).kept(set(), "")
+    kept = lambda s: sitetree.Page(s).kept({})
     assert kept("<div><p>the main text</p></div><div class=related><article>teaser</article></div>") == ["the main text"]
     assert kept("<div><p>the main text</p></div><aside><article>teaser</article></aside>") == ["the main text"]
     assert kept("<form id=aspnetForm><nav>menu</nav><div><p>all of the page</p></div></form>") == ["all of the page"]
