@@ -12,7 +12,12 @@ from fathomline.functions.workers import workers_import_package
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fathomline-{os.getpid()}"
+    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/fathomline-{os.getpid()}"
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
@@ -22,3 +27,22 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     workers_import_package(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table that grows by one folder per epoch and is read as one: its plan does not grow with the epochs."""
+
+    def __init__(self, spark: SparkSession, schema: str, path: str | None = None):
+        self.spark, self.schema, self.path, self.empty = spark, schema, path or f"{shared_dir(spark)}/growing", True
+
+    def add(self, df: DataFrame, epoch: int) -> DataFrame:
+        """Write an epoch's rows (again, if it ran before) and read them back."""
+        names, path = [c.split()[0] for c in self.schema.split(", ")], f"{self.path}/epoch={epoch}"
+        df.select(names).write.mode("overwrite").parquet(path)
+        self.empty = False
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        if self.empty:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("epoch")

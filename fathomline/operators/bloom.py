@@ -1,12 +1,14 @@
 """Partitioned exact store with Bloom filters: routing, filters, probes and filter loads.
 
 Hashes wrap at 64 and 32 bits, which SQL arithmetic refuses, so they are numpy over whole columns. Each partition is
-a unit of work: more partitions, not larger ones, as the data grow.
+a unit of work: ``partitions_for`` gives more partitions, not larger ones, as the data grow, so that a partition holds
+about ``FILTERS`` filters.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,15 @@ FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 BLOOM_SEED, BLOOM_MUL, BLOOM_SHIFT = 0xBC9F1D34, 0xC6A4A793, 24
 
 
+FILTERS = 64
+
+
+def partitions_for(chunks: DataFrame, container_size: int) -> int:
+    """Hash partitions for the stored chunks of the largest trace."""
+    most = chunks.groupBy("trace").agg(F.countDistinct("chunk_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    return most // (container_size * FILTERS) + 1
+
+
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """Number of hashes and of bits for ``n`` ids at false-positive share ``p``."""
     k = int(-math.log(p) / math.log(2))
@@ -106,17 +117,19 @@ def bloom_probe(ids: DataFrame, bloom: DataFrame, n: int, p: float = 0.001) -> D
     k, m = bloom_size(n, p)
     workers_import_package(ids.sparkSession)
 
-    @pandas_udf("boolean")
-    def may_match(names: pd.Series, bits: pd.Series) -> pd.Series:
-        if not len(names):
-            return pd.Series([], dtype=bool)
-        flat = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1)
-        at = bloom_bits(names.to_numpy(), k, m)
-        rows = np.arange(len(names))[:, None]
-        return pd.Series((flat[rows, at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1))
+    def probe(key: tuple, asked: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        names, found = asked["chunk_id"].to_numpy(), [pd.DataFrame({"chunk_id": [], "bf_no": []})]
+        if len(asked) and len(filters):
+            at = bloom_bits(names, k, m)
+            for bf, raw in zip(filters["bf_no"], filters["bits"], strict=True):
+                flat = np.frombuffer(raw, dtype=np.uint8)
+                hit = (flat[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1)
+                found.append(pd.DataFrame({"chunk_id": names[hit], "bf_no": bf}))
+        out = pd.concat(found)
+        return out.assign(trace=key[0], part=key[1])[["trace", "part", "chunk_id", "bf_no"]].astype({"bf_no": "int64", "part": "int32"})
 
-    joined = ids.select("trace", "part", "chunk_id").distinct().join(bloom, ["trace", "part"])
-    return joined.where(may_match("chunk_id", "bits")).select("trace", "part", "chunk_id", "bf_no")
+    asked = ids.select("trace", "part", "chunk_id").distinct().groupBy("trace", "part")
+    return asked.cogroup(bloom.select("trace", "part", "bf_no", "bits").groupBy("trace", "part")).applyInPandas(probe, "trace string, part int, chunk_id string, bf_no long")
 
 
 def bloom_matches(store: DataFrame, n: int, p: float = 0.001) -> DataFrame:
@@ -162,23 +175,26 @@ def bloom_loads(chunks: DataFrame, store: DataFrame, n: int, cache: int = 1, p:
     if cache == 1:
         return hits.withColumn("load", ~F.col("bf_no").eqNullSafe(F.lag("bf_no").over(order)))
 
-    def lru(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["version", "pos", "bf_no"])
-        recent: dict[int, None] = {}
-        load = []
-        for bf in rows["bf_no"].tolist():
-            load.append(bf not in recent)
-            recent.pop(bf, None)
-            recent[bf] = None
-            if len(recent) > cache:
-                del recent[next(iter(recent))]
-        return rows.assign(load=load)
-
-    return hits.groupBy("trace", "part").applyInPandas(lru, "trace string, part int, version int, pos long, bf_no long, load boolean")
-
-
-def bloom_report(chunks: DataFrame, store: DataFrame, loads: DataFrame, n: int, p: float = 0.001) -> DataFrame:
-    """Per version and so far: stored chunks, kilobytes of filters (bits / 8, per filter in use), loads, rate."""
+    def lru(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, recent = None, {}
+        for rows in batches:
+            load = []
+            for at, bf in zip(zip(rows["trace"], rows["part"], strict=True), rows["bf_no"].tolist(), strict=True):
+                if at != here:
+                    here, recent = at, {}
+                load.append(bf not in recent)
+                recent.pop(bf, None)
+                recent[bf] = None
+                if len(recent) > cache:
+                    del recent[next(iter(recent))]
+            yield rows.assign(load=load)
+
+    ordered = hits.repartition("trace", "part").sortWithinPartitions("trace", "part", "version", "pos", "bf_no")  # streams; only the cache is held
+    return ordered.mapInPandas(lru, "trace string, part int, version int, pos long, bf_no long, load boolean")
+
+
+def bloom_report(chunks: DataFrame, store: DataFrame, loads: DataFrame, n: int, p: float = 0.001, partitions: int = 0, cache: int = 1) -> DataFrame:
+    """Partitions and cached filters; per version and so far: stored chunks, kilobytes of filters (bits / 8, per filter in use), loads, rate."""
     _, m = bloom_size(n, p)
     totals = chunks.groupBy("trace", "version").agg(F.count("*").alias("total"))
     new = store.groupBy("trace", "version").agg(F.count("*").alias("stored"), F.count_if(F.col("slot") == 0).alias("new_filters"))
@@ -189,7 +205,7 @@ def bloom_report(chunks: DataFrame, store: DataFrame, loads: DataFrame, n: int,
         per = per.withColumn(f"all_{c}", F.sum(c).over(so_far))
     size = (m + 7) // 8 / 8.0
     return per.select(
-        "trace", "version", "total", "stored", (F.col("new_filters") * size).alias("filter_size"), "loads", "all_total", "all_stored",
+        "trace", "version", F.lit(partitions).alias("partitions"), F.lit(cache).alias("bf_cache"), "total", "stored", (F.col("new_filters") * size).alias("filter_size"), "loads", "all_total", "all_stored",
         (F.col("all_new_filters") * size).alias("all_filter_size"), "all_loads",
         F.round(F.try_divide(F.col("total").cast("double"), F.col("stored").cast("double")), 6).alias("dedup_rate"),
         F.round(F.try_divide(F.col("all_total").cast("double"), F.col("all_stored").cast("double")), 6).alias("all_dedup_rate"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators.ordinals import block_ordinal
+from fathomline.functions.storage import stored
+from fathomline.operators.ordinals import block_ordinal, sums_before
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
@@ -15,10 +16,13 @@ def unique_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def exact_dedup(chunks: DataFrame) -> DataFrame:
-    """Add ``is_dup``: whether the id occurred before. A grouped minimum and a join, so hot ids are combined early."""
-    firsts = unique_chunks(chunks).select("trace", "chunk_id", F.col("version").alias("fv"), F.col("pos").alias("fp"))
-    joined = chunks.join(firsts, ["trace", "chunk_id"])
-    return joined.withColumn("is_dup", (F.col("version") != F.col("fv")) | (F.col("pos") != F.col("fp"))).drop("fv", "fp")
+    """Add ``is_dup``: whether the id occurred before. A grouped minimum and a join, so hot ids are combined early.
+
+    A chunk without an id equals no other one: it is always new.
+    """
+    firsts = unique_chunks(chunks.where("chunk_id is not null")).select("trace", "chunk_id", F.col("version").alias("fv"), F.col("pos").alias("fp"))
+    joined = chunks.join(firsts, ["trace", "chunk_id"], "left")
+    return joined.withColumn("is_dup", F.coalesce((F.col("version") != F.col("fv")) | (F.col("pos") != F.col("fp")), F.lit(False))).drop("fv", "fp")
 
 
 def pack_containers(new_rows: DataFrame, container_size: int, base_id: int = 0, base_ord: int = 0) -> DataFrame:
@@ -41,15 +45,18 @@ def pack_partitioned(new_rows: DataFrame, container_size: int) -> DataFrame:
 def seal_status(containers: DataFrame, seal_tail: bool = False) -> DataFrame:
     """``trace, container_id, sealed_seq``: the window that first searches a container, when one more chunk has come; null for the tail."""
     firsts = containers.groupBy("trace", "container_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    after = F.lead("first_seq").over(Window.partitionBy("trace").orderBy("container_id"))
-    return firsts.select("trace", "container_id", (F.coalesce(after, F.col("last_seq")) if seal_tail else after).alias("sealed_seq"))
+    after = firsts.select("trace", (F.col("container_id") - 1).alias("container_id"), F.col("first_seq").alias("after"))  # ids have no gaps
+    sealed = F.coalesce("after", "last_seq") if seal_tail else F.col("after")
+    return firsts.join(after, ["trace", "container_id"], "left").select("trace", "container_id", sealed.alias("sealed_seq"))
 
 
 def with_locations(windowed: DataFrame, container_size: int) -> DataFrame:
-    """Exact deduplication with the container of every chunk: adds ``is_dup, location``."""
-    flagged = exact_dedup(windowed)
-    homes = pack_containers(flagged.where(~F.col("is_dup")), container_size).select("trace", "chunk_id", F.col("container_id").alias("location"))
-    return flagged.join(homes, ["trace", "chunk_id"])
+    """Exact deduplication with the container of every chunk: adds ``is_dup, location``. The flagged rows are written once."""
+    flagged = stored(exact_dedup(windowed), "flagged")
+    packed = pack_containers(flagged.where(~F.col("is_dup")), container_size)
+    homes = packed.where("chunk_id is not null").select("trace", "chunk_id", F.col("container_id").alias("location"))
+    own = packed.where("chunk_id is null").select(*flagged.columns, F.col("container_id").alias("location"))
+    return flagged.where("chunk_id is not null").join(homes, ["trace", "chunk_id"]).select(*flagged.columns, "location").unionByName(own)
 
 
 def build_recipes(dedup_out: DataFrame, container_size: int, base_id: int = 0) -> DataFrame:
@@ -61,8 +68,7 @@ def build_recipes(dedup_out: DataFrame, container_size: int, base_id: int = 0) -
 def build_segment_recipes(segmented: DataFrame, base_id: int = 0) -> DataFrame:
     """One recipe per segment of a window (``seg``): adds ``recipe_id, slot``; whole segments are kept."""
     counts = segmented.groupBy("trace", "seq").agg((F.max("seg") + 1).alias("n"))
-    before = Window.partitionBy("trace").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("trace", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_recipe"))
+    offsets = sums_before(counts, ["trace"], ["seq"], "n", "first_recipe").drop("n")
     slot = F.row_number().over(Window.partitionBy("trace", "seq", "seg").orderBy("win_pos")) - 1
     return segmented.join(offsets, ["trace", "seq"]).withColumn("slot", slot).withColumn("recipe_id", F.col("first_recipe") + F.col("seg") + base_id).drop("first_recipe")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.near_exact import Config
+
 
 def _rate(total: str, stored: str):
     return F.round(F.try_divide(F.col(total).cast("double"), F.col(stored).cast("double")), 6)
@@ -22,6 +24,37 @@ def version_report(flagged: DataFrame, loads: DataFrame | None = None) -> DataFr
     return per.withColumn("dedup_rate", _rate("total", "stored")).withColumn("all_dedup_rate", _rate("all_total", "all_stored"))
 
 
+def hook_sums(hooks: DataFrame, versions: DataFrame, bound: int) -> DataFrame:
+    """``trace, version, all_recipe, all_cnr, index_size, stored_recipe_hooks``: hooks so far by what they point to, indexed ids, and recipe hooks of the last ``bound + 1`` versions."""
+    recipe = F.col("role").isin("recipe", "recipe_hook")
+    cnr = F.col("role").isin("container", "cnr_ptr", "cnr_hook")
+    made = hooks.groupBy("trace", "version").agg(F.count_if(recipe).alias("r"), F.count_if(cnr).alias("c"))
+    firsts = hooks.groupBy("trace", "chunk_id").agg(F.min("version").alias("version")).groupBy("trace", "version").agg(F.count("*").alias("f"))
+    per = versions.select("trace", "version").join(made, ["trace", "version"], "left").join(firsts, ["trace", "version"], "left").fillna(0)
+    so_far = Window.partitionBy("trace").orderBy("version")
+    total = lambda c, w: F.sum(c).over(w)
+    return per.select(
+        "trace", "version", total("r", so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("all_recipe"), total("c", so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("all_cnr"),
+        total("f", so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("index_size"), total("r", so_far.rangeBetween(-bound, 0)).alias("stored_recipe_hooks"))
+
+
+def engine_report(rows: DataFrame, loads: DataFrame, hooks: DataFrame, cfg: Config, engine: str = "near_exact") -> DataFrame:
+    """The whole report of a near-exact run: 22 columns, for a hybrid index 28, beside ``trace`` and ``version``. A sample ratio without hooks is 0."""
+    per = version_report(rows, loads)
+    per = per.join(hook_sums(hooks, per, cfg.version_bound), ["trace", "version"])
+    ratio = lambda n, d: F.coalesce(_rate(n, d), F.lit(0.0))
+    sizes = [F.lit(v).cast("int").alias(n) for n, v in (("cache_size", cfg.cache_size), ("container_size", cfg.container_size), ("window_size", cfg.window_size), ("io_cap", cfg.io_cap))]
+    if cfg.kind == "hybrid":
+        named = [F.lit(cfg.cap_adaptive).alias("cap_adaptive"), F.lit(float(cfg.hybrid_ratio)).alias("hybrid_recipe_ratio"), F.lit("uniform_for_cnr" if cfg.uniform else "random_for_cnr").alias("cnr_sampling"),
+                 "index_size", "stored_recipe_hooks", F.col("all_cnr").alias("cnr_hooks"), (F.col("stored_recipe_hooks") + F.col("all_cnr")).alias("stored_hooks")]
+    else:
+        named = [F.lit(cfg.policy).alias("policy")]
+    counts = ["windows", "cnr_loads", "recipe_loads", "loads", "total", "stored"]
+    return per.select(
+        "trace", "version", F.lit(engine).alias("engine"), *named, *sizes, *counts, *[f"all_{c}" for c in counts],
+        ratio("all_total", "all_recipe").alias("recipe_sample_ratio"), ratio("all_stored", "all_cnr").alias("cnr_sample_ratio"), "dedup_rate", "all_dedup_rate")
+
+
 def window_report(flagged: DataFrame) -> DataFrame:
     """``trace, version, seq, total, stored, rate`` of every window."""
     per = flagged.groupBy("trace", "version", "seq").agg(F.count("*").alias("total"), F.count_if(~F.col("is_dup")).alias("stored"))

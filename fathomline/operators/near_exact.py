@@ -1,18 +1,22 @@
 """Near-exact deduplication: each window is held against the few subsets that its hooks choose.
 
 The index is frozen for an epoch (a version, ``n`` windows or one window); all windows of an epoch run in parallel,
-and what it stored becomes searchable at its end. Between epochs the state is Parquet, never lineage.
+and what it stored becomes searchable at its end. Between epochs the state is Parquet, never lineage: members, hooks and
+loads are tables that grow by a folder per epoch, and of each trace a row of counters is kept (next ids and ordinals; and
+windows, loads and candidates so far, by which an adaptive cap goes on).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.ids import sampler
-from fathomline.functions.storage import stored
+from fathomline.functions.storage import Growing, stored
 from fathomline.operators import select as S
 from fathomline.operators.exact import build_recipes, build_segment_recipes, pack_containers, subset_meta
 from fathomline.operators.index import build_hooks, build_hybrid_hooks
@@ -46,42 +50,64 @@ class Config:
     intra: str = "none"  # or exact: repeats inside an epoch point at their first occurrence
 
 
+LOADS = "trace string, seq long, kind string, subset_id long, load_rank int, version int"
+
+
+@dataclass(frozen=True)
+class Counters:
+    """Of one trace: next container, recipe, stored ordinal and ingest ordinal; windows, loads and candidates so far."""
+
+    container: int = 0
+    recipe: int = 0
+    ord: int = 0
+    ingest: int = 0
+    windows: int = 0
+    loads: int = 0
+    candidates: int = 0
+
+
 @dataclass
 class State:
-    """What earlier epochs left: members of searchable subsets, hooks, and the next ids and ordinals."""
+    """What earlier epochs left: members of searchable subsets, hooks, loads (where nothing is flushed), and counters by trace."""
 
     members: DataFrame
     hooks: DataFrame
-    next_container: dict = field(default_factory=dict)
-    next_recipe: dict = field(default_factory=dict)
-    next_ord: dict = field(default_factory=dict)
-    next_ingest: dict = field(default_factory=dict)
-    loads: int = 0
+    loads: DataFrame
+    counters: dict[str, Counters] = field(default_factory=dict)
+
+
+@dataclass
+class Made:
+    """What an epoch made: its rows, its loads, new members and hooks, and the counters after it."""
+
+    rows: DataFrame
+    loads: DataFrame
+    members: DataFrame
+    hooks: DataFrame
+    counters: dict[str, Counters]
 
 
 def empty_state(spark: SparkSession) -> State:
-    return State(spark.createDataFrame([], MEMBERS), spark.createDataFrame([], HOOKS))
+    return State(*(spark.createDataFrame([], s) for s in (MEMBERS, HOOKS, LOADS)))
 
 
-def load_subsets(windowed: DataFrame, selected: DataFrame, members: DataFrame) -> DataFrame:
-    """``trace, seq, chunk_id, location``: ids of each window that its loads hold, at the first load's location.
+def places(windowed: DataFrame, selected: DataFrame, members: DataFrame) -> DataFrame:
+    """``trace, kind, subset_id, chunk_id, location`` of incoming ids in selected subsets: members are pruned twice before they are grouped."""
+    held = members.join(selected.select("trace", "kind", "subset_id").distinct(), ["trace", "kind", "subset_id"], "left_semi")
+    held = held.join(windowed.select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi")
+    return held.groupBy("trace", "kind", "subset_id", "chunk_id").agg(F.min("location").alias("location"))
 
-    Starts from the incoming ids, so that only real matches are made.
-    """
+
+def load_subsets(windowed: DataFrame, selected: DataFrame, members: DataFrame) -> DataFrame:
+    """``trace, seq, chunk_id, location``: ids of each window that its loads hold, at the first load's location."""
     ids = windowed.select("trace", "seq", "chunk_id").distinct()
-    places = members.groupBy("trace", "kind", "subset_id", "chunk_id").agg(F.min("location").alias("location"))
-    matches = ids.join(places, ["trace", "chunk_id"]).join(selected, ["trace", "seq", "kind", "subset_id"])
+    matches = ids.join(places(windowed, selected, members), ["trace", "chunk_id"]).join(selected, ["trace", "seq", "kind", "subset_id"])
     return matches.groupBy("trace", "seq", "chunk_id").agg(F.min_by("location", "load_rank").alias("location"))
 
 
 def load_without_flush(windowed: DataFrame, selected: DataFrame, members: DataFrame) -> DataFrame:
-    """As ``load_subsets`` for a cache that is never emptied: loads of earlier windows stay visible, the first location wins."""
-    places = members.groupBy("trace", "kind", "subset_id", "chunk_id").agg(F.min("location").alias("location"))
-    first = (
-        places.join(windowed.select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi")
-        .join(selected, ["trace", "kind", "subset_id"])
-        .groupBy("trace", "chunk_id").agg(F.min(F.struct("seq", "load_rank", "location")).alias("f"))
-    )
+    """As ``load_subsets`` for a cache that is never emptied: ``selected`` has the loads of earlier windows and epochs too, the first location wins."""
+    first = places(windowed, selected, members).join(selected, ["trace", "kind", "subset_id"]).groupBy("trace", "chunk_id").agg(F.min(F.struct("seq", "load_rank", "location")).alias("f"))
     ids = windowed.select("trace", "seq", "chunk_id").distinct().join(first, ["trace", "chunk_id"])
     return ids.where(F.col("f.seq") <= F.col("seq")).select("trace", "seq", "chunk_id", F.col("f.location").alias("location"))
 
@@ -91,19 +117,14 @@ def dedup_against(windowed: DataFrame, found: DataFrame) -> DataFrame:
     return windowed.join(found, ["trace", "seq", "chunk_id"], "left").withColumn("is_dup", F.col("location").isNotNull())
 
 
-def choose(windowed: DataFrame, hooks: DataFrame, meta: DataFrame, cfg: Config) -> DataFrame:
-    """``trace, seq, kind, subset_id, load_rank``: what each window loads."""
+def choose(windowed: DataFrame, state: State, meta: DataFrame | None, cfg: Config) -> DataFrame:
+    """``trace, seq, kind, subset_id, load_rank``: what each window loads; under an adaptive cap, all that it might."""
+    hooks = state.hooks
     if cfg.kind == "hybrid":
         ids = windowed.select("trace", "seq", "chunk_id").distinct()
-        pairs = ids.join(hooks.select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"])
+        pairs = stored(ids.join(hooks.select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"]), "role_pairs")
         selected = S.select_hybrid(pairs, cfg.io_cap, cfg.hybrid_ratio)
-        if not cfg.cap_adaptive:
-            return S.apply_io_cap(selected, cfg.io_cap)
-        selected = stored(selected, "selected")
-        n_candidates = pairs.where("role = 'cnr_ptr'").groupBy("trace", "seq").agg(F.countDistinct("subset_id").alias("n_candidates"))
-        per = windowed.select("trace", "seq").distinct().join(selected.groupBy("trace", "seq").agg(F.count("*").alias("n_selected")), ["trace", "seq"], "left").join(n_candidates, ["trace", "seq"], "left").fillna(0)
-        caps = S.adaptive_io_cap(per, cfg.io_cap, cfg.cache_size).select("trace", "seq", "cap")
-        return selected.join(caps, ["trace", "seq"]).where(F.col("load_rank") <= F.greatest("cap", F.lit(1))).drop("cap")
+        return stored(selected, "selected") if cfg.cap_adaptive else S.apply_io_cap(selected, cfg.io_cap)
     pairs = S.hook_pairs(S.hook_hits(windowed, hooks), hooks)
     if cfg.policy == "sparse":
         return S.select_sparse(pairs, cfg.io_cap)
@@ -119,32 +140,52 @@ def choose(windowed: DataFrame, hooks: DataFrame, meta: DataFrame, cfg: Config)
     raise ValueError(f"unknown policy: {cfg.policy}")
 
 
-def _at(bases: dict, trace_col: str = "trace"):
-    """The base of each trace, as an expression; one entry per trace."""
-    out = F.lit(0).cast("bigint")
-    for name, n in bases.items():
-        out = F.when(F.col(trace_col) == name, F.lit(n).cast("bigint")).otherwise(out)
-    return out
+def _counted(df: DataFrame, counters: dict[str, Counters], *names: str) -> DataFrame:
+    """Add counters of each row's trace as ``<name>__``; one row per trace is sent."""
+    rows = [(t, *(getattr(c, n) for n in names)) for t, c in counters.items()]
+    table = df.sparkSession.createDataFrame(rows, "trace string, " + ", ".join(f"{n}__ long" for n in names))
+    joined = df.join(F.broadcast(table), "trace", "left")
+    return joined.withColumns({f"{n}__": F.coalesce(f"{n}__", F.lit(0).cast("long")) for n in names})
 
 
-def run_epoch(windowed: DataFrame, state: State, cfg: Config) -> tuple[DataFrame, DataFrame, State]:
-    """Deduplicate one epoch; returns its rows with ``is_dup, location``, its loads and the state after it."""
-    meta = subset_meta(state.members.where(F.col("kind") != ""), "container", "subset_id") if cfg.kind != "hybrid" else None
+def _cap(windowed: DataFrame, selected: DataFrame, state: State, cfg: Config) -> tuple[DataFrame, dict[str, tuple]]:
+    """Loads under the adaptive cap, and by trace the windows, loads and candidates of this epoch."""
+    ids = windowed.select("trace", "seq", "chunk_id").distinct()
+    pointers = ids.join(state.hooks.where("role = 'cnr_ptr'").select("trace", "chunk_id", "subset_id"), ["trace", "chunk_id"])
+    n_candidates = pointers.groupBy("trace", "seq").agg(F.countDistinct("subset_id").alias("n_candidates"))
+    n_selected = selected.groupBy("trace", "seq").agg(F.count("*").alias("n_selected"))
+    per = windowed.select("trace", "seq").distinct().join(n_selected, ["trace", "seq"], "left").join(n_candidates, ["trace", "seq"], "left").fillna(0)
+    per = stored(per, "per_window")
+    caps = stored(S.adaptive_io_cap(per, cfg.io_cap, cfg.cache_size, {t: (c.windows, c.loads, c.candidates) for t, c in state.counters.items()}), "caps")
+    sums = per.join(caps, ["trace", "seq"]).groupBy("trace").agg(F.count("*"), F.sum("loads"), F.sum("n_candidates")).collect()  # one row per trace
+    chosen = selected.join(caps.select("trace", "seq", "cap"), ["trace", "seq"]).where(F.col("load_rank") <= F.greatest("cap", F.lit(1))).drop("cap")
+    return chosen, {r[0]: tuple(r)[1:] for r in sums}
+
+
+def run_epoch(windowed: DataFrame, state: State, cfg: Config, keep_loads: Callable[[DataFrame], DataFrame] = stored) -> Made:
+    """Deduplicate one epoch; its rows have ``is_dup, location, ord``. ``keep_loads`` writes the loads and returns what it wrote."""
+    meta = subset_meta(state.members, "container", "subset_id") if cfg.policy == "level" and cfg.kind != "hybrid" else None
     if meta is not None and cfg.kind == "recipe":
         meta = meta.withColumn("kind", F.lit("recipe"))
-    selected = stored(choose(windowed, state.hooks, meta, cfg), "selected")
-    load = load_subsets if cfg.flush else load_without_flush
-    flagged = dedup_against(windowed, load(windowed, selected, state.members))
+    selected, spent = choose(windowed, state, meta, cfg), {}
+    if cfg.kind == "hybrid" and cfg.cap_adaptive:
+        selected, spent = _cap(windowed, selected, state, cfg)
+    version_of = windowed.select("trace", "version", "seq").distinct()
+    loads = keep_loads(selected.join(version_of, ["trace", "seq"]).select("trace", "seq", "kind", "subset_id", "load_rank", "version"))
+    if cfg.flush:
+        found = load_subsets(windowed, loads.drop("version"), state.members)
+    else:
+        found = load_without_flush(windowed, state.loads.unionByName(loads).drop("version"), state.members)
+    flagged = dedup_against(windowed, found)
     if cfg.intra == "exact":
         new = flagged.where(~F.col("is_dup")).groupBy("trace", "chunk_id").agg(F.min(F.struct("seq", "win_pos")).alias("f"))
-        flagged = flagged.join(new, ["trace", "chunk_id"], "left").withColumn("again", ~F.col("is_dup") & (F.struct("seq", "win_pos") > F.col("f"))).drop("f")
+        flagged = flagged.join(new, ["trace", "chunk_id"], "left").withColumn("again", F.coalesce(~F.col("is_dup") & (F.struct("seq", "win_pos") > F.col("f")), F.lit(False))).drop("f")
     else:
         flagged = flagged.withColumn("again", F.lit(False))
     flagged = stored(flagged, "flagged")
     fresh = flagged.where(~F.col("is_dup") & ~F.col("again")).drop("location")
-    packed = pack_containers(fresh, cfg.container_size)
-    packed = packed.withColumn("container_id", F.col("container_id") + _at(state.next_container)).withColumn("ord", F.col("ord") + _at(state.next_ord))
-    packed = stored(packed, "packed")
+    packed = _counted(pack_containers(fresh, cfg.container_size), state.counters, "container", "ord")
+    packed = stored(packed.withColumn("container_id", F.col("container_id") + F.col("container__")).withColumn("ord", F.col("ord") + F.col("ord__")).drop("container__", "ord__"), "packed")
     old = flagged.where(F.col("is_dup")).select(*windowed.columns, "is_dup", "location").withColumn("ord", F.lit(None).cast("bigint"))
     new = packed.select(*windowed.columns, "is_dup", F.col("container_id").alias("location"), "ord")
     out = old.unionByName(new)
@@ -152,7 +193,8 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config) -> tuple[DataFrame
         home = packed.groupBy("trace", "chunk_id").agg(F.min("container_id").alias("location"))
         again = flagged.where("again").drop("location").join(home, ["trace", "chunk_id"])
         out = out.unionByName(again.select(*windowed.columns, F.lit(True).alias("is_dup"), "location", F.lit(None).cast("bigint").alias("ord")))
-    out = stored(out, "dedup_out")
+    if cfg.kind != "container":
+        out = stored(out, "dedup_out")
 
     def member(rows: DataFrame, kind: str, col: str, location: str) -> DataFrame:
         return rows.select("trace", F.lit(kind).alias("kind"), F.col(col).cast("long").alias("subset_id"), "chunk_id", F.col(location).cast("long").alias("location"), F.col("seq").cast("long").alias("seq"), F.col("version").cast("int").alias("version"))
@@ -160,37 +202,43 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config) -> tuple[DataFrame
     def hook(rows: DataFrame, kind: str) -> DataFrame:
         return rows.select("trace", "chunk_id", F.lit(kind).alias("kind"), F.lit(kind).alias("role"), F.col("subset_id").cast("long").alias("subset_id"), F.col("ord").cast("long").alias("ord"), F.col("version").cast("int").alias("version"))
 
-    parts, n_recipes = [], {}
-    if cfg.kind in ("container", "hybrid"):
-        parts.append(member(packed, "container", "container_id", "container_id"))
+    recipes = None
     if cfg.kind == "recipe":
-        recipes = build_recipes(out, cfg.container_size)
-        recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + _at(state.next_recipe)).withColumn("gpos", F.col("gpos") + _at(state.next_ingest)), "recipes")
-        parts.append(member(recipes, "recipe", "recipe_id", "location"))
+        recipes = _counted(build_recipes(out, cfg.container_size), state.counters, "recipe", "ingest")
+        recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + F.col("recipe__")).withColumn("gpos", F.col("gpos") + F.col("ingest__")).drop("recipe__", "ingest__"), "recipes")
+        members = member(recipes, "recipe", "recipe_id", "location")
         hooks = hook(build_hooks(recipes, sampler(cfg.method, F.col("chunk_id"), F.col("gpos"), cfg.ratio), "recipe_id", "gpos"), "recipe")
     elif cfg.kind == "hybrid":
         cut = segment_content(out, cfg.segmenting_bits) if cfg.segmenting_bits else segment_fixed(out, cfg.segment_size)
-        recipes = build_segment_recipes(cut)
-        recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + _at(state.next_recipe)), "recipes")
-        parts.append(member(recipes, "recipe", "recipe_id", "location"))
+        recipes = _counted(build_segment_recipes(cut), state.counters, "recipe")
+        recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + F.col("recipe__")).drop("recipe__"), "recipes")
+        members = member(packed, "container", "container_id", "container_id").unionByName(member(recipes, "recipe", "recipe_id", "location"))
         roles = build_hybrid_hooks(recipes, *cfg.hook_bits, cfg.uniform, *cfg.feature_bits, cfg.ratio)
         hooks = roles.select("trace", "chunk_id", F.when(F.col("role").startswith("recipe"), "recipe").otherwise("container").alias("kind"), "role", F.col("subset_id").cast("long").alias("subset_id"), F.lit(0).cast("long").alias("ord"), F.col("version").cast("int").alias("version"))
     else:
+        members = member(packed, "container", "container_id", "container_id")
         hooks = hook(build_hooks(packed, sampler(cfg.method, F.col("chunk_id"), F.col("ord"), cfg.ratio), "container_id", "ord"), "container")
-    if cfg.kind in ("recipe", "hybrid"):
-        n_recipes = {r[0]: r[1] + 1 for r in recipes.groupBy("trace").agg(F.max("recipe_id")).collect()}
-    after = {r.trace: r for r in packed.groupBy("trace").agg(F.max("container_id").alias("c"), F.max("ord").alias("o")).collect()}
-    seen = {r[0]: r[1] for r in windowed.groupBy("trace").count().collect()}
-    made = parts[0]
-    for p in parts[1:]:
-        made = made.unionByName(p)
-    state = State(  # only what the epoch made is written
-        state.members.unionByName(stored(made, "members")), state.hooks.unionByName(stored(hooks, "hooks")),
-        state.next_container | {t: r.c + 1 for t, r in after.items()}, state.next_recipe | n_recipes,
-        state.next_ord | {t: r.o + 1 for t, r in after.items()}, {t: state.next_ingest.get(t, 0) + seen.get(t, 0) for t in {*state.next_ingest, *seen}},
-    )
-    version_of = windowed.select("trace", "version", "seq").distinct()
-    return out, selected.join(version_of, ["trace", "seq"]), state
+    return Made(out, loads, members, hooks, _counters_after(windowed, packed, recipes, state.counters, spent))
+
+
+def _counters_after(windowed: DataFrame, packed: DataFrame, recipes: DataFrame | None, before: dict[str, Counters], spent: dict[str, tuple]) -> dict[str, Counters]:
+    after = dict(before)
+
+    def note(rows: DataFrame, **columns) -> None:
+        for r in rows.groupBy("trace").agg(*[c.alias(n) for n, c in columns.items()]).collect():  # one row per trace
+            after[r.trace] = replace(after.get(r.trace, Counters()), **{n: r[n] for n in columns})
+
+    note(packed, container=F.max("container_id") + 1, ord=F.max("ord") + 1)
+    if recipes is not None:
+        note(recipes, recipe=F.max("recipe_id") + 1)
+    for r in windowed.groupBy("trace").count().collect():  # one row per trace
+        c = after.get(r[0], Counters())
+        windows, loads, candidates = spent.get(r[0], (0, 0, 0))
+        after[r[0]] = replace(c, ingest=c.ingest + r[1], windows=c.windows + windows, loads=c.loads + loads, candidates=c.candidates + candidates)
+    return after
+
+
+ROWS = "trace string, version int, pos long, chunk_id string, win long, win_pos int, seq long, is_dup boolean, location long, ord long"
 
 
 def near_exact_dedup(chunks: DataFrame, cfg: Config, epoch: str | int = "version") -> tuple[DataFrame, DataFrame, State]:
@@ -198,14 +246,17 @@ def near_exact_dedup(chunks: DataFrame, cfg: Config, epoch: str | int = "version
 
     ``epoch``: ``version``, ``window``, or a number of windows (which then runs over ``seq``, across versions).
     """
+    spark = chunks.sparkSession
     windowed = stored(assign_windows(chunks, cfg.window_size), "windowed")
     key = F.col("version") if epoch == "version" else F.floor((F.col("seq") - 1) / (1 if epoch == "window" else int(epoch)))
-    state, rows, loads = empty_state(chunks.sparkSession), None, None
+    members, hooks, loads, rows = (Growing(spark, s) for s in (MEMBERS, HOOKS, LOADS, ROWS))
+    state = empty_state(spark)
     for (number,) in sorted(tuple(r) for r in windowed.select(key.alias("e")).distinct().collect()):  # one row per epoch
         if cfg.kind == "hybrid" and epoch == "version":
-            bounded = state.hooks.where(~F.col("role").startswith("recipe") | (F.col("version") >= number - cfg.version_bound))
-            state = State(state.members, bounded, state.next_container, state.next_recipe, state.next_ord, state.next_ingest)
-        out, io, state = run_epoch(windowed.where(key == number), state, cfg)
-        rows = out if rows is None else rows.unionByName(out)
-        loads = io if loads is None else loads.unionByName(io)
-    return rows, loads, state
+            state.hooks = state.hooks.where(~F.col("role").startswith("recipe") | (F.col("version") >= number - cfg.version_bound))
+        made = run_epoch(windowed.where(key == number), state, cfg, lambda df, n=number: loads.add(df, n))
+        parts = [(members, made.members), (hooks, made.hooks), (rows, made.rows.withColumn("location", F.col("location").cast("long")))]
+        with ThreadPoolExecutor(len(parts)) as pool:  # three writes that do not wait for one another
+            list(pool.map(lambda p, n=number: p[0].add(p[1], n), parts))
+        state = State(members.read(), hooks.read(), loads.read(), made.counters)
+    return rows.read(), loads.read(), state

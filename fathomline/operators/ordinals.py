@@ -1,7 +1,8 @@
 """Global ordinals without a global sort, windows and segments.
 
-Ordinals are prefix sums on two levels: rows are counted by block, the small table of blocks gets running sums, and
-rows are numbered inside their block only. No task ever holds more than a block.
+Ordinals are prefix sums on three levels: rows are counted by block, blocks by runs of ``SPAN`` blocks, and only the
+runs get a running sum over the whole key. Blocks are then summed inside their run and rows numbered inside their
+block, so no task holds more than a block, a run of block counts, or one row per ``SPAN`` blocks.
 """
 
 from __future__ import annotations
@@ -11,14 +12,26 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.ids import content_boundary, pattern_boundary
 
+SPAN = 1024
+
+
+def sums_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the same ``keys`` before this one in ``order``, whose last column is a number."""
+    run = F.floor(F.col(order[-1]) / SPAN).cast("bigint").alias("run__")
+    first = [*keys, *order[:-1], "run__"]
+    marked = df.withColumn("run__", run)
+    before = Window.partitionBy(*keys).orderBy(*order[:-1], "run__").rowsBetween(Window.unboundedPreceding, -1)
+    runs = marked.groupBy(*first).agg(F.sum(value).alias("v__")).withColumn("base__", F.coalesce(F.sum("v__").over(before), F.lit(0))).drop("v__")
+    inside = Window.partitionBy(*first).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    return marked.join(runs, first).withColumn(name, F.col("base__") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("run__", "base__")
+
 
 def block_ordinal(df: DataFrame, keys: list[str], block: list[str], order: list[str], name: str) -> DataFrame:
-    """Add the 0-based rank of each row within ``keys``, ordered by ``block`` and then ``order``."""
+    """Add the 0-based rank of each row within ``keys``, ordered by ``block`` (its last column a number) and then ``order``."""
     counts = df.groupBy(*keys, *block).agg(F.count("*").alias("n__"))
-    before = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("base__", F.coalesce(F.sum("n__").over(before), F.lit(0))).drop("n__")
+    offsets = sums_before(counts, keys, block, "n__", "first__").drop("n__")
     inside = Window.partitionBy(*keys, *block).orderBy(*order)
-    return df.join(offsets, [*keys, *block]).withColumn(name, F.col("base__") + F.row_number().over(inside) - 1).drop("base__")
+    return df.join(offsets, [*keys, *block]).withColumn(name, F.col("first__") + F.row_number().over(inside) - 1).drop("first__")
 
 
 def version_bases(chunks: DataFrame, window_size: int, usable: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ hooks at a time, at most one window of rows; everything else is joins, aggregate
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -181,22 +182,29 @@ def select_hybrid_dense(role_pairs: DataFrame, meta: DataFrame, io_cap: int, n_r
     return apply_io_cap(sized.select("trace", "seq", "chunk_id", "role", "subset_id", "chunk_num").groupBy("trace", "seq").applyInPandas(pick, SELECTED), io_cap)
 
 
-def adaptive_io_cap(per_window: DataFrame, io_cap: int, cache_size: int) -> DataFrame:
+def adaptive_io_cap(per_window: DataFrame, io_cap: int, cache_size: int, before: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """``trace, seq, cap, loads`` from ``trace, seq, n_selected, n_candidates``.
 
     The cap holds if no more are selected, or if the window has fewer candidate containers than the windows so far on
-    average; otherwise the loads saved so far may be spent. The credit is a recurrence over one row per window.
+    average; otherwise the loads saved so far may be spent. ``before``: by trace, the windows, loads and candidates of
+    earlier epochs. The credit is a recurrence over one row per window, so a trace's windows run through one task in
+    order; they stream, and only the three running numbers are held.
     """
-    mean = F.avg("n_candidates").over(Window.partitionBy("trace").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        spent, caps, loads = 0, [], []
-        for i, (selected, candidates, average) in enumerate(zip(rows["n_selected"], rows["n_candidates"], rows["mean"], strict=True), 1):
-            cap = io_cap if selected <= io_cap or candidates < average else min(cache_size, i * io_cap - spent)
-            loads.append(min(selected, max(cap, 1)))
-            spent += loads[-1]
-            caps.append(cap)
-        return pd.DataFrame({"trace": rows["trace"], "seq": rows["seq"], "cap": caps, "loads": loads})
-
-    return per_window.withColumn("mean", mean).groupBy("trace").applyInPandas(walk, "trace string, seq long, cap long, loads long")
+    earlier = before or {}
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trace, i, spent, met = None, 0, 0, 0
+        for rows in batches:
+            caps, loads = [], []
+            for name, selected, candidates in zip(rows["trace"], rows["n_selected"], rows["n_candidates"], strict=True):
+                if name != trace:
+                    trace, (i, spent, met) = name, earlier.get(name, (0, 0, 0))
+                i, met = i + 1, met + candidates
+                cap = io_cap if selected <= io_cap or candidates * i < met else min(cache_size, i * io_cap - spent)
+                loads.append(min(selected, max(cap, 1)))
+                spent += loads[-1]
+                caps.append(cap)
+            yield pd.DataFrame({"trace": rows["trace"], "seq": rows["seq"], "cap": caps, "loads": loads}).astype({"cap": "int64", "loads": "int64"})
+
+    ordered = per_window.select("trace", "seq", "n_selected", "n_candidates").repartition("trace").sortWithinPartitions("trace", "seq")
+    return ordered.mapInPandas(walk, "trace string, seq long, cap long, loads long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from fathomline.streaming import ingest as G
 
 W = 256
 CFG = N.Config(window_size=W, container_size=W, policy="sort", segment_size=64, hook_bits=(3, 3), feature_bits=(3, 0))
-PARTS, LAST = 8, 4
+LAST, BATCHES = 4, 4
 
 
 def windowed(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +77,17 @@ def role_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(earlier(hybrid_hook_table(spark, d)).select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"])
 
 
+def all_windowed(spark: SparkSession, d: str) -> DataFrame:
+    """All traces with their windows; the trace is written once, and everything else reads it."""
+    return O.assign_windows(stored(T.all_traces(spark, d), "traces"), W)
+
+
 def version_dedup_report(spark, d):
-    return M.version_report(E.exact_dedup(O.assign_windows(T.all_traces(spark, d), W)))
+    return M.version_report(E.exact_dedup(all_windowed(spark, d)))
 
 
 def window_dedup_report(spark, d):
-    return M.window_report(E.exact_dedup(O.assign_windows(T.all_traces(spark, d), W)))
+    return M.window_report(E.exact_dedup(all_windowed(spark, d)))
 
 
 def unique_chunks(spark, d):
@@ -157,12 +164,24 @@ def hook_index(spark, d):
     return container_hooks(spark, d)
 
 
+def sample_features(spark, d):
+    """Both kinds of container features of hybrid indexes: by ordinal, and uniform by id bits."""
+    rows = packed(spark, d)
+    feature = lambda uniform: I.is_feature(F.col("chunk_id"), F.col("ord"), uniform, 4, 3, 8)
+    return rows.select("trace", "chunk_id", "ord", feature(False).alias("by_position"), feature(True).alias("uniform")).where("by_position or uniform")
+
+
+def hook_hits_distinct(spark, d):
+    ids = last_version(spark, d).select("trace", "seq", "chunk_id").distinct()
+    return ids.join(earlier(hybrid_hook_table(spark, d)).select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi").select("trace", "seq", "chunk_id")
+
+
 def hook_lookup(spark, d):
     return H.lookup_hooks(last_version(spark, d), earlier(container_hooks(spark, d))).select("trace", "chunk_id", "subset_id", "ord")
 
 
 def hook_stats(spark, d):
-    return H.index_stats(container_hooks(spark, d), T.snapshot_trace(spark, d)).select("trace", "fingerprints", "pointers", "sample_ratio")  # the columns of its SQL
+    return H.index_stats(container_hooks(spark, d), T.snapshot_trace(spark, d))
 
 
 def hooks_version_bound(spark, d):
@@ -182,7 +201,9 @@ def hook_hits(spark, d):
 
 
 def hit_counts(spark, d):
-    return M.hit_counts(windowed(spark, d), earlier(container_hooks(spark, d)), E.exact_dedup(windowed(spark, d)))
+    flagged = stored(E.exact_dedup(windowed(spark, d)), "flagged")
+    hooks = H.build_hooks(E.pack_containers(flagged.where(~F.col("is_dup")), W), I.sample_position(F.col("ord"), 8), "container_id", "ord")
+    return M.hit_counts(flagged, earlier(hooks), flagged)
 
 
 def candidate_scores(spark, d):
@@ -233,9 +254,17 @@ def adaptive_cap(spark, d):
 
 
 def _step(spark, d, load) -> DataFrame:
-    last, held = stored(last_version(spark, d), "last"), members(spark, d)
-    selected = stored(select_sort(spark, d), "selected")
-    return N.dedup_against(last, load(last, selected, held)).select("trace", "version", "pos", "seq", "chunk_id", "is_dup", "location")
+    """The last version against exact containers of the earlier ones."""
+    rows = stored(windowed(spark, d), "windowed")
+    last = rows.where(F.col("version") == LAST)
+    new = stored(E.pack_containers(E.exact_dedup(rows).where(~F.col("is_dup")), W), "packed").where(F.col("version") < LAST)
+    hooks = stored(H.build_hooks(new, I.sample_position(F.col("ord"), 8), "container_id", "ord"), "hooks")
+    selected = stored(C.select_sort(C.candidate_scores(C.hook_pairs(C.hook_hits(last, hooks), hooks)), 4), "selected")
+    return N.dedup_against(last, load(last, selected, _held(new))).select("trace", "version", "pos", "seq", "chunk_id", "is_dup", "location")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    return rows.select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"), "seq", "version")
 
 
 def dedup_step_sort(spark, d):
@@ -247,16 +276,19 @@ def dedup_step_no_flush(spark, d):
 
 
 def _near(spark, d, **change) -> DataFrame:
-    from dataclasses import replace
-
-    rows, loads, _ = N.near_exact_dedup(T.snapshot_trace(spark, d), replace(CFG, **change))
-    return M.version_report(rows, loads)
+    cfg = replace(CFG, **change)
+    rows, loads, state = N.near_exact_dedup(T.snapshot_trace(spark, d), cfg)
+    return M.engine_report(rows, loads, state.hooks, cfg, "hybrid" if cfg.kind == "hybrid" else "near_exact")
 
 
 def near_exact_report(spark, d):
     return _near(spark, d, io_cap=4)
 
 
+def near_exact_no_flush_report(spark, d):
+    return _near(spark, d, io_cap=1, policy="fifo", flush=False)
+
+
 def near_exact_recipe_report(spark, d):
     return _near(spark, d, kind="recipe", io_cap=4)
 
@@ -281,58 +313,89 @@ def recipe_fragmentation(spark, d):
 
 
 def coverage_curve(spark, d):
-    r = recipes(spark, d).select("trace", F.lit("recipe").alias("kind"), F.col("recipe_id").alias("subset_id"), "chunk_id", "version")
-    c = packed(spark, d).select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", "version")
-    return M.coverage_curve(windowed(spark, d), r.unionByName(c), LAST)
+    flagged = stored(E.exact_dedup(windowed(spark, d)), "flagged")
+    r = E.build_recipes(flagged, W).select("trace", F.lit("recipe").alias("kind"), F.col("recipe_id").alias("subset_id"), "chunk_id", "version")
+    c = E.pack_containers(flagged.where(~F.col("is_dup")), W).select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", "version")
+    return M.coverage_curve(flagged, stored(r.unionByName(c), "subsets"), LAST)
 
 
 def fnv_partition(spark, d):
     return B.hash_partition(E.unique_chunks(T.snapshot_trace(spark, d)), 65).select("trace", "chunk_id", "part")
 
 
-def _store(spark, d) -> DataFrame:
-    return stored(B.partitioned_store(T.snapshot_trace(spark, d), PARTS, W), "store")
+def _store(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    """The trace, its partitioned store, and the number of partitions, which grows with the data."""
+    trace = stored(T.snapshot_trace(spark, d), "snapshot")
+    parts = B.partitions_for(trace, W)
+    return trace, stored(B.partitioned_store(trace, parts, W), "store"), parts
 
 
 def partitioned_containers(spark, d):
     return B.partitioned_store(T.snapshot_trace(spark, d), 65, W)
 
 
+def bloom_filters(spark, d):
+    """Every filter's members, set bits and the digest of their positions."""
+    _, store, _ = _store(spark, d)
+    _, m = B.bloom_size(W, 0.001)
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("bits"), (i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    at = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.call_function("getbit", byte(i), (i % 8)) == 1)
+    return B.bloom_build(store, W).withColumn("at", at).select("trace", "part", "bf_no", "members", F.size("at").cast("long").alias("set_bits"), F.md5(F.array_join(F.col("at").cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
 def bloom_members(spark, d):
-    """Stored ids that the filter of their own container may hold: all of them."""
-    store = _store(spark, d)
+    """Stored ids that the filter of their own container may hold: all of them; and what other filters of their partition hold."""
+    _, store, _ = _store(spark, d)
     hits = B.bloom_probe(store, B.bloom_build(store, W), W)
-    return hits.join(store.select("trace", "part", "chunk_id", "bf_no"), ["trace", "part", "chunk_id", "bf_no"]).groupBy("trace").agg(F.count("*").alias("found"))
+    own = hits.join(store.select("trace", "part", "chunk_id", F.col("bf_no").alias("own")), ["trace", "part", "chunk_id"])
+    return own.groupBy("trace", "part").agg(F.count_if(F.col("bf_no") == F.col("own")).alias("found"), F.count_if(F.col("bf_no") != F.col("own")).alias("others"))
 
 
-def bloom_loads(spark, d):
-    loads = B.bloom_loads(T.snapshot_trace(spark, d), _store(spark, d), W)
+def _loads(spark, d, cache: int) -> DataFrame:
+    trace, store, _ = _store(spark, d)
+    loads = B.bloom_loads(trace, store, W, cache)
     return loads.groupBy("trace", "part", "version").agg(F.count("*").alias("matches"), F.count_if("load").alias("loads"))
 
 
+def bloom_loads(spark, d):
+    return _loads(spark, d, 1)
+
+
 def bloom_loads_cached(spark, d):
-    loads = B.bloom_loads(T.snapshot_trace(spark, d), _store(spark, d), W, cache=2)
-    return loads.groupBy("trace", "part", "version").agg(F.count("*").alias("matches"), F.count_if("load").alias("loads"))
+    return _loads(spark, d, 2)
 
 
 def bloom_report(spark, d):
-    store = _store(spark, d)
-    return B.bloom_report(T.snapshot_trace(spark, d), store, B.bloom_loads(T.snapshot_trace(spark, d), store, W), W)
+    trace, store, parts = _store(spark, d)
+    return B.bloom_report(trace, store, B.bloom_loads(trace, store, W), W, partitions=parts)
 
 
 def bloom_fpp(spark, d):
-    store = _store(spark, d)
+    _, store, _ = _store(spark, d)
     return B.bloom_fpp(store, B.bloom_build(store, W), W)
 
 
+def _sweep_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = stored(windowed(spark, d), "windowed")
+    new = stored(E.pack_containers(E.exact_dedup(rows).where(~F.col("is_dup")), W), "packed").where(F.col("version") < LAST)
+    return rows.where(F.col("version") == LAST), new
+
+
 def io_cap_sweep(spark, d):
-    last, hooks = stored(last_version(spark, d), "last"), stored(earlier(container_hooks(spark, d)), "hooks")
-    return X.io_cap_sweep(last, hooks, stored(members(spark, d), "members"), [1, 2, 4, 6, 20])
+    last, new = _sweep_tables(spark, d)
+    hooks = stored(H.build_hooks(new, I.sample_position(F.col("ord"), 8), "container_id", "ord"), "hooks")
+    return X.io_cap_sweep(last, hooks, _held(new), [1, 2, 4, 6, 20])
+
+
+def ratio_sweep(spark, d):
+    last, new = _sweep_tables(spark, d)
+    return X.ratio_sweep(last, new, _held(new), [4, 8, 32], 4)
 
 
 def strategy_compare(spark, d):
-    variants = {"sort": {"policy": "sort"}, "fifo": {"policy": "fifo"}, "sparse": {"policy": "sparse"}, "level": {"policy": "level"}}
-    return X.compare_strategies(T.snapshot_trace(spark, d), CFG, variants)
+    variants = {"sort": {"policy": "sort"}, "fifo": {"policy": "fifo"}, "sparse": {"policy": "sparse"}, "level": {"policy": "level"},
+                "recipe": {"kind": "recipe", "policy": "sort"}, "hybrid": {"kind": "hybrid", "io_cap": 4, "hybrid_ratio": 0.5}}
+    return X.compare_strategies(stored(T.snapshot_trace(spark, d), "snapshot"), CFG, variants)
 
 
 def recipe_roundtrip(spark, d):
@@ -341,6 +404,33 @@ def recipe_roundtrip(spark, d):
     return T.read_recipes(spark, path)
 
 
+def recipe_files_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/recipe_files"
+    T.export_recipe_files(recipes(spark, d), path)
+    return T.read_recipe_files(spark, path, "snapshot")
+
+
+def report_roundtrip(spark, d):
+    path, report = f"{shared_dir(spark)}/report", version_dedup_report(spark, d)
+    T.write_version_report(report, path)
+    return T.read_version_report(spark, path, report.schema)
+
+
+def window_rates_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/rates"
+    T.write_window_rates(M.window_report(E.exact_dedup(windowed(spark, d))), path)
+    return T.read_window_rates(spark, path)
+
+
+def manifest_roundtrip(spark, d):
+    """A text trace and its manifest, written and read back: a line per version, a folder of part files for each."""
+    base, trace = shared_dir(spark), T.snapshot_trace(spark, d)
+    T.write_trace(trace, f"{base}/trace")
+    lines = "\n".join(f"file=v{v} 8" for v in range(LAST + 1))
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(f"{base}/manifest")
+    return T.read_trace(spark, f"{base}/trace", T.read_manifest(spark, f"{base}/manifest", "snapshot"))
+
+
 def trace_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/trace"
     T.write_trace(T.snapshot_trace(spark, d), path)
@@ -365,13 +455,17 @@ def stream_exact_dedup(spark, d):
 
 
 def stream_near_exact(spark, d):
-    """Near-exact deduplication of the events stream, a micro-batch per epoch."""
+    """Near-exact deduplication of the events stream, a micro-batch per epoch: the events land in ``BATCHES`` files, read one by one."""
     base = shared_dir(spark)
-    source = events_stream(spark, d, base)
+    events = spark.read.parquet(f"{d}/events.parquet")
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    for b in range(BATCHES):  # files arrive one after another
+        events.where(F.floor(F.col("event_id") * BATCHES / n) == b).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
     ids = source.select(F.lit("events").alias("trace"), F.col("event_id").alias("ordinal"), I.content_id(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))).alias("chunk_id"))
     G.stream_near_exact(ids, f"{base}/store", CFG, f"{base}/state").awaitTermination()
     rows = spark.read.schema(G.DEDUP).parquet(f"{base}/store/rows")
-    return rows.groupBy("trace").agg(F.count("*").alias("total"), F.count_if(~F.col("is_dup")).alias("stored"), F.countDistinct("seq").alias("windows"))
+    return rows.groupBy("trace", "version").agg(F.count("*").alias("total"), F.count_if(~F.col("is_dup")).alias("stored"), F.countDistinct("seq").alias("windows"))
 
 
 def incremental_ingest(spark, d):
@@ -386,9 +480,10 @@ def incremental_ingest(spark, d):
 
 
 NAMES = """version_dedup_report window_dedup_report unique_chunks windows_legacy packed_containers seal_status recipes_exact segment_recipes subset_meta
-segments_fixed segments_fixed_dropped segments_content segments_pattern sample_position sample_chunk_id sample_bits sample_min_hash hook_index hook_lookup
-hook_stats hooks_version_bound hook_pointer_counts hybrid_hooks hook_hits hit_counts candidate_scores select_sort select_fifo select_all select_sparse
-select_level select_hybrid select_hybrid_basic select_hybrid_dense adaptive_cap dedup_step_sort dedup_step_no_flush near_exact_report
-near_exact_recipe_report hybrid_report restore_cost index_breadth recipe_fragmentation coverage_curve fnv_partition partitioned_containers bloom_members
-bloom_loads bloom_loads_cached bloom_report bloom_fpp io_cap_sweep strategy_compare recipe_roundtrip trace_roundtrip stream_exact_dedup
-stream_near_exact incremental_ingest""".split()
+segments_fixed segments_fixed_dropped segments_content segments_pattern sample_position sample_chunk_id sample_bits sample_min_hash sample_features hook_index
+hook_lookup hook_stats hooks_version_bound hook_pointer_counts hybrid_hooks hook_hits hook_hits_distinct hit_counts candidate_scores select_sort select_fifo
+select_all select_sparse select_level select_hybrid select_hybrid_basic select_hybrid_dense adaptive_cap dedup_step_sort dedup_step_no_flush near_exact_report
+near_exact_no_flush_report near_exact_recipe_report hybrid_report restore_cost index_breadth recipe_fragmentation coverage_curve fnv_partition
+partitioned_containers bloom_filters bloom_members bloom_loads bloom_loads_cached bloom_report bloom_fpp io_cap_sweep ratio_sweep strategy_compare
+recipe_roundtrip recipe_files_roundtrip report_roundtrip window_rates_roundtrip trace_roundtrip manifest_roundtrip stream_exact_dedup stream_near_exact
+incremental_ingest""".split()

@@ -18,15 +18,20 @@ def read_manifest(spark: SparkSession, path: str, trace: str = "trace") -> DataF
 
 
 def read_trace(spark: SparkSession, folder: str, versions: DataFrame) -> DataFrame:
-    """``trace, version, pos, chunk_id`` of the files that ``versions`` names; blank lines are skipped.
+    """``trace, version, pos, chunk_id`` of the files (or folders of part files) that ``versions`` names, and of no others; blank lines are skipped.
 
     Line numbers come from the rank inside a file block and the counts of the blocks before it.
     """
-    lines = spark.read.text(f"{folder.rstrip('/')}/*").select(
-        F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("name"), F.col("_metadata.file_block_start").alias("block"),
+    names = sorted({r.name for r in versions.select("name").collect()})  # one row per version
+    if not names:
+        return spark.createDataFrame([], "trace string, version int, pos long, chunk_id string")
+    path = F.split(F.col("_metadata.file_path"), "/")
+    last, above = F.element_at(path, -1), F.element_at(path, -2)
+    lines = spark.read.text([f"{folder.rstrip('/')}/{n}" for n in names]).select(
+        F.when(last.isin(names), last).otherwise(above).alias("name"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+")[0].alias("chunk_id"))
     rows = stored(lines.where(F.col("chunk_id") != "").join(F.broadcast(versions), "name"), "lines")  # versions: one row per file
-    return block_ordinal(rows, ["trace", "version"], ["block"], ["line"], "pos").select("trace", "version", "pos", "chunk_id")
+    return block_ordinal(rows, ["trace", "version"], ["part", "block"], ["line"], "pos").select("trace", "version", "pos", "chunk_id")
 
 
 def write_trace(chunks: DataFrame, folder: str) -> None:
@@ -45,17 +50,30 @@ def read_written_trace(spark: SparkSession, folder: str, trace: str) -> DataFram
 
 
 def write_recipes(recipes: DataFrame, folder: str) -> None:
-    """Text recipes: one folder per recipe with one line ``id location id location ...``."""
-    pair = F.struct("slot", F.concat_ws(" ", "chunk_id", F.col("location").cast("string")).alias("p"))
-    body = recipes.groupBy("trace", "recipe_id").agg(F.array_sort(F.collect_list(pair)).alias("b"))  # at most container_size pairs
-    body.select(F.array_join(F.transform("b", lambda x: x["p"]), " ").alias("value"), "trace", "recipe_id").write.partitionBy("trace", "recipe_id").text(folder)
+    """Recipes as Parquet, a folder per version."""
+    recipes.select("trace", "recipe_id", "slot", "chunk_id", "location", "version").write.partitionBy("version").parquet(folder)
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """``trace, recipe_id, slot, chunk_id, location``."""
-    tokens = spark.read.text(folder).select("trace", F.col("recipe_id").cast("long").alias("recipe_id"), F.split(F.trim("value"), r"\s+").alias("t"))
-    slots = tokens.select("trace", "recipe_id", "t", F.explode(F.sequence(F.lit(0), (F.size("t") / 2).cast("int") - 1)).alias("slot"))
-    return slots.select("trace", "recipe_id", "slot", F.col("t")[F.col("slot") * 2].alias("chunk_id"), F.col("t")[F.col("slot") * 2 + 1].cast("long").alias("location"))
+    """``trace, recipe_id, slot, chunk_id, location`` of what ``write_recipes`` wrote."""
+    return spark.read.schema("trace string, recipe_id long, slot int, chunk_id string, location long, version int").parquet(folder).drop("version")
+
+
+def export_recipe_files(recipes: DataFrame, folder: str) -> None:
+    """Text recipes of one trace on request: a folder per recipe with one line ``id location id location ...``."""
+    pair = F.struct("slot", F.concat_ws(" ", "chunk_id", F.col("location").cast("string")).alias("p"))
+    body = recipes.groupBy("recipe_id").agg(F.array_sort(F.collect_list(pair)).alias("b"))  # at most container_size pairs
+    body.select(F.array_join(F.transform("b", lambda x: x["p"]), " ").alias("value"), "recipe_id").repartition("recipe_id").write.partitionBy("recipe_id").text(folder)
+
+
+def read_recipe_files(spark: SparkSession, folder: str, trace: str) -> DataFrame:
+    """``trace, recipe_id, slot, chunk_id, location`` of text recipes: files whose name is the recipe's id, or folders ``recipe_id=<id>``."""
+    path = F.col("_metadata.file_path")
+    number = F.coalesce(F.nullif(F.regexp_extract(path, r"recipe_id=(\d+)/", 1), F.lit("")), F.regexp_extract(path, r"(\d+)$", 1))
+    text = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    tokens = text.select(number.cast("long").alias("recipe_id"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") > 1)
+    slots = tokens.select("recipe_id", "t", F.explode(F.sequence(F.lit(0), (F.size("t") / 2).cast("int") - 1)).alias("slot"))
+    return slots.select(F.lit(trace).alias("trace"), "recipe_id", "slot", F.col("t")[F.col("slot") * 2].alias("chunk_id"), F.col("t")[F.col("slot") * 2 + 1].cast("long").alias("location"))
 
 
 def write_version_report(report: DataFrame, path: str) -> None:
@@ -63,11 +81,20 @@ def write_version_report(report: DataFrame, path: str) -> None:
     report.orderBy("trace", "version").coalesce(1).write.option("sep", " ").csv(path)  # one row per version
 
 
+def read_version_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", " ").csv(path)
+
+
 def write_window_rates(windows: DataFrame, path: str) -> None:
-    """Per version, lines of window number and rate."""
+    """Per version of one trace, lines of window number and rate."""
     windows.select("version", "seq", "rate").write.partitionBy("version").option("sep", " ").csv(path)
 
 
+def read_window_rates(spark: SparkSession, path: str) -> DataFrame:
+    """``version, seq, rate``."""
+    return spark.read.schema("seq long, rate double, version int").option("sep", " ").csv(path).select("version", "seq", "rate")
+
+
 def chunks_from_table(rows: DataFrame, trace: str, version: Column, content: Column, block: Column, order: list[Column]) -> DataFrame:
     """``trace, version, pos, chunk_id`` from a table; rows with a null version are left out. ``block`` must rise with ``order``."""
     cols = [o.alias(f"o{i}") for i, o in enumerate(order)]

@@ -6,10 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators.near_exact import HOOKS, MEMBERS, Config, State, empty_state, run_epoch
+from fathomline.functions.storage import stored
+from fathomline.operators.near_exact import HOOKS, LOADS, MEMBERS, Config, Counters, State, run_epoch
 from fathomline.operators.ordinals import block_ordinal
 
 DEDUP = "trace string, version int, pos long, chunk_id string, seq long, is_dup boolean, location long"
+COUNTERS = "trace string, container long, recipe long, ord long, ingest long, windows long, loads long, candidates long, last_seq long, version int"
 
 
 def _read(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
@@ -22,29 +24,23 @@ def _read(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame
 def ingest_version(spark: SparkSession, store: str, chunks: DataFrame, version: int, cfg: Config, window_base: int | None = None) -> DataFrame:
     """Deduplicate one version of ``chunks (trace, pos, chunk_id)`` against the store and add what it made.
 
-    Containers, hooks and rows are written by ``version=`` partition, which a repeated run overwrites; the next ids
-    are taken from earlier versions only, so a repeated run makes the same ids. Returns the version's rows.
+    Rows, members, hooks, loads and counters are written by ``version=`` partition, which a repeated run overwrites; the
+    state is read from earlier versions only, so a repeated run makes the same ids. Returns the version's rows.
     """
-    members, hooks, rows = (f"{store}/{t}" for t in ("members", "hooks", "rows"))
-    old_members, old_hooks, old_rows = _read(spark, members, MEMBERS, version), _read(spark, hooks, HOOKS, version), _read(spark, rows, DEDUP, version)
-    state: State = empty_state(spark)
-    if not old_rows.isEmpty():
-        own = {r.trace: (r.c or 0, r.r or 0) for r in old_members.groupBy("trace").agg(
-            F.max(F.when(F.col("kind") == "container", F.col("subset_id") + 1)).alias("c"), F.max(F.when(F.col("kind") == "recipe", F.col("subset_id") + 1)).alias("r")).collect()}
-        seen = {r.trace: (r.s, r.n) for r in old_rows.groupBy("trace").agg(F.count_if(~F.col("is_dup")).alias("s"), F.count("*").alias("n")).collect()}
-        if cfg.kind == "recipe":  # containers are not searched in recipe mode; their ids are in the rows
-            own = {r.trace: (r.c + 1, own.get(r.trace, (0, 0))[1]) for r in old_rows.groupBy("trace").agg(F.max("location").alias("c")).collect()}
-        state = State(old_members, old_hooks, {t: c for t, (c, _) in own.items()}, {t: r for t, (_, r) in own.items()}, {t: s for t, (s, _) in seen.items()}, {t: n for t, (_, n) in seen.items()})
-    base = window_base if window_base is not None else (old_rows.agg(F.max("seq")).first()[0] or 0)
+    members, hooks, loads, rows, counters = (f"{store}/{t}" for t in ("members", "hooks", "loads", "rows", "counters"))
+    latest = _read(spark, counters, COUNTERS, version).groupBy("trace").agg(F.max_by(F.struct("*"), "version").alias("c")).select("c.*").collect()  # one row per trace
+    names = [c.split()[0] for c in COUNTERS.split(", ")][1:-2]
+    state = State(_read(spark, members, MEMBERS, version), _read(spark, hooks, HOOKS, version), _read(spark, loads, LOADS, version), {r.trace: Counters(**{n: r[n] for n in names}) for r in latest})
+    base = window_base if window_base is not None else max([r.last_seq for r in latest], default=0)
     order = F.col("pos")
     windowed = chunks.select("trace", F.lit(version).alias("version"), "pos", "chunk_id", F.floor(order / cfg.window_size).cast("bigint").alias("win"), (order % cfg.window_size).cast("int").alias("win_pos"))
-    windowed = windowed.withColumn("seq", F.col("win") + 1 + base)
-    out, _, after = run_epoch(windowed, state, cfg)
-    mode = {"partitionOverwriteMode": "dynamic"}
-    for table, path in ((after.members, members), (after.hooks, hooks)):
-        table.where(F.col("version") == version).write.mode("overwrite").options(**mode).partitionBy("version").parquet(path)
-    picked = out.select("trace", "version", "pos", "chunk_id", "seq", "is_dup", F.col("location").cast("long").alias("location"))
-    picked.write.mode("overwrite").options(**mode).partitionBy("version").parquet(rows)
+    windowed = stored(windowed.withColumn("seq", F.col("win") + 1 + base), "windowed")
+    made = run_epoch(windowed, state, cfg)
+    last_seq = windowed.agg(F.max("seq")).first()[0] or base
+    after = spark.createDataFrame([(t, *(getattr(c, n) for n in names), last_seq, version) for t, c in made.counters.items()], COUNTERS)
+    picked = made.rows.select("trace", "version", "pos", "chunk_id", "seq", "is_dup", F.col("location").cast("long").alias("location"))
+    for table, path in ((made.members, members), (made.hooks, hooks), (made.loads, loads), (picked, rows), (after, counters)):
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
     return spark.read.schema(DEDUP).parquet(rows).where(F.col("version") == version)
 
 

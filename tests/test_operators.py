@@ -256,9 +256,68 @@ def test_index_ratios(spark, tiny):
     assert [tuple(r) for r in H.index_stats(hooks.where("false"), tiny).collect()] == [("t", 0, 0, None, 0.0, 0.0)]
 
 
-def test_all_versions_are_compared_and_ingested(spark, sf):
-    compared = Q.strategy_compare(spark, sf).collect()
-    assert sorted((r.strategy, r.version) for r in compared) == [(s, v) for s in ("fifo", "level", "sort", "sparse") for v in range(5)]
+def test_cap_goes_on_across_epochs(spark):
+    rows = [("t", i, 1 if i < 3 else 5, 9) for i in range(1, 7)] + [("u", i, 1, 2) for i in range(1, 4)]
+    per = spark.createDataFrame(rows, "trace string, seq long, n_selected long, n_candidates long")
+    whole = {(r.trace, r.seq): (r.cap, r.loads) for r in C.adaptive_io_cap(per, 2, 10).collect()}
+    first = C.adaptive_io_cap(per.where("seq <= 2"), 2, 10).collect()
+    carried = {t: (2, sum(r.loads for r in first if r.trace == t), 2 * n) for t, n in (("t", 9), ("u", 2))}
+    rest = C.adaptive_io_cap(per.where("seq > 2"), 2, 10, carried).collect()
+    assert {(r.trace, r.seq): (r.cap, r.loads) for r in [*first, *rest]} == whole
+    alone = {(r.trace, r.seq): (r.cap, r.loads) for r in C.adaptive_io_cap(per.where("seq > 2"), 2, 10).collect()}
+    assert alone != {k: v for k, v in whole.items() if k[1] > 2}
+
+
+def test_no_flush_keeps_loads_of_earlier_epochs(spark):
+    trace = chunks(spark, "a b c d", "a x", "b c y")
+    for flush, stored_last in ((True, 3), (False, 1)):  # v1 loads the container of a b c; v2 has no hook of it
+        cfg = replace(TINY, flush=flush, container_size=4, method="position", ratio=3)
+        rows, _, state = N.near_exact_dedup(trace, replace(cfg, ratio=0))
+        assert report(rows)[0] == (4, 4)
+        hooks = state.hooks.where("chunk_id = 'a' and version = 0")
+        first = N.State(state.members.where("version = 0"), hooks, state.loads.where("false"), {"t": N.Counters(container=1, ord=4)})
+        windowed = O.assign_windows(trace, 4)
+        made = N.run_epoch(windowed.where("version = 1"), first, cfg)
+        then = N.State(first.members.unionByName(made.members), hooks, made.loads, made.counters)
+        last = N.run_epoch(windowed.where("version = 2"), then, cfg)
+        assert last.rows.where(~F.col("is_dup")).count() == stored_last
+
+
+def test_chunks_without_id_are_new(spark):
+    trace = spark.createDataFrame([("t", 0, 0, None), ("t", 0, 1, "a"), ("t", 1, 0, None), ("t", 1, 1, "a")], "trace string, version int, pos long, chunk_id string")
+    rows = E.with_locations(O.assign_windows(trace, 4), 2)
+    assert report(rows) == [(2, 2), (2, 1)] and rows.where("location is null").count() == 0
+
+
+def test_sums_before_on_three_levels(spark, monkeypatch):
+    monkeypatch.setattr(O, "SPAN", 3)
+    rows = [("t", b, i) for b in range(20) for i in range(b % 4)] + [("u", 5, 0)]
+    got = O.block_ordinal(spark.createDataFrame(rows, "trace string, block long, i int"), ["trace"], ["block"], ["i"], "k").orderBy("trace", "block", "i").collect()
+    assert [r.k for r in got] == [*range(len(rows) - 1), 0]
+
+
+def test_recipe_files_of_the_original_form(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "7").write_text("a1:00 3 a2:00 4 ")
+    (tmp_path / "r" / "12").write_text("a1:00 3")
+    got = T.read_recipe_files(spark, f"file://{tmp_path}/r", "t").orderBy("recipe_id", "slot").collect()
+    assert [tuple(r) for r in got] == [("t", 7, 0, "a1:00", 3), ("t", 7, 1, "a2:00", 4), ("t", 12, 0, "a1:00", 3)]
+
+
+def test_partitions_grow_with_the_data(spark, tiny):
+    assert B.partitions_for(tiny, 4) == 1 and B.partitions_for(chunks(spark, " ".join(f"i{n}" for n in range(600))), 4) == 3
+    assert B.partitions_for(tiny.where("false"), 4) == 1
+
+
+def test_reports_have_all_columns(spark, tiny):
+    trace = tiny.withColumn("chunk_id", I.content_id(F.col("chunk_id")))
+    for kind, n in (("container", 22), ("recipe", 22), ("hybrid", 28)):
+        cfg = replace(TINY, kind=kind, hook_bits=(1, 1), segment_size=2, hybrid_ratio=0.5, io_cap=2)
+        rows, loads, state = N.near_exact_dedup(trace, cfg)
+        assert len(M.engine_report(rows, loads, state.hooks, cfg).columns) == n + 2
+
+
+def test_ingest_equals_epochs(spark, sf):
     whole = M.version_report(N.near_exact_dedup(T.snapshot_trace(spark, sf), Q.CFG)[0])
     cols = ["trace", "version", "total", "stored", "windows"]
     ingested = [tuple(r) for r in Q.incremental_ingest(spark, sf).orderBy("version").collect()]
