@@ -6,10 +6,11 @@ weights are trained from document labels alone, so a positive document only says
 the trained sentence scores then locate the offending sentences.
 
 Training reads at most ``per_class`` documents of each label (lowest hash of ``doc_id`` first) of at most
-``max_chars`` characters, outside the held-out fold; that bound does not grow with the data. Scoring reads every
-whole text.
+``max_chars`` characters, outside the held-out fold; that bound (80 million characters by default) does not grow with the
+data. Scoring reads every whole text, cut into the same sentences and words as in training, a text of any length
+sentence by sentence.
 
-Nulls: a null or empty text has no sentence and scores 0 (as the noisy-or of nothing). Null labels or ids are not
+Nulls: a null or empty text, or one without a word, has no sentence and scores 0 (as the noisy-or of nothing). Null labels or ids are not
 used; conflicting labels of one id count as toxic. Without both labels in the sample every score is the share of
 toxic labels in it (0 without any). Repeated rows are scored each. Columns other than ``doc_id`` and ``text`` are
 ignored by ``score_documents`` and kept by the pipeline stage.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import table, text_or_empty
 
-PER_CLASS, MAX_CHARS = 2_000, 200_000
+PER_CLASS, MAX_CHARS = 2_000, 20_000
 _BUCKETS = 1 << 18
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -41,6 +43,11 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % _BUCKETS for k in keys]
 
 
+def sentence_words(sentence: str) -> dict[str, None]:
+    """The different words of a lower-case sentence: a repeated word is no more evidence."""
+    return dict.fromkeys(_WORD.findall(sentence))
+
+
 class NoisyOr:
     """Trained weights; ``weights`` is None where there was nothing to learn from."""
 
@@ -55,8 +62,7 @@ class NoisyOr:
         vocab: dict[str, int] = {}
         word_of, sent_of, doc_of = [], [], []  # word and sentence of each occurrence; document of each sentence
         for d, text in enumerate(texts):
-            for s in _SENTENCE.findall(text.lower()):
-                words = dict.fromkeys(_WORD.findall(s))  # a repeated word is no more evidence
+            for words in map(sentence_words, _SENTENCE.findall(text.lower())):
                 if words:
                     word_of += [vocab.setdefault(w, len(vocab)) for w in words]
                     sent_of += [len(doc_of)] * len(words)
@@ -95,8 +101,8 @@ class Scorer:
     def __init__(self, model: NoisyOr, locate: float):
         self.model, self.locate, self.memo = model, locate, {}
 
-    def _word(self, chunk: str) -> float:
-        got = self.memo[chunk] = float(sum(self.model.weights[f] for w in _WORD.findall(chunk) for f in features(w)))
+    def _word(self, word: str) -> float:
+        got = self.memo[word] = float(sum(self.model.weights[f] for f in features(word)))
         return got
 
     def score(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
@@ -108,15 +114,28 @@ class Scorer:
         lower = text.lower()
         if len(lower) != len(text):  # keep offsets those of the text
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        memo, word, spans, z = self.memo, self._word, [], []
+        memo, word, z, n, clean, found = self.memo, self._word, array("d"), 0, 0.0, []
+        starts = array("q")
+
+        def settle() -> None:  # sentences are turned into probabilities in blocks
+            nonlocal clean
+            p = 1 / (1 + np.exp(-np.clip(np.frombuffer(z, dtype=np.float64), -30, 30)))
+            clean += float(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
+            found.extend((starts[2 * i], starts[2 * i + 1] - starts[2 * i], float(p[i])) for i in np.flatnonzero(p >= self.locate).tolist())
+
         for m in _SENTENCE.finditer(lower):
-            spans.append(m.span())
-            z.append(sum([memo[c] if c in memo else word(c) for c in dict.fromkeys(m.group().split())], self.model.bias))
-        if not spans:
-            return 0.0, 0, []
-        p = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-        found = [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= self.locate)]
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())), len(spans), [(a, b - a, s) for a, b, s in found]
+            words = sentence_words(m.group())
+            if not words:
+                continue
+            n += 1
+            starts.extend(m.span())
+            z.append(sum([memo[w] if w in memo else word(w) for w in words], self.model.bias))
+            if len(z) == 65_536:
+                settle()
+                z, starts = array("d"), array("q")
+        if z:
+            settle()
+        return float(-np.expm1(clean)), n, found
 
 
 def held_out(doc_id: Column) -> Column:
