@@ -8,13 +8,15 @@ on the anchor finds every link; the distance is then checked on all 64 bits. Abo
 visited, whatever the data. Equal fingerprints are collapsed before and share their class.
 
 Nulls: a null text counts as empty (fingerprint zero); rows with a null ``doc_id`` keep their fingerprint, and get
-the class of the other documents with that fingerprint, or null. Repeated rows are kept. Other columns are ignored
+the class of the other documents with that fingerprint, or null. Ties have no order here: equal fingerprints are one
+node. Very long texts are hashed in blocks. Repeated rows are kept; an empty table gives no rows. Other columns are ignored
 by ``simhash_classes`` and kept by ``keep_one_per_class``.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,19 +81,42 @@ class Anchors:
         return row, (a[row] ^ self.offsets[sa[row], i]) << HALF | (b[row] ^ self.offsets[sb[row], j])
 
 
-def fingerprint(text: str) -> int:
-    """SimHash of the 3-word shingles of a text, as a signed 64-bit number."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    digest = xxhash.xxh64_digest
-    bits = np.unpackbits(np.frombuffer(b"".join([digest(s, 42) for s in shingles]), dtype=np.uint8)).reshape(-1, 64)
-    n = len(bits)
-    whole = n // 255 * 255
+_BLOCK, _SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _word_blocks(raw: bytes) -> Iterator[list[bytes]]:
+    """Words of a text in blocks of about ``_BLOCK`` bytes; each block after the first starts with the last two words before it."""
+    at, before = 0, []
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + _BLOCK) if len(raw) - at > _BLOCK else None
+        end = cut.start() if cut else len(raw)
+        words = before + raw[at:end].split()
+        yield words
+        at, before = end, words[-2:]
+
+
+def _ones(shingles: list[bytes]) -> np.ndarray:
+    """How many of the hashes have each bit set, highest bit first."""
+    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in shingles]), dtype=np.uint8)).reshape(-1, 64)
+    whole = len(bits) // 255 * 255
     ones = bits[whole:].sum(0, dtype=np.int64)
     if whole:  # sums of 255 bits fit a byte
         ones += bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return ones
+
+
+def fingerprint(text: str) -> int:
+    """SimHash of the 3-word shingles of a text, as a signed 64-bit number; a text of any length is hashed in blocks."""
+    ones, n, words = np.zeros(64, dtype=np.int64), 0, []
+    for words in _word_blocks(text.encode("utf-8", "surrogatepass").lower()):  # on bytes: A-Z and ASCII white space only
+        for at in range(0, len(words) - 2, 16_384):
+            part = words[at : at + 16_386]
+            ones += _ones(list(map(b" ".join, zip(part, part[1:], part[2:]))))
+            n += len(part) - 2
+    if not n:
+        if not words:
+            return 0
+        ones, n = _ones([b" ".join(words)]), 1
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
@@ -130,7 +155,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     at_home = nodes.mapInArrow(homes, "anchor long, fp long, id long")
     visiting = nodes.mapInArrow(visits, "anchor long, vfp long, vid long")
     return (
-        visiting.join(at_home.hint("shuffle_hash"), "anchor")
+        visiting.join(at_home, "anchor")
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("vfp"))) <= THRESHOLD)
         .where("id < vid")  # each link is found from both ends
         .select(F.col("id").alias("a"), F.col("vid").alias("b"))
