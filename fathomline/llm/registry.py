@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable] = {
     "op5_near_duplicates": forest.op5_near_duplicates,
     "op6_word_bpe": lexicon.op6_word_bpe,
     "op7_token_output": wavelet.op7_token_output,
+    "token_occurrences": wavelet.token_occurrences_of_end,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_top_k": vafile.op10_top_k,

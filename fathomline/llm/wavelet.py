@@ -1,9 +1,11 @@
 """Operator 7, token-id output: one wavelet matrix per shard, with access, counting and occurrence lookup.
 
 ``write_token_shards`` encodes documents in ascending ``doc_id`` order into a Parquet table with one row per shard:
-``part, shard, start, n_tokens, doc_ids, lengths, matrix``. ``matrix`` is a self-contained compressed block: a
-header, bit-planes from the highest bit down, and the number of ones before every 512th bit. Documents are never
-split, so a shard holds at least ``shard_tokens`` ids unless it is a partition's last.
+``part, shard, start, n_tokens, doc_ids, lengths, matrix``. ``matrix`` is a self-contained succinct file: a header, the
+places of its frames, bit-planes from the highest bit down, and the number of ones before every 512th bit. Planes are
+compressed in frames of ``_FRAME`` bytes, so that access, counting and lookup inflate a frame or two of each plane, not
+the shard. Documents are never split, so a shard holds at least ``shard_tokens`` ids unless it is a partition's last, and
+a very long document is a shard of its own size.
 
 Nulls: a null text counts as empty, a null ``doc_id`` sorts first. Rows with equal ids are kept, ordered by the hash
 of their text. An empty table writes no shards. Other columns are ignored.
@@ -27,12 +29,34 @@ from fathomline.llm.common import materialize, table, text_or_empty
 
 _HEAD = struct.Struct("<4sQB")
 _BLOCK = 512  # bits between two entries of the rank directory
+_FRAME = 8192  # bytes of a plane that are compressed together
+
+
+class Plane:
+    """A bit-plane: as an array while it is built, else as compressed frames of which the ones in use stay inflated."""
+
+    def __init__(self, frames: list[bytes] | None, size: int, raw: np.ndarray | None = None):
+        self.frames, self.size, self.raw, self.open = frames, size, raw, {}
+
+    def frame(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), dtype=np.uint8)
+        return self.open[k]
+
+    def cut(self, start: int, end: int) -> np.ndarray:
+        """Bytes ``start`` to ``end``, which lie in one frame."""
+        if self.raw is not None:
+            return self.raw[start:end]
+        return self.frame(start // _FRAME)[start % _FRAME : start % _FRAME + end - start]
+
+    def whole(self) -> np.ndarray:
+        return self.raw if self.raw is not None else np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(f), dtype=np.uint8) for f in self.frames)])
 
 
 class WaveletMatrix:
     """Bit-planes of ids, highest bit first; each plane sorts the ids stably by its bit for the next one."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
+    def __init__(self, n: int, zeros: list[int], planes: list[Plane], ranks: list[np.ndarray]):
         self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
 
     @classmethod
@@ -48,34 +72,40 @@ class WaveletMatrix:
             a.take(ups, out=spare[z:])
             a, spare = spare, a
             counts = np.searchsorted(ups, np.arange(0, n + _BLOCK, _BLOCK)).astype("<u4")
-            zeros.append(z), planes.append(plane), ranks.append(counts)
+            zeros.append(z), planes.append(Plane(None, len(plane), plane)), ranks.append(counts)
         return cls(n, zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
-        body = b"".join([np.array(self.zeros, dtype="<u8").tobytes(), *(p.tobytes() for p in self.planes), *(r.tobytes() for r in self.ranks)])
-        return _HEAD.pack(b"WVM1", self.n, len(self.zeros)) + zstandard.ZstdCompressor(level=1).compress(body)
+        """Header, frame sizes, then the frames: ranks and zeros first, then plane after plane."""
+        small = np.array(self.zeros, dtype="<u8").tobytes() + b"".join(r.tobytes() for r in self.ranks)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        frames = [squeeze(small)] + [squeeze(p.whole()[at : at + _FRAME].tobytes()) for p in self.planes for at in range(0, p.size, _FRAME)]
+        return _HEAD.pack(b"WVM2", self.n, len(self.zeros)) + np.array(list(map(len, frames)), dtype="<u4").tobytes() + b"".join(frames)
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> WaveletMatrix:
         magic, n, bits = _HEAD.unpack_from(blob)
-        if magic != b"WVM1":
+        if magic != b"WVM2":
             raise ValueError("not a wavelet matrix")
-        body = zstandard.ZstdDecompressor().decompress(blob[_HEAD.size :])
+        size, steps = (n + 7) // 8, len(range(0, n + _BLOCK, _BLOCK))
+        each = len(range(0, size, _FRAME))
+        sizes = np.frombuffer(blob, dtype="<u4", count=1 + bits * each, offset=_HEAD.size).astype(np.int64)
+        ends = _HEAD.size + 4 * len(sizes) + np.cumsum(sizes)
+        frames = [memoryview(blob)[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        body = zstandard.ZstdDecompressor().decompress(frames[0])
         zeros = np.frombuffer(body, dtype="<u8", count=bits).tolist()
-        at, size, steps = 8 * bits, (n + 7) // 8, len(range(0, n + _BLOCK, _BLOCK))
-        planes = [np.frombuffer(body, dtype=np.uint8, count=size, offset=at + k * size) for k in range(bits)]
-        at += bits * size
-        ranks = [np.frombuffer(body, dtype="<u4", count=steps, offset=at + 4 * k * steps) for k in range(bits)]
-        return cls(n, zeros, planes, ranks)
+        ranks = [np.frombuffer(body, dtype="<u4", count=steps, offset=8 * bits + 4 * k * steps) for k in range(bits)]
+        return cls(n, zeros, [Plane(frames[1 + k * each : 1 + (k + 1) * each], size) for k in range(bits)], ranks)
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
         block = i // _BLOCK
-        bits = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (i + 7) // 8], bitorder="little")
+        start, end = block * _BLOCK // 8, (i + 7) // 8
+        bits = np.unpackbits(self.planes[level].cut(start, end), bitorder="little") if end > start else np.zeros(0, dtype=np.uint8)
         return int(self.ranks[level][block]) + int(bits[: i - block * _BLOCK].sum())
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self.planes[level].cut(i >> 3, (i >> 3) + 1)[0]) >> (i & 7) & 1
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
@@ -113,7 +143,7 @@ class WaveletMatrix:
             want = i - self.zeros[level] if bit else i  # the want-th bit of this kind
             kind = self.ranks[level] if bit else np.arange(len(self.ranks[level]), dtype=np.int64) * _BLOCK - self.ranks[level]
             block = int(np.searchsorted(kind, want, side="right")) - 1
-            inside = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
+            inside = np.unpackbits(self.planes[level].cut(block * _BLOCK // 8, (block + 1) * _BLOCK // 8), bitorder="little")
             i = block * _BLOCK + int(np.flatnonzero(inside == bit)[want - int(kind[block])])
         return i
 
@@ -122,7 +152,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         a = np.zeros(self.n, dtype=kind)
         for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bits = np.unpackbits(plane, count=self.n, bitorder="little")
+            bits = np.unpackbits(plane.whole(), count=self.n, bitorder="little")
             one = bits.view(bool)
             up = np.empty_like(a)
             up[~one] = a[:z]
@@ -200,5 +230,10 @@ def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
     return shards.select("part", "shard", "matrix").mapInArrow(look, "part int, shard int, n long, first long")
 
 
+def token_occurrences_of_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents end in each shard and where the first does, by rank and select on the end id."""
+    return token_occurrences(write_token_shards(table(spark, sf_dir, "documents")), 2)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(write_token_shards(table(spark, sf_dir, "documents")))
