@@ -77,8 +77,9 @@ def test_token_output_edges(spark, odd):
     assert wavelet.read_token_shards(wavelet.write_token_shards(odd.where("false"))).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 7, 511, 512, 513, 3000])
-def test_wavelet_matrix_queries(n):
+@pytest.mark.parametrize(("n", "frame"), [(1, 8192), (7, 8192), (511, 64), (512, 64), (513, 64), (3000, 128), (3000, 8192)])
+def test_wavelet_matrix_queries(n, frame, monkeypatch):
+    monkeypatch.setattr(wavelet, "_FRAME", frame)
     ids = np.random.default_rng(n).integers(0, 40, n).astype("<u2")
     m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 6).to_bytes())
     assert m.decode().tolist() == ids.tolist()
@@ -95,6 +96,10 @@ def test_token_occurrences(spark, docs, texts):
     shards = wavelet.write_token_shards(docs, shard_tokens=5000)
     common = Counter(i for ids in token_rows(texts, 2).values() for i in ids).most_common(1)[0]
     assert wavelet.token_occurrences(shards, common[0]).agg(F.sum("n")).first()[0] == common[1]
+    one = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(np.arange(1 << 18).astype("<u4") % 50_000, 16).to_bytes())
+    assert one.access(200_000) == 0 and sum(len(p.open) for p in one.planes) == 16  # of 64 frames
+    ends = wavelet.token_occurrences(shards, 2)
+    assert ends.agg(F.sum("n")).first()[0] == len(texts)
 
 
 def check_packing(rows, ids, capacity):
@@ -198,6 +203,15 @@ def test_simhash(spark, sf, texts):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in (1, 2, 3, 4, 40, 300, 20_000)] + ["", "  \n ", "x" * 200, "a \x0b b\tc  D" * 30]
+    for block in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(simhash, "_BLOCK", block)
+        for text in texts if block > 1 else texts[:6] + texts[7:]:
+            assert simhash.fingerprint(text) % (1 << 64) == slow_fingerprint(text)
+
+
 def test_simhash_chains_and_edges(spark, odd):
     base = 0x0123456789ABCDEF
     chain = [base]
@@ -285,6 +299,22 @@ def test_toxicity_accuracy(spark):
     assert np.mean([r.n_offending > 0 for r in got if r.toxic]) > 0.8
 
 
+def test_words_count_once_however_they_are_written():
+    weights = np.zeros(toxicity._BUCKETS, dtype=np.float32)
+    for f in toxicity.features("bad"):
+        weights[f] += 1.0
+    scorer = toxicity.Scorer(toxicity.NoisyOr(weights, -1.0, 0.5), 0.5)
+    once = scorer.score("bad")[0]
+    assert scorer.score("bad bad, (bad")[0] == scorer.score("BAD bad bad")[0] == once
+    slow = lambda text: 1 - np.prod([1 - 1 / (1 + np.exp(1.0 - len(set(re.findall("[a-z]+", s)) & {"bad"}))) for s in re.split(r"[.!?\n]", text) if s.strip()])
+    for text in ("good day. bad day. bad", "bad! good", "a b c. d"):
+        assert abs(scorer.score(text)[0] - slow(text)) < 1e-9
+    long = "fine day. " * 70_000 + "bad"
+    score, n, found = scorer.score(long)
+    assert n == 70_001 and found[-1][0] == len(long) - 4 and score > 0.999
+    assert scorer.score(" ... !!")[:2] == (0.0, 0)
+
+
 def test_toxicity_fold_and_edges(spark, odd):
     ids = spark.range(200)
     want = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
@@ -410,6 +440,60 @@ Redistribution and use in source and binary forms, with or without modification,
     assert got == {1: "GPL-3.0", 2: "GPL-2.0", 3: "MIT", 4: "GPL-3.0", 5: None, 6: "BSD-3-Clause", 7: "BSD-2-Clause"}
 
 
+def slow_statements(text):
+    lines = re.split(r"\n+|(?<=[.!?;:])\s+", text)
+    sign = r"[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+)?[ \t]*"
+    out = list(lines)
+    for paragraph in re.split(rf"\r?\n(?:{sign}\r?\n)+", text):
+        said = re.split(r"(?<=[.!?;])\s+", re.sub(rf"\s*\r?\n{sign}", " ", paragraph))
+        for n in (1, 2, 3):
+            out += [" ".join(said[i : i + n]) for i in range(max(len(said) - n + 1, 1))]
+    return [s for s in out if re.search(licenses._TELLING, s)]
+
+
+def slow_licenses(texts):
+    """Best licence of each text, by plain loops over all statements and templates."""
+    split = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
+    said = {d: set(slow_statements(t)) for d, t in texts.items()}
+    vectors = {s: split(s) for s in set().union(*said.values())}
+    templates = [(name, split(t)) for name, t in licenses.TEMPLATES]
+    known = set().union(*(t for _, t in templates))
+    df = Counter(t for v in vectors.values() for t in v if t in known)
+    idf = lambda t: np.log((len(vectors) + len(templates) + 1) / (df[t] + 1 + (t in known))) + 1 if t in known else np.log((len(vectors) + len(templates) + 1) / 2) + 1
+    weigh = lambda v: {t: n * idf(t) for t, n in v.items()}
+    norm = lambda w: np.sqrt(sum(x * x for x in w.values()))
+    tw = [(name, weigh(t)) for name, t in templates]
+    cosine = {}
+    for s, v in vectors.items():
+        w = weigh(v)
+        for name, t in tw:
+            c = round(sum(x * t.get(k, 0.0) for k, x in w.items()) / (norm(w) * norm(t)), 9) if w else 0.0
+            if c >= licenses.MIN_COSINE:
+                cosine.setdefault(s, {})[name] = max(c, cosine.get(s, {}).get(name, 0.0))
+    out = {}
+    for d, statements in said.items():
+        sums = Counter()
+        for s in statements:
+            for name, c in cosine.get(s, {}).items():
+                sums[name] += c
+        if sums:
+            out[d] = min(sums, key=lambda n: (-round(sums[n], 6), n))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, sf, docs, texts):
+    got = {r.doc_id: r.license for r in licenses.op4_licenses(spark, sf).where("how = 'own'").collect()}
+    assert got == slow_licenses({d: t or "" for d, t in texts.items()}) and len(got) >= 3
+
+
+def test_headers_of_three_lines_and_identifiers(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
+    long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 200_000
+    rows = [(1, "a/x.c", mpl), (2, "b/y.py", "# SPDX-License-Identifier: BSD-2-Clause\nx = 1"), (3, "c/z.txt", long), (4, "d/t", "Licensed under CC BY 4.0. Released under the MIT License."), (4, "d/t", "Licensed under CC BY 4.0. Released under the MIT License.")]
+    got = {r.file_id: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {1: ("MPL-2.0", "own"), 2: ("BSD-2-Clause", "own"), 3: ("MIT", "own"), 4: ("CC-BY-4.0", "own")}  # equal sums: the name that sorts first
+
+
 def test_licenses_of_documents(spark, sf, docs):
     got = licenses.op4_licenses(spark, sf).join(docs.select("doc_id", "text"), "doc_id").collect()
     said = {"MIT": "Released under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "GPL-3.0": "General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0"}
