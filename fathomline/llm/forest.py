@@ -1,16 +1,22 @@
 """Operator 5, embedding near-duplicates by a forest of random-projection trees.
 
 Each tree splits recursively at the median of a random projection; vectors within the spill margin of a split go to
-both sides. Trees are fitted on at most about ``fit_rows`` vectors, but every vector is routed to leaves. Vectors that
-share a leaf and a label are compared by their exact cosine, and a pair is counted only in the first leaf that both
-reach, so the counts are those of the union over all trees. Equal vectors of a label are collapsed first and counted
-by their number. Large leaves are cut into blocks whose pairs of blocks are separate tasks. A leaf returns a row per
-linked vector (its count and the smallest id of its linked group in the leaf), never the pairs.
+both sides. Trees are fitted on a sample that grows with the data up to ``MAX_FIT`` vectors (``fit_rows`` sets it), but
+every vector is routed to leaves. Vectors that share a leaf and a label are compared by their exact cosine, and a pair
+is counted only in the first leaf that both reach, so the counts are those of the union over all trees. Equal vectors
+of a label are collapsed first and counted by their number.
+
+Dense groups, which no projection splits, are not compared pair by pair: every leaf of more than ``BLOCK`` vectors names
+a representative, and vectors within half the threshold's angle of it are its members. Any two members of a
+representative link for sure, so they are counted by their number and joined by one edge each. What is left in a large
+leaf is cut into blocks; pairs of blocks are separate tasks, and two blocks of the same members are never one. A leaf
+returns a row per linked vector (its count and the smallest id of its linked group in the leaf), never the pairs.
 
 A pair at cosine ``threshold`` differs along a random direction by ``sqrt(2 - 2 * threshold) / sqrt(dims)`` on
 average; the margin is ``spill`` times that. Vectors link with nothing if they, their label or a component are null, a
-component is not finite, or they are zero; they stay as rows of their own. Vectors of different lengths never link.
-Repeated rows are vectors of their own. Other columns are ignored.
+component is not finite, or they are zero; they stay as rows of their own. Vectors are scaled by their largest component
+before norms are taken, so none over- or underflows. Vectors of different lengths never link. Repeated rows are vectors
+of their own. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from pyspark.sql import types as T
 
 from fathomline.llm.common import linked_components, materialize, table
 
-TREES, LEAF, FIT_ROWS, SPILL, BLOCK = 6, 256, 20_000, 0.75, 2048
+TREES, LEAF, SPILL, BLOCK = 6, 256, 0.75, 2048
+#: The sample has at least the first number of vectors (all, if fewer), one in 64 of them, and at most the second number.
+LEAST_FIT, MAX_FIT, LEAST_IN_LEAF = 20_000, 200_000, 4
 #: Projections tried for a split, and the largest share of vectors (counted on both sides) with which a split pays.
 TRIES, MAX_SPILL = 4, 1.4
 
@@ -75,20 +83,24 @@ class Tree:
 def grow_forest(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, threshold: float = 0.98, spill: float = SPILL, seed: int = 7) -> list[Tree]:
     """Trees whose leaves hold about ``leaf`` of ``total`` vectors."""
     margin = spill * np.sqrt((2 - 2 * threshold) / sample.shape[1])
-    size = max(8, int(leaf * len(sample) / max(total, 1)))
+    size = max(LEAST_IN_LEAF, int(leaf * len(sample) / max(total, 1)))
     return [Tree(sample, size, margin, np.random.default_rng([seed, t])) for t in range(trees)]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+def _units(column: pa.Array) -> np.ndarray:
+    """Rows of equal length, scaled to length one; their largest component is made 1 first."""
+    x = column.flatten().to_numpy().reshape(len(column), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: list, here: int, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: list, here: int, side: np.ndarray | None, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors with a link in this leaf, how many vectors they meet here first, and the smallest id of their linked group.
 
-    ``side`` splits the rows of two blocks, of which only mixed pairs count; None compares all rows.
+    ``rows`` have length one. ``side`` splits the rows of two blocks, of which only mixed pairs count; None compares all
+    rows. Rows of one ``group`` (-1: none) are known to link and are left out.
     """
-    n, norm = len(ids), np.linalg.norm(rows, axis=1)
+    n = len(ids)
     early = sorted({x for own in leaves for x in own if x < here})
     at = {x: k for k, x in enumerate(early)}
     member = np.zeros((n, len(early)), dtype=bool)
@@ -98,10 +110,9 @@ def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: li
     found, count, label = [], np.zeros(n, dtype=np.int64), np.arange(n)
     for a in range(0, n, 256):
         b = min(a + 256, n)
-        close = rows[a:b] @ rows.T / (norm[a:b, None] * norm) >= threshold
-        i, j = np.nonzero(close)
+        i, j = np.nonzero(rows[a:b] @ rows.T >= threshold)
         i = i + a
-        ok = i < j if side is None else side[i] < side[j]
+        ok = (i < j if side is None else side[i] < side[j]) & ((group[i] != group[j]) | (group[i] < 0))
         i, j = i[ok].astype(np.int32), j[ok].astype(np.int32)
         if not len(i):
             continue
@@ -124,7 +135,26 @@ def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: li
     return ids[touched], count[touched], np.sort(ids)[label[touched]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _members(placed: DataFrame, nodes: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """``id, ball``: vectors within half the threshold's angle of the representative of a large leaf, each with the smallest such one."""
+    half = float(np.cos(np.arccos(threshold) / 2)) + 1e-9  # of two members, each may err by rounding
+    sizes = placed.groupBy(*key).agg(F.count("*").alias("count"), F.min_by("id", F.xxhash64("id")).alias("ball")).where(F.col("count") > BLOCK)
+    centres = sizes.join(nodes.select(F.col("id").alias("ball"), F.col("x").alias("centre")), "ball").select(*key, "ball", "centre")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                dims = np.array([len(v) for v in batch.column("x")])
+                for d in np.unique(dims):
+                    part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                    close = (_units(part.column("x")) * _units(part.column("centre"))).sum(1) >= half
+                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(close)) for c in (part.column("id"), part.column("ball"))], names=["id", "ball"])
+
+    found = placed.join(centres, key).select("id", "ball", "x", "centre").mapInArrow(near, "id long, ball long")
+    return found.groupBy("id").agg(F.min("ball").alias("ball"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, leaf: int = LEAF, fit_rows: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors (vec_id, embedding, label)``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label"))
@@ -135,10 +165,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("x")).count().collect()}  # one row for each length of vectors
     forests = {}
     for dims, total in sizes.items():
-        share = min(1.0, fit_rows / total)
-        chosen = nodes.where(F.size("x") == dims).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").orderBy(F.xxhash64("x")).limit(fit_rows)
-        sample = np.array([r.x for r in chosen.collect()], dtype=np.float64)  # at most fit_rows vectors
-        forests[dims] = grow_forest(sample / np.linalg.norm(sample, axis=1)[:, None], total, trees, leaf, threshold)
+        wanted = fit_rows or min(MAX_FIT, max(LEAST_FIT, total // 64))
+        share = min(1.0, wanted / total)
+        chosen = nodes.where(F.size("x") == dims).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").orderBy(F.xxhash64("x")).limit(wanted)
+        forests[dims] = grow_forest(_units(chosen.toArrow().column("x").combine_chunks()), total, trees, leaf, threshold)  # at most ``wanted`` vectors
     sent = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
             dims = np.array([len(v) for v in batch.column("x")])
             for d in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == d)))
-                x = _matrix(part.column("x"))
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = _units(part.column("x"))
                 reached, base = [], 0
                 for tree in sent.value[int(d)]:
                     who, leaf_no = tree.route(x)
@@ -164,25 +193,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     routed = materialize(nodes.mapInArrow(route, with_leaves).withColumn("dims", F.size("x")), "routed")
     placed = routed.withColumn("leaf", F.explode("leaves"))
     key = ["label", "dims", "leaf"]
-    large = placed.groupBy(*key).count().where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("b"))
-    large = materialize(large, "large_leaves")
-    cut = placed.join(large, key, "left").withColumn("b", F.coalesce("b", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("id"), F.col("b").cast("long")).cast("int"))
-    pairs = cut.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.least(F.col("k"), j).alias("lo"), F.greatest(F.col("k"), j).alias("hi")))))
-    tasks = pairs.select(*key, "pair.lo", "pair.hi", "k", "id", "copies", "x", "leaves")
+    members = materialize(_members(placed, nodes, key, threshold), "members")
+    grouped = placed.join(members, "id", "left")
+    # In a large leaf the commonest group is the inner side, all other rows the outer one; inner blocks only meet outer ones.
+    parts = grouped.groupBy(*key, "ball").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.when(F.col("ball").isNotNull(), F.struct("n", "ball"))).alias("inner")).where(F.col("n") > BLOCK)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    inner_n = F.coalesce("inner.n", F.lit(0))
+    large = materialize(sizes.select(*key, F.col("inner.ball").alias("inner"), blocks(inner_n).alias("bi"), blocks(F.col("n") - inner_n).alias("bo")), "large_leaves")
+    cut = grouped.join(large, key, "left").withColumn("is_inner", F.coalesce(F.col("ball") == F.col("inner"), F.lit(False)))
+    own = F.when(F.col("is_inner"), F.col("bi")).otherwise(F.coalesce("bo", F.lit(1)))
+    cut = cut.withColumn("k", F.pmod(F.xxhash64("id"), F.greatest(own, F.lit(1)).cast("long")).cast("int"))
+    outer = F.sequence(F.lit(0), F.greatest(F.coalesce("bo", F.lit(1)) - 1, F.lit(0)))
+    with_outer = F.when(F.coalesce("bo", F.lit(1)) > 0, F.transform(outer, lambda j: F.struct(F.least(F.col("k"), j).alias("lo"), F.greatest(F.col("k"), j).alias("hi"))))
+    with_inner = F.when(F.coalesce("bi", F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("bi") - 1, F.lit(0))), lambda j: F.struct(F.col("k").alias("lo"), (-1 - j).alias("hi"))))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    inner_pairs = F.when(F.col("bo") > 0, F.transform(outer, lambda j: F.struct(j.alias("lo"), (F.lit(-1) - F.col("k")).alias("hi"))))
+    pair = F.when(F.col("is_inner"), F.coalesce(inner_pairs, none)).otherwise(F.concat(F.coalesce(with_outer, none), F.coalesce(with_inner, none)))
+    tasks = cut.withColumn("pair", F.explode(pair)).select(*key, "pair.lo", "pair.hi", "k", "is_inner", "id", "copies", "x", "leaves", F.coalesce("ball", F.lit(-1)).alias("ball_id"))
 
     def compare(group: pa.Table) -> pa.Table:
         lo, hi, here = group.column("lo")[0].as_py(), group.column("hi")[0].as_py(), group.column("leaf")[0].as_py()
         found = (np.zeros(0, dtype=np.int64),) * 3
         if group.num_rows > 1:
-            side = None if lo == hi else group.column("k").to_numpy() == hi
-            found = leaf_links(group.column("id").to_numpy(), group.column("copies").to_numpy(), np.array(group.column("x").to_pylist(), dtype=np.float64), group.column("leaves").to_pylist(), here, side, threshold)
+            k, inner = group.column("k").to_numpy(), np.array(group.column("is_inner").to_pylist())
+            side = None if lo == hi else inner if hi < 0 else k == hi
+            numbers = [group.column(c).to_numpy() for c in ("id", "copies", "ball_id")]
+            found = leaf_links(*numbers[:2], _units(group.column("x").combine_chunks()), group.column("leaves").to_pylist(), here, side, numbers[2], threshold)
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("id", "links", "root"), found, strict=True)})
 
     linked = materialize(tasks.groupBy(*key, "lo", "hi").applyInArrow(compare, "id long, links long, root long"), "links")
-    comps = linked_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    sizes = members.join(nodes.select("id", "copies"), "id").groupBy("ball").agg(F.sum("copies").alias("held"))
+    balls = members.join(sizes, "ball").select("id", "ball", "held")
+    comps = linked_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("ball").alias("b"))))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    facts = nodes.join(counts, "id", "left").join(comps, "id", "left").select(
-        "label", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    others = F.coalesce("links", F.lit(0)) + F.coalesce("held", "copies") - 1
+    facts = nodes.join(counts, "id", "left").join(balls, "id", "left").join(comps, "id", "left").select("label", "x", others.alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     out = rows.join(facts, ["label", "x"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -58,6 +58,29 @@ def test_large_leaves_are_cut_into_blocks(spark, planted, monkeypatch):
     assert sum(found.values()) >= 0.9 * degree.sum() and all(found[i] <= degree[i] for i in found)
 
 
+@pytest.mark.parametrize("noise", [0.002, 0.012, 0.03])
+def test_dense_groups_by_representatives(spark, monkeypatch, noise):
+    """Two groups of near copies that no split divides, with vectors at their rims, against brute force."""
+    monkeypatch.setattr(forest, "BLOCK", 24)
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((120, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = np.concatenate([base, base[0] + noise * rng.standard_normal((200, 24)), base[1] + noise * rng.standard_normal((90, 24)), base[0] + 0.03 * rng.standard_normal((60, 24)), base[:2], base[:2]])
+    labels = np.zeros(len(x), dtype=np.int64)
+    df = spark.createDataFrame(rows_of(x, labels.tolist()), "vec_id long, embedding array<double>, label int")
+    degree, comp = brute_links(x, labels)
+    got = {r.vec_id: r for r in forest.near_duplicates(df, leaf=40).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= degree).all() and found.sum() >= 0.98 * degree.sum()
+    assert np.mean([got[i].component_id == comp[i] for i in range(len(x))]) > 0.97
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e200, 2e200], 1), (3, [1.0, 2.0], 1), (4, [2e-310, 4e-310], 1), (5, [1.0, -2.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
 def test_forest_edges(spark):
     v = [1.0, 0.0, 0.0]
     rows = [(1, v, 1), (2, [2.0, 0.0, 0.0], 1), (3, v, 2), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [1.0, None, 0.0], 1), (7, [float("nan"), 0.0, 1.0], 1), (8, [float("inf"), 0.0, 0.0], 1), (9, v, None), (10, v, 1), (11, [1.0, 0.0], 1), (10, v, 1), (None, v, 1), (12, [], 1)]
