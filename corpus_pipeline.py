@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``documents``. Counted as part of ``fathomline.llm``.
+
+Nulls and edges, stage by stage: a text that is null, empty or without a letter has no language and goes in the first
+stage; a clean one stays whatever its labels. Rows that repeat another one are judged alike and go or stay together, until
+the near-duplicate stage keeps one row of each class (the smallest ``doc_id``; of rows that repeat it one stays, and rows
+without a ``doc_id`` all stay). Very long texts are read whole in every stage. Columns beyond those of ``documents``, of any
+name, pass through the first three stages. An empty table gives no rows.
 """
 
 from __future__ import annotations

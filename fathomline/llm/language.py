@@ -11,7 +11,11 @@ other one that at least ``MIN_DECLARED`` records declare; rarer ones count as an
 
 A record is rejected if its text has no letter or no language reaches ``min_confidence``. Nulls: a null text has no
 letters; a null declaration, suffix or host is no evidence of its kind. Repeated rows are judged each. An empty table
-gives no rows. Without any declared language nothing can be identified and every record is rejected.
+gives no rows. Without any declared language nothing can be identified and every record is rejected. Of equally
+probable languages the first by name is taken. Texts of any length are read whole, in blocks; as trigrams of one text
+depend on each other, a text's evidence counts as that of ``EVIDENCE`` trigrams at most, so that a long text cannot make
+the other evidence meaningless. Columns of other names, the operator's own included, are ignored here and kept by
+``keep_identified``.
 """
 
 from __future__ import annotations

@@ -338,6 +338,49 @@ def test_language(spark, sf, docs):
     assert len(pages) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r.kept for r in pages)
 
 
+def test_language_from_text_alone_and_against_wrong_declarations(spark, docs):
+    """``lang`` is both label and declaration in the tables, so agreement is measured without it, and with wrong ones."""
+    known = docs.where("length(text) > 100").select("doc_id", "text", "lang")
+    evidence = lambda declared, shift: known.select((F.col("doc_id") + shift).alias("id"), "text", declared.alias("declared"), F.lit("").alias("suffix"), F.lit(f"h{shift}").alias("host"))
+    wrong = F.when(F.col("lang") == "en", "de").otherwise("en")
+    rows = evidence(F.col("lang"), 0).unionByName(evidence(F.lit(None).cast("string"), 1_000_000)).unionByName(evidence(F.when(F.col("doc_id") % 10 == 0, wrong).otherwise(F.lit(None)), 2_000_000))
+    got = {r.id: r.language for r in language.identify(rows).collect()}
+    said = {r.doc_id: r.lang for r in known.collect()}
+    assert np.mean([got[d + 1_000_000] == v for d, v in said.items()]) > 0.97
+    assert np.mean([got[d + 2_000_000] == v for d, v in said.items() if d % 10 == 0]) > 0.9
+
+
+def test_language_equals_brute_force(spark):
+    """The fused posterior of a small table, by plain loops over its own text likelihoods."""
+    rows = [(i, made_up(i % 2, i), ("aa", "bb", None)[i % 3] if i % 7 else None, "x" if i % 4 else "y", f"h{i % 5}") for i in range(60)]
+    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    got = {r.id: (r.language, r.confidence) for r in language.identify(evidence).collect()}
+    names = ["aa", "bb"]
+    counts = {n: np.full(language.BUCKETS, 0.05) for n in names}
+    for _, text, declared, _, _ in rows:
+        if declared:
+            for t in language.trigrams(text):
+                np.add.at(counts[declared], t, 1)
+    model = np.log(np.stack([counts[n] / counts[n].sum() for n in names], 1)).astype(np.float32)
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    logs = {}
+    for i, text, *_ in rows:
+        t = np.concatenate(list(language.trigrams(text)))
+        logs[i] = model[t].astype(np.float64).sum(0) * min(len(t), language.EVIDENCE) / len(t)
+    post = {i: soft(v) for i, v in logs.items()}
+    total = sum(post.values()) + 0.5
+    total = total / total.sum()
+    by = lambda keep: sum((post[r[0]] for r in rows if keep(r)), np.zeros(2))
+    trust = np.stack([by(lambda r, d=d: r[2] == d) for d in names] + [np.zeros(2)]) + language.DECLARED_WEIGHT
+    trust = np.log(trust / trust.sum(0))
+    for i, _, declared, suffix, host in rows:
+        s, h = by(lambda r, x=suffix: r[3] == x), by(lambda r, x=(suffix, host): (r[3], r[4]) == x)
+        q = (s + language.SUFFIX_WEIGHT * total) / (s.sum() + language.SUFFIX_WEIGHT)
+        v = logs[i] + np.log((h + language.HOST_WEIGHT * q) / (h.sum() + language.HOST_WEIGHT)) + (trust[names.index(declared)] if declared else 0)
+        want = soft(v)
+        assert got[i][0] == names[int(want.argmax())] and abs(got[i][1] - want.max()) < 1e-6
+
+
 def test_language_evidence(spark, docs):
     text = {r.lang: r.text for r in docs.where("length(text) > 2000").collect()}
     rows = [(9001, text["fr"], "en", "src1"), (9002, None, "en", "src1"), (9003, "123 456 !", "en", None), (9004, "xq", "de", "srcX"), (9004, "xq", "de", "srcX"), (None, text["de"], None, None)]
