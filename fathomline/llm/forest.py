@@ -94,19 +94,22 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: list, here: int, side: np.ndarray | None, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _earlier(leaves: pa.ListArray, here: int) -> np.ndarray:
+    """For each row, the leaves before this one as packed bits."""
+    spots, row = leaves.flatten().to_numpy(), np.repeat(np.arange(len(leaves)), leaves.value_lengths().to_numpy())
+    early, at = np.unique(spots[spots < here], return_inverse=True)
+    member = np.zeros((len(leaves), len(early)), dtype=bool)
+    member[row[spots < here], at] = True
+    return np.packbits(member, axis=1)
+
+
+def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: pa.ListArray, here: int, side: np.ndarray | None, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors with a link in this leaf, how many vectors they meet here first, and the smallest id of their linked group.
 
     ``rows`` have length one. ``side`` splits the rows of two blocks, of which only mixed pairs count; None compares all
     rows. Rows of one ``group`` (-1: none) are known to link and are left out.
     """
-    n = len(ids)
-    early = sorted({x for own in leaves for x in own if x < here})
-    at = {x: k for k, x in enumerate(early)}
-    member = np.zeros((n, len(early)), dtype=bool)
-    for i, own in enumerate(leaves):
-        member[i, [at[x] for x in own if x < here]] = True
-    member = np.packbits(member, axis=1)
+    n, member = len(ids), None
     found, count, label = [], np.zeros(n, dtype=np.int64), np.arange(n)
     for a in range(0, n, 256):
         b = min(a + 256, n)
@@ -117,6 +120,7 @@ def leaf_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, leaves: li
         if not len(i):
             continue
         found.append((i, j))
+        member = _earlier(leaves, here) if member is None else member
         first = ~(member[i] & member[j]).any(1)
         count += np.bincount(i[first], copies[j[first]], n).astype(np.int64) + np.bincount(j[first], copies[i[first]], n).astype(np.int64)
     if not found:
@@ -216,10 +220,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
         lo, hi, here = group.column("lo")[0].as_py(), group.column("hi")[0].as_py(), group.column("leaf")[0].as_py()
         found = (np.zeros(0, dtype=np.int64),) * 3
         if group.num_rows > 1:
-            k, inner = group.column("k").to_numpy(), np.array(group.column("is_inner").to_pylist())
+            k, inner = group.column("k").to_numpy(), group.column("is_inner").to_numpy()
             side = None if lo == hi else inner if hi < 0 else k == hi
             numbers = [group.column(c).to_numpy() for c in ("id", "copies", "ball_id")]
-            found = leaf_links(*numbers[:2], _units(group.column("x").combine_chunks()), group.column("leaves").to_pylist(), here, side, numbers[2], threshold)
+            found = leaf_links(*numbers[:2], _units(group.column("x").combine_chunks()), group.column("leaves").combine_chunks(), here, side, numbers[2], threshold)
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("id", "links", "root"), found, strict=True)})
 
     linked = materialize(tasks.groupBy(*key, "lo", "hi").applyInArrow(compare, "id long, links long, root long"), "links")
