@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,6 +159,42 @@ def _members(placed: DataFrame, nodes: DataFrame, key: list[str], threshold: flo
     return found.groupBy("id").agg(F.min("ball").alias("ball"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows cut into their groups of equal ``key``; at most one group is held over from batch to batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        whole = pa.concat_batches([held[-1].slice(len(held[-1]) - 1), batch]) if held else batch
+        columns = [whole.column(c) for c in key]
+        change = np.zeros(len(whole) - 1, dtype=bool)
+        for c in columns:
+            change |= pc.not_equal(c.slice(1), c.slice(0, len(whole) - 1)).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(change) + 1 - (1 if held else 0)  # positions in ``batch`` where a group starts
+        at = 0
+        for end in ends.tolist():
+            held.append(batch.slice(at, end - at))
+            yield pa.concat_batches(held)
+            held, at = [], end
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], key: list[str], threshold: float) -> Iterator[pa.RecordBatch]:
+    """``id, links, root`` of the linked vectors of each group of ``key``; small leaves are far too many for a call each."""
+    for group in _runs(batches, key):
+        if len(group) < 2:
+            continue
+        lo, hi, here = (group.column(c)[0].as_py() for c in ("lo", "hi", "leaf"))
+        k, inner = group.column("k").to_numpy(), group.column("is_inner").to_numpy(zero_copy_only=False)
+        side = None if lo == hi else inner if hi < 0 else k == hi
+        ids, copies, ball = (group.column(c).to_numpy() for c in ("id", "copies", "ball_id"))
+        found = leaf_links(ids, copies, _units(group.column("x")), group.column("leaves"), here, side, ball, threshold)
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["id", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, leaf: int = LEAF, fit_rows: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors (vec_id, embedding, label)``."""
     spark = vectors.sparkSession
@@ -198,7 +235,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     placed = routed.withColumn("leaf", F.explode("leaves"))
     key = ["label", "dims", "leaf"]
     members = materialize(_members(placed, nodes, key, threshold), "members")
-    grouped = placed.join(members, "id", "left")
+    grouped = routed.join(members, "id", "left").withColumn("leaf", F.explode("leaves"))
     # In a large leaf the commonest group is the inner side, all other rows the outer one; inner blocks only meet outer ones.
     parts = grouped.groupBy(*key, "ball").agg(F.count("*").alias("n"))
     sizes = parts.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.when(F.col("ball").isNotNull(), F.struct("n", "ball"))).alias("inner")).where(F.col("n") > BLOCK)
@@ -214,19 +251,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     inner_pairs = F.when(F.col("bo") > 0, F.transform(outer, lambda j: F.struct(j.alias("lo"), (F.lit(-1) - F.col("k")).alias("hi"))))
     pair = F.when(F.col("is_inner"), F.coalesce(inner_pairs, none)).otherwise(F.concat(F.coalesce(with_outer, none), F.coalesce(with_inner, none)))
-    tasks = cut.withColumn("pair", F.explode(pair)).select(*key, "pair.lo", "pair.hi", "k", "is_inner", "id", "copies", "x", "leaves", F.coalesce("ball", F.lit(-1)).alias("ball_id"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        lo, hi, here = group.column("lo")[0].as_py(), group.column("hi")[0].as_py(), group.column("leaf")[0].as_py()
-        found = (np.zeros(0, dtype=np.int64),) * 3
-        if group.num_rows > 1:
-            k, inner = group.column("k").to_numpy(), group.column("is_inner").to_numpy()
-            side = None if lo == hi else inner if hi < 0 else k == hi
-            numbers = [group.column(c).to_numpy() for c in ("id", "copies", "ball_id")]
-            found = leaf_links(*numbers[:2], _units(group.column("x").combine_chunks()), group.column("leaves").combine_chunks(), here, side, numbers[2], threshold)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("id", "links", "root"), found, strict=True)})
-
-    linked = materialize(tasks.groupBy(*key, "lo", "hi").applyInArrow(compare, "id long, links long, root long"), "links")
+    tasks = cut.withColumn("pair", F.explode(pair)).select(F.col("label").cast("string").alias("label"), "dims", "leaf", "pair.lo", "pair.hi", "k", "is_inner", "id", "copies", "x", "leaves", F.coalesce("ball", F.lit(-1)).alias("ball_id"))
+
+    task = [*key, "lo", "hi"]
+    sorted_tasks = tasks.repartition(*task).sortWithinPartitions(*task)
+    linked = materialize(sorted_tasks.mapInArrow(lambda batches: _compare(batches, task, threshold), "id long, links long, root long"), "links")
     sizes = members.join(nodes.select("id", "copies"), "id").groupBy("ball").agg(F.sum("copies").alias("held"))
     balls = members.join(sizes, "ball").select("id", "ball", "held")
     comps = linked_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("ball").alias("b"))))

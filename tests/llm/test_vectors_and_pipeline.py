@@ -1,6 +1,7 @@
 """Operators on vectors, linked components, and the pipeline against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text_operators import slow_classes, slow_fingerprint, token_rows, check_packing
@@ -81,6 +82,16 @@ def test_tiny_and_huge_components(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
 
 
+def test_forest_groups_run_over_batches():
+    label, leaf = ["a"] * 3 + ["b"] * 9 + ["c"], [0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2]
+    whole = pa.record_batch({"label": pa.array(label), "leaf": pa.array(leaf, pa.int32()), "id": pa.array(range(13), pa.int64())})
+    want = [[0, 1], [2], list(range(3, 11)), [11], [12]]
+    for size in range(1, 14):
+        batches = [whole.slice(at, size) for at in range(0, 13, size)] + [whole.slice(0, 0)]
+        assert [g.column("id").to_pylist() for g in forest._runs(iter(batches), ["label", "leaf"])] == want
+    assert list(forest._runs(iter([]), ["label", "leaf"])) == []
+
+
 def test_forest_edges(spark):
     v = [1.0, 0.0, 0.0]
     rows = [(1, v, 1), (2, [2.0, 0.0, 0.0], 1), (3, v, 2), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [1.0, None, 0.0], 1), (7, [float("nan"), 0.0, 1.0], 1), (8, [float("inf"), 0.0, 0.0], 1), (9, v, None), (10, v, 1), (11, [1.0, 0.0], 1), (10, v, 1), (None, v, 1), (12, [], 1)]
