@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import forest, language, lexicon, licenses, packing, simhash, sitetree, toxicity, vafile, wavelet
+from fathomline.llm import forest, language, lexicon, license_sql, licenses, packing, simhash, sitetree, toxicity, vafile, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op1_main_text": sitetree.op1_main_text,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable] = {
 }
 #: The other operators train, hash, tokenize or parse; the tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": license_sql.SQL,
     "op5_near_duplicates": """
         WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fathomline.llm import language, lexicon, licenses, packing, simhash, sitetree, toxicity, wavelet
+from fathomline.llm import language, lexicon, license_sql, licenses, packing, simhash, sitetree, toxicity, wavelet
 from fathomline.llm.byte_tokens import ByteTokens, default_tokenizer
 from fathomline.llm.merges import MergeTable
 
@@ -491,7 +492,7 @@ def slow_statements(text):
         said = re.split(r"(?<=[.!?;])\s+", re.sub(rf"\s*\r?\n{sign}", " ", paragraph))
         for n in (1, 2, 3):
             out += [" ".join(said[i : i + n]) for i in range(max(len(said) - n + 1, 1))]
-    return [s for s in out if re.search(licenses._TELLING, s)]
+    return [s for s in out if re.search(licenses.TELLING, s)]
 
 
 def slow_licenses(texts):
@@ -529,6 +530,24 @@ def test_licenses_equal_brute_force(spark, sf, docs, texts):
     assert got == slow_licenses({d: t or "" for d, t in texts.items()}) and len(got) >= 3
 
 
+def by_duckdb(sql, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    return sorted(con.execute(sql).fetchall(), key=repr)
+
+
+def test_licenses_equal_sql_on_awkward_documents(spark, tmp_path):
+    gpl = " * You can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, version {}.\n *\n * Copyright of all; permission is asked.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
+    texts = [gpl.format(2), gpl.format(3), mpl, "Released under the MIT License", None, "", "plain words", "# SPDX-License-Identifier: (MIT OR GPL-3.0-or-later)\nx = 1", "Licensed under CC BY 4.0. Released under the MIT License.",
+             "\n\n. licence; Licensed under the Apache License, Version 2.0!\r\n\r\n// \r\nLICENSE: none \u0130", "words " * 30_000 + "\n//\nReleased under the\n// MIT License. " + "more " * 30_000]
+    rows = [(None if i == 40 else i * 7, t, None if i % 5 == 0 else "en", [None, "a/b", "web", "code"][i % 4]) for i, t in enumerate(texts * 6)]
+    spark.createDataFrame(rows + rows[:4], "doc_id long, text string, lang string, source string").withColumn("license", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in licenses.op4_licenses(spark, str(tmp_path)).collect()), key=repr)
+    assert got == by_duckdb(license_sql.SQL, tmp_path)
+    assert {r[4] for r in got} == {"own", "inherited", "none"} and len(got) == len(rows) + 4
+
+
 def test_headers_of_three_lines_and_identifiers(spark):
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
     long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 200_000
