@@ -541,13 +541,20 @@ def test_licenses_equal_sql_on_awkward_documents(spark, tmp_path):
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
     texts = [gpl.format(2), gpl.format(3), mpl, "Released under the MIT License", None, "", "plain words", "# SPDX-License-Identifier: (MIT OR GPL-3.0-or-later)\nx = 1", "Licensed under CC BY 4.0. Released under the MIT License.",
              "\n\n. licence; Licensed under the Apache License, Version 2.0!\r\n\r\n// \r\nLICENSE: none \u0130", "words " * 30_000 + "\n//\nReleased under the\n// MIT License. " + "more " * 30_000]
-    rows = [(None if i == 40 else i * 7, t, None if i % 5 == 0 else "en", [None, "a/b", "web", "code"][i % 4]) for i, t in enumerate(texts * 6)]
+    rows = [(None if i == 40 else i * 7, t, None if i % 5 == 0 else "en", [None, "a/b", "", "code"][i % 4]) for i, t in enumerate(texts * 6)]
     spark.createDataFrame(rows + rows[:4], "doc_id long, text string, lang string, source string").withColumn("license", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in licenses.op4_licenses(spark, str(tmp_path)).collect()), key=repr)
     assert got == by_duckdb(license_sql.SQL, tmp_path)
     assert {r[4] for r in got} == {"own", "inherited", "none"} and len(got) == len(rows) + 4
 
 
+def test_absolute_paths_inherit(spark):
+    mit = "Released under the MIT License"
+    rows = [(1, "/usr/lib/LICENSE", mit), (2, "/usr/lib/a/b.c", "code"), (3, "/usr//lib//c.c", "code"), (4, "/usr/d.c", "code"), (5, "//e.c", "code")]
+    got = {r.file_id: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "inherited"), 4: (None, "none"), 5: (None, "none")}
+
+
 def test_headers_of_three_lines_and_identifiers(spark):
     mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;"
     long = "word " * 200_000 + "\n\nReleased under the MIT License.\n\n" + "more " * 200_000
