@@ -7,7 +7,9 @@ depends on the capacity, not on the data. Pieces then find their bin by their ra
 comes from per-partition counts; no class is ever gathered in one task.
 
 Nulls: a null text is an empty document (its end id alone); a null ``doc_id`` stays null. Equal rows are packed
-separately. An empty table gives no rows. Other columns are ignored here and kept by the pipeline stage.
+separately. Very long texts are encoded whole and cut: their first piece takes what is left over, all others are full.
+Equally long pieces are interchangeable, and take their places in the order of partitions and rows. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
