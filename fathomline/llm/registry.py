@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import forest, language, lexicon, license_sql, licenses, packing, simhash, sitetree, toxicity, vafile, wavelet
+from fathomline.llm import fill_middle, forest, language, lexicon, license_sql, licenses, packing, simhash, sitetree, toxicity, vafile, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op1_main_text": sitetree.op1_main_text,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_top_k": vafile.op10_top_k,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
 }
 #: The other operators train, hash, tokenize or parse; the tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS i FROM embeddings WHERE embedding IS NOT NULL),
         s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.i) + 1), lambda k: q.i[k] * v.i[k]))::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op12_fill_in_middle": fill_middle.SQL,
 }
