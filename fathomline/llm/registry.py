@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from fathomline.llm import fill_middle, forest, language, lexicon, license_sql, licenses, packing, periodic, simhash, sitetree, toxicity, vafile, wavelet
+from fathomline.llm import fill_middle, forest, language, lexicon, license_sql, licenses, packing, periodic, simhash, sitetree, suffixes, toxicity, vafile, wavelet
 
 QUERIES: dict[str, Callable] = {
     "op1_main_text": sitetree.op1_main_text,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable] = {
     "op10_top_k": vafile.op10_top_k,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_repeated_passages": suffixes.op13_repeated_passages,
 }
 #: The other operators train, hash, tokenize or parse; the tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {
