@@ -6,6 +6,8 @@ from fathomline.llm.licenses import BLANK, FILE_SHARE, MIN_COSINE, NAME, SIGN, S
 
 #: White space of Java's regular expressions; a private-use character that stands where texts are cut.
 _SPACE, _CUT = r"[ \t\n\x0B\f\r]", "chr(1114109)"
+#: The pattern of the Spark side without its possessive sign, which changes no match.
+_BLANK = BLANK.replace("++", "+")
 _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 _VALUES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
 _TAGS = ", ".join(f"('{name.lower()}', '{name}')" for name in sorted({name for name, _ in TEMPLATES}))
@@ -32,7 +34,7 @@ SQL = f"""
     lines AS (
         SELECT file_id, path, words, 0 AS kind, unnest(string_split(regexp_replace(text, '([.!?;:])(\\n+|{_SPACE}+)|\\n+', '\\1' || {_CUT}, 'g'), {_CUT})) AS statement
         FROM telling),
-    paragraphs AS (SELECT file_id, path, words, unnest(string_split(regexp_replace(text, '{BLANK}', {_CUT}, 'g'), {_CUT})) AS p FROM telling),
+    paragraphs AS (SELECT file_id, path, words, unnest(string_split(regexp_replace(text, '{_BLANK}', {_CUT}, 'g'), {_CUT})) AS p FROM telling),
     said AS (
         SELECT file_id, path, words, string_split(regexp_replace(regexp_replace(p, '{_SPACE}*\\r?\\n{SIGN}', ' ', 'g'), '([.!?;]){_SPACE}+', '\\1' || {_CUT}, 'g'), {_CUT}) AS s
         FROM paragraphs),

@@ -58,14 +58,14 @@ TEMPLATES: list[tuple[str, str]] = [
 TELLING = r"(?i)licen[cs]|copyright|spdx|redistribut|permission (is|to)|public domain"
 #: Comment signs at the start of a line; lines without anything else; identifiers after an SPDX tag.
 SIGN = r"[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+)?[ \t]*"
-BLANK = rf"\r?\n(?:{SIGN}\r?\n)+"
+BLANK = rf"\r?\n(?:{SIGN}\r?\n)++"  # possessive: a repeated group of Java's is matched by recursion else
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)"
 NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.\w+)?$"
 
 
 def terms(text: Column) -> Column:
     """Lower-case terms: letters and digits, with inner dots and hyphens (2.0, BY-NC)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*+"), F.lit(0))
 
 
 def _weights(rows: DataFrame, key: str, idf: Column) -> DataFrame:
