@@ -67,6 +67,8 @@ class NoisyOr:
                     word_of += [vocab.setdefault(w, len(vocab)) for w in words]
                     sent_of += [len(doc_of)] * len(words)
                     doc_of.append(d)
+        if not vocab:
+            return cls(None, 0.0, float(y.mean()))
         word, sent, doc = np.array(word_of), np.array(sent_of), np.array(doc_of)
         pairs = [(w, f) for word_, w in vocab.items() for f in features(word_)]
         pw, pf = (np.array(c) for c in zip(*pairs, strict=True))
