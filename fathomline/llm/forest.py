@@ -202,13 +202,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     usable = F.coalesce(finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("x", F.when(usable, F.col("x")))
-    nodes = materialize(rows.where("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
+    nodes = rows.where("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # written once, so ids stay; one vec_id may have several vectors
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("x")).count().collect()}  # one row for each length of vectors
     forests = {}
     for dims, total in sizes.items():
         wanted = fit_rows or min(MAX_FIT, max(LEAST_FIT, total // 64))
         share = min(1.0, wanted / total)
-        chosen = nodes.where(F.size("x") == dims).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").orderBy(F.xxhash64("x")).limit(wanted)
+        chosen = nodes.where(F.size("x") == dims).where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").orderBy(F.xxhash64("x")).limit(wanted)
         forests[dims] = grow_forest(_units(chosen.toArrow().column("x").combine_chunks()), total, trees, leaf, threshold)  # at most ``wanted`` vectors
     sent = spark.sparkContext.broadcast(forests)
 
@@ -261,7 +262,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     comps = linked_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("ball").alias("b"))))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     others = F.coalesce("links", F.lit(0)) + F.coalesce("held", "copies") - 1
-    facts = nodes.join(counts, "id", "left").join(balls, "id", "left").join(comps, "id", "left").select("label", "x", others.alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    facts = nodes.join(counts, "id", "left").join(balls, "id", "left").join(comps, "id", "left").select("label", "x", "least", others.alias("n_links"), F.coalesce("component_id", "id").alias("root"))
+    facts = materialize(facts, "facts")
+    smallest = facts.groupBy("root").agg(F.min("least").alias("component_id"))
+    facts = facts.join(smallest, "root").select("label", "x", "n_links", "component_id")
     out = rows.join(facts, ["label", "x"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
