@@ -166,8 +166,10 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, key, fp, component_id`` of every row of ``docs``."""
     fps = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    comps = linked_components(fingerprint_links(nodes.where("id is not null")))
-    classes = nodes.join(comps, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    # a fingerprint is its node: one doc_id may have several
+    comps = linked_components(fingerprint_links(nodes.where("id is not null").select("fp", F.col("fp").alias("id")))).select(F.col("id").alias("fp"), F.col("component_id").alias("root"))
+    rooted = materialize(nodes.join(comps, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
 
 
