@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 _NONE = np.int32(2**31 - 1)
+#: Words of more bytes are merged one by one.
+LONG = 256
 
 
 def byte_chars() -> list[str]:
@@ -31,6 +35,7 @@ class MergeTable:
         first[1:] = keys[order][1:] != keys[order][:-1]
         self.ranks, self.keys, self.made = order[first].astype(np.int32), keys[order][first], made
         self.dtype = np.dtype(dtype)
+        self._of: dict[int, int] | None = None  # ranks by pair, for long words
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -42,13 +47,43 @@ class MergeTable:
         out: list[bytes] = [b""] * len(words)
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            groups.setdefault(len(w), []).append(i)
+            if len(w) > LONG:
+                out[i] = self._long(w)
+            else:
+                groups.setdefault(len(w), []).append(i)
         for n, members in groups.items():
             step = max(1, (1 << 16) // max(n, 1))  # keeps the matrices in cache
             for at in range(0, len(members) if n else 0, step):
                 self._group(words, members[at : at + step], n, out)
         return out
 
+    def _long(self, word: bytes) -> bytes:
+        """Ids of a long word by a heap of its pairs, in time that grows with its length (times its logarithm) only."""
+        ids = self.inner[np.frombuffer(word, dtype=np.uint8)]
+        ids[-1] = self.last[word[-1]]
+        heap = [(r, i) for i, r in enumerate(self._rank(ids[:-1], ids[1:]).tolist()) if r != _NONE]
+        heapq.heapify(heap)
+        ids, n = ids.tolist(), len(ids)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        if self._of is None:
+            self._of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        rank_of, made = self._of.get, self.made
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of(ids[i] << 32 | ids[j]) != r:  # an older pair stood here
+                continue
+            ids[i], ids[j], k = int(made[r]), -1, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := rank_of(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank_of(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return np.array([x for x in ids if x >= 0], dtype=self.dtype).tobytes()
+
     def _group(self, words: list[bytes], members: list[int], n: int, out: list[bytes]) -> None:
         raw = np.frombuffer(b"".join([words[i] for i in members]), dtype=np.uint8).reshape(-1, n)
         ids = self.inner[raw]
