@@ -63,6 +63,8 @@ _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""",
     re.S | re.I,
 )
+#: What can follow the last ">" of a page: comments to its end, text, and "<" that opens nothing. The groups of _TOKEN stay empty.
+_TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|[^<]+|<|(?!)()()()()()()()", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _FORM_TAGS = frozenset("form fieldset".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,6 +73,16 @@ _LONG_NUMBER = re.compile(r"\d{3,}")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _tokens(source: str) -> Iterator[re.Match]:
+    """Tokens of a page; behind its last ">" no tag is looked for, as each attempt would read to the end."""
+    last, at = source.rfind(">"), 0
+    while at <= last:
+        m = _TOKEN.match(source, at)
+        yield m
+        at = m.end()
+    yield from _TAIL.finditer(source, at)
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -125,7 +137,7 @@ class Page:
                     self.blocks.append((self._open(side[0], side[3], stack[-1]), block, 0))
                 side = None
 
-        for m in _TOKEN.finditer(source):
+        for m in _tokens(source):
             whole = m.group()
             if whole[0] != "<" or whole == "<":
                 (side[2] if side else text).append(whole)
