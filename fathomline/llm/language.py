@@ -6,8 +6,8 @@ that is smoothed towards their suffix's, and suffixes one that is smoothed towar
 grouped sums of text posteriors over all records. How far a declaration can be trusted comes from the same sums.
 
 The trigram models are fitted on about ``fit_rows`` records of each declared language (chosen by hash, all where it has
-fewer); everything else covers all records and whole texts. The ``ALWAYS`` most declared languages are taken, and every
-other one that at least ``MIN_DECLARED`` records declare; rarer ones count as an unknown declaration.
+fewer); everything else covers all records and whole texts. Every declared language is taken, however rare: codes of two
+or three letters, so the table of models has a bound (64 KB for each language).
 
 A record is rejected if its text has no letter or no language reaches ``min_confidence``. Nulls: a null text has no
 letters; a null declaration, suffix or host is no evidence of its kind. Repeated rows are judged each. An empty table
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import free_name, materialize, table, text_or_empty, without
 
-FIT_ROWS, ALWAYS, MIN_DECLARED, BUCKETS = 4_000, 64, 20, 1 << 14
+FIT_ROWS, BUCKETS = 4_000, 1 << 14
 #: Trigrams of one text count as this many independent ones at most; pseudo-counts of the host, suffix and declaration levels.
 EVIDENCE, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 60, 20.0, 50.0, 1.0
 SALTS = 16
@@ -111,7 +111,7 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
     evidence = evidence.withColumn("declared", F.lower(F.regexp_extract(F.trim(F.coalesce("declared", F.lit(""))), "^[A-Za-z]{2,3}", 0)))
     counts = evidence.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).collect()  # codes of two or three letters
     tops = sorted(((r.n, r.declared) for r in counts), key=lambda r: (-r[0], r[1]))
-    taken = {name: n for i, (n, name) in enumerate(tops) if i < ALWAYS or n >= MIN_DECLARED}
+    taken = {name: n for n, name in tops}
     languages = sorted(taken)
     if not languages:
         return evidence.select("id", "key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
