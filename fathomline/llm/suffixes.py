@@ -8,13 +8,14 @@ anchors, so a shard of the anchors' hashes has all that can match, and only anch
 
 1. every block of documents sends its anchors' hashes to the shards, which answer with those that occur again elsewhere;
 2. blocks send the different contexts of these, each with the smallest ``doc_id`` that has it;
-3. a shard writes its contexts one after another and sorts their suffixes by the difference cover {1, 2} modulo 3: triples
-   at these places are sorted and named, the names are sorted by recursion (four levels decide 81 bytes), the remaining
-   suffixes are merged in; suffixes next to each other that agree in 50 bytes are one group with one smallest ``doc_id``;
+3. a shard writes the contexts of its anchors one after another (where an anchor has but one context, all its strings are
+   equal) and sorts their suffixes by the difference cover {1, 2} modulo 3: triples at these places are sorted and named, the
+   names are sorted by recursion (four levels decide 81 bytes), the remaining suffixes are merged in; suffixes next to each
+   other that agree in 50 bytes are one group with one smallest ``doc_id``;
 4. a block's answer says which strings of which contexts stand in a smaller document, and the block cuts its documents.
 
 Blocks are documents by a hash of their id, so the texts are shuffled once for all steps. A block combines equal hashes
-and contexts before it sends them. The contexts of an anchor that over ``HOT`` documents have are sent string by string, dealt by the
+and contexts before it sends them. Exact copies of a text in a smaller document lose all and are taken out before. The contexts of an anchor that over ``HOT`` documents have are sent string by string, dealt by the
 string's hash, so no shard gets all of them. Answers name a context by its 64-bit hash, within a block and an anchor.
 
 Nulls and edges: a null text counts as empty; texts under 50 bytes stay as they are. A row without a ``doc_id`` keeps
@@ -29,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import table, text_or_empty
+from fathomline.llm.common import materialize, table, text_or_empty, without
 
 #: Length of the strings, and of their anchors.
 LENGTH, ANCHOR = 50, 16
@@ -42,6 +44,10 @@ PIECE = 1 << 18
 HOT = 20_000
 #: A block has about so many bytes of text, more where there are over ``MANY`` blocks, up to 32 times as many.
 BLOCK, MANY = 2 << 20, 50_000
+#: Bytes of contexts whose suffixes are sorted together; those of one anchor are never parted.
+SORTED = 1 << 19
+#: Marks the length of a context that was dealt string by string.
+_DEALT = np.uint32(1 << 31)
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 SENT = "shard long, block long, hashes binary, counts binary, lengths binary, texts binary"
@@ -245,27 +251,58 @@ def _answer_anchors(rows: pa.Table, most: int) -> pa.Table:
 
 def _send_contexts(shards: int, block: int, c: Contexts, again: np.ndarray, hot: np.ndarray) -> pa.Table:
     c = c.take(_among(c.anchor, again)).split(hot)
-    by_shard: dict[int, list[tuple[int, int, bytes]]] = {}
+    by_shard: dict[int, list[tuple[int, int, bytes, int]]] = {}
     dealt = _among(c.anchor, hot)
     for t, (doc, i) in c.least().items():
         shard = (_context_hash(t) if dealt[i] else int(c.anchor[i])) % shards
-        by_shard.setdefault(shard, []).append((int(c.anchor[i]), doc, t))
+        by_shard.setdefault(shard, []).append((int(c.anchor[i]), doc, t, len(t) | int(_DEALT) * int(dealt[i])))
     for h in hot.tolist():  # the block has to know them again when it cuts
-        by_shard.setdefault(h % shards, []).append((h, 0, b""))
+        by_shard.setdefault(h % shards, []).append((h, 0, b"", 0))
     pack = lambda k, d: [np.array([x[k] for x in v], dtype=d).tobytes() for v in by_shard.values()]
-    lengths = [np.array([len(x[2]) for x in v], dtype=np.uint32).tobytes() for v in by_shard.values()]
-    return _table(SENT, [list(by_shard), [block] * len(by_shard), pack(0, np.uint64), pack(1, np.int64), lengths, [b"".join(x[2] for x in v) for v in by_shard.values()]])
+    press = zstandard.ZstdCompressor(1).compress
+    return _table(SENT, [list(by_shard), [block] * len(by_shard), pack(0, np.uint64), pack(1, np.int64), pack(3, np.uint32), [press(b"".join(x[2] for x in v)) for v in by_shard.values()]])
+
+
+def _least_of_strings(names: list[bytes], anchors: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of every string of every context, one context after another, and where each context's strings begin.
+
+    ``anchors``: of the contexts, 0 for those dealt string by string; ``least``: the smallest document that has the context.
+    """
+    size = np.array([len(t) for t in names])
+    count = size - LENGTH + 1
+    first = np.cumsum(count) - count
+    out = np.repeat(least, count)
+    order = np.argsort(anchors, kind="stable")
+    edge = np.concatenate([[True], anchors[order][1:] != anchors[order][:-1]])
+    begin = np.flatnonzero(edge)
+    several = np.repeat(np.diff(np.append(begin, len(order))) > 1, np.diff(np.append(begin, len(order)))) & (anchors[order] != 0)
+    order, edge = order[several], edge[several]
+    batch = np.cumsum(size[order]) // SORTED
+    batch = np.maximum.accumulate(np.where(edge, batch, 0))  # an anchor stays in the batch of its first context
+    for own in np.split(order, np.flatnonzero(np.diff(batch)) + 1) if len(order) else ():
+        at = np.cumsum(size[own]) - size[own]
+        n = count[own]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        group = repeated(b"".join([names[i] for i in own.tolist()]), np.repeat(at, n) + inside)
+        smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, np.repeat(least[own], n))
+        out[np.repeat(first[own], n) + inside] = smallest[group]
+    return out, first
 
 
 def _match_contexts(rows: pa.Table) -> pa.Table:
     """To each block, of which of its contexts which strings stand in a document smaller than those the block has."""
     number: dict[bytes, int] = {}
-    entries, hot = [], []
+    entries, hot, kind = [], [], []
+    expand = zstandard.ZstdDecompressor().decompress
     for block, anchors, docs, lengths, texts in zip(*(rows.column(c).to_pylist() for c in ("block", "hashes", "counts", "lengths", "texts")), strict=True):
-        at = 0
-        for a, d, n in zip(np.frombuffer(anchors, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), np.frombuffer(lengths, np.uint32).tolist(), strict=True):
+        at, lengths, texts = 0, np.frombuffer(lengths, np.uint32), expand(texts)
+        for a, d, n, dealt in zip(np.frombuffer(anchors, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), (lengths & ~_DEALT).tolist(), (lengths >= _DEALT).tolist(), strict=True):
             if n:
-                entries.append((block, a, d, number.setdefault(texts[at : at + n], len(number))))
+                k = number.setdefault(texts[at : at + n], len(number))
+                if k == len(kind):
+                    kind.append(0 if dealt else a)
+                entries.append((block, a, d, k))
             else:
                 hot.append((block, a))
             at += n
@@ -275,20 +312,14 @@ def _match_contexts(rows: pa.Table) -> pa.Table:
             part.append(v)
     if entries:
         names = list(number)
-        size = np.array([len(t) for t in names])
-        begin, count = np.cumsum(size) - size, size - LENGTH + 1
-        first = np.cumsum(count) - count  # of each context's strings
-        starts = np.repeat(begin - first, count) + np.arange(count.sum())
-        group = repeated(b"".join(names), starts)
         docs, own = np.array([e[2] for e in entries]), np.array([e[3] for e in entries])
         least = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(least, own, docs)
-        smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, np.repeat(least, count))
-        bound = np.minimum.reduceat(smallest[group], first)  # the smallest document of any string of a context
+        smallest, first = _least_of_strings(names, np.array(kind, dtype=np.uint64), least)
+        bound = np.minimum.reduceat(smallest, first)  # the smallest document of any string of a context
         for e in np.flatnonzero(bound[own] < docs).tolist():
             block, anchor, doc, k = entries[e]
-            less = smallest[group[first[k] : first[k] + count[k]]] < doc
+            less = smallest[first[k] : first[k] + len(names[k]) - LENGTH + 1] < doc
             edges = np.flatnonzero(np.diff(np.concatenate([[0], less.astype(np.int8), [0]])))
             name = _context_hash(names[k])
             anchors, contexts, ranges = out.setdefault(block, ([], [], []))
@@ -331,6 +362,14 @@ def _cut(c: Contexts, step: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "n_bytes": pa.array(np.diff(c.bounds), pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``doc_id, key, n_bytes`` of the rows whose whole text stands in a document with a smaller id: a row for each of them."""
+    facts = rows.select("doc_id", "key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"))
+    facts = materialize(facts.where(F.col("n_bytes") >= LENGTH), "texts")
+    firsts = facts.groupBy("h1", "h2", "n_bytes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return facts.join(firsts, ["h1", "h2", "n_bytes"]).where("doc_id > first").select("doc_id", "key", "n_bytes")
+
+
 def cut_repeats(docs: DataFrame, most: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` of every row of ``docs``: the removed spans of bytes, and the bytes that stay.
 
@@ -340,7 +379,9 @@ def cut_repeats(docs: DataFrame, most: int = HOT) -> DataFrame:
     blocks = max(1, -(-total // max(BLOCK, min(total // MANY, 32 * BLOCK))))
     shards = max(16, blocks // 4)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).cast("binary").alias("text"))
-    rows = plain.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text")
+    known = plain.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    copies = materialize(_copies(known), "copies")
+    rows = without(known, copies, "key").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "text")
     number = lambda key: key[0].as_py()
 
     def anchors(key: tuple, own: pa.Table) -> pa.Table:
@@ -362,7 +403,9 @@ def cut_repeats(docs: DataFrame, most: int = HOT) -> DataFrame:
     found = sent.groupBy("shard").applyInArrow(_match_contexts, FOUND)
     done = by_block.cogroup(found.groupBy("block")).applyInArrow(cut, CUT)
     whole = plain.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("array()").cast("array<struct<start: long, end: long>>").alias("spans"), F.col("text").alias("kept"))
-    return done.unionByName(whole)
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    gone = copies.select("doc_id", "n_bytes", span.alias("spans"), F.lit(b"").alias("kept"))
+    return done.unionByName(whole).unionByName(gone)
 
 
 def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
