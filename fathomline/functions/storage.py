@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathomline.functions.workers import workers_import_package
 
@@ -29,20 +30,38 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Subsets whose members lie together in a stored table, and the column that numbers such ranges.
+RANGE, RANGED = 64, "range__"
+
+
+def ranged(df: DataFrame) -> DataFrame:
+    """``df`` with the range of its ``subset_id``, the partition in which stored members of the subset lie."""
+    return df.withColumn(RANGED, F.floor(F.col("subset_id") / RANGE).cast("long"))
+
+
 class Growing:
-    """A table that grows by one folder per epoch and is read as one: its plan does not grow with the epochs."""
+    """A table that grows by one folder per epoch and is read as one: its plan does not grow with the epochs.
+
+    With ``by_range`` an epoch's folder has a folder for each range of subsets, so a reader that joins on the range reads those
+    of the subsets it asks for.
+    """
 
-    def __init__(self, spark: SparkSession, schema: str, path: str | None = None):
-        self.spark, self.schema, self.path, self.empty = spark, schema, path or f"{shared_dir(spark)}/growing", True
+    def __init__(self, spark: SparkSession, schema: str, path: str | None = None, by_range: bool = False):
+        self.spark, self.schema, self.path, self.empty, self.by_range = spark, schema, path or f"{shared_dir(spark)}/growing", True, by_range
 
     def add(self, df: DataFrame, epoch: int) -> DataFrame:
         """Write an epoch's rows (again, if it ran before) and read them back."""
         names, path = [c.split()[0] for c in self.schema.split(", ")], f"{self.path}/epoch={epoch}"
-        df.select(names).write.mode("overwrite").parquet(path)
+        df, writer = df.select(names), df.select(names).write
+        if self.by_range:
+            writer = ranged(df).repartition(RANGED).write.partitionBy(RANGED)  # a range has a bounded number of rows
+        writer.mode("overwrite").parquet(path)
         self.empty = False
         return self.spark.read.schema(self.schema).parquet(path)
 
     def read(self) -> DataFrame:
         if self.empty:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path).drop("epoch")
+            empty = self.spark.createDataFrame([], self.schema)
+            return ranged(empty) if self.by_range else empty
+        schema = f"{self.schema}, epoch long" + f", {RANGED} long" * self.by_range
+        return self.spark.read.schema(schema).parquet(self.path).drop("epoch")

@@ -14,13 +14,17 @@ def build_hooks(subsets: DataFrame, sampled: Column, id_col: str, ord_col: str,
     return rows.select("trace", "chunk_id", F.lit(kind).alias("kind"), "subset_id", "ord", "version")
 
 
-def build_hybrid_hooks(rows: DataFrame, ones: int = 7, zeros: int = 7, uniform: bool = False, feature_ones: int = 7, feature_zeros: int = 0, ratio: int = 8) -> DataFrame:
+def build_hybrid_hooks(
+    rows: DataFrame, ones: int = 7, zeros: int = 7, uniform: bool = False, feature_ones: int = 7, feature_zeros: int = 0, ratio: int = 8, hook: Column | None = None, feature: Column | None = None
+) -> DataFrame:
     """Hooks in four roles from ``trace, version, chunk_id, is_dup, location, recipe_id, ord``; repeats are kept.
 
     New chunks: a feature points to its recipe and to its container, a hook to its container. Every hook points to its recipe.
+    ``hook`` and ``feature`` take the place of what the numbers say.
     """
-    hook, new = is_hook(F.col("chunk_id"), ones, zeros), ~F.col("is_dup")
-    feature = is_feature(F.col("chunk_id"), F.col("ord"), uniform, feature_ones, feature_zeros, ratio)
+    new = ~F.col("is_dup")
+    hook = is_hook(F.col("chunk_id"), ones, zeros) if hook is None else hook
+    feature = feature if feature is not None else is_feature(F.col("chunk_id"), F.col("ord"), uniform, feature_ones, feature_zeros, ratio)
     roles = F.filter(
         F.array(
             F.when(new & feature, F.struct(F.lit("recipe_ptr").alias("role"), F.col("recipe_id").alias("subset_id"))),

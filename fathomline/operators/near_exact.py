@@ -4,6 +4,9 @@ The index is frozen for an epoch (a version, ``n`` windows or one window); all w
 and what it stored becomes searchable at its end. Between epochs the state is Parquet, never lineage: members, hooks and
 loads are tables that grow by a folder per epoch, and of each trace a row of counters is kept (next ids and ordinals; and
 windows, loads and candidates so far, by which an adaptive cap goes on).
+
+Many configurations run as one: with ``Config.grid`` each trace is taken once for each variant, under the name
+``<number>|<trace>``, which is part of every key of the state, so each variant has the feedback of its own versions.
 """
 
 from __future__ import annotations
@@ -12,11 +15,11 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.ids import sampler
-from fathomline.functions.storage import Growing, stored
+from fathomline.functions.ids import is_feature, is_hook, sampler
+from fathomline.functions.storage import RANGED, Growing, ranged, stored
 from fathomline.operators import select as S
 from fathomline.operators.exact import build_recipes, build_segment_recipes, pack_containers, subset_meta
 from fathomline.operators.index import build_hooks, build_hybrid_hooks
@@ -48,9 +51,25 @@ class Config:
     version_bound: int = 1000
     flush: bool = True
     intra: str = "none"  # or exact: repeats inside an epoch point at their first occurrence
+    grid: tuple[dict, ...] = ()  # variants: settings of VARIED that differ; traces are named "<number>|<trace>"
+
+    def each(self, name: str, make: Callable[..., Column]) -> Column:
+        """``make`` of a setting; in a grid, of the setting of each row's variant."""
+        values = [v.get(name, getattr(self, name)) for v in self.grid] or [getattr(self, name)]
+        number, out = F.split("trace", r"\|")[0], None
+        for value in dict.fromkeys(values):
+            own = number.isin([str(i) for i, v in enumerate(values) if v == value])
+            out = make(value) if len(set(values)) == 1 else F.when(own, make(value)) if out is None else out.when(own, make(value))
+        return out
 
+    def most(self, name: str) -> int:
+        return max([v.get(name, getattr(self, name)) for v in self.grid] or [getattr(self, name)])
 
+
+#: Settings that the variants of a grid may differ in; all others shape the tables or the plan.
+VARIED = ("io_cap", "ratio", "hook_bits", "feature_bits", "hybrid_ratio", "version_bound")
 LOADS = "trace string, seq long, kind string, subset_id long, load_rank int, version int"
+FIRSTS = "trace string, chunk_id string, seq long, load_rank int, location long"
 
 
 @dataclass(frozen=True)
@@ -68,32 +87,39 @@ class Counters:
 
 @dataclass
 class State:
-    """What earlier epochs left: members of searchable subsets, hooks, loads (where nothing is flushed), and counters by trace."""
+    """What earlier epochs left: members of searchable subsets, hooks, counters by trace, and (where nothing is flushed) the first load of every id."""
 
     members: DataFrame
     hooks: DataFrame
-    loads: DataFrame
+    firsts: DataFrame
     counters: dict[str, Counters] = field(default_factory=dict)
 
 
 @dataclass
 class Made:
-    """What an epoch made: its rows, its loads, new members and hooks, and the counters after it."""
+    """What an epoch made: its rows, its loads, new members and hooks, the counters after it, and ids that were never loaded before."""
 
     rows: DataFrame
     loads: DataFrame
     members: DataFrame
     hooks: DataFrame
     counters: dict[str, Counters]
+    firsts: DataFrame | None = None
 
 
 def empty_state(spark: SparkSession) -> State:
-    return State(*(spark.createDataFrame([], s) for s in (MEMBERS, HOOKS, LOADS)))
+    return State(*(spark.createDataFrame([], s) for s in (MEMBERS, HOOKS, FIRSTS)))
+
+
+def _of_loaded(members: DataFrame, selected: DataFrame) -> DataFrame:
+    """Members of selected subsets; of a table kept by ranges only the ranges of these are read (the filter on ranks, true of all, lets Spark prune by them)."""
+    ids, key = selected.where("load_rank > 0").select("trace", "kind", "subset_id").distinct(), ["trace", "kind", "subset_id"]
+    return members.join(ranged(ids), [*key, RANGED], "left_semi").drop(RANGED) if RANGED in members.columns else members.join(ids, key, "left_semi")
 
 
 def places(windowed: DataFrame, selected: DataFrame, members: DataFrame) -> DataFrame:
     """``trace, kind, subset_id, chunk_id, location`` of incoming ids in selected subsets: members are pruned twice before they are grouped."""
-    held = members.join(selected.select("trace", "kind", "subset_id").distinct(), ["trace", "kind", "subset_id"], "left_semi")
+    held = _of_loaded(members, selected)
     held = held.join(windowed.select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi")
     return held.groupBy("trace", "kind", "subset_id", "chunk_id").agg(F.min("location").alias("location"))
 
@@ -112,6 +138,16 @@ def load_without_flush(windowed: DataFrame, selected: DataFrame, members: DataFr
     return ids.where(F.col("f.seq") <= F.col("seq")).select("trace", "seq", "chunk_id", F.col("f.location").alias("location"))
 
 
+def first_loads(loads: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``trace, chunk_id, seq, load_rank, location``: when ids came into a cache that is never emptied, of those that ``firsts`` has not.
+
+    Later epochs have larger ``seq``, so what an earlier one loaded stays first: the table only grows, by what an epoch's own loads hold.
+    """
+    held = _of_loaded(members, loads).groupBy("trace", "kind", "subset_id", "chunk_id").agg(F.min("location").alias("location"))
+    first = held.join(loads, ["trace", "kind", "subset_id"]).groupBy("trace", "chunk_id").agg(F.min(F.struct("seq", "load_rank", "location")).alias("f"))
+    return first.join(firsts.select("trace", "chunk_id"), ["trace", "chunk_id"], "left_anti").select("trace", "chunk_id", "f.*")
+
+
 def dedup_against(windowed: DataFrame, found: DataFrame) -> DataFrame:
     """Add ``is_dup, location``; repeats of a new id inside a window are all new."""
     return windowed.join(found, ["trace", "seq", "chunk_id"], "left").withColumn("is_dup", F.col("location").isNotNull())
@@ -121,25 +157,39 @@ def choose(windowed: DataFrame, state: State, meta: DataFrame | None, cfg: Confi
     """``trace, seq, kind, subset_id, load_rank``: what each window loads; under an adaptive cap, all that it might."""
     hooks = state.hooks
     if cfg.kind == "hybrid":
-        ids = windowed.select("trace", "seq", "chunk_id").distinct()
-        pairs = stored(ids.join(hooks.select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"]), "role_pairs")
-        selected = S.select_hybrid(pairs, cfg.io_cap, cfg.hybrid_ratio)
-        return stored(selected, "selected") if cfg.cap_adaptive else S.apply_io_cap(selected, cfg.io_cap)
-    pairs = S.hook_pairs(S.hook_hits(windowed, hooks), hooks)
+        pairs = stored(_live_pairs(windowed, hooks, cfg).drop("version"), "role_pairs")
+        variants = [replace(cfg, grid=(), **v) for v in cfg.grid] or [cfg]
+        limits = {i: S.hybrid_recipe_limit(v.io_cap, v.hybrid_ratio) for i, v in enumerate(variants)}
+        by_trace = F.element_at(F.array(*map(F.lit, limits.values())), (F.split("trace", r"\|")[0].cast("int") + 1) if cfg.grid else F.lit(1))
+        selected = S.select_hybrid(pairs, 0, limits=by_trace, most=max(limits.values()))
+        return stored(selected, "selected") if cfg.cap_adaptive else S.apply_io_cap(selected, cfg.each("io_cap", F.lit))
+    return select_from(S.hook_pairs(S.hook_hits(windowed, hooks), hooks), meta, cfg)
+
+
+def select_from(pairs: DataFrame, meta: DataFrame | None, cfg: Config) -> DataFrame:
+    """The loads of each window by the policy, from its hits and what they point to."""
+    cap, most = cfg.each("io_cap", F.lit), cfg.most("io_cap")
     if cfg.policy == "sparse":
-        return S.select_sparse(pairs, cfg.io_cap)
+        return S.select_sparse(pairs, cap, most)
     candidates = S.candidate_scores(pairs)
     if cfg.policy == "sort":
-        return S.select_sort(candidates, cfg.io_cap)
+        return S.select_sort(candidates, cap)
     if cfg.policy == "fifo":
-        return S.select_fifo(candidates, cfg.io_cap)
+        return S.select_fifo(candidates, cap)
     if cfg.policy == "level":
-        return S.select_level(candidates, meta, cfg.io_cap, cfg.window_size, cfg.container_size)
+        return S.select_level(candidates, meta, cap, cfg.window_size, cfg.container_size, most)
     if cfg.policy == "all":
-        return S.apply_io_cap(S.select_all(candidates), cfg.io_cap)
+        return S.apply_io_cap(S.select_all(candidates), cap)
     raise ValueError(f"unknown policy: {cfg.policy}")
 
 
+def _live_pairs(windowed: DataFrame, hooks: DataFrame, cfg: Config) -> DataFrame:
+    """``trace, seq, version, chunk_id, role, subset_id``: distinct hits of each window; recipe hooks of more than ``version_bound`` versions ago have expired."""
+    ids = windowed.select("trace", "seq", "version", "chunk_id").distinct()
+    pairs = ids.join(hooks.select("trace", "chunk_id", "role", "subset_id", F.col("version").alias("made")), ["trace", "chunk_id"])
+    return pairs.where(~F.col("role").startswith("recipe") | (F.col("made") >= F.col("version") - cfg.each("version_bound", F.lit))).drop("made")
+
+
 def _counted(df: DataFrame, counters: dict[str, Counters], *names: str) -> DataFrame:
     """Add counters of each row's trace as ``<name>__``; one row per trace is sent."""
     rows = [(t, *(getattr(c, n) for n in names)) for t, c in counters.items()]
@@ -156,7 +206,7 @@ def _cap(windowed: DataFrame, selected: DataFrame, state: State, cfg: Config) ->
     n_selected = selected.groupBy("trace", "seq").agg(F.count("*").alias("n_selected"))
     per = windowed.select("trace", "seq").distinct().join(n_selected, ["trace", "seq"], "left").join(n_candidates, ["trace", "seq"], "left").fillna(0)
     per = stored(per, "per_window")
-    caps = stored(S.adaptive_io_cap(per, cfg.io_cap, cfg.cache_size, {t: (c.windows, c.loads, c.candidates) for t, c in state.counters.items()}), "caps")
+    caps = stored(S.adaptive_io_cap(per, cfg.each("io_cap", F.lit), cfg.cache_size, {t: (c.windows, c.loads, c.candidates) for t, c in state.counters.items()}), "caps")
     sums = per.join(caps, ["trace", "seq"]).groupBy("trace").agg(F.count("*"), F.sum("loads"), F.sum("n_candidates")).collect()  # one row per trace
     chosen = selected.join(caps.select("trace", "seq", "cap"), ["trace", "seq"]).where(F.col("load_rank") <= F.greatest("cap", F.lit(1))).drop("cap")
     return chosen, {r[0]: tuple(r)[1:] for r in sums}
@@ -167,7 +217,7 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config, keep_loads: Callab
     meta = subset_meta(state.members, "container", "subset_id") if cfg.policy == "level" and cfg.kind != "hybrid" else None
     if meta is not None and cfg.kind == "recipe":
         meta = meta.withColumn("kind", F.lit("recipe"))
-    selected, spent = choose(windowed, state, meta, cfg), {}
+    selected, spent, firsts = choose(windowed, state, meta, cfg), {}, None
     if cfg.kind == "hybrid" and cfg.cap_adaptive:
         selected, spent = _cap(windowed, selected, state, cfg)
     version_of = windowed.select("trace", "version", "seq").distinct()
@@ -175,7 +225,9 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config, keep_loads: Callab
     if cfg.flush:
         found = load_subsets(windowed, loads.drop("version"), state.members)
     else:
-        found = load_without_flush(windowed, state.loads.unionByName(loads).drop("version"), state.members)
+        firsts = stored(first_loads(loads.drop("version"), state.members, state.firsts), "firsts")
+        ids = windowed.select("trace", "seq", "chunk_id").distinct()
+        found = ids.join(state.firsts.unionByName(firsts).withColumnRenamed("seq", "since"), ["trace", "chunk_id"]).where("since <= seq").select("trace", "seq", "chunk_id", "location")
     flagged = dedup_against(windowed, found)
     if cfg.intra == "exact":
         new = flagged.where(~F.col("is_dup")).groupBy("trace", "chunk_id").agg(F.min(F.struct("seq", "win_pos")).alias("f"))
@@ -207,18 +259,21 @@ def run_epoch(windowed: DataFrame, state: State, cfg: Config, keep_loads: Callab
         recipes = _counted(build_recipes(out, cfg.container_size), state.counters, "recipe", "ingest")
         recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + F.col("recipe__")).withColumn("gpos", F.col("gpos") + F.col("ingest__")).drop("recipe__", "ingest__"), "recipes")
         members = member(recipes, "recipe", "recipe_id", "location")
-        hooks = hook(build_hooks(recipes, sampler(cfg.method, F.col("chunk_id"), F.col("gpos"), cfg.ratio), "recipe_id", "gpos"), "recipe")
+        hooks = hook(build_hooks(recipes, cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("gpos"), r)), "recipe_id", "gpos"), "recipe")
     elif cfg.kind == "hybrid":
         cut = segment_content(out, cfg.segmenting_bits) if cfg.segmenting_bits else segment_fixed(out, cfg.segment_size)
         recipes = _counted(build_segment_recipes(cut), state.counters, "recipe")
         recipes = stored(recipes.withColumn("recipe_id", F.col("recipe_id") + F.col("recipe__")).drop("recipe__"), "recipes")
         members = member(packed, "container", "container_id", "container_id").unionByName(member(recipes, "recipe", "recipe_id", "location"))
-        roles = build_hybrid_hooks(recipes, *cfg.hook_bits, cfg.uniform, *cfg.feature_bits, cfg.ratio)
+        id_hook = cfg.each("hook_bits", lambda bits: is_hook(F.col("chunk_id"), *bits))
+        varied = "feature_bits" if cfg.uniform else "ratio"
+        feature = cfg.each(varied, lambda v: is_feature(F.col("chunk_id"), F.col("ord"), cfg.uniform, *(v if cfg.uniform else cfg.feature_bits), cfg.ratio if cfg.uniform else v))
+        roles = build_hybrid_hooks(recipes, hook=id_hook, feature=feature)
         hooks = roles.select("trace", "chunk_id", F.when(F.col("role").startswith("recipe"), "recipe").otherwise("container").alias("kind"), "role", F.col("subset_id").cast("long").alias("subset_id"), F.lit(0).cast("long").alias("ord"), F.col("version").cast("int").alias("version"))
     else:
         members = member(packed, "container", "container_id", "container_id")
-        hooks = hook(build_hooks(packed, sampler(cfg.method, F.col("chunk_id"), F.col("ord"), cfg.ratio), "container_id", "ord"), "container")
-    return Made(out, loads, members, hooks, _counters_after(windowed, packed, recipes, state.counters, spent))
+        hooks = hook(build_hooks(packed, cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("ord"), r)), "container_id", "ord"), "container")
+    return Made(out, loads, members, hooks, _counters_after(windowed, packed, recipes, state.counters, spent), firsts)
 
 
 def _counters_after(windowed: DataFrame, packed: DataFrame, recipes: DataFrame | None, before: dict[str, Counters], spent: dict[str, tuple]) -> dict[str, Counters]:
@@ -241,22 +296,34 @@ def _counters_after(windowed: DataFrame, packed: DataFrame, recipes: DataFrame |
 ROWS = "trace string, version int, pos long, chunk_id string, win long, win_pos int, seq long, is_dup boolean, location long, ord long"
 
 
+def by_variant(rows: DataFrame, cfg: Config) -> DataFrame:
+    """``rows`` once for each variant of the grid, the trace named after it."""
+    for v in cfg.grid:
+        if other := set(v) - set(VARIED):
+            raise ValueError(f"a grid cannot vary {sorted(other)}")
+    if not cfg.grid:
+        return rows
+    numbered = rows.withColumn("variant__", F.explode(F.array(*[F.lit(str(i)) for i in range(len(cfg.grid))])))
+    return numbered.withColumn("trace", F.concat_ws("|", "variant__", "trace")).drop("variant__")
+
+
 def near_exact_dedup(chunks: DataFrame, cfg: Config, epoch: str | int = "version") -> tuple[DataFrame, DataFrame, State]:
     """All epochs of ``chunks (trace, version, pos, chunk_id)``; returns rows, loads and the final state.
 
-    ``epoch``: ``version``, ``window``, or a number of windows (which then runs over ``seq``, across versions).
+    ``epoch``: ``version``, ``window``, or a number of windows (which then runs over ``seq``, across versions). With a grid
+    each trace runs once for each variant, as ``<number>|<trace>``.
     """
     spark = chunks.sparkSession
-    windowed = stored(assign_windows(chunks, cfg.window_size), "windowed")
+    windowed = stored(by_variant(assign_windows(chunks, cfg.window_size), cfg), "windowed")
     key = F.col("version") if epoch == "version" else F.floor((F.col("seq") - 1) / (1 if epoch == "window" else int(epoch)))
-    members, hooks, loads, rows = (Growing(spark, s) for s in (MEMBERS, HOOKS, LOADS, ROWS))
+    members, hooks, loads, rows, firsts = (Growing(spark, s, by_range=s == MEMBERS) for s in (MEMBERS, HOOKS, LOADS, ROWS, FIRSTS))
     state = empty_state(spark)
     for (number,) in sorted(tuple(r) for r in windowed.select(key.alias("e")).distinct().collect()):  # one row per epoch
-        if cfg.kind == "hybrid" and epoch == "version":
-            state.hooks = state.hooks.where(~F.col("role").startswith("recipe") | (F.col("version") >= number - cfg.version_bound))
         made = run_epoch(windowed.where(key == number), state, cfg, lambda df, n=number: loads.add(df, n))
         parts = [(members, made.members), (hooks, made.hooks), (rows, made.rows.withColumn("location", F.col("location").cast("long")))]
-        with ThreadPoolExecutor(len(parts)) as pool:  # three writes that do not wait for one another
+        if made.firsts is not None:
+            parts.append((firsts, made.firsts))
+        with ThreadPoolExecutor(len(parts)) as pool:  # writes that do not wait for one another
             list(pool.map(lambda p, n=number: p[0].add(p[1], n), parts))
-        state = State(members.read(), hooks.read(), loads.read(), made.counters)
+        state = State(members.read(), hooks.read(), firsts.read(), made.counters)
     return rows.read(), loads.read(), state

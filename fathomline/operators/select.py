@@ -6,15 +6,17 @@ hooks at a time, at most one window of rows; everything else is joins, aggregate
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.storage import stored
 from fathomline.functions.workers import workers_import_package
+from fathomline.operators.ordinals import SPAN, sums_before
 
 SELECTED = "trace string, seq long, kind string, subset_id long, load_rank int"
 
@@ -36,9 +38,9 @@ def candidate_scores(pairs: DataFrame) -> DataFrame:
         F.sum("cnt").alias("score"), F.countDistinct("chunk_id").alias("n_hooks"), F.min(F.struct("first_pos", "ord")).alias("first"))
 
 
-def apply_io_cap(selected: DataFrame, io_cap: int) -> DataFrame:
-    """The first ``io_cap`` loads of each window; at least one."""
-    return selected.where(F.col("load_rank") <= max(io_cap, 1))
+def apply_io_cap(selected: DataFrame, io_cap: int | Column) -> DataFrame:
+    """The first ``io_cap`` loads of each window; at least one. A column is a cap for each row."""
+    return selected.where(F.col("load_rank") <= F.greatest(io_cap if isinstance(io_cap, Column) else F.lit(io_cap), F.lit(1)))
 
 
 def _ranked(candidates: DataFrame, *order) -> DataFrame:
@@ -46,13 +48,13 @@ def _ranked(candidates: DataFrame, *order) -> DataFrame:
     return candidates.withColumn("load_rank", rank.cast("int"))
 
 
-def select_sort(candidates: DataFrame, io_cap: int) -> DataFrame:
+def select_sort(candidates: DataFrame, io_cap: int | Column) -> DataFrame:
     """Most hits first."""
     ranked = _ranked(candidates, F.desc("score"), "subset_id", "kind")
     return apply_io_cap(ranked, io_cap).select("trace", "seq", "kind", "subset_id", "load_rank")
 
 
-def select_fifo(candidates: DataFrame, io_cap: int) -> DataFrame:
+def select_fifo(candidates: DataFrame, io_cap: int | Column) -> DataFrame:
     """The first subsets met while walking the hits; loaded in ascending id."""
     chosen = apply_io_cap(_ranked(candidates, "first", "subset_id", "kind"), io_cap)
     return _ranked(chosen.drop("load_rank"), "subset_id", "kind").select("trace", "seq", "kind", "subset_id", "load_rank")
@@ -84,17 +86,17 @@ def _rows(key: tuple, kinds: list[str], ids: list) -> pd.DataFrame:
     return pd.DataFrame({"trace": key[0], "seq": key[1], "kind": kinds, "subset_id": ids, "load_rank": np.arange(1, len(ids) + 1, dtype=np.int32)}).astype({"subset_id": "int64"})
 
 
-def select_sparse(pairs: DataFrame, io_cap: int) -> DataFrame:
-    """Greedy cover of a window's distinct hooks."""
+def select_sparse(pairs: DataFrame, io_cap: int | Column, most: int | None = None) -> DataFrame:
+    """Greedy cover of a window's distinct hooks; for a cap that differs by row, ``most`` is the largest. A cap only cuts the same order."""
     workers_import_package(pairs.sparkSession)
-    limit = max(io_cap, 1)
+    limit = max(io_cap if most is None else most, 1)
 
     def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = greedy_cover(rows["chunk_id"].to_numpy(), rows["subset_id"].to_numpy(), limit)
         kind = dict(zip(rows["subset_id"], rows["kind"], strict=True))
         return _rows(key, [kind[i] for i in ids], ids)
 
-    return pairs.select("trace", "seq", "chunk_id", "kind", "subset_id").distinct().groupBy("trace", "seq").applyInPandas(pick, SELECTED)
+    return apply_io_cap(pairs.select("trace", "seq", "chunk_id", "kind", "subset_id").distinct().groupBy("trace", "seq").applyInPandas(pick, SELECTED), io_cap)
 
 
 def level_clusters(candidates: list[tuple[int, int, int]], reach: float) -> list[int]:
@@ -110,10 +112,10 @@ def level_clusters(candidates: list[tuple[int, int, int]], reach: float) -> list
     return max(clusters, key=lambda c: c[2])[1] if clusters else []  # the first of equals
 
 
-def select_level(candidates: DataFrame, meta: DataFrame, io_cap: int, window_size: int, container_size: int) -> DataFrame:
+def select_level(candidates: DataFrame, meta: DataFrame, io_cap: int | Column, window_size: int, container_size: int, most: int | None = None) -> DataFrame:
     """The cluster of candidates made at about the same time that has the most hits."""
     workers_import_package(candidates.sparkSession)
-    reach, limit = 2 * window_size / container_size, max(io_cap, 1)
+    reach, limit = 2 * window_size / container_size, max(io_cap if most is None else most, 1)
 
     def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "subset_id"], ascending=[False, True])
@@ -122,22 +124,23 @@ def select_level(candidates: DataFrame, meta: DataFrame, io_cap: int, window_siz
         return _rows(key, [kind[i] for i in ids], ids)
 
     timed = candidates.join(meta.select("trace", "kind", "subset_id", F.col("seq").alias("made")), ["trace", "kind", "subset_id"])
-    return timed.select("trace", "seq", "kind", "subset_id", "score", "made").groupBy("trace", "seq").applyInPandas(pick, SELECTED)
+    return apply_io_cap(timed.select("trace", "seq", "kind", "subset_id", "score", "made").groupBy("trace", "seq").applyInPandas(pick, SELECTED), io_cap)
 
 
 def hybrid_recipe_limit(io_cap: int, ratio: float) -> int:
     return math.ceil(io_cap * ratio) if 0 <= ratio <= 1 else io_cap
 
 
-def select_hybrid(role_pairs: DataFrame, io_cap: int, ratio: float = 2.3, overlap: float = 0.6) -> DataFrame:
+def select_hybrid(role_pairs: DataFrame, io_cap: int, ratio: float = 2.3, overlap: float = 0.6, limits: Column | None = None, most: int = 0) -> DataFrame:
     """Recipes by greedy cover of ``recipe_hook``; then containers by ``cnr_ptr`` hits, without those that the recipes' hooks overlap.
 
     ``role_pairs``: ``trace, seq, chunk_id, role, subset_id`` of the distinct hit ids of each window. A container is
-    left out if more than ``floor(overlap * its hit cnr_hooks)`` of these are hooks of the chosen recipes.
+    left out if more than ``floor(overlap * its hit cnr_hooks)`` of these are hooks of the chosen recipes. ``limits``: recipes
+    by row, at most ``most``, in place of those of the cap and ratio.
     """
     recipe_pairs = role_pairs.where("role = 'recipe_hook'").withColumn("kind", F.lit("recipe"))
-    limit = hybrid_recipe_limit(io_cap, ratio)
-    recipes = select_sparse(recipe_pairs, limit).where(F.col("load_rank") <= limit)  # none for a limit of 0
+    limits, most = (F.lit(hybrid_recipe_limit(io_cap, ratio)), hybrid_recipe_limit(io_cap, ratio)) if limits is None else (limits, most)
+    recipes = select_sparse(recipe_pairs, limits, most).where(F.col("load_rank") <= limits)  # none for a limit of 0
     chosen_hooks = recipe_pairs.join(recipes.select("trace", "seq", "subset_id"), ["trace", "seq", "subset_id"], "left_semi").select("trace", "seq", "chunk_id").distinct().withColumn("covered", F.lit(1))
     cnr_hooks = role_pairs.where("role = 'cnr_hook'").select("trace", "seq", "chunk_id", "subset_id").distinct()
     excluded = (
@@ -182,29 +185,86 @@ def select_hybrid_dense(role_pairs: DataFrame, meta: DataFrame, io_cap: int, n_r
     return apply_io_cap(sized.select("trace", "seq", "chunk_id", "role", "subset_id", "chunk_num").groupBy("trace", "seq").applyInPandas(pick, SELECTED), io_cap)
 
 
-def adaptive_io_cap(per_window: DataFrame, io_cap: int, cache_size: int, before: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+Pieces = list[tuple[float, int, int]]
+
+
+def credit_step(pieces: Pieces, cap: int, low: int, high: int) -> Pieces:
+    """The credit after one more window, as a function of the credit at a block's begin.
+
+    ``pieces``: from where, slope (0 or 1) and offset. The window adds ``cap`` and spends what there is between ``low`` and ``high``.
+    """
+    out: Pieces = []
+
+    def add(begin: float, slope: int, offset: int) -> None:
+        if not out or out[-1][1:] != (slope, offset):
+            out.append((begin, slope, offset))
+
+    for k, (begin, slope, offset) in enumerate(pieces):
+        end = pieces[k + 1][0] if k + 1 < len(pieces) else math.inf
+        if not slope:
+            add(begin, 0, offset + cap - min(max(offset, low), high))
+            continue
+        for at, until, kind, change in ((-math.inf, low - offset, 1, offset + cap - low), (low - offset, high - offset, 0, cap), (high - offset, math.inf, 1, offset + cap - high)):
+            if max(begin, at) < min(end, until):
+                add(max(begin, at), kind, change)
+    return out
+
+
+def credit_at(pieces: Pieces, credit: int) -> int:
+    """What ``pieces`` make of a credit."""
+    _, slope, offset = pieces[max(bisect.bisect_right(pieces, credit, key=lambda p: p[0]) - 1, 0)]
+    return slope * credit + offset
+
+
+def adaptive_io_cap(per_window: DataFrame, io_cap: int | Column, cache_size: int, before: dict[str, tuple[int, int, int]] | None = None, span: int = SPAN) -> DataFrame:
     """``trace, seq, cap, loads`` from ``trace, seq, n_selected, n_candidates``.
 
     The cap holds if no more are selected, or if the window has fewer candidate containers than the windows so far on
     average; otherwise the loads saved so far may be spent. ``before``: by trace, the windows, loads and candidates of
-    earlier epochs. The credit is a recurrence over one row per window, so a trace's windows run through one task in
-    order; they stream, and only the three running numbers are held.
+    earlier epochs.
+
+    The credit is a recurrence over windows, but each window maps the credit by a function of slopes 0 and 1, and such
+    functions compose: a block of ``span`` windows is composed into one function, the functions of a trace's blocks (a row for each)
+    give the credit at every block's begin, and then all blocks are walked in parallel.
     """
-    earlier = before or {}
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trace, i, spent, met = None, 0, 0, 0
-        for rows in batches:
-            caps, loads = [], []
-            for name, selected, candidates in zip(rows["trace"], rows["n_selected"], rows["n_candidates"], strict=True):
-                if name != trace:
-                    trace, (i, spent, met) = name, earlier.get(name, (0, 0, 0))
-                i, met = i + 1, met + candidates
-                cap = io_cap if selected <= io_cap or candidates * i < met else min(cache_size, i * io_cap - spent)
-                loads.append(min(selected, max(cap, 1)))
-                spent += loads[-1]
-                caps.append(cap)
-            yield pd.DataFrame({"trace": rows["trace"], "seq": rows["seq"], "cap": caps, "loads": loads}).astype({"cap": "int64", "loads": "int64"})
-
-    ordered = per_window.select("trace", "seq", "n_selected", "n_candidates").repartition("trace").sortWithinPartitions("trace", "seq")
-    return ordered.mapInPandas(walk, "trace string, seq long, cap long, loads long")
+    workers_import_package(per_window.sparkSession)
+    rows = per_window.select("trace", "seq", "n_selected", "n_candidates", F.lit(1).alias("one__"), (io_cap if isinstance(io_cap, Column) else F.lit(io_cap)).cast("long").alias("cap0"))
+    rows = sums_before(sums_before(rows, ["trace"], ["seq"], "one__", "i__"), ["trace"], ["seq"], "n_candidates", "met__")
+    earlier = [(t, *c) for t, c in (before or {}).items()]
+    start = per_window.sparkSession.createDataFrame(earlier, "trace string, i0 long, spent0 long, met0 long")  # one row per trace
+    rows = rows.join(F.broadcast(start), "trace", "left").fillna(0, ["i0", "spent0", "met0"])
+    i, met = F.col("i__") + F.col("i0") + 1, F.col("met__") + F.col("met0") + F.col("n_candidates")
+    fixed = (F.col("n_selected") <= F.col("cap0")) | (F.col("n_candidates") * i < met)
+    # a window spends its credit between low and high; a fixed one always the same
+    held = F.least("n_selected", F.greatest("cap0", F.lit(1)))
+    low = F.when(fixed, held).otherwise(F.least("n_selected", F.lit(1)))
+    high = F.when(fixed, held).otherwise(F.least("n_selected", F.lit(max(cache_size, 1))))
+    rows = rows.select("trace", "seq", "cap0", fixed.alias("fixed"), low.cast("long").alias("low"), high.cast("long").alias("high"), (F.col("cap0") * (F.col("i0") + 1) - F.col("spent0")).alias("first"), F.floor(F.col("seq") / span).alias("block"))
+    rows = stored(rows, "credit_steps")
+
+    def compose(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block, pieces = block.sort_values("seq"), [(-math.inf, 1, 0)]
+        for cap, lo, hi in zip(block["cap0"].tolist(), block["low"].tolist(), block["high"].tolist(), strict=True):
+            pieces = credit_step(pieces, cap, lo, hi)
+        return pd.DataFrame({"trace": [key[0]], "block": [key[1]], "first": [block["first"].iloc[0]], "at": [[p[0] for p in pieces]], "slope": [[p[1] for p in pieces]], "offset": [[p[2] for p in pieces]]})
+
+    def begin(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks, credits = blocks.sort_values("block"), []
+        credit = int(blocks["first"].iloc[0])
+        for at, slope, offset in zip(blocks["at"], blocks["slope"], blocks["offset"], strict=True):
+            credits.append(credit)
+            credit = credit_at(list(zip(at, slope, offset, strict=True)), credit)
+        return pd.DataFrame({"trace": blocks["trace"], "block": blocks["block"], "credit": credits})
+
+    def walk(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("seq")
+        credit, caps, loads = int(block["credit"].iloc[0]), [], []
+        for cap, fixed_, lo, hi in zip(block["cap0"].tolist(), block["fixed"].tolist(), block["low"].tolist(), block["high"].tolist(), strict=True):
+            caps.append(cap if fixed_ else min(cache_size, credit))
+            loads.append(min(max(credit, lo), hi))
+            credit += cap - loads[-1]
+        return pd.DataFrame({"trace": block["trace"], "seq": block["seq"], "cap": caps, "loads": loads}).astype({"cap": "int64", "loads": "int64"})
+
+    functions = rows.groupBy("trace", "block").applyInPandas(compose, "trace string, block long, first long, at array<double>, slope array<long>, offset array<long>")
+    credits = functions.groupBy("trace").applyInPandas(begin, "trace string, block long, credit long")
+    return rows.join(credits, ["trace", "block"]).groupBy("trace", "block").applyInPandas(walk, "trace string, seq long, cap long, loads long")

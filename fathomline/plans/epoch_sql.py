@@ -88,12 +88,12 @@ def _union(prefix: str, tag: str, n: int, columns: str) -> str:
     return " UNION ALL ".join(f"SELECT {columns} FROM {prefix}{tag}{e}" for e in range(n))
 
 
-def epochs(tag: str, versions: int, kind: str = "container", policy: str = "sort", cap: int = 1, flush: bool = True, ratio: float = 0.5, cache: int = 16, adapt: bool = False) -> list[str]:
-    """Table expressions of a whole run over ``windowed``: ``rows<tag>`` and ``loads<tag>`` at their end."""
+def epochs(tag: str, versions: int, kind: str = "container", policy: str = "sort", cap: int = 1, flush: bool = True, ratio: float = 0.5, cache: int = 16, adapt: bool = False, bits: int = 3, bound: int = 1000, source: str = "windowed") -> list[str]:
+    """Table expressions of a whole run over ``source``, the windows of one trace: ``rows<tag>`` and ``loads<tag>`` at their end."""
     out = []
     for e in range(versions):
         w, k = f"w{tag}{e}", f"{tag}{e}"
-        out.append(_cte(w, f"SELECT * FROM windowed WHERE version = {e}"))
+        out.append(_cte(w, f"SELECT * FROM {source} WHERE version = {e}"))
         out.append(_cte(f"ids{k}", f"SELECT DISTINCT trace, seq, chunk_id FROM {w}"))
         if e == 0:
             out.append(_cte(f"sel{k}", NO_LOADS))
@@ -101,7 +101,7 @@ def epochs(tag: str, versions: int, kind: str = "container", policy: str = "sort
             if adapt:
                 out.append(_cte(f"carry{k}", f"SELECT count(*) AS i, 0 AS spent, 0 AS met FROM (SELECT DISTINCT seq FROM {w})"))
         else:
-            out += _selected(tag, e, kind, policy, cap, ratio, cache, adapt)
+            out += _selected(tag, e, kind, policy, cap, ratio, cache, adapt, bound)
             out.append(_cte(f"mem{k}", f"SELECT trace, kind, subset_id, chunk_id, min(location) AS location FROM ({_union('members', tag, e, '*')}) GROUP BY ALL"))
             if flush:
                 out.append(_cte(f"found{k}", f"SELECT trace, seq, chunk_id, arg_min(location, load_rank) AS location FROM sel{k} JOIN mem{k} USING (trace, kind, subset_id) JOIN ids{k} USING (trace, seq, chunk_id) GROUP BY ALL"))
@@ -126,7 +126,7 @@ def epochs(tag: str, versions: int, kind: str = "container", policy: str = "sort
             out.append(_cte(f"members{k}", f"SELECT trace, 'recipe' AS kind, recipe_id AS subset_id, chunk_id, location, seq FROM rec{k}"))
         else:
             out.append(_cte(f"segs{k}", f"SELECT trace, seq, coalesce(sum(n) OVER (PARTITION BY trace ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM (SELECT trace, seq, max(win_pos // 64) + 1 AS n FROM out{k} GROUP BY ALL)"))
-            out.append(_cte(f"rec{k}", f"SELECT o.*, {first} + b + win_pos // 64 AS recipe_id, {FP} & 7 IN (0, 7) AS hook, coalesce((ord + 1) % 9 = 0, false) AS feature FROM out{k} o JOIN segs{k} USING (trace, seq)"))
+            out.append(_cte(f"rec{k}", f"SELECT o.*, {first} + b + win_pos // 64 AS recipe_id, {FP} & {(1 << bits) - 1} IN (0, {(1 << bits) - 1}) AS hook, coalesce((ord + 1) % 9 = 0, false) AS feature FROM out{k} o JOIN segs{k} USING (trace, seq)"))
             out.append(_cte(f"members{k}", f"{own} UNION ALL SELECT trace, 'recipe', recipe_id, chunk_id, location, seq FROM rec{k}"))
             out.append(_cte(f"hooks{k}", " UNION ALL ".join(f"SELECT trace, {e} AS version, chunk_id, '{role}' AS role, {subset}::BIGINT AS subset_id FROM rec{k} WHERE {where}" for role, subset, where in (
                 ("recipe_ptr", "recipe_id", "NOT is_dup AND feature"), ("cnr_ptr", "location", "NOT is_dup AND feature"), ("cnr_hook", "location", "NOT is_dup AND hook"), ("recipe_hook", "recipe_id", "hook")))))
@@ -135,9 +135,32 @@ def epochs(tag: str, versions: int, kind: str = "container", policy: str = "sort
     return out
 
 
-def _selected(tag: str, e: int, kind: str, policy: str, cap: int, ratio: float, cache: int, adapt: bool) -> list[str]:
+def strict(name: str, policy: str, cap: int) -> str:
+    """A run over ``windowed`` that walks the windows of one trace: ``name (step, fp, ord, stored, loads)``; a step's row without ``fp`` is its report.
+
+    Each step hands on all stored chunks; a container is searched once a chunk stands behind it.
+    """
+    order = "score DESC, subset_id" if policy == "sort" else "first, subset_id"
+    load = "row_number() OVER (ORDER BY r)" if policy == "sort" else "row_number() OVER (ORDER BY subset_id)"
+    return f"""{name} AS (SELECT 0::BIGINT AS step, NULL::BIGINT AS fp, NULL::BIGINT AS ord, 0::BIGINT AS stored, 0::BIGINT AS loads
+        UNION ALL SELECT * FROM (WITH cur AS (SELECT max(step) + 1 AS step FROM {name}), old AS (SELECT fp, ord FROM {name} WHERE fp IS NOT NULL), top AS (SELECT coalesce(max(ord), -1) AS m FROM old),
+        w AS (SELECT {FP} AS fp, win_pos FROM windowed, cur WHERE seq = cur.step),
+        seen AS (SELECT fp, ord, ord // 256 AS subset_id FROM old, top WHERE ord // 256 < m // 256),
+        hk AS (SELECT fp, subset_id, min(ord) AS ord FROM seen WHERE (ord + 1) % 9 = 0 GROUP BY ALL),
+        hits AS (SELECT fp, count(*) AS cnt, min(win_pos) AS first_pos FROM w GROUP BY ALL),
+        cand AS (SELECT subset_id, sum(cnt) AS score, min({{'first_pos': first_pos, 'ord': ord}}) AS first FROM hits JOIN hk USING (fp) GROUP BY ALL),
+        pick AS (SELECT subset_id, {load} AS load_rank FROM (SELECT subset_id, row_number() OVER (ORDER BY {order}) AS r FROM cand) WHERE r <= {cap}),
+        fresh AS (SELECT fp, win_pos FROM w ANTI JOIN (SELECT fp FROM seen JOIN pick USING (subset_id)) f USING (fp)),
+        n AS (SELECT (SELECT count(*) FROM fresh) AS stored, (SELECT count(*) FROM pick) AS loads)
+        SELECT step, fp, ord, 0, 0 FROM old, cur WHERE EXISTS (FROM w)
+        UNION ALL SELECT step, fp, m + row_number() OVER (ORDER BY win_pos), 0, 0 FROM fresh, top, cur
+        UNION ALL SELECT step, NULL, NULL, stored, loads FROM n, cur WHERE EXISTS (FROM w)))"""
+
+
+def _selected(tag: str, e: int, kind: str, policy: str, cap: int, ratio: float, cache: int, adapt: bool, bound: int) -> list[str]:
     k, w = f"{tag}{e}", f"w{tag}{e}"
-    out = [_cte(f"hk{k}", _union("hooks", tag, e, "*"))]
+    expired = f" WHERE role NOT LIKE 'recipe%' OR version >= {e - bound}" if kind == "hybrid" else ""
+    out = [_cte(f"hk{k}", f"SELECT * FROM ({_union('hooks', tag, e, '*')}){expired}")]
     if kind == "hybrid":
         out.append(_cte(f"pairs{k}", f"SELECT trace, seq, chunk_id, role, subset_id FROM ids{k} JOIN hk{k} USING (trace, chunk_id)"))
         out += hybrid(f"any{k}", f"pairs{k}", -(-int(cap * ratio * 1000) // 1000))

@@ -186,6 +186,47 @@ def _compare() -> str:
     return _with([_BLOOM.lstrip().removeprefix(","), *ctes], body, shared=_LOCATED)
 
 
+_TOTAL = "SELECT trace, version, count(*) AS total, count(*) FILTER (NOT is_dup) AS stored, count(DISTINCT seq) AS windows, min(seq) AS first_seq, max(seq) AS last_seq FROM {0} GROUP BY ALL"
+
+
+def _runs(runs: list[tuple[str, str, dict]], chunks: str) -> str:
+    """Whole runs of a grid, a report for each: name of the run, trace, and how it runs; the settings that vary are columns."""
+    ctes, parts = [P._cte(f"only_{t}", f"SELECT * FROM windowed WHERE trace = '{t}'") for t in dict.fromkeys(t for _, t, _ in runs)], []
+    for tag, trace, how in runs:
+        shown = how.pop("shown")
+        ctes += P.epochs(f"_{tag}_", 5, source=f"only_{trace}", **how)
+        parts.append(f"""SELECT {shown}, trace, version, windows, total, stored, coalesce(loads, 0)::BIGINT AS loads, {_RATE} AS dedup_rate FROM ({_TOTAL.format(f"rows_{tag}_")})
+        LEFT JOIN (SELECT trace, version, count(*) AS loads FROM loads_{tag}_ GROUP BY ALL) USING (trace, version)""")
+    return _with(ctes, " UNION ALL ".join(parts), chunks)
+
+
+def _run_sweep() -> str:
+    runs = [(f"{t}{i}", t, {"cap": c, "shown": f"{i}::INT AS cfg_id, {c}::INT AS io_cap"}) for t in ("snapshot", "doc_lines", "events") for i, c in enumerate((4, 6, 20))]
+    return _runs(runs, f"{SNAPSHOT} UNION ALL {DOC_LINES} UNION ALL {EVENTS}")
+
+
+def _bit_sweep() -> str:
+    runs = [(f"b{i}", "snapshot", {"kind": "hybrid", "cap": 4, "bits": b, "bound": v, "shown": f"{i}::INT AS cfg_id, '{b},{b}' AS hook_bits, {v}::INT AS version_bound"}) for i, (b, v) in enumerate(((2, 1000), (3, 1000), (3, 0), (4, 1)))]
+    return _runs(runs, SNAPSHOT)
+
+
+def _strict(policy: str) -> str:
+    of = "(SELECT version, seq, count(*) AS n FROM windowed GROUP BY ALL)"
+    one = lambda i, c: f"""SELECT {i}::INT AS cfg_id, {c}::INT AS io_cap, 'snapshot' AS trace, version, count(*) AS windows, sum(n)::BIGINT AS total, sum(stored)::BIGINT AS stored, sum(loads)::BIGINT AS loads, round(sum(n)::DOUBLE / nullif(sum(stored), 0), 6) AS dedup_rate
+        FROM walk{c} JOIN {of} ON seq = step WHERE fp IS NULL GROUP BY version"""
+    return _with([P.strict("walk1", policy, 1), P.strict("walk4", policy, 4)], f"{one(0, 1)} UNION ALL {one(1, 4)}")
+
+
+def _ingest_bounded() -> str:
+    ctes = [P._cte(f"only_{t}", f"SELECT * FROM windowed WHERE trace = '{t}'") for t in ("snapshot", "doc_lines")]
+    parts = []
+    for t in ("snapshot", "doc_lines"):
+        ctes += P.epochs(f"_{t}_", 5, "hybrid", cap=4, bound=0, source=f"only_{t}")
+        parts.append(f"""SELECT trace, version, total, stored, first_seq, last_seq, coalesce(loads, 0)::BIGINT AS loads FROM ({_TOTAL.format(f"rows_{t}_")})
+        LEFT JOIN (SELECT trace, version, count(*) AS loads FROM loads_{t}_ GROUP BY ALL) USING (trace, version)""")
+    return _with(ctes, " UNION ALL ".join(parts), f"{SNAPSHOT} UNION ALL {DOC_LINES}")
+
+
 def _bloom_hashes(k: int = 9, m: int = 3323) -> str:
     """Bits of every stored id: ``k`` chained 32-bit hashes of its 17 bytes, each seeded by the one before."""
     word = lambda i: " + ".join(f"ascii(substr(chunk_id, {i * 4 + j + 1}, 1)) * {256**j}" for j in range(4))
@@ -252,6 +293,11 @@ SQL |= {
     "near_exact_recipe_report": _near("_r", kind="recipe"),
     "hybrid_report": _near("_h", "hybrid", cache=16, kind="hybrid", adapt=True),
     "incremental_ingest": _with(P.epochs("_i", 5), _TOTALS.format("_i")),
+    "run_sweep": _run_sweep(),
+    "bit_sweep": _bit_sweep(),
+    "strict_sort_report": _strict("sort"),
+    "strict_fifo_report": _strict("fifo"),
+    "ingest_bounded": _ingest_bounded(),
     "strategy_compare": _compare(),
     "stream_near_exact": _with(P.epochs("_s", 4), _TOTALS.format("_s"), _STREAM),
     "bloom_filters": _bloom("SELECT trace, part, bf_no, count(DISTINCT chunk_id) AS members, count(DISTINCT bit) AS set_bits, md5(string_agg(DISTINCT bit::VARCHAR, ',' ORDER BY bit)) AS digest FROM bits GROUP BY ALL".replace("string_agg(DISTINCT bit::VARCHAR, ',' ORDER BY bit)", "array_to_string(list_sort(list(DISTINCT bit)), ',')")),

@@ -16,6 +16,7 @@ from fathomline.operators import metrics as M
 from fathomline.operators import near_exact as N
 from fathomline.operators import ordinals as O
 from fathomline.operators import select as C
+from fathomline.operators import strict as K
 from fathomline.operators import sweep as X
 from fathomline.sources import traces as T
 from fathomline.streaming import ingest as G
@@ -392,6 +393,45 @@ def ratio_sweep(spark, d):
     return X.ratio_sweep(last, new, _held(new), [4, 8, 32], 4)
 
 
+def run_sweep(spark, d):
+    """Whole runs of three caps over three traces, all versions."""
+    traces = T.snapshot_trace(spark, d).unionByName(T.doc_lines_trace(spark, d)).unionByName(T.events_trace(spark, d))
+    return X.run_sweep(stored(traces, "traces"), CFG, [{"io_cap": c} for c in (4, 6, 20)])
+
+
+def bit_sweep(spark, d):
+    """Whole hybrid runs that differ in the sampled bits and in how long recipe hooks live."""
+    grid = [{"hook_bits": (b, b), "version_bound": v} for b, v in ((2, 1000), (3, 1000), (3, 0), (4, 1))]
+    return X.run_sweep(stored(T.snapshot_trace(spark, d), "snapshot"), replace(CFG, kind="hybrid", io_cap=4, hybrid_ratio=0.5), grid)
+
+
+def _strict(spark, d, policy: str) -> DataFrame:
+    cfg = replace(CFG, policy=policy, grid=({"io_cap": 1}, {"io_cap": 4}))
+    rows, loads, _ = K.strict_dedup(stored(T.snapshot_trace(spark, d), "snapshot"), cfg)
+    return X.variant_report(rows, loads, cfg)
+
+
+def strict_sort_report(spark, d):
+    """Strict sealing: every window sees what the windows before it have sealed."""
+    return _strict(spark, d, "sort")
+
+
+def strict_fifo_report(spark, d):
+    return _strict(spark, d, "fifo")
+
+
+def ingest_bounded(spark, d):
+    """Two traces ingested version by version into one hybrid index whose recipe hooks live for a version; their windows count apart."""
+    store, cfg = f"{shared_dir(spark)}/store", replace(CFG, kind="hybrid", io_cap=4, hybrid_ratio=0.5, version_bound=0)
+    trace = stored(T.snapshot_trace(spark, d).unionByName(T.doc_lines_trace(spark, d)), "traces")
+    for v in sorted(r.version for r in trace.select("version").distinct().collect()):  # one row per version
+        G.ingest_version(spark, store, trace.where(F.col("version") == v), v, cfg)
+    rows = spark.read.schema(G.DEDUP).parquet(f"{store}/rows")
+    per = rows.groupBy("trace", "version").agg(F.count("*").alias("total"), F.count_if(~F.col("is_dup")).alias("stored"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    loads = spark.read.parquet(f"{store}/loads").groupBy("trace", "version").agg(F.count("*").alias("loads"))
+    return per.join(loads, ["trace", "version"], "left").fillna(0, ["loads"])
+
+
 def strategy_compare(spark, d):
     variants = {"sort": {"policy": "sort"}, "fifo": {"policy": "fifo"}, "sparse": {"policy": "sparse"}, "level": {"policy": "level"},
                 "recipe": {"kind": "recipe", "policy": "sort"}, "hybrid": {"kind": "hybrid", "io_cap": 4, "hybrid_ratio": 0.5}}
@@ -472,11 +512,9 @@ def incremental_ingest(spark, d):
     """The versions ingested one by one against the stored index; equals the epoch run."""
     store = f"{shared_dir(spark)}/store"
     trace = stored(T.snapshot_trace(spark, d), "snapshot")
-    out = None
     for v in sorted(r.version for r in trace.select("version").distinct().collect()):
-        rows = G.ingest_version(spark, store, trace.where(F.col("version") == v), v, CFG)
-        out = rows if out is None else out.unionByName(rows)
-    return M.version_report(out).select("trace", "version", "total", "stored", "windows")
+        G.ingest_version(spark, store, trace.where(F.col("version") == v), v, CFG)
+    return M.version_report(spark.read.schema(G.DEDUP).parquet(f"{store}/rows")).select("trace", "version", "total", "stored", "windows")
 
 
 NAMES = """version_dedup_report window_dedup_report unique_chunks windows_legacy packed_containers seal_status recipes_exact segment_recipes subset_meta
@@ -484,6 +522,7 @@ segments_fixed segments_fixed_dropped segments_content segments_pattern sample_p
 hook_lookup hook_stats hooks_version_bound hook_pointer_counts hybrid_hooks hook_hits hook_hits_distinct hit_counts candidate_scores select_sort select_fifo
 select_all select_sparse select_level select_hybrid select_hybrid_basic select_hybrid_dense adaptive_cap dedup_step_sort dedup_step_no_flush near_exact_report
 near_exact_no_flush_report near_exact_recipe_report hybrid_report restore_cost index_breadth recipe_fragmentation coverage_curve fnv_partition
-partitioned_containers bloom_filters bloom_members bloom_loads bloom_loads_cached bloom_report bloom_fpp io_cap_sweep ratio_sweep strategy_compare
+partitioned_containers bloom_filters bloom_members bloom_loads bloom_loads_cached bloom_report bloom_fpp io_cap_sweep ratio_sweep run_sweep bit_sweep
+strict_sort_report strict_fifo_report ingest_bounded strategy_compare
 recipe_roundtrip recipe_files_roundtrip report_roundtrip window_rates_roundtrip trace_roundtrip manifest_roundtrip stream_exact_dedup stream_near_exact
 incremental_ingest""".split()

@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.storage import stored
-from fathomline.operators.near_exact import HOOKS, LOADS, MEMBERS, Config, Counters, State, run_epoch
+from fathomline.functions.storage import RANGED, ranged, stored
+from fathomline.operators.near_exact import FIRSTS, HOOKS, LOADS, MEMBERS, Config, Counters, State, run_epoch
 from fathomline.operators.ordinals import block_ordinal
 
 DEDUP = "trace string, version int, pos long, chunk_id string, seq long, is_dup boolean, location long"
@@ -25,22 +25,31 @@ def ingest_version(spark: SparkSession, store: str, chunks: DataFrame, version:
     """Deduplicate one version of ``chunks (trace, pos, chunk_id)`` against the store and add what it made.
 
     Rows, members, hooks, loads and counters are written by ``version=`` partition, which a repeated run overwrites; the
-    state is read from earlier versions only, so a repeated run makes the same ids. Returns the version's rows.
+    state is read from earlier versions only, so a repeated run makes the same ids. Members lie by ranges of subsets, of which
+    only those that the version loads are read. Hooks lie by version and kind: recipe hooks beyond the version bound are not read. Windows
+    are counted for each trace of its own; ``window_base``, if given, for all. Returns the version's rows.
     """
-    members, hooks, loads, rows, counters = (f"{store}/{t}" for t in ("members", "hooks", "loads", "rows", "counters"))
+    members, hooks, loads, rows, counters, firsts = (f"{store}/{t}" for t in ("members", "hooks", "loads", "rows", "counters", "firsts"))
     latest = _read(spark, counters, COUNTERS, version).groupBy("trace").agg(F.max_by(F.struct("*"), "version").alias("c")).select("c.*").collect()  # one row per trace
     names = [c.split()[0] for c in COUNTERS.split(", ")][1:-2]
-    state = State(_read(spark, members, MEMBERS, version), _read(spark, hooks, HOOKS, version), _read(spark, loads, LOADS, version), {r.trace: Counters(**{n: r[n] for n in names}) for r in latest})
-    base = window_base if window_base is not None else max([r.last_seq for r in latest], default=0)
+    live = _read(spark, hooks, HOOKS, version).where((F.col("kind") != "recipe") | (F.col("version") >= version - cfg.most("version_bound"))) if cfg.kind == "hybrid" else _read(spark, hooks, HOOKS, version)
+    held = _read(spark, members, f"{MEMBERS}, {RANGED} long", version)
+    state = State(held, live, _read(spark, firsts, f"{FIRSTS}, version int", version).drop("version"), {r.trace: Counters(**{n: r[n] for n in names}) for r in latest})
+    ended = {r.trace: r.last_seq for r in latest}
+    bases = spark.createDataFrame(list(ended.items()), "trace string, base__ long")  # one row per trace
     order = F.col("pos")
     windowed = chunks.select("trace", F.lit(version).alias("version"), "pos", "chunk_id", F.floor(order / cfg.window_size).cast("bigint").alias("win"), (order % cfg.window_size).cast("int").alias("win_pos"))
-    windowed = stored(windowed.withColumn("seq", F.col("win") + 1 + base), "windowed")
+    base = F.coalesce("base__", F.lit(0)) if window_base is None else F.lit(window_base)
+    windowed = stored(windowed.join(F.broadcast(bases), "trace", "left").withColumn("seq", F.col("win") + 1 + base).drop("base__"), "windowed")
     made = run_epoch(windowed, state, cfg)
-    last_seq = windowed.agg(F.max("seq")).first()[0] or base
-    after = spark.createDataFrame([(t, *(getattr(c, n) for n in names), last_seq, version) for t, c in made.counters.items()], COUNTERS)
+    ended |= {r[0]: r[1] for r in windowed.groupBy("trace").agg(F.max("seq")).collect()}  # one row per trace
+    after = spark.createDataFrame([(t, *(getattr(c, n) for n in names), ended.get(t, 0), version) for t, c in made.counters.items()], COUNTERS)
     picked = made.rows.select("trace", "version", "pos", "chunk_id", "seq", "is_dup", F.col("location").cast("long").alias("location"))
-    for table, path in ((made.members, members), (made.hooks, hooks), (made.loads, loads), (picked, rows), (after, counters)):
-        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+    tables = [(ranged(made.members).repartition(RANGED), members, [RANGED]), (made.hooks, hooks, ["kind"]), (made.loads, loads, []), (picked, rows, []), (after, counters, [])]
+    if made.firsts is not None:
+        tables.append((made.firsts.withColumn("version", F.lit(version)), firsts, []))
+    for table, path, more in tables:
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", *more).parquet(path)
     return spark.read.schema(DEDUP).parquet(rows).where(F.col("version") == version)
 
 

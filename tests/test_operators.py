@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import ids as I
+from fathomline.functions.storage import ranged
 from fathomline.operators import bloom as B
 from fathomline.operators import exact as E
 from fathomline.operators import index as H
@@ -275,10 +276,10 @@ def test_no_flush_keeps_loads_of_earlier_epochs(spark):
         rows, _, state = N.near_exact_dedup(trace, replace(cfg, ratio=0))
         assert report(rows)[0] == (4, 4)
         hooks = state.hooks.where("chunk_id = 'a' and version = 0")
-        first = N.State(state.members.where("version = 0"), hooks, state.loads.where("false"), {"t": N.Counters(container=1, ord=4)})
+        first = N.State(state.members.where("version = 0"), hooks, state.firsts.where("false"), {"t": N.Counters(container=1, ord=4)})
         windowed = O.assign_windows(trace, 4)
         made = N.run_epoch(windowed.where("version = 1"), first, cfg)
-        then = N.State(first.members.unionByName(made.members), hooks, made.loads, made.counters)
+        then = N.State(first.members.unionByName(ranged(made.members)), hooks, first.firsts if flush else made.firsts, made.counters)
         last = N.run_epoch(windowed.where("version = 2"), then, cfg)
         assert last.rows.where(~F.col("is_dup")).count() == stored_last
 
