@@ -163,7 +163,10 @@ def choose(windowed: DataFrame, state: State, meta: DataFrame | None, cfg: Confi
         by_trace = F.element_at(F.array(*map(F.lit, limits.values())), (F.split("trace", r"\|")[0].cast("int") + 1) if cfg.grid else F.lit(1))
         selected = S.select_hybrid(pairs, 0, limits=by_trace, most=max(limits.values()))
         return stored(selected, "selected") if cfg.cap_adaptive else S.apply_io_cap(selected, cfg.each("io_cap", F.lit))
-    return select_from(S.hook_pairs(S.hook_hits(windowed, hooks), hooks), meta, cfg)
+    hits = S.hook_hits(windowed, hooks)
+    if cfg.policy in ("sort", "sparse"):
+        return select_from(S.leading_pairs(stored(hits, "hits"), hooks, cfg.most("io_cap")), meta, cfg)
+    return select_from(S.hook_pairs(hits, hooks), meta, cfg)
 
 
 def select_from(pairs: DataFrame, meta: DataFrame | None, cfg: Config) -> DataFrame:

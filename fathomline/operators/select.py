@@ -1,7 +1,9 @@
 """Candidate subsets of a window and the policies that choose which to load.
 
-Ties, which the semantics leave open, go to the smaller subset id. The greedy and clustering policies see one window's
-hooks at a time, at most one window of rows; everything else is joins, aggregates and window functions.
+Ties, which the semantics leave open, go to the smaller subset id. The greedy and clustering policies see one window's hits
+at a time, each with the subsets it points to; everything else is joins, aggregates and window functions. Where a hook
+points to very many subsets, ``leading_pairs`` leaves those that ``sort`` and ``sparse`` can choose, so that a window has at most
+``HEAVY`` rows a hit beside them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from fathomline.functions.storage import stored
 from fathomline.functions.workers import workers_import_package
 from fathomline.operators.ordinals import SPAN, sums_before
 
+#: A hook that points to more subsets is heavy.
+HEAVY = 64
 SELECTED = "trace string, seq long, kind string, subset_id long, load_rank int"
 
 
@@ -32,6 +36,31 @@ def hook_pairs(hits: DataFrame, hooks: DataFrame) -> DataFrame:
     return hits.join(hooks.select("trace", "chunk_id", "kind", "subset_id", "ord"), ["trace", "chunk_id"])
 
 
+def leading_pairs(hits: DataFrame, hooks: DataFrame, most: int, heavy: int = HEAVY) -> DataFrame:
+    """The pairs of ``hook_pairs`` without subsets that neither ``select_sort`` nor ``select_sparse`` can choose under a cap of ``most``.
+
+    Subsets that a window meets by heavy hooks only, and by the same ones, count alike for it whatever the hits weigh, and the smaller id goes
+    first: of each such group the ``most`` smallest ids lead. Groups depend on the set of heavy hooks alone, so they are found once for all
+    windows that hit the same set, and a hook in every window costs its subsets once, not once a window. Subsets met by other hooks all stay.
+    """
+    key, subset = ["trace", "chunk_id"], ["kind", "subset_id"]
+    counts = stored(hooks.groupBy(*key).agg(F.count("*").alias("points")).where(F.col("points") > heavy).select(*key), "heavy_hooks")
+    if counts.isEmpty():
+        return hook_pairs(hits, hooks)
+    light = stored(hook_pairs(hits.join(counts, key, "left_anti"), hooks), "light_pairs")
+    hot = stored(hits.join(counts, key, "left_semi"), "heavy_hits")
+    posts = stored(hooks.join(counts, key, "left_semi").select(*key, *subset, "ord"), "heavy_posts")
+    sets = stored(hot.groupBy("trace", "seq").agg(F.sort_array(F.collect_set("chunk_id")).alias("met")).withColumn("met_key", F.sha2(F.array_join("met", ","), 256)), "heavy_sets")  # at most a window's ids
+    once = sets.groupBy("trace", "met_key").agg(F.first("met").alias("met")).select("trace", "met_key", F.explode("met").alias("chunk_id"))
+    groups = once.join(posts.select(*key, *subset), key).groupBy("trace", "met_key", *subset).agg(F.sha2(F.array_join(F.sort_array(F.collect_set("chunk_id")), ","), 256).alias("by"))
+    rank = F.row_number().over(Window.partitionBy("trace", "met_key", "kind", "by").orderBy("subset_id"))
+    leaders = groups.withColumn("nth", rank).where(F.col("nth") <= max(most, 1)).select("trace", "met_key", *subset)
+    lead = sets.select("trace", "seq", "met_key").join(leaders, ["trace", "met_key"]).select("trace", "seq", *subset)
+    chosen = lead.union(light.select("trace", "seq", *subset)).distinct()
+    both = hot.join(chosen, ["trace", "seq"]).join(posts, [*key, *subset])
+    return light.unionByName(both.select(light.columns))
+
+
 def candidate_scores(pairs: DataFrame) -> DataFrame:
     """``trace, seq, kind, subset_id, score, n_hooks, first``: hits with multiplicity, distinct hooks, and where the subset was first met."""
     return pairs.groupBy("trace", "seq", "kind", "subset_id").agg(

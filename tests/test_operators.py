@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import ids as I
-from fathomline.functions.storage import ranged
+from fathomline.functions.storage import Growing, ranged, stored
 from fathomline.operators import bloom as B
 from fathomline.operators import exact as E
 from fathomline.operators import index as H
@@ -15,6 +15,7 @@ from fathomline.operators import metrics as M
 from fathomline.operators import near_exact as N
 from fathomline.operators import ordinals as O
 from fathomline.operators import select as C
+from fathomline.operators import strict as K
 from fathomline.plans import queries as Q
 from fathomline.sources import traces as T
 from fathomline.streaming import ingest as G
@@ -323,3 +324,165 @@ def test_ingest_equals_epochs(spark, sf):
     cols = ["trace", "version", "total", "stored", "windows"]
     ingested = [tuple(r) for r in Q.incremental_ingest(spark, sf).orderBy("version").collect()]
     assert ingested == [tuple(r) for r in whole.select(cols).orderBy("version").collect()] and len(ingested) == 5
+
+
+def walked_caps(rows, cap, cache, start=(0, 0, 0)):
+    """Caps and loads window by window."""
+    (i, spent, met), out = start, []
+    for selected, candidates in rows:
+        i, met = i + 1, met + candidates
+        value = cap if selected <= cap or candidates * i < met else min(cache, i * cap - spent)
+        out.append((value, min(selected, max(value, 1))))
+        spent += out[-1][1]
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 3, 1024])
+def test_cap_as_a_scan_equals_the_walk(spark, span):
+    r = np.random.default_rng(span)
+    traces = {f"{i}|t": [(int(s), int(c)) for s, c in zip(r.integers(0, 12, n), r.integers(0, 9, n), strict=True)] for i, n in enumerate((1, 7, 40, 200))}
+    rows = [(t, 5 + i, s, c) for t, windows in traces.items() for i, (s, c) in enumerate(windows)]
+    per = spark.createDataFrame(rows, "trace string, seq long, n_selected long, n_candidates long")
+    caps, before = {"0|t": 0, "1|t": 1, "2|t": 3, "3|t": 4}, {"2|t": (6, 11, 20), "3|t": (2, 8, 3)}
+    by_trace = F.when(F.col("trace") == "0|t", 0).when(F.col("trace") == "1|t", 1).when(F.col("trace") == "2|t", 3).otherwise(4)
+    got = C.adaptive_io_cap(per, by_trace, 7, before, span=span).orderBy("trace", "seq").collect()
+    for t, windows in traces.items():
+        assert [(x.cap, x.loads) for x in got if x.trace == t] == walked_caps(windows, caps[t], 7, before.get(t, (0, 0, 0)))
+    assert C.adaptive_io_cap(per.where("false"), 2, 7).count() == 0
+
+
+def test_strict_sealing_on_the_tiny_trace(spark, tiny):
+    """FIXTURES 3.1: three sealed containers, z stays open and has no hook."""
+    rows, loads, hooks = K.strict_dedup(tiny, TINY)
+    assert report(rows, loads) == [(8, 5, 1), (8, 5, 1)]
+    assert sorted(h.chunk_id for h in hooks.collect()) == ["b", "d", "f", "x"]
+    assert sorted(r.n for r in M.restore_cost(rows).selectExpr("locations as n").collect()) == [4, 4]
+    assert rows.where(~F.col("is_dup")).agg(F.max("ord")).first()[0] == 9
+
+
+@pytest.mark.parametrize("policy", ["sparse", "level", "all"])
+def test_strict_sealing_equals_a_walk(spark, policy):
+    """Every window against what the windows before it sealed, one epoch a window."""
+    r = np.random.default_rng(4)
+    versions = []
+    for v in range(3):
+        words = [f"c{int(x)}" for x in (np.arange(40) if not v else np.where(r.random(40) < 0.25, 100 * v + np.arange(40), np.arange(40)))]
+        versions.append(" ".join(words))
+    trace = chunks(spark, *versions)
+    cfg = replace(TINY, policy=policy, window_size=8, container_size=5, io_cap=2)
+    rows, loads, _ = K.strict_dedup(trace, cfg)
+    stored, seq_loads, ends = [], {}, {}
+    windowed = O.assign_windows(trace, 8).orderBy("seq", "win_pos").collect()
+    for seq in range(1, max(x.seq for x in windowed) + 1):
+        own = [x.chunk_id for x in windowed if x.seq == seq]
+        last = (len(stored) - 1) // 5
+        seen = [(c, k, k // 5) for k, c in enumerate(stored) if k // 5 < last]
+        points: dict = {}
+        for c, k, s in seen:
+            if (k + 1) % 2 == 0:
+                points.setdefault(c, set()).add(s)
+        pairs = [(c, s) for c in dict.fromkeys(own) for s in points.get(c, ())]
+        if policy == "sparse":
+            picked = C.greedy_cover(np.array([c for c, _ in pairs]), np.array([s for _, s in pairs]), 2) if pairs else []
+        elif policy == "all":
+            picked = sorted({s for _, s in pairs})[:2]
+        else:
+            score = {s: sum(own.count(c) for c, t in pairs if t == s) for _, s in pairs}
+            made = {s: max(ends[k] for _, k, t in seen if t == s) for s in score}
+            picked = C.level_clusters([(s, score[s], made[s]) for s in sorted(score, key=lambda s: (-score[s], s))], 2 * 8 / 5)[:2]
+        seq_loads[seq] = picked
+        found = {c for c, _, s in seen if s in picked}
+        for c in own:
+            if c not in found:
+                ends[len(stored)] = seq
+                stored.append(c)
+    got = rows.where(~F.col("is_dup")).orderBy("ord").collect()
+    assert [x.chunk_id for x in got] == stored
+    by_seq: dict = {}
+    for x in loads.orderBy("seq", "load_rank").collect():
+        by_seq.setdefault(x.seq, []).append(x.subset_id)
+    assert by_seq == {k: v for k, v in seq_loads.items() if v}
+
+
+def test_strict_sealing_edges(spark, tiny):
+    rows, loads, hooks = K.strict_dedup(tiny.where("false"), TINY)
+    assert (rows.count(), loads.count(), hooks.count()) == (0, 0, 0)
+    none = spark.createDataFrame([("t", v, p, None) for v in range(2) for p in range(5)], "trace string, version int, pos long, chunk_id string")
+    assert report(K.strict_dedup(none, TINY)[0]) == [(5, 5), (5, 5)]
+    with pytest.raises(ValueError, match="containers"):
+        K.strict_dedup(tiny, replace(TINY, kind="recipe"))
+
+
+@pytest.mark.parametrize("how", [{"kind": "container", "policy": "sparse"}, {"kind": "recipe", "flush": False}, {"kind": "hybrid", "cap_adaptive": True, "segment_size": 2}])
+def test_a_grid_equals_its_runs(spark, how):
+    trace = chunks(spark, "a b c d e a b c d", "a b c x e f g z a b", "x e f a b c d q r").withColumn("chunk_id", I.content_id(F.col("chunk_id")))
+    trace = trace.unionByName(trace.where("version < 2").withColumn("trace", F.lit("u")))
+    base = replace(TINY, hook_bits=(1, 1), hybrid_ratio=0.5, **how)
+    grid = ({"io_cap": 3, "ratio": 2}, {"io_cap": 2, "hook_bits": (2, 1), "version_bound": 0, "hybrid_ratio": 1.0})
+    rows, loads, _ = N.near_exact_dedup(trace, replace(base, grid=grid))
+    key = ["trace", "version", "pos", "is_dup", "location"]
+    for i, change in enumerate(grid):
+        alone, own_loads, _ = N.near_exact_dedup(trace, replace(base, **change))
+        same = lambda df, cols: sorted(tuple(r) for r in df.select(cols).collect())
+        part = rows.where(F.col("trace").startswith(f"{i}|")).withColumn("trace", F.split("trace", r"\|")[1])
+        assert same(part, key) == same(alone, key)
+        own = loads.where(F.col("trace").startswith(f"{i}|")).withColumn("trace", F.split("trace", r"\|")[1])
+        assert same(own, own_loads.columns) == same(own_loads, own_loads.columns)
+    with pytest.raises(ValueError, match="vary"):
+        N.near_exact_dedup(trace, replace(base, grid=({"window_size": 8},)))
+
+
+def test_only_ranges_of_loaded_subsets_are_read(spark, monkeypatch):
+    members = Growing(spark, N.MEMBERS, by_range=True)
+    rows = spark.range(64 * 20).selectExpr("'t' as trace", "'container' as kind", "id as subset_id", "concat('c', id) as chunk_id", "id as location", "1L as seq", "0 as version")
+    members.add(rows, 0)
+    chosen = stored(spark.createDataFrame([("t", 9, "container", 70, 1), ("t", 9, "container", 1200, 2)], C.SELECTED))
+    windowed = spark.createDataFrame([("t", 9, "c70"), ("t", 9, "c71"), ("t", 9, "c1200")], "trace string, seq long, chunk_id string")
+    got = N.load_subsets(windowed, chosen, members.read())
+    assert sorted((r.chunk_id, r.location) for r in got.collect()) == [("c1200", 1200), ("c70", 70)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_two_traces_are_ingested_as_they_run(spark, tmp_path):
+    """Windows count apart for each trace, and recipe hooks expire, as in a run by epochs."""
+    trace = chunks(spark, "a b", "a b c d e", "a c d e f").unionByName(chunks(spark, "k l m n o p q r s t", "k l x n o p", "k l m n y", trace="u"))
+    trace = trace.withColumn("chunk_id", I.content_id(F.col("chunk_id")))
+    for change in ({"kind": "hybrid", "version_bound": 0, "hook_bits": (1, 1), "segment_size": 2, "hybrid_ratio": 0.5}, {"flush": False, "ratio": 0}):
+        cfg = replace(TINY, io_cap=2, **change)
+        store = f"file://{tmp_path}/{cfg.kind}"
+        for v in (0, 1, 2, 2):  # the last one again: the same
+            G.ingest_version(spark, store, trace.where(F.col("version") == v), v, cfg)
+        columns = ["trace", "version", "pos", "seq", "is_dup", "location"]
+        want, _, _ = N.near_exact_dedup(trace, cfg)
+        got = spark.read.schema(G.DEDUP).parquet(f"{store}/rows")
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_hot_hooks_cost_their_subsets_once(spark):
+    """One hook in 200 windows points to 300 subsets: 60,000 pairs; those that lead give the same choices."""
+    hits = [("t", w, "hot", 1, 0) for w in range(1, 201)] + [("t", w, "warm", 2, 1) for w in range(1, 201, 2)] + [("t", w, f"c{w % 7}", 1, 2) for w in range(1, 201, 3)]
+    hooks = [("t", "hot", s, s) for s in range(300)] + [("t", "warm", s, s) for s in range(100, 200)] + [("t", f"c{k}", s, s) for k in range(7) for s in (290 - k, 150 + k, 305)]
+    hits = spark.createDataFrame(hits, "trace string, seq long, chunk_id string, cnt long, first_pos int")
+    hooks = spark.createDataFrame(hooks, "trace string, chunk_id string, subset_id long, ord long").withColumn("kind", F.lit("container"))
+    for cap in (1, 4):
+        few, every = C.leading_pairs(hits, hooks, cap).cache(), C.hook_pairs(hits, hooks)
+        assert every.count() > 60_000 and few.count() < 200 * (2 * cap + 8) * 2
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        assert rows(C.select_sort(C.candidate_scores(few), cap)) == rows(C.select_sort(C.candidate_scores(every), cap))
+        assert rows(C.select_sparse(few, cap)) == rows(C.select_sparse(every, cap))
+
+
+def test_leading_pairs_choose_as_all_pairs_do(spark):
+    r = np.random.default_rng(6)
+    hooks = [("t", f"h{h}", int(s), int(s)) for h in range(12) for s in sorted(r.choice(40, r.integers(1, 25), replace=False))]
+    hits = [("t", w, f"h{h}", int(r.integers(1, 4)), i) for w in range(1, 60) for i, h in enumerate(r.choice(12, r.integers(1, 6), replace=False))]
+    hits = spark.createDataFrame(hits, "trace string, seq long, chunk_id string, cnt long, first_pos int")
+    hooks = spark.createDataFrame(hooks, "trace string, chunk_id string, subset_id long, ord long").withColumn("kind", F.lit("container"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    every = C.hook_pairs(hits, hooks)
+    for cap, heavy in ((1, 3), (3, 8), (3, 0)):
+        few = C.leading_pairs(hits, hooks, cap, heavy)
+        assert few.count() <= every.count()
+        assert rows(C.select_sort(C.candidate_scores(few), cap)) == rows(C.select_sort(C.candidate_scores(every), cap))
+        assert rows(C.select_sparse(few, cap)) == rows(C.select_sparse(every, cap))
