@@ -53,7 +53,11 @@ def seal_status(containers: DataFrame, seal_tail: bool = False) -> DataFrame:
 def with_locations(windowed: DataFrame, container_size: int) -> DataFrame:
     """Exact deduplication with the container of every chunk: adds ``is_dup, location``. The flagged rows are written once."""
     flagged = stored(exact_dedup(windowed), "flagged")
-    packed = pack_containers(flagged.where(~F.col("is_dup")), container_size)
+    return locate(flagged, pack_containers(flagged.where(~F.col("is_dup")), container_size))
+
+
+def locate(flagged: DataFrame, packed: DataFrame) -> DataFrame:
+    """``flagged`` with ``location``, the container of every chunk in ``packed``."""
     homes = packed.where("chunk_id is not null").select("trace", "chunk_id", F.col("container_id").alias("location"))
     own = packed.where("chunk_id is null").select(*flagged.columns, F.col("container_id").alias("location"))
     return flagged.where("chunk_id is not null").join(homes, ["trace", "chunk_id"]).select(*flagged.columns, "location").unionByName(own)

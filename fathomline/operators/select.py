@@ -258,6 +258,7 @@ def adaptive_io_cap(per_window: DataFrame, io_cap: int | Column, cache_size: int
     """
     workers_import_package(per_window.sparkSession)
     rows = per_window.select("trace", "seq", "n_selected", "n_candidates", F.lit(1).alias("one__"), (io_cap if isinstance(io_cap, Column) else F.lit(io_cap)).cast("long").alias("cap0"))
+    rows = stored(rows, "per_window")
     rows = sums_before(sums_before(rows, ["trace"], ["seq"], "one__", "i__"), ["trace"], ["seq"], "n_candidates", "met__")
     earlier = [(t, *c) for t, c in (before or {}).items()]
     start = per_window.sparkSession.createDataFrame(earlier, "trace string, i0 long, spent0 long, met0 long")  # one row per trace

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,52 +31,62 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
     return O.assign_windows(T.snapshot_trace(spark, d), W)
 
 
-def located(spark: SparkSession, d: str) -> DataFrame:
-    return E.with_locations(windowed(spark, d), W)
+class Steps:
+    """What a query takes over the snapshot trace; each step is written once, when it is first used, and later ones read it."""
 
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
 
-def packed(spark: SparkSession, d: str) -> DataFrame:
-    return E.pack_containers(E.exact_dedup(windowed(spark, d)).where(~F.col("is_dup")), W)
+    @cached_property
+    def windowed(self) -> DataFrame:
+        return stored(windowed(self.spark, self.d), "windowed")
 
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return stored(E.exact_dedup(self.windowed), "flagged")
 
-def container_hooks(spark: SparkSession, d: str) -> DataFrame:
-    return H.build_hooks(packed(spark, d), I.sample_position(F.col("ord"), 8), "container_id", "ord")
+    @cached_property
+    def packed(self) -> DataFrame:
+        return stored(E.pack_containers(self.flagged.where(~F.col("is_dup")), W), "packed")
 
+    @cached_property
+    def located(self) -> DataFrame:
+        return stored(E.locate(self.flagged, self.packed), "located")
 
-def earlier(hooks: DataFrame) -> DataFrame:
-    return hooks.where(F.col("version") < LAST)
-
-
-def members(spark: SparkSession, d: str) -> DataFrame:
-    return packed(spark, d).where(F.col("version") < LAST).select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"), "seq", "version")
-
+    @cached_property
+    def recipes(self) -> DataFrame:
+        return stored(E.build_recipes(self.located, W), "recipes")
 
-def last_version(spark: SparkSession, d: str) -> DataFrame:
-    return windowed(spark, d).where(F.col("version") == LAST)
+    @cached_property
+    def hooks(self) -> DataFrame:
+        return stored(H.build_hooks(self.packed, I.sample_position(F.col("ord"), 8), "container_id", "ord"), "hooks")
 
+    @cached_property
+    def last(self) -> DataFrame:
+        return self.windowed.where(F.col("version") == LAST)
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    hooks = earlier(container_hooks(spark, d))
-    return C.hook_pairs(C.hook_hits(last_version(spark, d), hooks), hooks)
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stored(C.hook_pairs(C.hook_hits(self.last, earlier(self.hooks)), earlier(self.hooks)), "pairs")
 
+    @cached_property
+    def hybrid_rows(self) -> DataFrame:
+        """Exact rows of all versions with segment recipes, for the four hook roles."""
+        rows = self.located.join(self.packed.select("trace", "version", "pos", "ord"), ["trace", "version", "pos"], "left")
+        return stored(E.build_segment_recipes(O.segment_fixed(rows, 64)), "hybrid_rows")
 
-def recipes(spark: SparkSession, d: str) -> DataFrame:
-    return E.build_recipes(located(spark, d), W)
+    @cached_property
+    def role_hooks(self) -> DataFrame:
+        return stored(H.build_hybrid_hooks(self.hybrid_rows, 3, 3, ratio=8), "role_hooks")
 
+    @cached_property
+    def role_pairs(self) -> DataFrame:
+        ids = self.last.select("trace", "seq", "chunk_id").distinct()
+        return stored(ids.join(earlier(self.role_hooks).select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"]), "role_pairs")
 
-def hybrid_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Exact rows of all versions with segment recipes, for the four hook roles."""
-    rows = located(spark, d).join(packed(spark, d).select("trace", "version", "pos", "ord"), ["trace", "version", "pos"], "left")
-    return E.build_segment_recipes(O.segment_fixed(rows, 64))
 
-
-def hybrid_hook_table(spark: SparkSession, d: str) -> DataFrame:
-    return H.build_hybrid_hooks(hybrid_rows(spark, d), 3, 3, ratio=8)
-
-
-def role_pairs(spark: SparkSession, d: str) -> DataFrame:
-    ids = last_version(spark, d).select("trace", "seq", "chunk_id").distinct()
-    return ids.join(earlier(hybrid_hook_table(spark, d)).select("trace", "chunk_id", "role", "subset_id"), ["trace", "chunk_id"])
+def earlier(hooks: DataFrame) -> DataFrame:
+    return hooks.where(F.col("version") < LAST)
 
 
 def all_windowed(spark: SparkSession, d: str) -> DataFrame:
@@ -100,15 +111,18 @@ def windows_legacy(spark, d):
 
 
 def packed_containers(spark, d):
-    return packed(spark, d).select("trace", "container_id", "slot", "chunk_id", "version", "seq", "ord")
+    s = Steps(spark, d)
+    return s.packed.select("trace", "container_id", "slot", "chunk_id", "version", "seq", "ord")
 
 
 def seal_status(spark, d):
-    return E.seal_status(packed(spark, d))
+    s = Steps(spark, d)
+    return E.seal_status(s.packed)
 
 
 def recipes_exact(spark, d):
-    return recipes(spark, d).select("trace", "recipe_id", "slot", "chunk_id", "location", "version", "seq")
+    s = Steps(spark, d)
+    return s.recipes.select("trace", "recipe_id", "slot", "chunk_id", "location", "version", "seq")
 
 
 def segment_recipes(spark, d):
@@ -116,7 +130,8 @@ def segment_recipes(spark, d):
 
 
 def subset_meta(spark, d):
-    return E.subset_meta(packed(spark, d), "container", "container_id").unionByName(E.subset_meta(recipes(spark, d), "recipe", "recipe_id"))
+    s = Steps(spark, d)
+    return E.subset_meta(s.packed, "container", "container_id").unionByName(E.subset_meta(s.recipes, "recipe", "recipe_id"))
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -140,7 +155,8 @@ def segments_pattern(spark, d):
 
 
 def sample_position(spark, d):
-    return packed(spark, d).where(I.sample_position(F.col("ord"), 8)).select("trace", "chunk_id", "ord")
+    s = Steps(spark, d)
+    return s.packed.where(I.sample_position(F.col("ord"), 8)).select("trace", "chunk_id", "ord")
 
 
 def sample_chunk_id(spark, d):
@@ -162,43 +178,52 @@ def sample_min_hash(spark, d):
 
 
 def hook_index(spark, d):
-    return container_hooks(spark, d)
+    s = Steps(spark, d)
+    return s.hooks
 
 
 def sample_features(spark, d):
     """Both kinds of container features of hybrid indexes: by ordinal, and uniform by id bits."""
-    rows = packed(spark, d)
+    s = Steps(spark, d)
+    rows = s.packed
     feature = lambda uniform: I.is_feature(F.col("chunk_id"), F.col("ord"), uniform, 4, 3, 8)
     return rows.select("trace", "chunk_id", "ord", feature(False).alias("by_position"), feature(True).alias("uniform")).where("by_position or uniform")
 
 
 def hook_hits_distinct(spark, d):
-    ids = last_version(spark, d).select("trace", "seq", "chunk_id").distinct()
-    return ids.join(earlier(hybrid_hook_table(spark, d)).select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi").select("trace", "seq", "chunk_id")
+    s = Steps(spark, d)
+    ids = s.last.select("trace", "seq", "chunk_id").distinct()
+    return ids.join(earlier(s.role_hooks).select("trace", "chunk_id").distinct(), ["trace", "chunk_id"], "left_semi").select("trace", "seq", "chunk_id")
 
 
 def hook_lookup(spark, d):
-    return H.lookup_hooks(last_version(spark, d), earlier(container_hooks(spark, d))).select("trace", "chunk_id", "subset_id", "ord")
+    s = Steps(spark, d)
+    return H.lookup_hooks(s.last, earlier(s.hooks)).select("trace", "chunk_id", "subset_id", "ord")
 
 
 def hook_stats(spark, d):
-    return H.index_stats(container_hooks(spark, d), T.snapshot_trace(spark, d))
+    s = Steps(spark, d)
+    return H.index_stats(s.hooks, T.snapshot_trace(spark, d))
 
 
 def hooks_version_bound(spark, d):
-    return H.hooks_version_bound(container_hooks(spark, d), LAST, 2).select("trace", "chunk_id", "subset_id", "version")
+    s = Steps(spark, d)
+    return H.hooks_version_bound(s.hooks, LAST, 2).select("trace", "chunk_id", "subset_id", "version")
 
 
 def hook_pointer_counts(spark, d):
-    return H.pointer_counts(container_hooks(spark, d), 2)
+    s = Steps(spark, d)
+    return H.pointer_counts(s.hooks, 2)
 
 
 def hybrid_hooks(spark, d):
-    return hybrid_hook_table(spark, d)
+    s = Steps(spark, d)
+    return s.role_hooks
 
 
 def hook_hits(spark, d):
-    return C.hook_hits(last_version(spark, d), earlier(container_hooks(spark, d)))
+    s = Steps(spark, d)
+    return C.hook_hits(s.last, earlier(s.hooks))
 
 
 def hit_counts(spark, d):
@@ -208,49 +233,59 @@ def hit_counts(spark, d):
 
 
 def candidate_scores(spark, d):
-    return C.candidate_scores(pairs(spark, d)).select("trace", "seq", "subset_id", "score", "n_hooks", F.col("first.first_pos").alias("first_pos"), F.col("first.ord").alias("first_ord"))
+    s = Steps(spark, d)
+    return C.candidate_scores(s.pairs).select("trace", "seq", "subset_id", "score", "n_hooks", F.col("first.first_pos").alias("first_pos"), F.col("first.ord").alias("first_ord"))
 
 
 def select_sort(spark, d):
-    return C.select_sort(C.candidate_scores(pairs(spark, d)), 4)
+    s = Steps(spark, d)
+    return C.select_sort(C.candidate_scores(s.pairs), 4)
 
 
 def select_fifo(spark, d):
-    return C.select_fifo(C.candidate_scores(pairs(spark, d)), 2)
+    s = Steps(spark, d)
+    return C.select_fifo(C.candidate_scores(s.pairs), 2)
 
 
 def select_all(spark, d):
-    return C.select_all(C.candidate_scores(pairs(spark, d)))
+    s = Steps(spark, d)
+    return C.select_all(C.candidate_scores(s.pairs))
 
 
 def select_sparse(spark, d):
-    return C.select_sparse(pairs(spark, d), 4)
+    s = Steps(spark, d)
+    return C.select_sparse(s.pairs, 4)
 
 
 def select_level(spark, d):
-    meta = E.subset_meta(packed(spark, d), "container", "container_id")
-    return C.select_level(C.candidate_scores(pairs(spark, d)), meta, 4, W, W)
+    s = Steps(spark, d)
+    meta = E.subset_meta(s.packed, "container", "container_id")
+    return C.select_level(C.candidate_scores(s.pairs), meta, 4, W, W)
 
 
 def select_hybrid(spark, d):
-    return C.select_hybrid(role_pairs(spark, d), 4, 0.5)
+    s = Steps(spark, d)
+    return C.select_hybrid(s.role_pairs, 4, 0.5)
 
 
 def select_hybrid_basic(spark, d):
-    return C.select_hybrid_basic(role_pairs(spark, d))
+    s = Steps(spark, d)
+    return C.select_hybrid_basic(s.role_pairs)
 
 
 def select_hybrid_dense(spark, d):
-    rows = hybrid_rows(spark, d)
-    meta = E.subset_meta(rows, "recipe", "recipe_id").unionByName(E.subset_meta(packed(spark, d), "container", "container_id"))
-    return C.select_hybrid_dense(role_pairs(spark, d), meta, 8)
+    s = Steps(spark, d)
+    rows = s.hybrid_rows
+    meta = E.subset_meta(rows, "recipe", "recipe_id").unionByName(E.subset_meta(s.packed, "container", "container_id"))
+    return C.select_hybrid_dense(s.role_pairs, meta, 8)
 
 
 def adaptive_cap(spark, d):
-    rp = stored(role_pairs(spark, d), "role_pairs")
+    s = Steps(spark, d)
+    rp = s.role_pairs
     selected = C.select_hybrid(rp, 2).groupBy("trace", "seq").agg(F.count("*").alias("n_selected"))
     candidates = rp.where("role = 'cnr_ptr'").groupBy("trace", "seq").agg(F.countDistinct("subset_id").alias("n_candidates"))
-    per = last_version(spark, d).select("trace", "seq").distinct().join(selected, ["trace", "seq"], "left").join(candidates, ["trace", "seq"], "left").fillna(0)
+    per = s.last.select("trace", "seq").distinct().join(selected, ["trace", "seq"], "left").join(candidates, ["trace", "seq"], "left").fillna(0)
     return C.adaptive_io_cap(per, 2, 8)
 
 
@@ -299,18 +334,21 @@ def hybrid_report(spark, d):
 
 
 def restore_cost(spark, d):
-    return M.restore_cost(located(spark, d))
+    s = Steps(spark, d)
+    return M.restore_cost(s.located)
 
 
 def index_breadth(spark, d):
-    subsets = recipes(spark, d).where(F.col("version") < LAST).select("trace", F.lit("recipe").alias("kind"), F.col("recipe_id").alias("subset_id"), "location", "chunk_id", "version", "gpos")
-    hooks = H.build_hooks(recipes(spark, d).where(F.col("version") < LAST), I.sample_position(F.col("gpos"), 8), "recipe_id", "gpos", "recipe")
-    selected = C.select_sort(C.candidate_scores(C.hook_pairs(C.hook_hits(last_version(spark, d), hooks), hooks)), 4)
+    s = Steps(spark, d)
+    subsets = s.recipes.where(F.col("version") < LAST).select("trace", F.lit("recipe").alias("kind"), F.col("recipe_id").alias("subset_id"), "location", "chunk_id", "version", "gpos")
+    hooks = H.build_hooks(s.recipes.where(F.col("version") < LAST), I.sample_position(F.col("gpos"), 8), "recipe_id", "gpos", "recipe")
+    selected = C.select_sort(C.candidate_scores(C.hook_pairs(C.hook_hits(s.last, hooks), hooks)), 4)
     return M.index_breadth(selected, subsets)
 
 
 def recipe_fragmentation(spark, d):
-    return M.recipe_fragmentation(recipes(spark, d))
+    s = Steps(spark, d)
+    return M.recipe_fragmentation(s.recipes)
 
 
 def coverage_curve(spark, d):
@@ -439,14 +477,16 @@ def strategy_compare(spark, d):
 
 
 def recipe_roundtrip(spark, d):
+    s = Steps(spark, d)
     path = f"{shared_dir(spark)}/recipes"
-    T.write_recipes(recipes(spark, d), path)
+    T.write_recipes(s.recipes, path)
     return T.read_recipes(spark, path)
 
 
 def recipe_files_roundtrip(spark, d):
+    s = Steps(spark, d)
     path = f"{shared_dir(spark)}/recipe_files"
-    T.export_recipe_files(recipes(spark, d), path)
+    T.export_recipe_files(s.recipes, path)
     return T.read_recipe_files(spark, path, "snapshot")
 
 
