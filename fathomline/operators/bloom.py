@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from fathomline.functions.storage import stored
 from fathomline.functions.workers import workers_import_package
 from fathomline.operators.exact import pack_partitioned, unique_chunks
+from fathomline.operators.ordinals import SPAN
 
 # 64-bit FNV-1a, and seed and constants of the chained 32-bit Bloom hash.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -160,37 +162,61 @@ def bloom_matches(store: DataFrame, n: int, p: float = 0.001) -> DataFrame:
     return store.select("trace", "part", "bf_no", "chunk_id", F.col("version").cast("int").alias("version"), F.col("pos").cast("long").alias("pos")).groupBy("trace", "part").applyInPandas(match, schema)
 
 
-def bloom_loads(chunks: DataFrame, store: DataFrame, n: int, cache: int = 1, p: float = 0.001) -> DataFrame:
+def bloom_loads(chunks: DataFrame, store: DataFrame, n: int, cache: int = 1, p: float = 0.001, span: int = SPAN) -> DataFrame:
     """``trace, part, version, pos, bf_no, load``: filters that match each arriving chunk, and whether one had to be loaded.
 
     A chunk probes all filters of its partition in their order before it is stored. With a cache of one filter a
     match loads unless it repeats the one before; with more, unless it is among the last ``cache`` different ones.
+
+    A partition is cut into blocks of ``span`` places in the trace. What is cached behind a block follows from the last ``cache`` different
+    filters in it and before it, a short row for each block, so the blocks themselves are walked apart and a hot id's repeats are dealt
+    over all of them.
     """
     homes = store.select("trace", "chunk_id", "part")
     matches = bloom_matches(store, n, p).drop("part")
     probes = chunks.join(homes, ["trace", "chunk_id"]).join(matches, ["trace", "chunk_id"])
     after = (F.col("since_version") < F.col("version")) | ((F.col("since_version") == F.col("version")) & (F.col("since_pos") < F.col("pos")))
-    hits = probes.where(after).select("trace", "part", "version", "pos", "bf_no")
-    order = Window.partitionBy("trace", "part").orderBy("version", "pos", "bf_no")
+    of, columns = ["trace", "part", "version", "block"], ["trace", "part", "version", "pos", "bf_no"]
+    hits = stored(probes.where(after).select(*columns, F.floor(F.col("pos") / span).alias("block")), "filter_hits")
     if cache == 1:
-        return hits.withColumn("load", ~F.col("bf_no").eqNullSafe(F.lag("bf_no").over(order)))
+        last = hits.groupBy(*of).agg(F.max_by("bf_no", F.struct("pos", "bf_no")).alias("last"))
+        before = last.withColumn("before", F.lag("last").over(Window.partitionBy("trace", "part").orderBy("version", "block"))).drop("last")
+        own = Window.partitionBy(*of).orderBy("pos", "bf_no")
+        prior = F.when(F.row_number().over(own) == 1, F.col("before")).otherwise(F.lag("bf_no").over(own))
+        return hits.join(before, of).select(*columns, (~F.col("bf_no").eqNullSafe(prior)).alias("load"))
+    touched = hits.groupBy(*of, "bf_no").agg(F.max("pos").alias("at"))
+    latest = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("at"), F.desc("bf_no")))
+    ends = touched.withColumn("nth", latest).where(F.col("nth") <= cache).groupBy(*of).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "bf_no"))), lambda r: r["bf_no"]).alias("recent"))
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, cached = None, []
+        for rows in batches:
+            before = []
+            for at, recent in zip(zip(rows["trace"], rows["part"], strict=True), rows["recent"], strict=True):
+                if at != here:
+                    here, cached = at, []
+                before.append(cached)
+                own = [int(x) for x in recent]
+                cached = [*own, *(x for x in cached if x not in own)][:cache]
+            yield rows[of].assign(before=before)
 
-    def lru(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, recent = None, {}
         for rows in batches:
             load = []
-            for at, bf in zip(zip(rows["trace"], rows["part"], strict=True), rows["bf_no"].tolist(), strict=True):
+            for at, bf, before in zip(zip(*(rows[c] for c in of), strict=True), rows["bf_no"].tolist(), rows["before"], strict=True):
                 if at != here:
-                    here, recent = at, {}
+                    here, recent = at, dict.fromkeys(int(x) for x in reversed(before))
                 load.append(bf not in recent)
                 recent.pop(bf, None)
                 recent[bf] = None
                 if len(recent) > cache:
                     del recent[next(iter(recent))]
-            yield rows.assign(load=load)
+            yield rows[columns].assign(load=load)
 
-    ordered = hits.repartition("trace", "part").sortWithinPartitions("trace", "part", "version", "pos", "bf_no")  # streams; only the cache is held
-    return ordered.mapInPandas(lru, "trace string, part int, version int, pos long, bf_no long, load boolean")
+    states = ends.repartition("trace", "part").sortWithinPartitions("trace", "part", "version", "block").mapInPandas(carry, "trace string, part int, version int, block long, before array<long>")
+    dealt = hits.join(states, of).repartition(*of).sortWithinPartitions(*of, "pos", "bf_no")
+    return dealt.mapInPandas(walk, "trace string, part int, version int, pos long, bf_no long, load boolean")
 
 
 def bloom_report(chunks: DataFrame, store: DataFrame, loads: DataFrame, n: int, p: float = 0.001, partitions: int = 0, cache: int = 1) -> DataFrame:

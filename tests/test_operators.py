@@ -486,3 +486,22 @@ def test_leading_pairs_choose_as_all_pairs_do(spark):
         assert few.count() <= every.count()
         assert rows(C.select_sort(C.candidate_scores(few), cap)) == rows(C.select_sort(C.candidate_scores(every), cap))
         assert rows(C.select_sparse(few, cap)) == rows(C.select_sparse(every, cap))
+
+
+@pytest.mark.parametrize("cache", [1, 2, 3])
+def test_filter_loads_by_blocks_equal_the_walk(spark, cache):
+    r = np.random.default_rng(cache)
+    names = [f"{int(x):02x}:00:00:00:00:00" for x in range(60)]
+    rows = [("t", v, p, names[0] if r.random() < 0.3 else names[int(r.integers(0, 60))]) for v in range(3) for p in range(120)]
+    trace = spark.createDataFrame(rows, "trace string, version int, pos long, chunk_id string")
+    store = stored(B.partitioned_store(trace, 2, 4), "store")
+    columns, seen = ["trace", "part", "version", "pos", "bf_no", "load"], {}
+    for span in (1, 7, 1024):
+        seen[span] = sorted(tuple(x) for x in B.bloom_loads(trace, store, 4, cache, span=span).select(columns).collect())
+    assert seen[1] == seen[7] == seen[1024] and len(seen[1]) > 100
+    recent, here = [], None
+    for t, part, _, _, bf, load in seen[7]:
+        if (t, part) != here:
+            here, recent = (t, part), []
+        assert load == (bf not in recent[:cache])
+        recent = [bf, *(x for x in recent if x != bf)]
