@@ -10,7 +10,10 @@ from fathomline.operators.ordinals import block_ordinal, sums_before
 
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
-    """``trace, chunk_id, version, pos, n``: the first occurrence of every id and how often it occurs."""
+    """``trace, chunk_id, version, pos, n``: the first occurrence of every id and how often it occurs.
+
+    A missing id is one id here, as it is for partitioned stores; ``exact_dedup`` alone holds each chunk without an id as new.
+    """
     firsts = chunks.groupBy("trace", "chunk_id").agg(F.min(F.struct("version", "pos")).alias("f"), F.count("*").alias("n"))
     return firsts.select("trace", "chunk_id", "f.version", "f.pos", "n")
 
