@@ -153,7 +153,7 @@ def dedup_against(windowed: DataFrame, found: DataFrame) -> DataFrame:
     return windowed.join(found, ["trace", "seq", "chunk_id"], "left").withColumn("is_dup", F.col("location").isNotNull())
 
 
-def choose(windowed: DataFrame, state: State, meta: DataFrame | None, cfg: Config) -> DataFrame:
+def choose(windowed: DataFrame, state: State, cfg: Config) -> DataFrame:
     """``trace, seq, kind, subset_id, load_rank``: what each window loads; under an adaptive cap, all that it might."""
     hooks = state.hooks
     if cfg.kind == "hybrid":
@@ -165,12 +165,18 @@ def choose(windowed: DataFrame, state: State, meta: DataFrame | None, cfg: Confi
         return stored(selected, "selected") if cfg.cap_adaptive else S.apply_io_cap(selected, cfg.each("io_cap", F.lit))
     hits = S.hook_hits(windowed, hooks)
     if cfg.policy in ("sort", "sparse"):
-        return select_from(S.leading_pairs(stored(hits, "hits"), hooks, cfg.most("io_cap")), meta, cfg)
-    return select_from(S.hook_pairs(hits, hooks), meta, cfg)
+        return select_from(S.leading_pairs(stored(hits, "hits"), hooks, cfg.most("io_cap")), None, cfg)
 
+    def made(candidates: DataFrame) -> DataFrame:
+        """When the candidates were made: of their members only."""
+        met = _of_loaded(state.members, candidates.withColumnRenamed("score", "load_rank"))
+        return subset_meta(met, cfg.kind, "subset_id")
 
-def select_from(pairs: DataFrame, meta: DataFrame | None, cfg: Config) -> DataFrame:
-    """The loads of each window by the policy, from its hits and what they point to."""
+    return select_from(S.hook_pairs(hits, hooks), made, cfg)
+
+
+def select_from(pairs: DataFrame, meta: Callable[[DataFrame], DataFrame] | None, cfg: Config) -> DataFrame:
+    """The loads of each window by the policy, from its hits and what they point to. ``meta`` gives the facts of candidates, for ``level``."""
     cap, most = cfg.each("io_cap", F.lit), cfg.most("io_cap")
     if cfg.policy == "sparse":
         return S.select_sparse(pairs, cap, most)
@@ -180,7 +186,8 @@ def select_from(pairs: DataFrame, meta: DataFrame | None, cfg: Config) -> DataFr
     if cfg.policy == "fifo":
         return S.select_fifo(candidates, cap)
     if cfg.policy == "level":
-        return S.select_level(candidates, meta, cap, cfg.window_size, cfg.container_size, most)
+        candidates = stored(candidates, "candidates")
+        return S.select_level(candidates, meta(candidates), cap, cfg.window_size, cfg.container_size, most)
     if cfg.policy == "all":
         return S.apply_io_cap(S.select_all(candidates), cap)
     raise ValueError(f"unknown policy: {cfg.policy}")
@@ -217,10 +224,7 @@ def _cap(windowed: DataFrame, selected: DataFrame, state: State, cfg: Config) ->
 
 def run_epoch(windowed: DataFrame, state: State, cfg: Config, keep_loads: Callable[[DataFrame], DataFrame] = stored) -> Made:
     """Deduplicate one epoch; its rows have ``is_dup, location, ord``. ``keep_loads`` writes the loads and returns what it wrote."""
-    meta = subset_meta(state.members, "container", "subset_id") if cfg.policy == "level" and cfg.kind != "hybrid" else None
-    if meta is not None and cfg.kind == "recipe":
-        meta = meta.withColumn("kind", F.lit("recipe"))
-    selected, spent, firsts = choose(windowed, state, meta, cfg), {}, None
+    selected, spent, firsts = choose(windowed, state, cfg), {}, None
     if cfg.kind == "hybrid" and cfg.cap_adaptive:
         selected, spent = _cap(windowed, selected, state, cfg)
     version_of = windowed.select("trace", "version", "seq").distinct()

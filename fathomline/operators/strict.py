@@ -41,8 +41,7 @@ def _search(open_: DataFrame, searchable: DataFrame, cfg: Config) -> tuple[DataF
     """The loads of open windows, and where their ids are found in them."""
     hits = open_.groupBy("trace", "seq", "chunk_id").agg(F.count("*").alias("cnt"), F.min("win_pos").alias("first_pos"))
     pairs = hits.join(_hooks(searchable, cfg), ["trace", "chunk_id"]).where("since < seq").select("trace", "seq", "chunk_id", "cnt", "first_pos", "kind", "subset_id", "ord")
-    meta = subset_meta(searchable, "container", "container_id") if cfg.policy == "level" else None
-    loads = stored(select_from(pairs, meta, cfg), "loads")
+    loads = stored(select_from(pairs, lambda _: subset_meta(searchable, "container", "container_id"), cfg), "loads")
     members = searchable.select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"))
     return loads, load_subsets(open_, loads, members)
 

@@ -170,11 +170,7 @@ def sample_bits(spark, d):
 
 
 def sample_min_hash(spark, d):
-    from pyspark.sql import Window
-
-    new = E.exact_dedup(windowed(spark, d)).where(~F.col("is_dup")).select("trace", "seq", "chunk_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("trace", "seq").orderBy("chunk_id"))
-    return new.withColumn("rank", rank).where("rank <= 5")
+    return H.sample_min_hash(E.exact_dedup(windowed(spark, d)).where(~F.col("is_dup")), 5)
 
 
 def hook_index(spark, d):
