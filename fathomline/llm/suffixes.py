@@ -367,6 +367,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     facts = rows.select("doc_id", "key", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"))
     facts = materialize(facts.where(F.col("n_bytes") >= LENGTH), "texts")
     firsts = facts.groupBy("h1", "h2", "n_bytes").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = materialize(firsts, "copied_texts")  # so that the join has shuffles of its own, which adaptive execution can split where a text has very many copies
     return facts.join(firsts, ["h1", "h2", "n_bytes"]).where("doc_id > first").select("doc_id", "key", "n_bytes")
 
 
