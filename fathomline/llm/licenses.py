@@ -55,7 +55,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
-TELLING = r"(?i)licen[cs]|copyright|spdx|redistribut|permission (is|to)|public domain"
+#: Only statements with one of these words are compared; every template has one.
+TELLING = r"(?i)licen[cs]|copyright|spdx|redistribut|permission (is|to)|public domain|mozilla"
 #: Comment signs at the start of a line; lines without anything else; identifiers after an SPDX tag.
 SIGN = r"[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+)?[ \t]*"
 BLANK = rf"\r?\n(?:{SIGN}\r?\n)++"  # possessive: a repeated group of Java's is matched by recursion else

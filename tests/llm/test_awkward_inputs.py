@@ -85,3 +85,12 @@ def test_one_id_with_two_texts_joins_nothing(spark):
     docs = spark.createDataFrame([(5, a), (5, b), (9, b), (3, a), (20, c)], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in simhash.simhash_classes(docs).collect())
     assert got == [(3, 3), (5, 3), (5, 5), (9, 5), (20, 20)]
+
+
+def test_every_template_is_found_alone(spark):
+    files = spark.createDataFrame([(i, f"d{i}/f", text) for i, (_, text) in enumerate(licenses.TEMPLATES)], "file_id long, path string, text string")
+    got = {r.file_id: (r.license, r.cosine) for r in licenses.scan(files).collect()}
+    by_text: dict = {}
+    for name, text in licenses.TEMPLATES:
+        by_text.setdefault(text, set()).add(name)
+    assert all(got[i][0] in by_text[text] and got[i][1] > 0.99 for i, (_, text) in enumerate(licenses.TEMPLATES))
