@@ -12,9 +12,10 @@ or three letters, so the table of models has a bound (64 KB for each language).
 A record is rejected if its text has no letter or no language reaches ``min_confidence``. Nulls: a null text has no
 letters; a null declaration, suffix or host is no evidence of its kind. Repeated rows are judged each. An empty table
 gives no rows. Without any declared language nothing can be identified and every record is rejected. Of equally
-probable languages the first by name is taken. Texts of any length are read whole, in blocks; as trigrams of one text
-depend on each other, a text's evidence counts as that of ``EVIDENCE`` trigrams at most, so that a long text cannot make
-the other evidence meaningless. Columns of other names, the operator's own included, are ignored here and kept by
+probable languages the first by name is taken. Texts of any length are read whole, in blocks. Trigrams of one text depend
+on each other; how much is fitted, not set: ``rho``, the correlation within a text of its trigrams' evidence, is estimated by
+an analysis of variance over all records (``dispersion``), and n trigrams count as ``n / (1 + (n - 1) * rho)`` independent
+ones. Columns of other names, the operator's own included, are ignored here and kept by
 ``keep_identified``.
 """
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import free_name, materialize, table, text_or_empty, without
 
 FIT_ROWS, BUCKETS = 4_000, 1 << 14
-#: Trigrams of one text count as this many independent ones at most; pseudo-counts of the host, suffix and declaration levels.
-EVIDENCE, HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 60, 20.0, 50.0, 1.0
+#: Pseudo-counts of the host, suffix and declaration levels.
+HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 1.0
 SALTS = 16
 
 
@@ -93,6 +94,28 @@ def fit_text_models(evidence: DataFrame, declared: dict[str, int], fit_rows: int
     return np.log(model / model.sum(0)).astype(np.float32)
 
 
+def dispersion(scored: DataFrame) -> float:
+    """Correlation of the trigrams of one text, from ``best, n, total, squares`` of every text: one-way analysis of variance.
+
+    The observations are the log-likelihoods of a text's trigrams in the language that fits it best, less their mean over
+    the languages; the groups are the texts, compared with texts of their own language. 0 to 1; without two texts of one
+    language, or without variance, 0.
+    """
+    grams = F.col("n").cast("double")
+    by = scored.where("n > 0").groupBy("best").agg(
+        F.count("*").alias("texts"), F.sum(grams).alias("n"), F.sum(grams * grams).alias("nn"), F.sum("total").alias("total"),
+        F.sum("squares").alias("squares"), F.sum(F.col("total") * F.col("total") / grams).alias("means"))
+    rows = by.orderBy("best").collect()  # a row for each language
+    between, within = sum(r.means - r.total**2 / r.n for r in rows), sum(r.squares - r.means for r in rows)
+    groups, rest = sum(r.texts - 1 for r in rows), sum(r.n - r.texts for r in rows)
+    if groups < 1 or rest < 1 or within <= 0:
+        return 0.0
+    size = sum(r.n - r.nn / r.n for r in rows) / groups
+    noise = within / rest
+    texts = max(between / groups - noise, 0.0) / size
+    return texts / (texts + noise)
+
+
 def _posterior(logs: np.ndarray) -> np.ndarray:
     p = np.exp(logs - logs.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -103,6 +126,12 @@ def _floats(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k), pa.int32()), pa.array(a.ravel(), pa.float64()))
 
 
+def _weighed(batch: pa.RecordBatch, languages: int, rho: float) -> np.ndarray:
+    """Log-likelihoods of the texts' trigrams, counted as so many independent ones as ``rho`` leaves."""
+    logs = batch.column("logs").flatten().to_numpy().reshape(len(batch), languages)
+    return logs / (1 + np.maximum(batch.column("n").to_numpy() - 1, 0) * rho)[:, None]
+
+
 def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id, key, language, confidence, n_letters, rejected`` for ``evidence (id, text, declared, suffix, host)`` with an optional ``key``."""
     spark = evidence.sparkSession
@@ -117,28 +146,43 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
         return evidence.select("id", "key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
     model = spark.sparkContext.broadcast(fit_text_models(evidence, {name: taken[name] for name in languages}, fit_rows))  # BUCKETS x languages
 
+    made = pa.schema([*((c, pa.int64()) for c in ("id", "key")), *((c, pa.string()) for c in ("declared", "suffix", "host")), ("n_letters", pa.int64()), ("n", pa.int64()), ("best", pa.int32()), ("total", pa.float64()), ("squares", pa.float64()), ("logs", pa.list_(pa.float64()))])
+
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
+        beyond = np.ascontiguousarray((logs - logs.mean(1, keepdims=True)).T, dtype=np.float64)
         for batch in batches:
-            sums, letters = np.zeros((len(batch), logs.shape[1])), []
+            sums, letters, seen, squares = np.zeros((len(batch), logs.shape[1])), [], [], []
             for i, text in enumerate(batch.column("text")):
-                t, seen = text.as_py(), 0
+                t = text.as_py()
                 for grams in trigrams(t):
                     sums[i] += logs[grams].sum(0, dtype=np.float64)
-                    seen += len(grams)
-                sums[i] *= min(seen, EVIDENCE) / max(seen, 1)
-                letters.append(count_letters(t))
+                own, n, square = beyond[sums[i].argmax()], 0, 0.0
+                for grams in trigrams(t):
+                    x = own[grams]
+                    n, square = n + len(grams), square + float(x @ x)
+                seen.append(n), squares.append(square), letters.append(count_letters(t))
+            best = sums.argmax(1)
+            total = sums[np.arange(len(sums)), best] - sums.mean(1)
             rest = [batch.column(c) for c in ("id", "key", "declared", "suffix", "host")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(letters, pa.int64()), _floats(sums), _floats(_posterior(sums))], names=["id", "key", "declared", "suffix", "host", "n_letters", "logs", "post"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(letters, pa.int64()), pa.array(seen, pa.int64()), pa.array(best, pa.int32()), pa.array(total), pa.array(squares, pa.float64()), _floats(sums)], schema=made)
 
     flat = evidence.select(F.col("id").cast("long").alias("id"), "key", text_or_empty(F.col("text")).alias("text"), "declared", text_or_empty(F.col("suffix")).alias("suffix"), text_or_empty(F.col("host")).alias("host"))
-    kinds = "id long, key long, declared string, suffix string, host string, n_letters long, logs array<double>, post array<double>"
+    kinds = "id long, key long, declared string, suffix string, host string, n_letters long, n long, best int, total double, squares double, logs array<double>"
     scored = materialize(flat.mapInArrow(likelihoods, kinds), "likelihoods")
+    rho = dispersion(scored)
+
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _floats(_posterior(_weighed(batch, len(languages), rho)))], names=["suffix", "host", "d", "post"])
 
-    k, lettered = range(len(languages)), scored.where("n_letters > 0")
-    sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in k]
+    k = range(len(languages))
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in k]
-    hosts = materialize(lettered.groupBy("suffix", "host").agg(*sums), "hosts")
+    declared = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared") != "", "?").otherwise("")
+    lettered = scored.where("n_letters > 0").select("suffix", "host", declared.alias("d"), "n", "logs")
+    post = lettered.mapInArrow(posteriors, "suffix string, host string, d string, post array<double>")
+    cells = materialize(post.groupBy("suffix", "host", "d").agg(*[F.sum(F.col("post")[i]).alias(f"s{i}") for i in k]), "cells")
+    hosts = cells.groupBy("suffix", "host").agg(*again)
     suffixes = hosts.groupBy("suffix").agg(*again)
     total = np.array([float(v or 0) for v in suffixes.agg(*again).first()]) + 0.5
     total /= total.sum()
@@ -151,8 +195,7 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
     prior = hosts.select("*", number).join(by_suffix, "suffix").select("suffix", "host", F.array(*smoothed("s", [F.col(f"q{i}") for i in k], HOST_WEIGHT)).alias("prior"))
     salted = prior.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))  # a host may hold a third of all records
 
-    declared = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise("?")
-    seen = {r[0]: np.array([float(v) for v in r[1:]]) for r in lettered.where("declared <> ''").groupBy(declared.alias("d")).agg(*sums).collect()}
+    seen = {r[0]: np.array([float(v) for v in r[1:]]) for r in cells.where("d <> ''").groupBy("d").agg(*again).collect()}
     names = [*languages, "?"]
     trust = np.array([seen.get(d, np.zeros(len(languages))) for d in names]) + DECLARED_WEIGHT
     trust = np.log(trust / trust.sum(0))
@@ -163,7 +206,7 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
             if not len(batch):
                 continue
             shape = (len(batch), len(languages))
-            logs = batch.column("logs").flatten().to_numpy().reshape(shape) + np.log(
+            logs = _weighed(batch, len(languages), rho) + np.log(
                 np.array([p if p is not None else total for p in batch.column("prior").to_pylist()], dtype=np.float64).reshape(shape))
             for i, d in enumerate(batch.column("declared").to_pylist()):
                 if d:
@@ -176,7 +219,7 @@ def identify(evidence: DataFrame, min_confidence: float = 0.5, fit_rows: int = F
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), named, pa.array(np.where(letters == 0, 0.0, sure)), batch.column("n_letters"), pa.array(bad)], names=["id", "key", "language", "confidence", "n_letters", "rejected"])
 
     joined = scored.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["suffix", "host", "salt"], "left")
-    return joined.select("id", "key", "declared", "n_letters", "logs", "prior").mapInArrow(fuse, "id long, key long, language string, confidence double, n_letters long, rejected boolean")
+    return joined.select("id", "key", "declared", "n_letters", "n", "logs", "prior").mapInArrow(fuse, "id long, key long, language string, confidence double, n_letters long, rejected boolean")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

@@ -351,6 +351,35 @@ def test_language_from_text_alone_and_against_wrong_declarations(spark, docs):
     assert np.mean([got[d + 2_000_000] == v for d, v in said.items() if d % 10 == 0]) > 0.9
 
 
+def correlation_within(groups: list[list[np.ndarray]]) -> float:
+    """Intraclass correlation of the observations of one text, texts nested in groups, by its definition."""
+    within = sum(((x - x.mean()) ** 2).sum() for g in groups for x in g) / sum(len(x) - 1 for g in groups for x in g)
+    means = [np.concatenate(g).mean() for g in groups]
+    freedom = sum(len(g) - 1 for g in groups)
+    between = sum(len(x) * (x.mean() - m) ** 2 for g, m in zip(groups, means, strict=True) for x in g) / freedom
+    sizes = [np.array([len(x) for x in g], dtype=float) for g in groups]
+    texts = max(between - within, 0) / (sum(n.sum() - (n**2).sum() / n.sum() for n in sizes) / freedom)
+    return texts / (texts + within)
+
+
+def test_trigrams_of_a_text_are_weighed_by_their_correlation(spark):
+    """Independent observations keep their full weight; texts that repeat one observation count as one each."""
+    rng = np.random.default_rng(5)
+
+    def rho(texts):
+        rows = [(0, len(x), float(x.sum()), float((x**2).sum())) for x in texts]
+        got = language.dispersion(spark.createDataFrame(rows, "best int, n long, total double, squares double"))
+        assert abs(got - correlation_within([texts])) < 1e-9
+        return got
+
+    assert rho([rng.normal(size=n) for n in rng.integers(50, 400, 300)]) < 0.003
+    assert rho([rng.normal() + 1e-4 * rng.normal(size=n) for n in rng.integers(50, 400, 300)]) > 0.99
+    assert 0.15 < rho([0.5 * rng.normal() + rng.normal(size=n) for n in rng.integers(50, 400, 400)]) < 0.25
+    empty = spark.createDataFrame([], "best int, n long, total double, squares double")
+    one = spark.createDataFrame([(0, 9, 3.0, 2.0), (1, 5, 3.0, 2.0), (1, 0, 0.0, 0.0)], empty.schema)
+    assert language.dispersion(empty) == language.dispersion(one) == 0
+
+
 def test_language_equals_brute_force(spark):
     """The fused posterior of a small table, by plain loops over its own text likelihoods."""
     rows = [(i, made_up(i % 2, i), ("aa", "bb", None)[i % 3] if i % 7 else None, "x" if i % 4 else "y", f"h{i % 5}") for i in range(60)]
@@ -364,10 +393,12 @@ def test_language_equals_brute_force(spark):
                 np.add.at(counts[declared], t, 1)
     model = np.log(np.stack([counts[n] / counts[n].sum() for n in names], 1)).astype(np.float32)
     soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
-    logs = {}
-    for i, text, *_ in rows:
-        t = np.concatenate(list(language.trigrams(text)))
-        logs[i] = model[t].astype(np.float64).sum(0) * min(len(t), language.EVIDENCE) / len(t)
+    grams = {i: np.concatenate(list(language.trigrams(text))) for i, text, *_ in rows}
+    raw = {i: model[t].astype(np.float64).sum(0) for i, t in grams.items()}
+    groups = {k: [(model[t] - model[t].mean(1, keepdims=True))[:, k].astype(np.float64) for i, t in grams.items() if raw[i].argmax() == k] for k in (0, 1)}
+    rho = correlation_within([g for g in groups.values() if g])
+    assert 0 < rho < 1
+    logs = {i: v / (1 + (len(grams[i]) - 1) * rho) for i, v in raw.items()}
     post = {i: soft(v) for i, v in logs.items()}
     total = sum(post.values()) + 0.5
     total = total / total.sum()
