@@ -7,8 +7,8 @@ The automaton is written to one file of flat arrays, sent to the executors by Sp
 memory-mapped there. Words that it does not hold are merged exactly by rank. Ids equal those of the tokenizers
 library without added special tokens; decoding joins the tokens by one space, as the library does without a decoder.
 
-Texts of any length are encoded in blocks of about ``BLOCK_CHARS`` characters, cut after white space, and a worker
-remembers the ids of at most two generations of ``MEMO_CHUNKS`` chunks, so its memory does not grow with the data. Among
+Texts of any length are encoded in blocks of about ``BLOCK_CHARS`` characters, cut after white space; blocks are held until
+they have ``HELD_CHARS``, so that many new words are merged at once. A worker remembers the ids of at most two generations of ``MEMO_CHUNKS`` chunks, so its memory does not grow with the data. Among
 equally frequent words at the edge of the bound the hash decides which are taken; that changes speed, never ids.
 
 Nulls: a null or empty text has no ids and decodes to an empty text. Repeated rows are kept. Other columns are ignored.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from fathomline.llm.common import materialize, table, text_or_empty
 from fathomline.llm.merges import MergeTable
 
 LEXICON_WORDS = 50_000
-MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH, BLOCK_CHARS = 200_000, 48, 150_000, 1 << 19
+MEMO_CHUNKS, MEMO_CHARS, COUNT_FLUSH, BLOCK_CHARS, HELD_CHARS = 200_000, 48, 150_000, 1 << 19, 1 << 21
 _CUT = re.compile("[ \n\t]")
 #: Control characters that only Python counts as white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -303,7 +304,7 @@ class Encoder:
             for block in self.tokenizer.blocks(text):
                 owners.append(i), held.append(block)
                 size += len(block)
-                if size >= BLOCK_CHARS:
+                if size >= HELD_CHARS:
                     for k, ids in zip(owners, self._encode(held), strict=True):
                         out[k].append(ids)
                     owners, held, size = [], [], 0
@@ -325,6 +326,19 @@ class Decoder:
 _ENCODED = "doc_id long, ids array<int>"
 
 
+def _parts(batch: pa.RecordBatch, column: int, room: int = HELD_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``room`` bytes of one text column, or of one row."""
+    sizes = np.asarray(pc.binary_length(batch.column(column)))
+    at, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and held + n > room:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(batch):
+        yield batch.slice(at)
+
+
 def encode(docs: DataFrame, lexicon: str, tokenizer_path: str | None = None, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row; with ``decoded`` also the ``text`` that these ids decode to, by the same worker."""
     path = tokenizer_path or default_tokenizer("word_bpe_49k.json")
@@ -333,8 +347,7 @@ def encode(docs: DataFrame, lexicon: str, tokenizer_path: str | None = None, dec
         tokenizer = word_tokenizer(path)
         encoder, decoder = Encoder(tokenizer, _open_lexicon(lexicon)), Decoder(tokenizer) if decoded else None
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in _parts(batch, 1):
                 ids = encoder.encode(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, dtype="<u4")]).view(np.int32)
