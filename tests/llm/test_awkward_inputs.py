@@ -94,3 +94,64 @@ def test_every_template_is_found_alone(spark):
     for name, text in licenses.TEMPLATES:
         by_text.setdefault(text, set()).add(name)
     assert all(got[i][0] in by_text[text] and got[i][1] > 0.99 for i, (_, text) in enumerate(licenses.TEMPLATES))
+
+
+def test_whole_licence_files_license_their_folders(spark):
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE\nWARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.\n'
+    mit = """Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+"""
+    isc = """Copyright (c) 2021, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+"""
+    bsd = """Copyright (c) 2021, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+"""
+    third = """* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+
+"""
+    grant = """2. Grant of Copyright License. Subject to the terms and conditions of
+   this License, each Contributor hereby grants to You a perpetual,
+   worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+   copyright license to reproduce, prepare Derivative Works of,
+   publicly display, publicly perform, sublicense, and distribute the
+   Work and such Derivative Works in Source or Object form.
+"""
+    lesser = """This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.
+"""
+    said = {"MIT": mit + warranty, "ISC": isc + warranty, "BSD-2-Clause": bsd + warranty, "BSD-3-Clause": bsd + third + warranty, "Apache-2.0": grant, "LGPL-3.0": lesser,
+            "GPL-3.0": "The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"}
+    rows = [r for i, text in enumerate(said.values()) for r in ((2 * i, f"p{i}/LICENSE", text), (2 * i + 1, f"p{i}/src/deep/a.c", "int x;"))]
+    rows += [(100, "q/notes", "We granted a license to the shop, and all rights are reserved."), (101, "q/b", "Copyright of the software is with the authors.")]
+    got = {r.file_id: (r.license, r.how) for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert [got[2 * i] for i in range(len(said))] == [(name, "own") for name in said]
+    assert [got[2 * i + 1] for i in range(len(said))] == [(name, "inherited") for name in said]
+    assert got[100] == got[101] == (None, "none")
