@@ -2,9 +2,14 @@
 
 import hashlib
 import html
+import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from itertools import groupby
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -300,6 +305,49 @@ def test_toxicity_accuracy(spark):
     assert np.mean([r.n_offending > 0 for r in got if r.toxic]) > 0.8
 
 
+def slow_fit(texts, labels, epochs, significance, rate=0.1, sparsity=1e-5):
+    """Weight by feature, and bias, by plain loops over documents, sentences and words."""
+    bags = [[sorted(set(re.findall(r"[^\W_]+", said))) for said in re.split(r"[.!?\n]", text.lower())] for text in texts]
+    n1 = sum(labels)
+    n0, n = len(labels) - n1, len(labels)
+    df = (Counter(), Counter())
+    for bag, label in zip(bags, labels, strict=True):
+        for word in set().union(*bag):
+            df[label].update(toxicity.features(word))
+    telling = set()
+    for f in df[0] | df[1]:
+        share = (df[0][f] + df[1][f] + 1) / (n + 2)
+        if abs(df[1][f] / n1 - df[0][f] / n0) / math.sqrt(max(share * (1 - share), 1e-6) * (1 / n0 + 1 / n1)) >= significance:
+            telling.add(f)
+    weights, first, second = {f: 0.0 for f in telling} | {"bias": -5.0}, Counter(), Counter()
+    for step in range(1, epochs + 1):
+        slope = {f: sparsity * ((w > 0) - (w < 0)) if f != "bias" else 0.0 for f, w in weights.items()}
+        for bag, label in zip(bags, labels, strict=True):
+            said = [[f for word in words for f in toxicity.features(word) if f in telling] for words in bag if words]
+            p = [1 / (1 + math.exp(-weights["bias"] - sum(weights[f] for f in fs))) for fs in said]
+            clean = math.prod(1 - x for x in p)
+            push = (-clean / (1 - clean) if label else n1 / n0) / n  # derivative of the loss by log(1 - p)
+            for x, fs in zip(p, said, strict=True):
+                for f in [*fs, "bias"]:
+                    slope[f] += push * x
+        for f, g in slope.items():
+            first[f], second[f] = 0.9 * first[f] + 0.1 * g, 0.99 * second[f] + 0.01 * g * g
+            weights[f] -= rate * (first[f] / (1 - 0.9**step)) / (math.sqrt(second[f] / (1 - 0.99**step)) + 1e-8)
+    return weights
+
+
+@pytest.mark.parametrize("epochs", [1, 7, 40])
+def test_fit_equals_brute_force(epochs):
+    draw = random.Random(epochs)
+    words = "fine day here all good people moron idiots walk talk house idiotic morons garden".split()
+    labels = [int(i % 3 == 0) for i in range(24)]
+    texts = [". ".join(" ".join(draw.choices(words if label else words[:6] + words[8:11], k=draw.randint(1, 6))) for _ in range(draw.randint(1, 4))) + draw.choice(["", "!", "\n.."]) for label in labels]
+    got, want = toxicity.NoisyOr.fit(texts, labels, epochs=epochs, significance=1.0), slow_fit(texts, labels, epochs, 1.0)
+    assert abs(got.bias - want.pop("bias")) < 1e-6 and len(want) > 3
+    assert set(np.flatnonzero(got.weights).tolist()) == {f for f, w in want.items() if w}
+    assert all(abs(got.weights[f] - w) < 1e-4 for f, w in want.items())
+
+
 def test_words_count_once_however_they_are_written():
     weights = np.zeros(toxicity._BUCKETS, dtype=np.float32)
     for f in toxicity.features("bad"):
@@ -380,37 +428,57 @@ def test_trigrams_of_a_text_are_weighed_by_their_correlation(spark):
     assert language.dispersion(empty) == language.dispersion(one) == 0
 
 
-def test_language_equals_brute_force(spark):
-    """The fused posterior of a small table, by plain loops over its own text likelihoods."""
-    rows = [(i, made_up(i % 2, i), ("aa", "bb", None)[i % 3] if i % 7 else None, "x" if i % 4 else "y", f"h{i % 5}") for i in range(60)]
-    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
-    got = {r.id: (r.language, r.confidence) for r in language.identify(evidence).collect()}
-    names = ["aa", "bb"]
+def slow_language(rows):
+    """Language and confidence by id of ``id, text, declared, suffix, host``, by plain loops over all rows' own text likelihoods."""
+    names = sorted({r[2] for r in rows if r[2]})
     counts = {n: np.full(language.BUCKETS, 0.05) for n in names}
-    for _, text, declared, _, _ in rows:
+    grams = {i: np.concatenate([np.zeros(0, dtype=np.int64), *language.trigrams(text)]) for i, text, *_ in rows}
+    for i, _, declared, _, _ in rows:
         if declared:
-            for t in language.trigrams(text):
-                np.add.at(counts[declared], t, 1)
+            np.add.at(counts[declared], grams[i], 1)
     model = np.log(np.stack([counts[n] / counts[n].sum() for n in names], 1)).astype(np.float32)
     soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
-    grams = {i: np.concatenate(list(language.trigrams(text))) for i, text, *_ in rows}
     raw = {i: model[t].astype(np.float64).sum(0) for i, t in grams.items()}
-    groups = {k: [(model[t] - model[t].mean(1, keepdims=True))[:, k].astype(np.float64) for i, t in grams.items() if raw[i].argmax() == k] for k in (0, 1)}
+    groups = {k: [(model[t] - model[t].mean(1, keepdims=True))[:, k].astype(np.float64) for i, t in grams.items() if raw[i].argmax() == k] for k in range(len(names))}
     rho = correlation_within([g for g in groups.values() if g])
     assert 0 < rho < 1
     logs = {i: v / (1 + (len(grams[i]) - 1) * rho) for i, v in raw.items()}
     post = {i: soft(v) for i, v in logs.items()}
     total = sum(post.values()) + 0.5
     total = total / total.sum()
-    by = lambda keep: sum((post[r[0]] for r in rows if keep(r)), np.zeros(2))
-    trust = np.stack([by(lambda r, d=d: r[2] == d) for d in names] + [np.zeros(2)]) + language.DECLARED_WEIGHT
+    by = lambda keep: sum((post[r[0]] for r in rows if keep(r)), np.zeros(len(names)))
+    trust = np.stack([by(lambda r, d=d: r[2] == d) for d in names] + [np.zeros(len(names))]) + language.DECLARED_WEIGHT
     trust = np.log(trust / trust.sum(0))
+    out = {}
     for i, _, declared, suffix, host in rows:
         s, h = by(lambda r, x=suffix: r[3] == x), by(lambda r, x=(suffix, host): (r[3], r[4]) == x)
         q = (s + language.SUFFIX_WEIGHT * total) / (s.sum() + language.SUFFIX_WEIGHT)
-        v = logs[i] + np.log((h + language.HOST_WEIGHT * q) / (h.sum() + language.HOST_WEIGHT)) + (trust[names.index(declared)] if declared else 0)
-        want = soft(v)
-        assert got[i][0] == names[int(want.argmax())] and abs(got[i][1] - want.max()) < 1e-6
+        want = soft(logs[i] + np.log((h + language.HOST_WEIGHT * q) / (h.sum() + language.HOST_WEIGHT)) + (trust[names.index(declared)] if declared else 0))
+        out[i] = names[int(want.argmax())], want.max()
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(i, made_up(i % 2, i), ("aa", "bb", None)[i % 3] if i % 7 else None, "x" if i % 4 else "y", f"h{i % 5}") for i in range(60)]
+    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string")
+    got = {r.id: (r.language, r.confidence) for r in language.identify(evidence).collect()}
+    for i, (name, sure) in slow_language(rows).items():
+        assert got[i][0] == name and abs(got[i][1] - sure) < 1e-6
+
+
+def test_language_of_pages_equals_brute_force(spark, sf):
+    rows = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        host = (urlsplit(r.url or "").hostname or "").lower()
+        said = re.search(r"<html[^>]* lang=[\"']?([A-Za-z]{2,3})", r.html or "")
+        bare = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", r.html or "")
+        bare = re.sub(r"&#?\w+;", " ", re.sub(r"<[^>]*>", " ", bare))
+        rows.append((r.page_id, bare, said and said.group(1).lower(), host.rpartition(".")[2] if "." in host else "", host))
+    want = slow_language(rows)
+    got = {r.page_id: r for r in language.language_of_pages(spark, sf).collect()}
+    assert set(got) == set(want) and len({r.language for r in got.values()}) > 1
+    for i, (name, sure) in want.items():
+        assert got[i].language == name and abs(got[i].confidence - sure) < 1e-6 and got[i].kept == (sure >= 0.5)
 
 
 def test_language_evidence(spark, docs):
@@ -616,6 +684,72 @@ def test_main_text(spark, sf):
         assert r.text == article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+class Elements(HTMLParser):
+    """Of a well-formed page without inline elements: its elements by path, with their children, and its text blocks."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.open, self.elements, self.blocks = [], [], set()
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        step = ".".join([tag, *sorted(dict(attrs).get("class", "").split())])
+        if self.open:
+            self.open[-1][1].append(step)
+        self.open.append(((*(self.open[-1][0] if self.open else ()), step), []))
+        self.elements.append(self.open[-1])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.blocks.add((self.open[-1][0], " ".join(data.split())))
+
+
+def slow_importance(pages):
+    """Importance of every path with text below it, by host, straight from its definition."""
+    shown, styles, texts = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for host, source in pages:
+        page = Elements(source)
+        shown.update({(host, path) for path, _ in page.elements})
+        for path, seq in {(path, tuple(k for k, _ in groupby(seq))) for path, seq in page.elements if seq}:
+            styles[host, path][seq] += 1
+        for path, text in page.blocks:
+            texts[host, path][text] += 1
+    entropy = lambda c: -sum(n / c.total() * math.log(n / c.total()) for n in c.values())
+    out = {}
+    for (host, path), m in shown.items():
+        fresh = total = 0.0
+        for (h, below), said in texts.items():
+            if h == host and below[: len(path)] == path:
+                on = math.log(shown[h, below] + sitetree.SMOOTH)
+                fresh += sum(n * (1 - math.log(n) / on) for n in said.values())
+                total += said.total()
+        if not total:
+            continue
+        content, seqs = fresh / total, styles[host, path]
+        presentation = (entropy(seqs) + math.log((m + sitetree.SMOOTH) / m)) / math.log(m + sitetree.SMOOTH) if seqs else 0.0
+        damped = sitetree.DAMPING ** len(seqs)
+        out[host, path] = damped * content + (1 - damped) * presentation
+    return out
+
+
+def test_importance_equals_brute_force(spark):
+    draw = random.Random(5)
+    pages = []
+    for i in range(60):
+        items = "".join(f"<li>item {draw.randrange(9)}</li>" for _ in range(draw.randrange(4)))
+        parts = ["<div class='top bar'><ul>" + items + "</ul>Menu</div>", f"<div class='c'><h2>Story {i}</h2><p>day {draw.randrange(40)}</p><p>always</p></div>", "<table><tr><td>cell</td></tr></table>", "<section></section>"]
+        deep = "<div>" * 45 + f"far {i % 7}" + "</div>" * 45 if i % 3 == 0 else ""
+        pages.append((f"h{i % 3}.example", "<html><body>" + "".join(draw.sample(parts, draw.randint(2, 4))) + deep + "</body></html>"))
+    got = sitetree.importance(spark.createDataFrame(pages, "host string, html string")).collect()
+    want = slow_importance(pages)
+    assert len(got) == len({r.node for r in got}) == len(want) > 70
+    order = lambda values: sorted((h, round(v, 9)) for h, v in values)
+    assert order((r.host, r.importance) for r in got) == order((h, v) for (h, _), v in want.items())
+
+
 def test_repeated_unmarked_branches_go(spark):
     page = "<html><body><div class='x1'>Call us now for the best offers</div><div class='x2'><h2>Story {0}</h2><p>What happened on day {0} &amp; why {1}</p></div><div class='x3'>All rights kept since 1999</div></body></html>"
     rows = [(i, f"https://news.example/{i}", page.format(i, i * 7)) for i in range(30)] + [(100, "https://one.example/", page.format(1, 2)), (101, None, None), (102, "x", ""), (100, "https://one.example/", page.format(1, 2))]
