@@ -315,3 +315,5 @@ SQL |= {
     "recipe_files_roundtrip": SQL["recipe_roundtrip"],
     "manifest_roundtrip": SQL["trace_roundtrip"],
 }
+
+SQL |= {f"{name}_roundtrip": SQL[name] for name in ("near_exact_report", "hybrid_report")}

@@ -486,12 +486,26 @@ def recipe_files_roundtrip(spark, d):
     return T.read_recipe_files(spark, path, "snapshot")
 
 
-def report_roundtrip(spark, d):
-    path, report = f"{shared_dir(spark)}/report", version_dedup_report(spark, d)
+def _written_and_read(spark, report: DataFrame) -> DataFrame:
+    path = f"{shared_dir(spark)}/report"
     T.write_version_report(report, path)
     return T.read_version_report(spark, path, report.schema)
 
 
+def report_roundtrip(spark, d):
+    return _written_and_read(spark, version_dedup_report(spark, d))
+
+
+def near_exact_report_roundtrip(spark, d):
+    """The report of a near-exact run (22 columns) as text, read back."""
+    return _written_and_read(spark, near_exact_report(spark, d))
+
+
+def hybrid_report_roundtrip(spark, d):
+    """The report of a hybrid run (28 columns) as text, read back."""
+    return _written_and_read(spark, hybrid_report(spark, d))
+
+
 def window_rates_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/rates"
     T.write_window_rates(M.window_report(E.exact_dedup(windowed(spark, d))), path)
@@ -560,5 +574,5 @@ select_all select_sparse select_level select_hybrid select_hybrid_basic select_h
 near_exact_no_flush_report near_exact_recipe_report hybrid_report restore_cost index_breadth recipe_fragmentation coverage_curve fnv_partition
 partitioned_containers bloom_filters bloom_members bloom_loads bloom_loads_cached bloom_report bloom_fpp io_cap_sweep ratio_sweep run_sweep bit_sweep
 strict_sort_report strict_fifo_report ingest_bounded strategy_compare
-recipe_roundtrip recipe_files_roundtrip report_roundtrip window_rates_roundtrip trace_roundtrip manifest_roundtrip stream_exact_dedup stream_near_exact
+recipe_roundtrip recipe_files_roundtrip report_roundtrip near_exact_report_roundtrip hybrid_report_roundtrip window_rates_roundtrip trace_roundtrip manifest_roundtrip stream_exact_dedup stream_near_exact
 incremental_ingest""".split()

@@ -37,4 +37,4 @@ def test_against_sql(spark, duck, name):
 
 def test_every_query_is_registered():
     assert set(registry.ORACLE_SQL) == set(registry.QUERIES)
-    assert len(registry.QUERIES) == 72
+    assert len(registry.QUERIES) == 74
