@@ -1,6 +1,9 @@
 """Operators on small hand-worked tables and invariants of whole runs."""
 
+import subprocess
+import sys
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -505,3 +508,20 @@ def test_filter_loads_by_blocks_equal_the_walk(spark, cache):
             here, recent = (t, part), []
         assert load == (bf not in recent[:cache])
         recent = [bf, *(x for x in recent if x != bf)]
+
+
+SPILLED = """
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.shuffle.spill.numElementsForceSpillThreshold", "100").getOrCreate())
+from fathomline.sources import traces as T
+base, trace = sys.argv[1], T.snapshot_trace(spark, sys.argv[2]).select("trace", "version", "pos", "chunk_id")
+T.write_trace(trace, f"{base}/trace")
+assert trace.exceptAll(T.read_written_trace(spark, f"{base}/trace", "snapshot")).isEmpty()
+"""
+
+
+def test_a_written_trace_keeps_its_order_when_sorts_spill(tmp_path, sf):
+    """In a session of its own, as the limit beyond which a sort spills is fixed at its start."""
+    subprocess.run([sys.executable, "-c", SPILLED, str(tmp_path), sf], cwd=Path(__file__).resolve().parents[1], check=True, timeout=300)
