@@ -21,26 +21,26 @@ from fathomline.operators.index import build_hooks
 from fathomline.operators.near_exact import Config, by_variant, load_subsets, select_from
 from fathomline.operators.ordinals import assign_windows
 
-PLACE = ["trace", "seq", "win_pos"]
+PLACE = ["seq", "win_pos", "trace"]
 
 
 def _sealed(flagged: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """The stored chunks in their containers, and those of sealed containers with ``since``, the window that sealed them."""
     packed = stored(pack_containers(flagged.where(~F.col("is_dup")).select("trace", "version", "seq", "win_pos", "chunk_id"), cfg.container_size), "packed")
     since = seal_status(packed).where("sealed_seq is not null").withColumnRenamed("sealed_seq", "since")
-    return packed, packed.join(since, ["trace", "container_id"])
+    return packed, packed.join(since, ["container_id", "trace"])
 
 
 def _hooks(searchable: DataFrame, cfg: Config) -> DataFrame:
     sampled = cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("ord"), r))
     since = searchable.select("trace", F.col("container_id").alias("subset_id"), "since").distinct()
-    return build_hooks(searchable, sampled, "container_id", "ord").join(since, ["trace", "subset_id"])
+    return build_hooks(searchable, sampled, "container_id", "ord").join(since, ["subset_id", "trace"])
 
 
 def _search(open_: DataFrame, searchable: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """The loads of open windows, and where their ids are found in them."""
     hits = open_.groupBy("trace", "seq", "chunk_id").agg(F.count("*").alias("cnt"), F.min("win_pos").alias("first_pos"))
-    pairs = hits.join(_hooks(searchable, cfg), ["trace", "chunk_id"]).where("since < seq").select("trace", "seq", "chunk_id", "cnt", "first_pos", "kind", "subset_id", "ord")
+    pairs = hits.join(_hooks(searchable, cfg), ["chunk_id", "trace"]).where("since < seq").select("trace", "seq", "chunk_id", "cnt", "first_pos", "kind", "subset_id", "ord")
     loads = stored(select_from(pairs, lambda _: subset_meta(searchable, "container", "container_id"), cfg), "loads")
     members = searchable.select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"))
     return loads, load_subsets(open_, loads, members)
@@ -64,7 +64,7 @@ def strict_dedup(chunks: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame,
         bound = F.broadcast(flagged.sparkSession.createDataFrame(list(first.items()), "trace string, first long"))  # one row per trace
         open_ = flagged.join(bound, "trace").where("seq >= first").drop("first")
         now, found = _search(open_.drop("is_dup", "location"), searchable, cfg)
-        again = open_.withColumnRenamed("is_dup", "was").drop("location").join(found, ["trace", "seq", "chunk_id"], "left").withColumn("is_dup", F.col("location").isNotNull())
+        again = open_.withColumnRenamed("is_dup", "was").drop("location").join(found, ["chunk_id", "seq", "trace"], "left").withColumn("is_dup", F.col("location").isNotNull())
         again = stored(again, "again")
         kept = flagged.join(bound, "trace", "left").where("first is null or seq < first").drop("first")
         old = None if loads is None else loads.join(bound, "trace", "left").where("first is null or seq < first").drop("first")
@@ -74,5 +74,5 @@ def strict_dedup(chunks: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame,
     settled, searchable = _sealed(flagged, cfg)
     new = settled.select(*PLACE, F.col("container_id").alias("own"), "ord")
     rows = flagged.join(new, PLACE, "left").withColumn("location", F.coalesce("location", "own")).drop("own")
-    loads = loads.join(flagged.select("trace", "seq", "version").distinct(), ["trace", "seq"]) if loads is not None else flagged.select("trace", "seq", F.lit("").alias("kind"), F.lit(0).cast("long").alias("subset_id"), F.lit(0).alias("load_rank"), "version")
+    loads = loads.join(flagged.select("trace", "seq", "version").distinct(), ["seq", "trace"]) if loads is not None else flagged.select("trace", "seq", F.lit("").alias("kind"), F.lit(0).cast("long").alias("subset_id"), F.lit(0).alias("load_rank"), "version")
     return rows, loads, _hooks(searchable, cfg).drop("since")
