@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import threading
 from dataclasses import replace
 from pathlib import Path
 
@@ -19,6 +20,7 @@ from fathomline.operators import near_exact as N
 from fathomline.operators import ordinals as O
 from fathomline.operators import select as C
 from fathomline.operators import strict as K
+from fathomline.operators import sweep as X
 from fathomline.plans import queries as Q
 from fathomline.sources import traces as T
 from fathomline.streaming import ingest as G
@@ -512,6 +514,7 @@ def test_filter_loads_by_blocks_equal_the_walk(spark, cache):
 
 SPILLED = """
 import sys
+import threading
 from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
          .config("spark.shuffle.spill.numElementsForceSpillThreshold", "100").getOrCreate())
@@ -525,3 +528,24 @@ assert trace.exceptAll(T.read_written_trace(spark, f"{base}/trace", "snapshot"))
 def test_a_written_trace_keeps_its_order_when_sorts_spill(tmp_path, sf):
     """In a session of its own, as the limit beyond which a sort spills is fixed at its start."""
     subprocess.run([sys.executable, "-c", SPILLED, str(tmp_path), sf], cwd=Path(__file__).resolve().parents[1], check=True, timeout=300)
+
+
+def test_compared_runs_go_on_side_by_side(spark, tiny, monkeypatch):
+    """Each of two runs waits until the other has begun."""
+    both = threading.Barrier(2, timeout=60)
+    rows = spark.createDataFrame([("t", 0, 1, False, 0), ("t", 0, 1, True, 0)], "trace string, version int, seq long, is_dup boolean, location long")
+    loads = spark.createDataFrame([("t", 0, 1, "container")], "trace string, version int, seq long, kind string")
+
+    def run(*_):
+        both.wait()
+        return rows, loads, None
+
+    monkeypatch.setattr(X, "near_exact_dedup", run)
+    got = X.compare_strategies(tiny, TINY, {"a": {}, "b": {"policy": "fifo"}}, exact=False).orderBy("strategy").collect()
+    assert [(r.strategy, r.total, r.stored, r.loads) for r in got] == [("a", 2, 1, 1), ("b", 2, 1, 1)]
+
+
+def test_a_stored_table_is_read_by_the_folders_it_needs(spark, tiny):
+    table = stored(tiny, "t", "version")
+    assert table.where("version = 1").select("trace", "pos", "chunk_id").exceptAll(tiny.where("version = 1").select("trace", "pos", "chunk_id")).isEmpty()
+    assert all("version=1" in f for f in table.where("version = 1").select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
