@@ -549,3 +549,19 @@ def test_a_stored_table_is_read_by_the_folders_it_needs(spark, tiny):
     table = stored(tiny, "t", "version")
     assert table.where("version = 1").select("trace", "pos", "chunk_id").exceptAll(tiny.where("version = 1").select("trace", "pos", "chunk_id")).isEmpty()
     assert all("version=1" in f for f in table.where("version = 1").select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+
+
+@pytest.mark.parametrize("kind", ["container", "recipe", "hybrid"])
+def test_an_epoch_writes_its_rows_once_beside_its_result(spark, tiny, monkeypatch, kind):
+    """Steps of an epoch that are written hold a row for each hit or window, but for one that holds all rows."""
+    sizes, write = [], N.stored
+
+    def noted(df, name="t", *by):
+        out = write(df, name, *by)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "stored", noted)
+    cfg = replace(TINY, kind=kind, window_size=8, segment_size=4, hook_bits=(1, 1))
+    rows, _, _ = N.near_exact_dedup(tiny.where("version = 0"), cfg)
+    assert rows.count() == 8 and [n for n, size in sizes if size >= 8] == ["windowed", "flagged"]
