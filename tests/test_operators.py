@@ -565,3 +565,16 @@ def test_an_epoch_writes_its_rows_once_beside_its_result(spark, tiny, monkeypatc
     cfg = replace(TINY, kind=kind, window_size=8, segment_size=4, hook_bits=(1, 1))
     rows, _, _ = N.near_exact_dedup(tiny.where("version = 0"), cfg)
     assert rows.count() == 8 and [n for n, size in sizes if size >= 8] == ["windowed", "flagged"]
+
+
+def test_firsts_from_windows_equal_exact_deduplication(spark, tiny):
+    """Also for chunks without an id. Firsts are found by hash aggregates, and gapless positions number recipes where rows lie."""
+    odd = tiny.withColumn("chunk_id", F.when(F.col("chunk_id") != "b", F.col("chunk_id"))).unionByName(chunks(spark, "a a b", "b a c", trace="u"))
+    rows = lambda df, *cols: sorted((tuple(r) for r in df.select("trace", "version", "pos", *cols).collect()), key=repr)
+    windowed = stored(O.assign_windows(odd, 4))
+    packed = E.pack_firsts(windowed, 4, 3)
+    assert rows(E.locate_firsts(windowed, stored(packed)), "is_dup", "location") == rows(E.with_locations(windowed, 3), "is_dup", "location")
+    assert "SortAggregate" not in packed._jdf.queryExecution().executedPlan().toString()
+    for some in (windowed, windowed.where("pos <> 2")):
+        assert rows(E.number_recipes(some, 3), "recipe_id", "slot") == rows(E.build_recipes(some, 3), "recipe_id", "slot")
+    assert "hashpartitioning(seq" not in E.number_recipes(windowed, 3)._jdf.queryExecution().executedPlan().toString()
