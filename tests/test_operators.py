@@ -578,3 +578,12 @@ def test_firsts_from_windows_equal_exact_deduplication(spark, tiny):
     for some in (windowed, windowed.where("pos <> 2")):
         assert rows(E.number_recipes(some, 3), "recipe_id", "slot") == rows(E.build_recipes(some, 3), "recipe_id", "slot")
     assert "hashpartitioning(seq" not in E.number_recipes(windowed, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exported_recipes_share_files(spark, tmp_path):
+    """Files do not grow with the recipes; every recipe is read back."""
+    recipes = spark.range(400).selectExpr("id div 2 as recipe_id", "cast(id % 2 as int) as slot", "concat('a', id) as chunk_id", "id % 7 as location")
+    T.export_recipe_files(recipes, f"file://{tmp_path}/r")
+    assert len(list((tmp_path / "r").rglob("*.txt"))) <= 8
+    got = T.read_recipe_files(spark, f"file://{tmp_path}/r", "t").select("recipe_id", "slot", "chunk_id", "location")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, recipes.collect()))
