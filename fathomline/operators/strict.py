@@ -2,48 +2,102 @@
 
 A container stays open until one more chunk is stored, and is searched by the windows after that one; it goes on across
 windows and versions. So each window depends on all earlier ones. A run that walks the windows would take as many steps;
-here all open windows are computed at once from the flags of the round before: the flagged chunks are packed, each container
-gets the window that sealed it, and a window sees the hooks and members sealed before it. What the first windows see is
-right after the first round, and what is right stays so; the run has only one fixed point, the walk's result. All windows
-before the first one that changed are settled and not computed again. A round settles at least a window of each trace; where
-versions repeat earlier ones, it settles most of a version.
+here the versions are taken in turn, and all windows of a version at once. What earlier versions sealed is settled: it is
+searched and packed once. The flags that this gives are a first guess; the version's own containers are packed from it, and
+only windows that hit a hook sealed inside the version are searched again, until no flag changes. A window depends on the flags
+before it, so a round settles at least one more window, and the run has only one fixed point, the walk's result. Where ids of
+a version do not come back inside it, no window is searched twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.ids import sampler
-from fathomline.functions.storage import stored
-from fathomline.operators.exact import pack_containers, seal_status, subset_meta
+from fathomline.functions.storage import Growing, ranged, stored
+from fathomline.operators.exact import seal_status, subset_meta
 from fathomline.operators.index import build_hooks
-from fathomline.operators.near_exact import Config, by_variant, load_subsets, select_from
-from fathomline.operators.ordinals import assign_windows
+from fathomline.operators.near_exact import HOOKS, LOADS, MEMBERS, ROWS, Config, _of_loaded, by_variant, loaded, select_from
+from fathomline.operators.ordinals import assign_windows, sums_before
+from fathomline.operators.select import hook_hits, window_ids
+
+WINDOW = ["seq", "trace"]
+PACKED = ["trace", "version", "seq", "chunk_id", "ord", "container_id"]
+
 
-PLACE = ["seq", "win_pos", "trace"]
+def _numbered(flagged: DataFrame) -> DataFrame:
+    """Rows with ``nth``, the number of stored chunks before a stored one in its window."""
+    inside = Window.partitionBy(*WINDOW).orderBy("win_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return flagged.withColumn("nth", F.sum((~F.col("is_dup")).cast("long")).over(inside) - 1)
 
 
-def _sealed(flagged: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """The stored chunks in their containers, and those of sealed containers with ``since``, the window that sealed them."""
-    packed = stored(pack_containers(flagged.where(~F.col("is_dup")).select("trace", "version", "seq", "win_pos", "chunk_id"), cfg.container_size), "packed")
-    since = seal_status(packed).where("sealed_seq is not null").withColumnRenamed("sealed_seq", "since")
-    return packed, packed.join(since, ["container_id", "trace"])
+def _placed(flagged: DataFrame, before: dict[str, int], cfg: Config) -> DataFrame:
+    """Rows of ``_numbered`` with ``ord`` and ``location`` of what is stored; ``before``: by trace, the chunks that earlier versions stored."""
+    per = stored(flagged.groupBy(*WINDOW).agg(F.count_if(~F.col("is_dup")).alias("new")), "per_window")
+    base = F.broadcast(per.sparkSession.createDataFrame(list(before.items()), "trace string, base long"))  # one row per trace
+    first = sums_before(per, ["trace"], ["seq"], "new", "above").join(base, "trace", "left")
+    first = stored(first.select("trace", "seq", (F.col("above") + F.coalesce("base", F.lit(0))).alias("first")), "first")  # one row per window
+    k = F.col("first") + F.col("nth")
+    placed = flagged.join(first, WINDOW).withColumn("ord", F.when(~F.col("is_dup"), k))
+    return placed.withColumn("location", F.when(F.col("is_dup"), F.col("location")).otherwise(F.floor(k / cfg.container_size))).drop("first", "nth")
 
 
 def _hooks(searchable: DataFrame, cfg: Config) -> DataFrame:
     sampled = cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("ord"), r))
-    since = searchable.select("trace", F.col("container_id").alias("subset_id"), "since").distinct()
-    return build_hooks(searchable, sampled, "container_id", "ord").join(since, ["subset_id", "trace"])
+    return build_hooks(searchable, sampled, "container_id", "ord").withColumn("role", F.col("kind"))
+
+
+def _members(searchable: DataFrame) -> DataFrame:
+    home = F.col("container_id")
+    return searchable.select("trace", F.lit("container").alias("kind"), home.alias("subset_id"), "chunk_id", home.alias("location"), F.col("seq").cast("long").alias("seq"), F.col("version").cast("int").alias("version"))
+
+
+def _selected(hits: DataFrame, hooks: DataFrame, members: DataFrame, cfg: Config) -> DataFrame:
+    """The loads of windows; ``hooks`` have ``since``, the window that sealed their container."""
+    pairs = hits.join(hooks.select("trace", "chunk_id", "kind", "subset_id", "ord", "since"), ["chunk_id", "trace"]).where("since < seq").drop("since")
+
+    def made(candidates: DataFrame) -> DataFrame:
+        return subset_meta(_of_loaded(members, candidates.withColumnRenamed("score", "load_rank")), "container", "subset_id")
+
+    return select_from(pairs, made, cfg)
 
 
-def _search(open_: DataFrame, searchable: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """The loads of open windows, and where their ids are found in them."""
-    hits = open_.groupBy("trace", "seq", "chunk_id").agg(F.count("*").alias("cnt"), F.min("win_pos").alias("first_pos"))
-    pairs = hits.join(_hooks(searchable, cfg), ["chunk_id", "trace"]).where("since < seq").select("trace", "seq", "chunk_id", "cnt", "first_pos", "kind", "subset_id", "ord")
-    loads = stored(select_from(pairs, lambda _: subset_meta(searchable, "container", "container_id"), cfg), "loads")
-    members = searchable.select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"))
-    return loads, load_subsets(open_, loads, members)
+def _version(own: DataFrame, tail: DataFrame | None, before: dict[str, int], members: Growing, hooks: Growing, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The fixed point of one version: its rows, its loads, the chunks and the hooks of containers that it sealed, and the chunks of those still open."""
+    settled = hooks.read().withColumn("since", F.lit(0).cast("long"))  # before every window of this version
+    if hooks.empty:
+        loads = own.sparkSession.createDataFrame([], LOADS).drop("version")
+        flagged = own.withColumns({"location": F.lit(None).cast("long"), "is_dup": F.lit(False)})
+    else:
+        loads = stored(_selected(stored(hook_hits(own, settled), "hits"), settled, members.read(), cfg), "loads")
+        flagged = own.join(loaded(loads, members.read()), ["chunk_id", "seq", "trace"], "left").withColumn("is_dup", F.col("location").isNotNull())
+    flagged, again = stored(_numbered(flagged), "flagged"), None
+    while True:
+        rows = _placed(flagged, before, cfg)
+        packed = rows.where(~F.col("is_dup")).select(*PACKED[:-1], F.col("location").alias("container_id"))
+        packed = stored(packed if tail is None else packed.unionByName(tail), "packed")
+        since = stored(seal_status(packed).withColumnRenamed("sealed_seq", "since"), "since")  # one row per container
+        sealed = packed.join(since.where("since is not null"), ["container_id", "trace"])
+        fresh = stored(_hooks(sealed, cfg).join(since.withColumnRenamed("container_id", "subset_id"), ["subset_id", "trace"]), "fresh_hooks")
+        hit = own.join(fresh.select("chunk_id", "trace", "since"), ["chunk_id", "trace"]).where("since < seq").select(*WINDOW)
+        again = stored((hit if again is None else hit.unionByName(again)).distinct(), "again")  # windows that this version's hooks do or did concern
+        if again.isEmpty():
+            break
+        known = members.read().unionByName(ranged(_members(sealed)))
+        searched = flagged.join(again, WINDOW, "left_semi")
+        now = stored(_selected(window_ids(searched), settled.unionByName(fresh.select(settled.columns)), known, cfg), "loads")
+        found = searched.drop("location", "nth").withColumnRenamed("is_dup", "was").join(loaded(now, known), ["chunk_id", "seq", "trace"], "left")
+        found = stored(_numbered(found.withColumn("is_dup", F.col("location").isNotNull())), "found")
+        loads = stored(loads.join(again, WINDOW, "left_anti").unionByName(now), "loads")
+        flagged = stored(flagged.join(again, WINDOW, "left_anti").unionByName(found.drop("was")), "flagged")
+        if found.where("was <> is_dup").isEmpty():
+            rows = _placed(flagged, before, cfg)  # the same places, with the locations of this round
+            break
+    open_ = packed.join(since.where("since is null"), ["container_id", "trace"], "left_semi").select(PACKED)
+    return rows, loads, sealed, fresh.select(settled.columns).drop("since"), open_
 
 
 def strict_dedup(chunks: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,25 +108,15 @@ def strict_dedup(chunks: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame,
     """
     if cfg.kind != "container" or not cfg.flush or cfg.intra != "none":
         raise ValueError("strict sealing is of containers, with flushed loads")
-    windowed = by_variant(assign_windows(chunks, cfg.window_size), cfg)
-    flagged = stored(windowed.withColumn("is_dup", F.lit(False)).withColumn("location", F.lit(None).cast("long")), "flagged")
-    settled = loads = None
-    first = {r[0]: 1 for r in flagged.select("trace").distinct().collect()}  # by trace, the first window that is not settled
-    while first:
-        packed, searchable = _sealed(flagged, cfg)
-        searchable = stored(searchable, "searchable")
-        bound = F.broadcast(flagged.sparkSession.createDataFrame(list(first.items()), "trace string, first long"))  # one row per trace
-        open_ = flagged.join(bound, "trace").where("seq >= first").drop("first")
-        now, found = _search(open_.drop("is_dup", "location"), searchable, cfg)
-        again = open_.withColumnRenamed("is_dup", "was").drop("location").join(found, ["chunk_id", "seq", "trace"], "left").withColumn("is_dup", F.col("location").isNotNull())
-        again = stored(again, "again")
-        kept = flagged.join(bound, "trace", "left").where("first is null or seq < first").drop("first")
-        old = None if loads is None else loads.join(bound, "trace", "left").where("first is null or seq < first").drop("first")
-        loads = stored(now if old is None else old.unionByName(now), "loads")
-        flagged = stored(kept.unionByName(again.drop("was")), "flagged")
-        first = {r[0]: r[1] for r in again.where("was <> is_dup").groupBy("trace").agg(F.min("seq")).collect()}  # one row per trace
-    settled, searchable = _sealed(flagged, cfg)
-    new = settled.select(*PLACE, F.col("container_id").alias("own"), "ord")
-    rows = flagged.join(new, PLACE, "left").withColumn("location", F.coalesce("location", "own")).drop("own")
-    loads = loads.join(flagged.select("trace", "seq", "version").distinct(), ["seq", "trace"]) if loads is not None else flagged.select("trace", "seq", F.lit("").alias("kind"), F.lit(0).cast("long").alias("subset_id"), F.lit(0).alias("load_rank"), "version")
-    return rows, loads, _hooks(searchable, cfg).drop("since")
+    spark = chunks.sparkSession
+    windowed = by_variant(stored(assign_windows(chunks, cfg.window_size), "windowed", "version"), cfg)
+    members, hooks, loads, rows = (Growing(spark, s, by_range=s == MEMBERS) for s in (MEMBERS, HOOKS, LOADS, ROWS))
+    tail, before = None, {}  # chunks of the open container, less than one for each trace; and by trace, how many chunks are stored
+    for (v,) in sorted(tuple(r) for r in windowed.select("version").distinct().collect()):  # one row per version
+        made, chosen, sealed, fresh, open_ = _version(windowed.where(F.col("version") == v), tail, before, members, hooks, cfg)
+        parts = [(rows, made.withColumn("location", F.col("location").cast("long"))), (loads, chosen.withColumn("version", F.lit(v).cast("int"))), (members, _members(sealed)), (hooks, fresh)]
+        with ThreadPoolExecutor(len(parts)) as pool:  # writes that do not wait for one another
+            own = list(pool.map(lambda p, n=v: p[0].add(p[1], n), parts))[0]
+        tail = stored(open_, "tail")
+        before |= {r[0]: r[1] + 1 for r in own.groupBy("trace").agg(F.max("ord")).collect() if r[1] is not None}  # one row per trace
+    return rows.read(), loads.read(), hooks.read()

@@ -409,6 +409,20 @@ def test_strict_sealing_equals_a_walk(spark, policy):
     assert by_seq == {k: v for k, v in seq_loads.items() if v}
 
 
+def test_strict_sealing_packs_settled_versions_once(spark, monkeypatch):
+    """What earlier versions stored is not packed again, and what is not stored never."""
+    packed, real = [], K.stored
+
+    def spy(df, name="t", *by):
+        out = real(df, name, *by)
+        packed.extend([out.count()] * (name == "packed"))
+        return out
+
+    monkeypatch.setattr(K, "stored", spy)
+    rows, _, _ = K.strict_dedup(chunks(spark, *[" ".join(f"c{v if i % 4 == v else 0}_{i}" for i in range(24)) for v in range(3)]), replace(TINY, window_size=8, io_cap=4))
+    assert sum(packed) < 2 * rows.where(~F.col("is_dup")).count()
+
+
 def test_strict_sealing_edges(spark, tiny):
     rows, loads, hooks = K.strict_dedup(tiny.where("false"), TINY)
     assert (rows.count(), loads.count(), hooks.count()) == (0, 0, 0)
