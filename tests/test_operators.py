@@ -594,6 +594,23 @@ def test_firsts_from_windows_equal_exact_deduplication(spark, tiny):
     assert "hashpartitioning(seq" not in E.number_recipes(windowed, 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_firsts_are_found_once(spark, tiny):
+    """Neither the counts before a block nor the rows look for first occurrences again."""
+    packed = E.pack_firsts(stored(O.assign_windows(tiny, 4)), 4, 3)
+    assert packed._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(chunk_id") == 0
+    assert sorted(r.ord for r in packed.collect()) == list(range(packed.count()))
+
+
+def test_segment_recipes_are_numbered_where_rows_lie(spark, tiny):
+    """Also beside gaps, where windows are counted."""
+    more = stored(O.assign_windows(tiny.unionByName(chunks(spark, "a a b", "b a c d e f g", trace="u")), 4))
+    rows = lambda df: sorted(tuple(r) for r in df.select("trace", "version", "pos", "recipe_id").collect())
+    for some in (more, more.where("pos <> 2"), more.where("pos > 1")):
+        for size in (3, 2):
+            assert rows(E.number_segment_recipes(some, 4, size)(some)) == rows(E.build_segment_recipes(O.segment_fixed(some, size)))
+    assert "hashpartitioning(seq" not in E.number_segment_recipes(more, 4, 3)(more)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exported_recipes_share_files(spark, tmp_path):
     """Files do not grow with the recipes; every recipe is read back."""
     recipes = spark.range(400).selectExpr("id div 2 as recipe_id", "cast(id % 2 as int) as slot", "concat('a', id) as chunk_id", "id % 7 as location")
