@@ -611,6 +611,22 @@ def test_segment_recipes_are_numbered_where_rows_lie(spark, tiny):
     assert "hashpartitioning(seq" not in E.number_segment_recipes(more, 4, 3)(more)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ratio_sweep_writes_no_rows_for_each_ratio(spark, tiny, monkeypatch):
+    sizes, real = {}, X.stored
+
+    def spy(df, name="t", *by):
+        out = real(df, name, *by)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(X, "stored", spy)
+    windowed = stored(O.assign_windows(tiny, 4))
+    packed = E.pack_firsts(windowed, 4, 3).where("version = 0")
+    members = packed.select("trace", F.lit("container").alias("kind"), F.col("container_id").alias("subset_id"), "chunk_id", F.col("container_id").alias("location"), "seq", "version")
+    got = X.ratio_sweep(windowed.where("version = 1"), packed, members, [0, 1, 3], 4).collect()
+    assert [r.total for r in got] == [8] * 3 and all(n < 24 for n in sizes.values())
+
+
 def test_exported_recipes_share_files(spark, tmp_path):
     """Files do not grow with the recipes; every recipe is read back."""
     recipes = spark.range(400).selectExpr("id div 2 as recipe_id", "cast(id % 2 as int) as slot", "concat('a', id) as chunk_id", "id % 7 as location")
