@@ -84,7 +84,7 @@ def test_stored_chunks_apart_give_the_same_hooks(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 200
 
 
-@pytest.mark.parametrize("name", ["select_hybrid_basic"])
+@pytest.mark.parametrize("name", ["select_hybrid_basic", "select_hybrid_dense"])
 def test_hybrid_selections_take_many_windows_at_once(spark, sf, name):
     text = plan(getattr(Q, name)(spark, sf))
     assert "MapInPandas" in text and "FlatMapGroupsInPandas" not in text and joins_by_id(getattr(Q, name)(spark, sf)) == 1
