@@ -84,6 +84,10 @@ def test_stored_chunks_apart_give_the_same_hooks(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 200
 
 
+def test_hybrid_hooks_look_up_no_container(spark, sf):
+    assert joins_by_id(Q.hybrid_hooks(spark, sf)) == 0
+
+
 def test_hits_meet_each_indexed_id_once(spark, sf):
     assert joins_by_id(Q.hook_hits_distinct(spark, sf)) == 1
 
