@@ -7,35 +7,37 @@ searched and packed once. The flags that this gives are a first guess; the versi
 only windows that hit a hook sealed inside the version are searched again, until no flag changes. A window depends on the flags
 before it, so a round settles at least one more window, and the run has only one fixed point, the walk's result. Where ids of
 a version do not come back inside it, no window is searched twice.
+
+As in runs by epochs, members lie in pieces, a window meets the pieces of its loads in one task, and the chunks of a trace meet the
+hooks of all variants of a grid once.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.ids import sampler
 from fathomline.functions.storage import Growing, ranged, stored
-from fathomline.operators.exact import seal_status, subset_meta
+from fathomline.operators.exact import seal_status
 from fathomline.operators.index import build_hooks
-from fathomline.operators.near_exact import HOOKS, LOADS, MEMBERS, ROWS, Config, _of_loaded, by_variant, loaded, select_from
+from fathomline.operators.near_exact import HOOKS, LOADS, PIECES, ROWS, Config, by_variant, chunks_of, find, hits_of, of_ids, packed, piece_meta, select_from, window_blocks
 from fathomline.operators.ordinals import assign_windows, sums_before
-from fathomline.operators.select import hook_hits, window_ids
+from fathomline.operators.select import window_ids
 
 WINDOW = ["seq", "trace"]
 PACKED = ["trace", "version", "seq", "chunk_id", "ord", "container_id"]
 
 
-def _numbered(flagged: DataFrame) -> DataFrame:
-    """Rows with ``nth``, the number of stored chunks before a stored one in its window."""
-    inside = Window.partitionBy(*WINDOW).orderBy("win_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("nth", F.sum((~F.col("is_dup")).cast("long")).over(inside) - 1)
+def _flagged(made: DataFrame, columns: list[str], cfg: Config) -> DataFrame:
+    """The chunks of searched windows with ``is_dup``, ``location`` and ``nth``, the number of stored chunks before a stored one in its window."""
+    return chunks_of(made, columns, cfg).select(*columns, "is_dup", "location", F.col("nth__").alias("nth"))
 
 
 def _placed(flagged: DataFrame, before: dict[str, int], cfg: Config) -> DataFrame:
-    """Rows of ``_numbered`` with ``ord`` and ``location`` of what is stored; ``before``: by trace, the chunks that earlier versions stored."""
+    """Rows of ``_flagged`` with ``ord`` and ``location`` of what is stored; ``before``: by trace, the chunks that earlier versions stored."""
     per = stored(flagged.groupBy(*WINDOW).agg(F.count_if(~F.col("is_dup")).alias("new")), "per_window")
     base = F.broadcast(per.sparkSession.createDataFrame(list(before.items()), "trace string, base long"))  # one row per trace
     first = sums_before(per, ["trace"], ["seq"], "new", "above").join(base, "trace", "left")
@@ -46,21 +48,23 @@ def _placed(flagged: DataFrame, before: dict[str, int], cfg: Config) -> DataFram
 
 
 def _hooks(searchable: DataFrame, cfg: Config) -> DataFrame:
-    sampled = cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("ord"), r))
+    number = dict(searchable.dtypes)["chunk_id"] == "bigint"
+    sampled = cfg.each("ratio", lambda r: sampler(cfg.method, F.col("chunk_id"), F.col("ord"), r, number))
     return build_hooks(searchable, sampled, "container_id", "ord").withColumn("role", F.col("kind"))
 
 
-def _members(searchable: DataFrame) -> DataFrame:
+def _pieces(searchable: DataFrame) -> DataFrame:
     home = F.col("container_id")
-    return searchable.select("trace", F.lit("container").alias("kind"), home.alias("subset_id"), "chunk_id", home.alias("location"), F.col("seq").cast("long").alias("seq"), F.col("version").cast("int").alias("version"))
+    rows = searchable.select("trace", F.lit("container").alias("kind"), home.alias("subset_id"), "chunk_id", home.alias("location"), F.col("seq").cast("long").alias("seq"), F.col("version").cast("int").alias("version"))
+    return packed(rows).withColumn("places", F.lit(None).cast("array<bigint>"))  # a container's members lie in it
 
 
-def _selected(hits: DataFrame, hooks: DataFrame, members: DataFrame, cfg: Config) -> DataFrame:
+def _selected(hits: DataFrame, hooks: DataFrame, pieces: DataFrame, cfg: Config) -> DataFrame:
     """The loads of windows; ``hooks`` have ``since``, the window that sealed their container."""
     pairs = hits.join(hooks.select("trace", "chunk_id", "kind", "subset_id", "ord", "since"), ["chunk_id", "trace"]).where("since < seq").drop("since")
 
     def made(candidates: DataFrame) -> DataFrame:
-        return subset_meta(_of_loaded(members, candidates.withColumnRenamed("score", "load_rank")), "container", "subset_id")
+        return piece_meta(pieces, candidates)
 
     return select_from(pairs, made, cfg)
 
@@ -68,35 +72,38 @@ def _selected(hits: DataFrame, hooks: DataFrame, members: DataFrame, cfg: Config
 def _version(own: DataFrame, tail: DataFrame | None, before: dict[str, int], members: Growing, hooks: Growing, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The fixed point of one version: its rows, its loads, the chunks and the hooks of containers that it sealed, and the chunks of those still open."""
     settled = hooks.read().withColumn("since", F.lit(0).cast("long"))  # before every window of this version
+    blocks = by_variant(stored(window_blocks(own), "blocks"), cfg)
     if hooks.empty:
         loads = own.sparkSession.createDataFrame([], LOADS).drop("version")
-        flagged = own.withColumns({"location": F.lit(None).cast("long"), "is_dup": F.lit(False)})
+        made = find(blocks, None, None)
     else:
-        loads = stored(_selected(stored(hook_hits(own, settled), "hits"), settled, members.read(), cfg), "loads")
-        flagged = own.join(loaded(loads, members.read()), ["chunk_id", "seq", "trace"], "left").withColumn("is_dup", F.col("location").isNotNull())
-    flagged, again = stored(_numbered(flagged), "flagged"), None
+        loads = stored(_selected(hits_of(own, settled, cfg), settled, members.read(), cfg), "loads")
+        made = find(blocks, loads, members.read())
+    flagged, again = stored(_flagged(made, own.columns, cfg), "flagged"), None
+    ids = own.select("chunk_id", "seq", F.col("trace").alias("of"))
     while True:
         rows = _placed(flagged, before, cfg)
-        packed = rows.where(~F.col("is_dup")).select(*PACKED[:-1], F.col("location").alias("container_id"))
-        packed = stored(packed if tail is None else packed.unionByName(tail), "packed")
-        since = stored(seal_status(packed).withColumnRenamed("sealed_seq", "since"), "since")  # one row per container
-        sealed = packed.join(since.where("since is not null"), ["container_id", "trace"])
+        new = rows.where(~F.col("is_dup")).select(*PACKED[:-1], F.col("location").alias("container_id"))
+        new = stored(new if tail is None else new.unionByName(tail), "packed")
+        since = stored(seal_status(new).withColumnRenamed("sealed_seq", "since"), "since")  # one row per container
+        sealed = new.join(since.where("since is not null"), ["container_id", "trace"])
         fresh = stored(_hooks(sealed, cfg).join(since.withColumnRenamed("container_id", "subset_id"), ["subset_id", "trace"]), "fresh_hooks")
-        hit = own.join(fresh.select("chunk_id", "trace", "since"), ["chunk_id", "trace"]).where("since < seq").select(*WINDOW)
+        of = F.split("trace", r"\|", 2)[1] if cfg.grid else F.col("trace")  # chunks meet the hooks of all variants
+        hit = ids.join(fresh.select("chunk_id", of.alias("of"), "trace", "since"), ["chunk_id", "of"]).where("since < seq").select(*WINDOW)
         again = stored((hit if again is None else hit.unionByName(again)).distinct(), "again")  # windows that this version's hooks do or did concern
         if again.isEmpty():
             break
-        known = members.read().unionByName(ranged(_members(sealed)))
+        known = members.read().unionByName(ranged(_pieces(sealed)))
         searched = flagged.join(again, WINDOW, "left_semi")
         now = stored(_selected(window_ids(searched), settled.unionByName(fresh.select(settled.columns)), known, cfg), "loads")
-        found = searched.drop("location", "nth").withColumnRenamed("is_dup", "was").join(loaded(now, known), ["chunk_id", "seq", "trace"], "left")
-        found = stored(_numbered(found.withColumn("is_dup", F.col("location").isNotNull())), "found")
+        found = stored(_flagged(find(blocks.join(again, WINDOW, "left_semi"), now, known), own.columns, cfg), "found")
+        was = searched.select(*WINDOW, "win_pos", F.col("is_dup").alias("was"))
         loads = stored(loads.join(again, WINDOW, "left_anti").unionByName(now), "loads")
-        flagged = stored(flagged.join(again, WINDOW, "left_anti").unionByName(found.drop("was")), "flagged")
-        if found.where("was <> is_dup").isEmpty():
+        flagged = stored(flagged.join(again, WINDOW, "left_anti").unionByName(found), "flagged")
+        if found.join(was, ["win_pos", *WINDOW]).where("was <> is_dup").isEmpty():
             rows = _placed(flagged, before, cfg)  # the same places, with the locations of this round
             break
-    open_ = packed.join(since.where("since is null"), ["container_id", "trace"], "left_semi").select(PACKED)
+    open_ = new.join(since.where("since is null"), ["container_id", "trace"], "left_semi").select(PACKED)
     return rows, loads, sealed, fresh.select(settled.columns).drop("since"), open_
 
 
@@ -109,12 +116,12 @@ def strict_dedup(chunks: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame,
     if cfg.kind != "container" or not cfg.flush or cfg.intra != "none":
         raise ValueError("strict sealing is of containers, with flushed loads")
     spark = chunks.sparkSession
-    windowed = by_variant(stored(assign_windows(chunks, cfg.window_size), "windowed", "version"), cfg)
-    members, hooks, loads, rows = (Growing(spark, s, by_range=s == MEMBERS) for s in (MEMBERS, HOOKS, LOADS, ROWS))
+    windowed = stored(assign_windows(chunks, cfg.window_size), "windowed", "version")
+    members, hooks, loads, rows = (Growing(spark, of_ids(s, chunks), by_range=s == PIECES) for s in (PIECES, HOOKS, LOADS, ROWS))
     tail, before = None, {}  # chunks of the open container, less than one for each trace; and by trace, how many chunks are stored
     for (v,) in sorted(tuple(r) for r in windowed.select("version").distinct().collect()):  # one row per version
         made, chosen, sealed, fresh, open_ = _version(windowed.where(F.col("version") == v), tail, before, members, hooks, cfg)
-        parts = [(rows, made.withColumn("location", F.col("location").cast("long"))), (loads, chosen.withColumn("version", F.lit(v).cast("int"))), (members, _members(sealed)), (hooks, fresh)]
+        parts = [(rows, made.withColumn("location", F.col("location").cast("long"))), (loads, chosen.withColumn("version", F.lit(v).cast("int"))), (members, _pieces(sealed)), (hooks, fresh)]
         with ThreadPoolExecutor(len(parts)) as pool:  # writes that do not wait for one another
             own = list(pool.map(lambda p, n=v: p[0].add(p[1], n), parts))[0]
         tail = stored(open_, "tail")
